@@ -1,0 +1,150 @@
+"""Event logs: flags, per-group sums, possessions, intervals between events."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def flag(condition: Column) -> Column:
+    """PRJ-01, PRJ-02. The condition, false where an operand is null."""
+    return F.coalesce(condition, F.lit(False))
+
+
+def is_set(column: str) -> Column:
+    """PRJ-01. A 0/1 column as a flag, null as false."""
+    return flag(F.col(column) == 1)
+
+
+@dataclass(frozen=True)
+class Flags:
+    """PRJ-01. Limits of the play flags."""
+
+    pass_types: tuple[str, ...] = ("pass",)
+    run_types: tuple[str, ...] = ("run",)
+    explosive_pass: float = 20.0
+    explosive_run: float = 10.0
+    red_zone: float = 20.0
+    neutral_score: float = 8.0
+    neutral_seconds: float = 900.0
+
+
+def play_flags(plays: DataFrame, limits: Flags = Flags()) -> DataFrame:
+    """PRJ-01, PRJ-02. plays with 17 boolean columns, none of them null.
+
+    A play is valid if it wasn't deleted or aborted and has a side in possession. A dropback is what the log says,
+    or if the log is silent a pass attempt or sack. Kneels and spikes are no rushes or passes.
+    """
+    kneel, spike = is_set("qb_kneel"), is_set("qb_spike")
+    valid = ~is_set("play_deleted") & ~is_set("aborted_play") & F.col("posteam").isNotNull()
+    passing = valid & is_set("pass_attempt") & ~spike
+    rush = valid & is_set("rush_attempt") & ~kneel
+    completion = passing & is_set("complete_pass")
+    dropback = valid & ~spike & ~kneel & F.when(F.col("qb_dropback").isNull(), is_set("pass_attempt") | is_set("sack")).otherwise(F.col("qb_dropback") == 1)
+    scrimmage = rush | dropback
+    turnover = valid & (is_set("interception") | is_set("fumble_lost"))
+    gained = F.col("yards_gained")
+    neutral = flag((F.abs("score_differential") <= limits.neutral_score) & ((F.col("qtr") < 4) | ((F.col("qtr") == 4) & (F.col("game_seconds_remaining") >= limits.neutral_seconds)))) & scrimmage
+    made = {
+        "is_valid": valid,
+        "is_pass": passing,
+        "is_completion": completion,
+        "is_rush": rush,
+        "is_dropback": dropback,
+        "is_scrimmage": scrimmage,
+        "is_sack": valid & is_set("sack"),
+        "is_interception": valid & is_set("interception"),
+        "is_fumble_lost": valid & is_set("fumble_lost"),
+        "is_turnover": turnover,
+        "has_epa": scrimmage & F.col("epa").isNotNull(),
+        "has_success": scrimmage & F.col("success").isNotNull(),
+        "is_explosive_pass": completion & flag(gained >= limits.explosive_pass),
+        "is_explosive_rush": rush & flag(gained >= limits.explosive_run),
+        "in_red_zone": valid & flag(F.col("yardline_100") <= limits.red_zone),
+        "is_goal_to_go": valid & is_set("goal_to_go"),
+        "is_neutral": neutral,
+    }
+    return plays.select("*", *(c.alias(name) for name, c in made.items()))
+
+
+@dataclass(frozen=True)
+class Metric:
+    """AG-03. A rate: sum of value over rows with `where`, and the denominator and sample they give."""
+
+    where: Column
+    value: Column
+    weight: Column = field(default_factory=lambda: F.lit(1.0))
+
+
+def triples(rows: DataFrame, key: list[str], metrics: dict[str, Metric]) -> DataFrame:
+    """AG-03. key, metric, num, den, n: one aggregate, unfolded to long. Rows without a value add nothing."""
+    aggs = []
+    for name, m in metrics.items():
+        ok = flag(m.where) & m.value.isNotNull()
+        aggs += [F.sum(F.when(ok, m.value.cast("double"))).alias(f"{name}_num"), F.sum(F.when(ok, m.weight.cast("double"))).alias(f"{name}_den"), F.count_if(ok).alias(f"{name}_n")]
+    wide = rows.groupBy(*key).agg(*aggs)
+    long = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.coalesce(f"{m}_num", F.lit(0.0)).alias("num"), F.coalesce(f"{m}_den", F.lit(0.0)).alias("den"), F.col(f"{m}_n").alias("n")) for m in metrics)))
+    return wide.select(*key, long.alias("_m")).select(*key, "_m.*")
+
+
+def mirrored(long: DataFrame, games: DataFrame, game: str, entity: str, home: str = "home", away: str = "away", suffix: str = "_allowed") -> DataFrame:
+    """PRJ-07. Each metric once for the entity that made it and once, renamed, for its opponent, by one explode."""
+    joined = long.join(games.select(game, home, away), game)
+    other = F.when(F.col(entity) == F.col(home), F.col(away)).otherwise(F.col(home))
+    both = F.explode(F.array(F.struct(F.col(entity).alias("e"), F.col("metric").alias("m")), F.struct(other.alias("e"), F.concat("metric", F.lit(suffix)).alias("m"))))
+    rest = [c for c in long.columns if c not in (game, entity, "metric")]
+    return joined.select(game, both.alias("_b"), *rest).select(game, F.col("_b.e").alias(entity), F.col("_b.m").alias("metric"), *rest)
+
+
+#: AG-04. Points that the results of a possession are worth; results not listed are an error. Fixed values.
+POSSESSION_POINTS = {
+    "Touchdown": 7,
+    "Field goal": 3,
+    "Safety": 2,
+    "Punt": 0,
+    "Missed field goal": 0,
+    "Turnover": 0,
+    "Turnover on downs": 0,
+    "Opp touchdown": 0,
+    "End of half": 0,
+}
+SCORING = ("Touchdown", "Field goal")
+
+
+def possessions(plays: DataFrame, key: list[str], order: str, result: str, count: dict[str, Column], points: dict[str, int] | None = None) -> DataFrame:
+    """AG-04, PRJ-03, DQ-09. One row a possession: its first result in play order, the number of different results
+    (over 1 is a conflict), points, whether it scored, and counts of flagged plays. An unknown result fails the job."""
+    from tidemark.functions.text import strict_recode
+
+    groups = plays.groupBy(*key).agg(
+        F.min_by(result, F.when(F.col(result).isNotNull(), F.col(order))).alias("result"),
+        F.count_distinct(result).alias("n_results"),
+        *(F.count_if(c).alias(name) for name, c in count.items()),
+        F.count(F.lit(1)).alias("n_plays"),
+    )
+    return groups.select("*", strict_recode("result", points or POSSESSION_POINTS).alias("points"), flag(F.col("result").isin(*SCORING)).alias("scored"))
+
+
+def opportunities(plays: DataFrame, key: list[str], flags: dict[str, Column]) -> DataFrame:
+    """AG-05. Possessions with whether any of their plays qualifies, by flag."""
+    return plays.groupBy(*key).agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(name) for name, c in flags.items()))
+
+
+def intervals(events: DataFrame, key: list[str], order: list[str], clock: str, same: list[str] = (), longest: float = 120.0, falling: bool = True) -> DataFrame:
+    """WN-04. Seconds since the event before within a key; valid if over 0, at most `longest`, and equal in `same`.
+
+    Filter events first: an event that was left out makes no interval, and none across it. clock falls (a game
+    clock) or rises.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
+    now, before = F.col(clock), F.lag(clock).over(w)
+    gap = before - now if falling else now - before
+    made = events.withColumn("seconds", gap)
+    ok = F.lit(True)
+    for c in same:
+        made = made.withColumn(f"_same_{c}", F.col(c) == F.lag(c).over(w))
+        ok = ok & F.col(f"_same_{c}")
+    return made.withColumn("valid_interval", flag((F.col("seconds") > 0) & (F.col("seconds") <= longest) & ok)).drop(*(f"_same_{c}" for c in same))
