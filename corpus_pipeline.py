@@ -33,8 +33,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id. A null doc_id has no say and stays."""
-    found = simhash.near_duplicates(docs)
+    """Of each component of near duplicates (five words, similarity 0.8) the document with the smallest doc_id. A null doc_id has no say and stays."""
+    found = simhash.similar(docs)
     gone = found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 

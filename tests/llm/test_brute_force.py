@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -98,6 +98,29 @@ def test_bit_sliced_links_equal_brute_force(spark, radius, monkeypatch):
     assert got == {frozenset((a, b)) for i, a in enumerate(v) for b in v[i + 1 :] if (a ^ b).bit_count() <= radius}
 
 
+def test_similar_groups(spark, rows):
+    """Pairs well over the threshold are together, groups are made of pairs not far under it."""
+
+    def shingles(text):
+        w = WORD.findall(lower(text or ""))
+        return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)])
+
+    got = simhash.similar(frame(spark, rows)).collect()
+    group = {r.doc_id: r.component_id for r in got}
+    repeated = {d for d, n in Counter(d for d, _ in rows).items() if n > 1}
+    sets = [(d, shingles(t)) for d, t in rows]
+    near = set()
+    for i, (a, s) in enumerate(sets):
+        for b, t in sets[i + 1 :]:
+            j = len(s & t) / len(s | t)
+            if j >= 0.87 and not {a, b} & repeated:
+                assert group[a] == group[b], (a, b, j)
+            if j >= 0.65:
+                near |= {a, b}
+    for d in group.keys() - repeated:  # whoever is in a group has a partner that is near
+        assert group[d] == d or d in near, d
+
+
 def test_line_dedup(spark, rows):
     holders, lines = defaultdict(set), []
     key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
@@ -308,6 +331,7 @@ def test_chat(spark):
 
 EMPTY = {
     "simhash": lambda df, s: simhash.near_duplicates(df),
+    "similar": lambda df, s: simhash.similar(df),
     "bpe": lambda df, s: bpe.round_trip(df, queries.tokenizer_path()),
     "lines": lambda df, s: linededup.keep_bitmaps(df),
     "substring": lambda df, s: substring.drop_repeated_passages(df),

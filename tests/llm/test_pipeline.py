@@ -45,7 +45,7 @@ def test_line_stage_keeps_null_texts(spark, sf_dir):
 def test_near_duplicate_stage(spark, docs, sf_dir):
     from tidemark.llm import simhash
 
-    found = simhash.near_duplicates(docs).collect()
+    found = simhash.similar(docs).collect()
     stay = {r.component_id for r in found}
     assert {r.doc_id for r in cp.one_of_each_group(spark, docs, sf_dir).collect()} == stay
 
