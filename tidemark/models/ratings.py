@@ -22,35 +22,37 @@ LEDGER = "league string, config string, block_ord int, season int, game string,
 
 def _fold(games: pd.DataFrame) -> pd.DataFrame:
     games = games.sort_values(["block_ord", "game"], kind="stable").reset_index(drop=True)
-    r = games.iloc[0]
-    names, codes = np.unique(np.concatenate([games["home"], games["away"]]), return_inverse=True)
-    home, away = codes[: len(games)], codes[len(games) :]
-    rating = np.full(len(names), r["start"])
-    season, parts = None, []
-    starts = np.flatnonzero(np.append(True, np.diff(games["block_ord"].to_numpy()) != 0))
-    for a, b in zip(starts, [*starts[1:], len(games)], strict=True):
-        g = games.iloc[a:b]
-        if season is not None and g["season"].iloc[0] != season:
-            rating = rating + r["carry_back"] * (r["start"] - rating)
-        season = g["season"].iloc[0]
+    c, n = games.iloc[0], len(games)
+    names, codes = np.unique(np.concatenate([games["home"], games["away"]]).astype(str), return_inverse=True)
+    home, away = codes[:n], codes[n:]
+    season, block = games["season"].to_numpy(), games["block_ord"].to_numpy()
+    bonus = np.where(games["neutral"].to_numpy(bool), 0.0, c["home_bonus"])
+    adjust = games["home_adjustment"].to_numpy(float) - games["away_adjustment"].to_numpy(float)
+    margin = (games["home_score"] - games["away_score"]).to_numpy(float)
+    played = ~np.isnan(margin)
+    actual = np.where(played, (np.sign(margin) + 1) / 2, np.nan)
+    weight = np.where(played, c["k"] * np.minimum(c["margin_cap"], 1 + (np.abs(margin) / c["margin_divisor"]) ** 2), 0.0)
+    rating = np.full(len(names), float(c["start"]))
+    before_h, before_a, p, change = (np.empty(n) for _ in range(4))
+    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
         h, w = home[a:b], away[a:b]
-        if len(np.unique(np.concatenate([h, w]))) != 2 * len(h):
-            raise ValueError(f"an entity plays twice in block {g['block_ord'].iloc[0]}")
-        at_home = np.where(g["neutral"].to_numpy(bool), 0.0, r["home_bonus"])
-        adjust = g["home_adjustment"].to_numpy(float) - g["away_adjustment"].to_numpy(float)
-        p = 1 / (1 + 10 ** (-(rating[h] + at_home - rating[w] + adjust) / r["scale"]))
-        margin = (g["home_score"] - g["away_score"]).to_numpy(float)
-        actual = np.where(np.isnan(margin), np.nan, np.where(margin > 0, 1.0, np.where(margin < 0, 0.0, 0.5)))
-        times = np.minimum(r["margin_cap"], 1 + (np.abs(np.nan_to_num(margin)) / r["margin_divisor"]) ** 2)
-        # the change follows the rating's own expectation, without adjustments
-        own = 1 / (1 + 10 ** (-(rating[h] + at_home - rating[w]) / r["scale"]))
-        change = np.where(np.isnan(margin), 0.0, r["k"] * times * (np.nan_to_num(actual) - own))
-        clipped = np.clip(p, r["lowest"], r["highest"])
-        for side, me, other, q, y, d in (("home", h, w, clipped, actual, change), ("away", w, h, 1 - clipped, 1 - actual, -change)):
-            parts.append(pd.DataFrame({"league": g["league"], "config": g["config"], "block_ord": g["block_ord"], "season": g["season"], "game": g["game"], "side": side, "entity": names[me], "other": names[other], "before": rating[me], "p": q, "actual": y, "change": d, "after": rating[me] + d}))
-        rating[h] += change
-        rating[w] -= change
-    return pd.concat(parts)
+        if len(set(h.tolist()) | set(w.tolist())) != 2 * (b - a):
+            raise ValueError(f"an entity plays twice in block {block[a]}")
+        if a and season[a] != season[a - 1]:
+            rating += c["carry_back"] * (c["start"] - rating)
+        before_h[a:b], before_a[a:b] = rating[h], rating[w]
+        gap = rating[h] + bonus[a:b] - rating[w]
+        p[a:b] = 1 / (1 + 10 ** (-(gap + adjust[a:b]) / c["scale"]))
+        # the change follows the ratings' own expectation, without adjustments
+        d = weight[a:b] * (np.where(played[a:b], actual[a:b], 0.0) - 1 / (1 + 10 ** (-gap / c["scale"])))
+        change[a:b] = d
+        rating[h] += d
+        rating[w] -= d
+    p = np.clip(p, c["lowest"], c["highest"])
+    same = games[["league", "config", "block_ord", "season", "game"]]
+    sides = (("home", home, away, before_h, p, actual, change), ("away", away, home, before_a, 1 - p, 1 - actual, -change))
+    return pd.concat([same.assign(side=side, entity=names[me], other=names[other], before=r, p=q, actual=y, change=d, after=r + d) for side, me, other, r, q, y, d in sides])
 
 
 def rating_ledger(games: DataFrame, configs: dict[str, Rating]) -> DataFrame:
@@ -62,7 +64,8 @@ def rating_ledger(games: DataFrame, configs: dict[str, Rating]) -> DataFrame:
     table = games.sparkSession.createDataFrame([(k, *map(float, asdict(c).values())) for k, c in configs.items()], "config string, " + ", ".join(f"{n} double" for n in asdict(Rating())))
     table = table.withColumnRenamed("home", "home_bonus")
     need = ["league", "block_ord", "season", "game", "home", "away", "home_score", "away_score", "neutral", "home_adjustment", "away_adjustment"]
-    swept = games.select(*need).join(F.broadcast(table), F.lit(True))  # a handful of configurations
+    text = {c: F.col(c).cast("string") for c in ("league", "game", "home", "away")}
+    swept = games.select(*need).withColumns(text).join(F.broadcast(table), F.lit(True))  # a handful of configurations
     return swept.groupBy("league", "config").applyInPandas(_fold, LEDGER)
 
 

@@ -286,12 +286,12 @@ def latest_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("evidence_resolution", """with t as (select distinct user_id, timestamp '2024-01-20 12:00:00' as cut from events),
-    l as (select t.user_id, event_type as c, arg_max(cast(value as bigint) % 3, (ts, -(cast(value as bigint) % 3))) as r from t join events e on e.user_id = t.user_id and e.ts <= t.cut group by 1, 2),
+    l as (select t.user_id, event_type as c, arg_max(cast(floor(value) as bigint) % 3, (ts, -(cast(floor(value) as bigint) % 3))) as r from t join events e on e.user_id = t.user_id and e.ts <= t.cut group by 1, 2),
     m as (select user_id, min(r) as least from l group by 1), x as (select user_id, list_sort(list(c)) as cs from l join m using (user_id) where r = least group by 1)
     select t.user_id, array_to_string(cs, ',') as candidates, case when len(cs) > 1 then 'AMBIGUOUS' when len(cs) = 1 then 'SUPPORTED' else 'UNKNOWN' end as state,
            case when len(cs) > 0 then least(len(cs), 2) else 1 end as n_scenarios from t left join x using (user_id)""")
 def evidence_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "events").select("user_id", "event_type", (F.col("value").cast("long") % 3).alias("rank"), "ts")
+    e = load(spark, sf, "events").select("user_id", "event_type", (F.floor("value") % 3).alias("rank"), "ts")
     targets = e.select("user_id", F.lit("2024-01-20 12:00:00").cast("timestamp").alias("cut")).distinct()
     out = asof.resolved(targets, e, ["user_id"], "event_type", "rank", "ts", "cut", "SUPPORTED")
     many = reshape.scenarios(out, "candidates").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_scenarios"))

@@ -139,7 +139,7 @@ def null_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("text_functions", """with p as (select p_partkey, '  ' || p_name || ' Jr.' as name, p_brand, p_type, case p_partkey % 4 when 0 then ' 12 ' when 1 then '3.7' when 2 then 'NaN' else 'yes' end as raw from part)
-    select p_partkey, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) as token, regexp_replace(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' jr$', '') as name_key, split_part(p_type, ' ', 2) as part_2, case p_partkey % 4 when 0 then 12 when 1 then 3 end as as_long, case p_partkey % 4 when 0 then 12.0 when 1 then 3.7 end as as_double,
+    select p_partkey, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) as token, regexp_replace(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' jr$', '') as name_key, nullif(split_part(p_type, ' ', 2), '') as part_2, case p_partkey % 4 when 0 then 12 when 1 then 3 end as as_long, case p_partkey % 4 when 0 then 12.0 when 1 then 3.7 end as as_double,
            case p_partkey % 4 when 3 then true end as as_boolean, coalesce(case upper(p_brand) when 'BRAND#11' then 'ELEVEN' end, upper(p_brand)) as brand, p_partkey || ':' || p_brand as joined, sha256('{"p_brand":"' || p_brand || '","p_partkey":' || p_partkey || '}') as hash from p""")
 def text_functions(spark: SparkSession, sf: str) -> DataFrame:
     p = load(spark, sf, "part").selectExpr("*", "concat('  ', p_name, ' Jr.') as name", "case p_partkey % 4 when 0 then ' 12 ' when 1 then '3.7' when 2 then 'NaN' else 'yes' end as raw")

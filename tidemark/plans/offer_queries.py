@@ -101,9 +101,9 @@ def board(spark: SparkSession, sf: str) -> DataFrame:
     return b.withColumn("play", play).withColumns({"status": F.col("play.status"), "reason": fn.unsupported_reason("distance")})
 
 
-@query("reliability_math", with_(QUOTES_SQL, _BOARD_SQL, """select l_orderkey, l_linenumber, tier, status, round(greatest(0.01, least(0.99, 0.5 + k * (q - 0.5))), 6) as staking, round(qp, 6) as play_break_even from play"""))
+@query("reliability_math", with_(QUOTES_SQL, _BOARD_SQL, """select l_orderkey, l_linenumber, tier, status, round(greatest(0.01, least(0.99, 0.5 + k * (q - 0.5))), 9) as staking, round(qp, 9) as play_break_even from play"""))
 def reliability_math(spark: SparkSession, sf: str) -> DataFrame:
-    return board(spark, sf).select("l_orderkey", "l_linenumber", "tier", "status", r6(fn.staking_probability("q", 0.5, "tier", "radius")).alias("staking"), r6("play.break_even").alias("play_break_even"))
+    return board(spark, sf).select("l_orderkey", "l_linenumber", "tier", "status", F.round(fn.staking_probability("q", 0.5, "tier", "radius"), 9).alias("staking"), F.round("play.break_even", 9).alias("play_break_even"))
 
 
 @query("market_summary", with_(QUOTES_SQL, _BOARD_SQL, """select market, count(*) as n, count(*) filter (tier <> 'UNSUPPORTED') as n_supported, count(*) filter (tier = 'HIGH') as n_high, count(*) filter (status = 'VALUE') as n_value, count(*) filter (distance > 0.1) as n_out_of_support from play group by 1"""))
@@ -203,9 +203,9 @@ def dim_season_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return offers.count_matrix(quotes(spark, sf), ["market", "side"], "season", [1996, 1997])
 
 
-@query("running_profit", with_(QUOTES_SQL, _LEDGER_SQL, """select l_orderkey, l_linenumber, count(*) over w as bet_no, count(*) filter (profit > 0) over w as cum_wins, round(sum(profit) over w, 4) as cum_profit from ledger window w as (partition by book, season order by month, l_orderkey, l_linenumber rows between unbounded preceding and current row)"""))
+@query("running_profit", with_(QUOTES_SQL, _LEDGER_SQL, """select l_orderkey, l_linenumber, count(*) over w as bet_no, count(*) filter (profit > 0) over w as cum_wins, round(sum(profit) over w, 4) as cum_profit from ledger window w as (partition by book, season order by month, l_orderkey, l_linenumber, game, price rows between unbounded preceding and current row)"""))
 def running_profit(spark: SparkSession, sf: str) -> DataFrame:
-    out = offers.running_profit(ledger(spark, sf), ["book", "season"], ["month", "l_orderkey", "l_linenumber"])
+    out = offers.running_profit(ledger(spark, sf), ["book", "season"], ["month", "l_orderkey", "l_linenumber", "game", "price"])
     return out.select("l_orderkey", "l_linenumber", "bet_no", "cum_wins", F.round("cum_profit", 4).alias("cum_profit"))
 
 
@@ -245,11 +245,11 @@ def corroborated_side(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("residual_probabilities", with_(QUOTES_SQL, """res as (select distinct game, season, (home_score - away_score) - (game % 9 - 4) as residual from quotes), rr as (select game, min(season) as block_ord, min(residual) as residual from res group by 1),
-    o as (select l_orderkey, l_linenumber, side, season as block_ord, (game % 9 - 4) * 1.0 as predicted, line, case side when 'home' then -((game % 9 - 4) + line) else line - (game % 9 - 4) end as t, abs(line - round(line)) <= 1e-9 as push from quotes where market = 'spread'),
-    c as (select o.l_orderkey, o.l_linenumber, count(r.game) as n, count(*) filter (case when push then case side when 'home' then residual >= t + 0.5 else residual < t - 0.5 end else case side when 'home' then residual > t else residual < t end end) as w,
-          count(*) filter (push and residual >= t - 0.5 and residual < t + 0.5) as p from o join rr r on r.block_ord < o.block_ord group by 1, 2)
+    o as (select row_number() over () as rid, l_orderkey, l_linenumber, side, season as block_ord, (game % 9 - 4) * 1.0 as predicted, line, case side when 'home' then -((game % 9 - 4) + line) else line - (game % 9 - 4) end as t, abs(line - round(line)) <= 1e-9 as push from quotes where market = 'spread'),
+    c as (select o.rid, count(r.game) as n, count(*) filter (case when push then case side when 'home' then residual >= t + 0.5 else residual < t - 0.5 end else case side when 'home' then residual > t else residual < t end end) as w,
+          count(*) filter (push and residual >= t - 0.5 and residual < t + 0.5) as p from o join rr r on r.block_ord < o.block_ord group by 1)
     select o.l_orderkey, o.l_linenumber, round((w + 0.5) / (n + case when push then 1.5 else 1.0 end), 6) as p_win, round(case when push then (p + 0.5) / (n + 1.5) when n is not null then 0.0 end, 6) as p_push, round((n - w - p + 0.5) / (n + case when push then 1.5 else 1.0 end), 6) as p_loss
-    from o left join c using (l_orderkey, l_linenumber)"""))
+    from o left join c using (rid)"""))
 def residual_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     q = quotes(spark, sf)
     residuals = q.groupBy("game").agg(F.min("season").alias("block_ord"), F.min((F.col("home_score") - F.col("away_score")) - (F.col("game") % 9 - 4)).alias("residual"))
