@@ -55,7 +55,7 @@ def delimited_log(spark: SparkSession, path: str, columns: list[str] = STARTER_L
     n = F.size(F.split(F.regexp_replace("value", '"[^"]*"', "q"), ",", -1))
     parsed = lines.select("value", "file", n.alias("n"), F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), options).alias("r"))
     short = (F.col("n") == len(columns) - 1) & F.upper(F.col("value")).contains(bye)
-    pick = lambda k: F.when(short & F.lit(k > gap), F.col(f"r.c{k - 1}")).when(short & F.lit(k == gap), F.lit(None)).otherwise(F.col(f"r.c{k}"))
+    pick = lambda k: F.when(short & F.lit(k > gap), F.col(f"r.c{max(k - 1, 0)}")).when(short & F.lit(k == gap), F.lit(None)).otherwise(F.col(f"r.c{k}"))
     whole = (F.col("n") == len(columns)) | short
     rows = parsed.where(whole & (F.col("r.c0") != columns[0])).select(*(to_string(pick(k)).alias(c) for k, c in enumerate(columns)), short.alias("repaired"), "file")
     return rows, parsed.where(~whole).select("value", "file", "n")
