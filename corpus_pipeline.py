@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, langid, linededup, simhash
-from tidemark.llm.common import keyed, new_path
+from tidemark.llm.common import LAST_ID, keyed, new_path
 from tidemark.llm.queries import held_out, tokenizer_path
 
 
@@ -23,13 +23,17 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """The same documents without lines that an earlier document has; n_chars follows the text. A null text stays null."""
     keys = keyed(docs, "doc_id", "text")
     plan = linededup.dropped_positions(keys).withColumnsRenamed({"_id": "_drop_id", "_tag": "_drop_tag"})
-    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_tag": F.xxhash64("text", F.col("doc_id").isNull())})
+    # packed, so that no column of docs clashes with one of ours
+    ident = docs["doc_id"].cast("long")
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(ident, F.lit(LAST_ID)).alias("_id"), F.xxhash64(docs["text"], ident.isNull()).alias("_tag"))
     joined = own.join(plan, (F.col("_id") == F.col("_drop_id")) & (F.col("_tag") == F.col("_drop_tag")), "left")
     # positions are from 0; filter() numbers the lines likewise
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains(F.col("drops"), k)), "\n")
-    text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept)
-    changed = {"text": text} | ({"n_chars": F.when(F.col("drops").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    kept = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda line, k: ~F.array_contains(F.col("drops"), k)), "\n")
+    same = F.col("drops").isNull()
+    changed = {"text": F.when(same, F.col("row.text")).otherwise(kept)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.length(changed["text"])).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

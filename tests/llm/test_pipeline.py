@@ -56,3 +56,13 @@ def test_benchmark_stage(spark, docs, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = {r.doc_id for r in decontam.contaminations(docs, bench).collect()}
     assert {r.doc_id for r in cp.without_benchmark(spark, docs, sf_dir).collect()} == {r.doc_id for r in docs.collect()} - hit
+
+
+def test_clashing_columns_pass_through(spark, sf_dir):
+    rows = [(1, "the quick brown fox jumps over it\nagain and again", "en", 9, "i", "d", "r"), (2, "the quick brown fox jumps over it\nother words", "en", 9, "j", "e", "s"), (None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, _id string, drops string, `row` string")
+    got = {r.doc_id: r for r in cp.without_repeated_lines(spark, df, sf_dir).collect()}
+    assert got[2].text == "other words" and got[2].n_chars == 11 and (got[2]._id, got[2].drops, got[2]["row"]) == ("j", "e", "s")
+    assert got[1].text == rows[0][1] and got[1].n_chars == 9 and got[None].text is None
+    for name, stage in cp.STAGES[:-1]:
+        assert stage(spark, df, sf_dir).columns == df.columns, name
