@@ -87,21 +87,29 @@ def margin_maps(rows: DataFrame, pairs: DataFrame, x: str, y: str, least: int =
 def ridge_effects(games: DataFrame, pairs: DataFrame, half_life: float | None = None, penalty: float = 10.0, base: float = 20.0) -> DataFrame:
     """ML-04. For each target block: offense and defense effects of all entities, the home effect and the baseline.
 
-    games: block_ord, game_ord (dense, in time), home, away, home_score, away_score. Each game gives two observations,
-    score = baseline + offense + defense of the other + home / 2 up or down, weighed 0.5 ** (age / half_life) with the age in
-    games. The normal equations are summed in Spark, an entry for each pair of terms that met, and solved by target;
-    entities are at most some thousands, the sums need not fit in one place. Effects are centred to zero.
+    games: block_ord, game_ord (in time), home, away, home_score, away_score. Each game gives two observations,
+    score = baseline + offense + defense of the other + home / 2 up or down, weighed 0.5 ** (age / half_life) with the age
+    counted back from the latest game before the target. Normal equations are summed once for each block, weighed from
+    the block's own last game; a target adds up the blocks before it, each times one factor, so games are never paired
+    with targets. Entities are at most some thousands, as a target's system is solved in one task. Effects are centred to zero.
     """
-    rows = games.where("home_score is not null and away_score is not null").join(pairs, games["block_ord"] == pairs["source"])
-    age = F.max("game_ord").over(Window.partitionBy("target")) - F.col("game_ord")
-    weight = F.pow(F.lit(0.5), age / half_life) if half_life else F.lit(1.0)
+    halved = lambda gap: F.pow(F.lit(0.5), gap / half_life) if half_life else F.lit(1.0)
+    played = games.where("home_score is not null and away_score is not null")
+    ends = played.groupBy("block_ord").agg(F.max("game_ord").alias("block_end"))
+    rows = played.join(ends, "block_ord").withColumn("w", halved(F.col("block_end") - F.col("game_ord")))
     term = lambda name, v: F.struct(name.alias("t"), F.lit(v).cast("double").alias("v"))
     off, con = (lambda c: F.concat(F.lit("o:"), F.col(c))), (lambda c: F.concat(F.lit("d:"), F.col(c)))
     one = lambda a, b, s, score: F.struct(F.array(term(F.lit("base"), 1.0), term(F.lit("home"), s), term(off(a), 1.0), term(con(b), 1.0)).alias("terms"), F.col(score).cast("double").alias("y"))
-    both = rows.select("target", weight.alias("w"), F.explode(F.array(one("home", "away", 0.5, "home_score"), one("away", "home", -0.5, "away_score"))).alias("ob"))
-    left = both.select("target", "w", "ob.y", F.col("ob.terms").alias("terms"), F.explode("ob.terms").alias("a"))
-    right = left.groupBy("target", F.col("a.t").alias("i")).agg(F.sum(F.col("w") * F.col("a.v") * F.col("y")).alias("v")).withColumn("j", F.lit(None).cast("string"))
-    matrix = left.select("target", "w", "a", F.explode("terms").alias("b")).groupBy("target", F.col("a.t").alias("i"), F.col("b.t").alias("j")).agg(F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("v"))
+    both = rows.select("block_ord", "w", F.explode(F.array(one("home", "away", 0.5, "home_score"), one("away", "home", -0.5, "away_score"))).alias("ob"))
+    # each term against every term of its observation, and against the score (no second term)
+    left = both.select("block_ord", "w", "ob.y", F.col("ob.terms").alias("terms"), F.explode("ob.terms").alias("a"))
+    score = F.struct(F.lit(None).cast("string").alias("t"), F.col("y").alias("v"))
+    products = left.select("block_ord", "w", "a", F.explode(F.concat("terms", F.array(score))).alias("b"))
+    sums = products.groupBy("block_ord", F.col("a.t").alias("i"), F.col("b.t").alias("j")).agg(F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("v"))
+    sources = pairs.join(ends, pairs["source"] == ends["block_ord"]).select("target", "source", "block_end")
+    last = sources.groupBy("target").agg(F.max("block_end").alias("last"))
+    factors = sources.join(last, "target").select("target", "source", halved(F.col("last") - F.col("block_end")).alias("factor"))
+    panel = sums.join(factors, sums["block_ord"] == factors["source"]).groupBy("target", "i", "j").agg(F.sum(F.col("v") * F.col("factor")).alias("v"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         vector, entries = pdf[pdf["j"].isna()], pdf[pdf["j"].notna()]
@@ -119,7 +127,7 @@ def ridge_effects(games: DataFrame, pairs: DataFrame, half_life: float | None =
             x[own] -= x[own].mean()
         return pd.DataFrame({"target": pdf["target"].iloc[0], "term": names, "effect": x})
 
-    return matrix.unionByName(right).groupBy("target").applyInPandas(solve, "target int, term string, effect double")
+    return panel.groupBy("target").applyInPandas(solve, "target int, term string, effect double")
 
 
 def expected_points(games: DataFrame, effects: DataFrame) -> DataFrame:
