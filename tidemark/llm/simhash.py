@@ -200,7 +200,7 @@ def _grouped(prints: DataFrame, node: str, pairs: DataFrame) -> DataFrame:
 
 #: Min-hash rows of a sketch: BANDS bands of BAND rows. Two texts of similarity s share a band with 1 - (1 - s**BAND)**BANDS.
 BAND, BANDS = 6, 21
-SIMILARITY, SLACK, REACH = 0.8, 0.035, 20
+SIMILARITY, SLACK, REACH = 0.8, 0.05, 20
 _MULTIPLIERS = np.random.default_rng(20).integers(0, 2**63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -272,7 +272,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     At 0.8, 64-bit fingerprints differ in some ten bits, which no table of equal blocks can reach. So buckets come from
     bands of min-hashes here; in a bucket the fingerprints are compared bit-sliced at a radius of REACH bits, and pairs
-    within it are confirmed on the whole sketch (126 rows: the estimate's deviation is 0.036 at 0.8, hence SLACK).
+    within it are confirmed on the whole sketch (126 rows; the estimate deviates by 0.036 at 0.8, hence SLACK).
     Only the links that join two groups of a bucket go on, one less than its rows at most. Equal sketches are one node.
     """
     prints = checkpointed(sketches(docs, id_col, text_col, width))
