@@ -31,17 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a plain scan over all cores: a file of one row group is one task otherwise. Larger inputs stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def hex64(column: str) -> F.Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", hex64("fingerprint").alias("fingerprint"), "component_id")
 
 
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.round_trip(spread(table(spark, sf_dir, "documents")), tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +88,7 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminations(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -92,7 +98,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~held_out())
-    return langid.predictions(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+    return langid.predictions(spread(docs), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
