@@ -76,3 +76,24 @@ def test_rating_stream_equals_the_batch_fold(spark, tmp_path):
     schema = "league string, block_ord int, season int, game string, home string, away string, home_score int, away_score int, neutral boolean, home_adjustment double, away_adjustment double"
     batch = ratings.rating_ledger(spark.createDataFrame([(*r, False, 0.0, 0.0) for r in rows], schema), {"x": Rating()}).where("side = 'home'")
     assert got == pytest.approx({r.game: r.change for r in batch.collect()})
+
+
+def test_staleness_alarm(spark, tmp_path):
+    """A source that falls silent raises one alarm; its timer runs on processing time, in batches without data."""
+    import time
+
+    pytest.importorskip("google.protobuf")
+    s = landed(spark, [("a", START), ("b", START)], "source string, at timestamp", tmp_path, 1)
+    for k, v in ROCKS.items():
+        spark.conf.set(k, v)
+    q = jobs.staleness_stream(s, 500).writeStream.format("memory").queryName("alarms").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and spark.table("alarms").count() < 2 and q.isActive:
+            time.sleep(1)
+        assert q.exception() is None
+        assert sorted((r.source, r.state) for r in spark.table("alarms").collect()) == [("a", "STALE_LAST_SUCCESS"), ("b", "STALE_LAST_SUCCESS")]
+    finally:
+        q.stop()
+        for k in ROCKS:
+            spark.conf.unset(k)
