@@ -121,6 +121,37 @@ def test_similar_groups(spark, rows):
         assert group[d] == d or d in near, d
 
 
+def test_similar_links_are_exact_with_repeated_passages_and_at_the_threshold(spark):
+    """Passages repeated many times in one text, and pairs on both sides of 0.8, are grouped as brute force groups them."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts = []
+    for _ in range(40):  # the sets of a pair differ in the few shingles where repeats meet
+        common, passage = [word() for _ in range(300)], [word() for _ in range(60)]
+        texts += [" ".join(common + passage), " ".join(common + passage * 20)]
+    for tail in [*range(20, 30), *range(60, 80)] * 3:  # Jaccard (296 - tail) / (296 + tail): from 0.87 down to 0.83, then 0.66 to 0.58
+        common, a, b = [word() for _ in range(300 - tail)], [word() for _ in range(tail)], [word() for _ in range(tail)]
+        texts += [" ".join(common + a), " ".join(common + b)]
+    for tail in range(29, 39):  # 0.82 to 0.77
+        for _ in range(3):
+            common, a, b = [word() for _ in range(300 - tail)], [word() for _ in range(tail)], [word() for _ in range(tail)]
+            texts += [" ".join(common + a), " ".join(common + b)]
+    chain = [word() for _ in range(300)]
+    for k in range(12):  # neighbours at 0.85, the ends far apart
+        texts.append(" ".join(chain))
+        chain[24 * k : 24 * k + 24] = [word() for _ in range(24)]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if len(s & sets[j]) / len(s | sets[j]) >= 0.8 and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert {label[2 * k + 1] == 2 * k for k in range(40)} == {True}
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_line_dedup(spark, rows):
     holders, lines = defaultdict(set), []
     key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))

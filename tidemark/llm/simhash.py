@@ -200,7 +200,8 @@ def _grouped(prints: DataFrame, node: str, pairs: DataFrame) -> DataFrame:
 
 #: Min-hash rows of a sketch: BANDS bands of BAND rows. Two texts of similarity s share a band with 1 - (1 - s**BAND)**BANDS.
 BAND, BANDS = 6, 21
-SIMILARITY, SLACK, REACH = 0.8, 0.05, 20
+#: A pair at 0.8 is proposed unless its estimate is 0.12 (3.3 deviations) too low, or its fingerprints of distinct shingles differ in over 28 bits (mean 12 at most).
+SIMILARITY, SLACK, REACH = 0.8, 0.12, 28
 _MULTIPLIERS = np.random.default_rng(20).integers(0, 2**63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -212,20 +213,20 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """_id, _tag, fingerprint, node (a hash of all that follows), keys (one for each band) and sketch (16 bits of each min-hash)."""
+    """_id, _tag, fingerprint (of distinct shingles), node (a hash of their set), keys (one for each band) and sketch (16 bits of each min-hash)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
-            hashes = [_shingles(t, width) for t in texts_of(part, "_text")]
+            hashes = [np.unique(_shingles(t, width)) for t in texts_of(part, "_text")]
             prints = np.array([_fingerprint(h) for h in hashes], np.uint64)
-            minima = np.stack([_sketch(np.unique(h)) for h in hashes])
+            minima = np.stack([_sketch(h) for h in hashes])
             keys = [mixed(np.arange(BANDS, dtype=np.uint64) + np.uint64(1))]
             bands = minima.reshape(len(hashes), BANDS, BAND)
             key = np.broadcast_to(keys[0], bands.shape[:2])
             for k in range(BAND):
                 key = mixed(key ^ bands[:, :, k])
             raw = [x.astype("<u2").tobytes() for x in minima & np.uint64(0xFFFF)]
-            node = np.array([xxhash.xxh3_64_intdigest(r + p.tobytes()) for r, p in zip(raw, prints, strict=True)], np.uint64)
+            node = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in hashes], np.uint64)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(key.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_tag"), pa.array(prints.view(np.int64)), pa.array(node.view(np.int64)), lists, pa.array(raw, pa.binary())], names=["_id", "_tag", "fingerprint", "node", "keys", "sketch"])
 
@@ -267,13 +268,60 @@ def _similar_rows(least: float, reach: int):
     return rows
 
 
+def _with_sets(width: int):
+    """Texts become the sorted hashes of their distinct shingles, eight bytes each."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_text"):
+            sets = [np.unique(_shingles(t, width)).tobytes() for t in texts_of(part, "_text")]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("table", "key", "node", "sketch")), pa.array(sets, pa.binary())], names=["table", "key", "node", "sketch", "hashes"])
+
+    return rows
+
+
+def _exact_links(node: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], similarity: float, least: float) -> list[tuple[int, int]]:
+    """Links of Jaccard `similarity` or more that join all texts which such links connect, among pairs whose sketches agree in `least`."""
+    size, label, out = np.array([len(x) for x in sets]), np.arange(len(node)), []
+    for i in range(1, len(node)):
+        lo, hi = np.minimum(size[:i], size[i]), np.maximum(size[:i], size[i])
+        other = np.flatnonzero((label[:i] != label[i]) & (lo / np.maximum(hi, 1) >= similarity))
+        alike = (sketch[other] == sketch[i]).mean(1)
+        other, alike = other[alike >= least], alike[alike >= least]
+        for j in other[np.argsort(-alike, kind="stable")].tolist():
+            if label[j] == label[i]:
+                continue
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if shared / (size[i] + size[j] - shared) >= similarity:
+                label[label == label[i]] = label[j]
+                out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def _confirmed_rows(similarity: float, least: float):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _by_bucket(batches):
+            for at, to in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+                group = table.slice(at, to - at)
+                node, first = np.unique(group.column("node").to_numpy(), return_index=True)  # rows repeated in docs
+                group = group.take(pa.array(first))
+                sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u2").reshape(len(node), -1)
+                found = _exact_links(node, sketch, [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()], similarity, least)
+                if found:
+                    a, b = map(np.array, zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return rows
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The columns of near_duplicates, grouping texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
 
     At 0.8, 64-bit fingerprints differ in some ten bits, which no table of equal blocks can reach. So buckets come from
-    bands of min-hashes here; in a bucket the fingerprints are compared bit-sliced at a radius of REACH bits, and pairs
-    within it are confirmed on the whole sketch (126 rows; the estimate deviates by 0.036 at 0.8, hence SLACK).
-    Only the links that join two groups of a bucket go on, one less than its rows at most. Equal sketches are one node.
+    bands of min-hashes here; in a bucket the fingerprints of distinct shingles are compared bit-sliced at a radius of
+    REACH bits, and pairs within it propose each other if their whole sketches (126 rows; the estimate deviates by
+    0.036 at 0.8, hence SLACK) agree. Proposals only bring texts together: each link is then confirmed by the exact
+    Jaccard of the two sets of shingle hashes, which are joined to the proposed groups, once for each different set.
+    A proposed group is confirmed in one task. Equal sets are one node.
     """
     prints = checkpointed(sketches(docs, id_col, text_col, width))
     nodes = prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
@@ -282,4 +330,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     held = banded.join(sizes, ["table", "key"]).select("table", "key", "node")
     rows = held.join(nodes.select("node", "fingerprint", "sketch"), "node")
     buckets = rows.repartition("table", "key").sortWithinPartitions("table", "key", "node")
-    return _grouped(prints, "node", buckets.mapInArrow(_similar_rows(similarity - SLACK, REACH), "a long, b long").distinct())
+    least = similarity - SLACK
+    proposed = components(buckets.mapInArrow(_similar_rows(least, REACH), "a long, b long").distinct())
+    members = prints.join(proposed, "node").groupBy("node").agg(F.first("component").alias("key"), F.min(F.struct("_id", "_tag")).alias("who"), F.first("sketch").alias("sketch"))
+    members = members.select(F.lit(0).alias("table"), "key", "node", "sketch", "who._id", "who._tag")
+    texts = keyed(docs, id_col, text_col).join(members, ["_id", "_tag"]).select("table", "key", "node", "sketch", "_text")
+    sets = texts.mapInArrow(_with_sets(width), "table int, key long, node long, sketch binary, hashes binary")
+    groups = sets.repartition("table", "key").sortWithinPartitions("table", "key", "node")
+    return _grouped(prints, "node", groups.mapInArrow(_confirmed_rows(similarity, least), "a long, b long"))
