@@ -391,3 +391,12 @@ def test_best_offer_prefers_the_number_then_price_then_book(spark):
     rows = [("spread", "home", 3.5, -115, "z"), ("spread", "home", 3.0, 100, "a"), ("total", "over", 44.0, -110, "b"), ("total", "over", 43.5, -120, "a"), ("moneyline", "home", None, 120, "a"), ("moneyline", "home", None, 120, "k")]
     got = {(r.market, r.side): (r.line, r.price, r.book) for r in offers.best_offers(spark.createDataFrame(rows, "market string, side string, line double, price int, book string"), ["market", "side"], ["k"]).collect()}
     assert got == {("spread", "home"): (3.5, -115, "z"), ("total", "over"): (43.5, -120, "a"), ("moneyline", "home"): (None, 120, "k")}
+
+
+def test_every_customer_of_orders_is_classed(spark, sf_dir):
+    from tidemark.plans import QUERIES
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = QUERIES["candidate_classes_all"](spark, sf_dir).collect()
+    assert {r.o_custkey for r in rows} == {r.o_custkey for r in orders.select("o_custkey").distinct().collect()}
+    assert sum(r.n_candidates for r in rows) == orders.count()

@@ -125,6 +125,14 @@ def candidate_classes(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("positions", F.array_join("positions", ","))
 
 
+@query("candidate_classes_all", """with g as (select o_custkey, count(o_orderpriority) as n, bool_and(o_orderpriority = '1-URGENT') as a, bool_or(o_orderpriority = '1-URGENT') as o, array_to_string(list_sort(list(o_orderpriority)), ',') as positions from orders group by 1)
+    select o_custkey, n as n_candidates, positions, case when n = 1 then 'ONE' when a then 'MANY_1-URGENT' when o then 'MIXED' else 'OTHER' end as class from g""")
+def candidate_classes_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer of orders; candidate_classes keeps the third that its SQL asks for."""
+    out = identity.candidate_classes(load(spark, sf, "orders").select("o_custkey", F.col("o_orderpriority").alias("pos")), ["o_custkey"], "pos", "1-URGENT")
+    return out.withColumn("positions", F.array_join("positions", ","))
+
+
 @query("alias_audit", "with c as (select c_mktsegment as source, case when c_custkey % 500 = 3 then 'odd' else lower(c_mktsegment) end as target from customer) select source, array_to_string(list_sort(list(distinct target)), ',') as targets, count(distinct target) as n_targets, count(*) as n_rows from c group by 1")
 def alias_audit(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "customer").select(F.col("c_mktsegment").alias("source"), F.when(F.col("c_custkey") % 500 == 3, "odd").otherwise(F.lower("c_mktsegment")).alias("target"))
