@@ -400,3 +400,12 @@ def test_every_customer_of_orders_is_classed(spark, sf_dir):
     rows = QUERIES["candidate_classes_all"](spark, sf_dir).collect()
     assert {r.o_custkey for r in rows} == {r.o_custkey for r in orders.select("o_custkey").distinct().collect()}
     assert sum(r.n_candidates for r in rows) == orders.count()
+
+
+def test_request_plan_covers_every_order_within_its_span(spark, sf_dir):
+    from tidemark.plans import QUERIES
+
+    rows = QUERIES["request_plan_rows"](spark, sf_dir).collect()
+    games = [int(g) for r in rows for g in r.games.split(",")]
+    assert sorted(games) == sorted(r.o_orderkey for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").collect())
+    assert all(r.cluster_start - r.requested_at == 3_600_000_000 and r.n == len(r.games.split(",")) for r in rows)

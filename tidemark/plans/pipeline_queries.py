@@ -59,6 +59,18 @@ def request_plan(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.request_plan(g).groupBy(F.col("day").cast("string").alias("day")).agg(F.sum("n").alias("n_games"))
 
 
+@query("request_plan_rows", """with recursive g as (select o_orderkey as game, year(o_orderdate) as season, cast(o_orderdate as date) as day, epoch_us(timezone('America/New_York', cast(cast(o_orderdate as date) as timestamp) + to_hours(10 + o_orderkey % 9) + to_minutes(o_orderkey % 4 * 15))) as t from orders),
+    e as (select *, row_number() over (partition by day order by t, game) as k from g),
+    c as (select season, day, game, k, t, t as start from e where k = 1 union all
+          select e.season, e.day, e.game, e.k, e.t, case when e.t - c.start <= 1800000000 then c.start else e.t end from c join e on e.day = c.day and e.k = c.k + 1)
+    select season, cast(day as varchar) as day, cast(day as varchar) || ':' || start as request, start - 3600000000 as requested_at, start as cluster_start, count(*) as n, string_agg(cast(game as varchar), ',' order by game) as games from c group by season, day, start""")
+def request_plan_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan of all orders, row by row, instants as microseconds; request_plan keeps the third and the sums that its SQL asks for."""
+    g = load(spark, sf, "orders").selectExpr("o_orderkey as game", "year(o_orderdate) as season", "cast(o_orderdate as date) as day", "concat(10 + o_orderkey % 9, ':', lpad(o_orderkey % 4 * 15, 2, '0')) as clock")
+    out = pipelines.request_plan(g)
+    return out.select("season", F.col("day").cast("string").alias("day"), "request", *(F.unix_micros(c).alias(c) for c in ("requested_at", "cluster_start")), "n", "games")
+
+
 @query("forensic_interval")
 def forensic_interval(spark: SparkSession, sf: str) -> DataFrame:
     from tidemark.plans.offer_queries import ledger
