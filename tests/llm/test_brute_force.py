@@ -360,6 +360,18 @@ def test_chat(spark):
     assert order.index(3) < order.index(4) < order.index(2) < order.index(6) and order.index(1) < order.index(5)
 
 
+def test_chat_orders_chains_of_any_length(spark):
+    """A chain of 40 calls told backwards is ordered; a cycle, and what comes after it, is not."""
+    call = lambda turn, name, after: (1, turn, "assistant", None, name, "t", "{}", None, after)
+    rows = [call(39 - k, f"c{k}", [f"c{k - 1}"] if k else None) for k in range(40)]
+    rows += [call(100, "x", ["y"]), call(101, "y", ["x"]), call(102, "z", ["x", "c3"]), call(103, "w", ["c39", "c1", "gone"])]
+    rows += [(1, 200 + k, "tool", "r", None, None, None, r[4], None) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "conv long, turn int, role string, text string, call_id string, tool string, arguments string, answers string, after array<string>")
+    got = {r.call_id: r for r in chat.linked(df, {"t": {}}).collect() if r.call_id}
+    assert [(got[f"c{k}"].status, got[f"c{k}"].level, got[f"c{k}"].root_turn) for k in range(40)] == [("linked", 2 * k, 39) for k in range(40)]
+    assert {got[c].status for c in "xyz"} == {"cyclic"} and (got["w"].status, got["w"].level, got["w"].root_turn) == ("linked", 80, 103)
+
+
 EMPTY = {
     "simhash": lambda df, s: simhash.near_duplicates(df),
     "similar": lambda df, s: simhash.similar(df),

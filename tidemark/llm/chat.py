@@ -3,8 +3,8 @@
 Messages are rows; a tool call is a row with a call_id, a tool name and arguments as JSON, a result is a row that
 answers a call_id. Calls and results meet in a join on (conversation, call_id), so neither a long conversation
 nor a busy tool is ever gathered in one task. A call may name calls whose results it uses (`after`); levels
-follow from repeated joins along these edges until nothing changes, and sorting by (turn of the root, level,
-turn) is a topological order. Calls on a cycle, or after one, are marked and keep their own turn.
+follow from peeling: calls that wait for nothing settle, round by round, and what never settles is cyclic. Sorting
+by (turn of the root, level, turn) is a topological order. Calls on a cycle, or after one, are marked and keep their own turn.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, new_path
 
 _TYPES: dict[str, tuple[type, ...]] = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "array": (list,), "object": (dict,), "null": (type(None),)}
 
@@ -87,10 +87,12 @@ def _formatted(schemas: dict[str, dict[str, Any]]):
     return rows
 
 
-def _levels(calls: DataFrame, rounds: int) -> DataFrame:
+def _levels(calls: DataFrame) -> DataFrame:
     """conv, call_id, level and root_turn of each call: the longest chain of calls before it, and the turn of that chain's latest root.
 
     calls: conv, call_id (unique), turn, after. References to unknown calls are ignored.
+    A round settles the calls whose predecessors are settled, so there are as many as the longest chain has calls;
+    settled rows go to the shared folder at once, and a round carries on only those that wait.
     """
     edges = calls.select("conv", "call_id", F.explode("after").alias("before")).where("before is not null").distinct()
     known = calls.select(F.col("conv").alias("c"), F.col("call_id").alias("k"))
@@ -98,17 +100,23 @@ def _levels(calls: DataFrame, rounds: int) -> DataFrame:
     level = calls.select("conv", "call_id", F.lit(0).alias("level"), F.col("turn").alias("root_turn"))
     if edges.isEmpty():
         return level.withColumn("cyclic", F.lit(False))
-    edges, level = checkpointed(edges), checkpointed(level)
-    total = -1
-    for _ in range(rounds):
-        up = level.withColumnsRenamed({"call_id": "before", "level": "l", "root_turn": "r"})
-        step = edges.join(up, ["conv", "before"]).groupBy("conv", "call_id").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-        level = checkpointed(level.join(step, ["conv", "call_id"], "left").select("conv", "call_id", F.greatest("level", F.coalesce(F.col("l") + 1, F.lit(0))).alias("level"), F.greatest("root_turn", F.coalesce("r", "root_turn")).alias("root_turn")))
-        now = level.agg(F.sum(F.col("level").cast("long"))).first()[0]
-        if now == total:
-            return level.withColumn("cyclic", F.lit(False))
-        total = now
-    return level.withColumn("cyclic", F.col("level") >= F.lit(rounds)).withColumn("level", F.when(F.col("cyclic"), 0).otherwise(F.col("level")))
+    edges = checkpointed(edges)
+    waits = edges.groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("waits"))
+    state = checkpointed(level.join(waits, ["conv", "call_id"], "left").select("conv", "call_id", F.coalesce("waits", F.lit(0)).alias("waits"), "level", "root_turn"))
+    spark, out = calls.sparkSession, new_path(calls.sparkSession, "levels")
+    while True:
+        ready = state.where("waits = 0")
+        ready.drop("waits").write.mode("append").parquet(out)
+        if ready.isEmpty():
+            break
+        up = ready.select("conv", F.col("call_id").alias("before"), F.col("level").alias("l"), F.col("root_turn").alias("r"))
+        step = edges.join(up, ["conv", "before"]).groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("n"), F.max("l").alias("l"), F.max("r").alias("r"))
+        state = checkpointed(state.where("waits > 0").join(step, ["conv", "call_id"], "left").select(
+            "conv", "call_id", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"),
+            F.greatest("level", F.coalesce(F.col("l") + 1, F.lit(0))).alias("level"), F.greatest("root_turn", F.coalesce("r", "root_turn")).alias("root_turn"),
+        ))
+    settled = spark.read.parquet(out).withColumn("cyclic", F.lit(False))
+    return settled.unionByName(state.select("conv", "call_id", F.lit(0).alias("level"), "root_turn", F.lit(True).alias("cyclic")))
 
 
 def linked(messages: DataFrame, schemas: dict[str, dict[str, Any]], rounds: int = 32) -> DataFrame:
@@ -118,12 +126,12 @@ def linked(messages: DataFrame, schemas: dict[str, dict[str, Any]], rounds: int
     status: `plain` (neither call nor result), `linked`, `open` (a call without result), `orphan` (a result without
     call), `repeated` (a call_id used before in its conversation, or a further result of one call), `cyclic`. The
     smallest turn is a call's or result's own; of rows equal in turn too each comes out alike. Null conversations
-    and turns sort first. An answered call in a chain longer than `rounds` counts as cyclic. Empty tables give none.
+    and turns sort first. Chains may have any length; `rounds` is kept for callers and bounds nothing. Empty tables give none.
     """
     m = messages.select("conv", "turn", "role", "text", "call_id", "tool", "arguments", "answers", "after")
     calls = m.where("call_id is not null").groupBy("conv", "call_id").agg(F.min("turn").alias("call_turn"), F.max_by("after", -F.col("turn")).alias("after"))
     results = m.where("answers is not null").groupBy("conv", F.col("answers").alias("call_id")).agg(F.min("turn").alias("result_turn"))
-    levels = _levels(calls.select("conv", "call_id", F.col("call_turn").alias("turn"), "after"), rounds)
+    levels = _levels(calls.select("conv", "call_id", F.col("call_turn").alias("turn"), "after"))
     links = calls.drop("after").join(results, ["conv", "call_id"], "full").join(levels, ["conv", "call_id"], "left")
     links = links.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), "call_turn", "result_turn", "level", "root_turn", "cyclic")
     ident = F.coalesce("call_id", "answers")
