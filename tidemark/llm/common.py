@@ -23,13 +23,15 @@ SPACE = rb"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the cluster names none."""
+    """The folder that driver and executors share; a temporary one is set only on a local master that names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(folder)
         return folder
     if spark.sparkContext.getCheckpointDir() is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -44,18 +46,37 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def docs_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    ident = docs[id_col].cast("long")
+    return [F.coalesce(ident, F.lit(LAST_ID)).alias("_id"), F.xxhash64(docs[text_col], ident.isNull()).alias("_tag")]
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str, *, keep_text: bool = True) -> DataFrame:
     """`_id`, `_tag` and the text, with null texts as empty ones."""
-    ident = docs[id_col].cast("long")
-    cols = [F.coalesce(ident, F.lit(LAST_ID)).alias("_id"), F.xxhash64(docs[text_col], ident.isNull()).alias("_tag")]
-    return docs.select(*cols, *([F.coalesce(docs[text_col], F.lit("")).alias("_text")] if keep_text else []))
+    return docs.select(*docs_key(docs, id_col, text_col), *([F.coalesce(docs[text_col], F.lit("")).alias("_text")] if keep_text else []))
+
+
+def carried(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`_id`, `_tag` and row, all columns of docs in one, so that none of their names clashes with ours."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *(docs_key(docs, id_col, text_col)))
 
 
 def real_id(name: str = "doc_id") -> Column:
-    """The caller's doc_id from `_id`."""
+    """The caller's doc_id from `_id`. An id of 2**63 - 1 stands for null and comes out as null."""
     return F.when(F.col("_id") != LAST_ID, F.col("_id")).alias(name)
 
 
+def looked_up(rows: DataFrame, keys: list[str], table: DataFrame, how: str = "inner", salts: int = 32) -> DataFrame:
+    """rows with the columns of table, which has one row for each value of keys; rows without one are left out, or have nulls if how is left.
+
+    A key may hold any share of the rows: they are dealt by key and a salt, a hash of the whole row, and the
+    table's row goes to the salts that occur. Only rows equal in all columns stay together.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    spread = salted.select(*keys, "_salt").distinct().join(table, keys)
+    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about `step` bytes of text, one row at least."""
     for batch in batches:

@@ -6,7 +6,8 @@
 
 Each step groups by the full text beside its digest. Members then find their winner by digest alone, without
 the text. That is right where a digest has one text, which step 3 has just counted; should any digest have
-more, members are matched by digest and text.
+more, members are matched by digest and text. A group may be any share of the rows: its members are dealt by
+digest and salt.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LAST_ID, checkpointed
+from tidemark.llm.common import LAST_ID, checkpointed, looked_up
 
 SALTS = 32
 
@@ -40,10 +41,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(ident.alias("_id"), normalised(docs[text_col]).alias("_norm")).withColumn("digest", digest(F.col("_norm")))
     salted = texts.withColumn("salt", F.spark_partition_id() % salts).groupBy("digest", "salt", "_norm").agg(F.min("_id").alias("keep"), F.count(F.lit(1)).alias("n"))
     groups = salted.groupBy("digest", "_norm").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
+    members = checkpointed(texts.select("_id", "digest"))
     narrow = checkpointed(groups.select("digest", "keep", "n"))
     clashes = narrow.groupBy("digest").count().where("count > 1")
     if clashes.isEmpty():
-        found = texts.select("_id", "digest").join(narrow, "digest")
+        found = looked_up(members, ["digest"], narrow)
     else:
         found = texts.join(groups, ["digest", "_norm"])
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
