@@ -1,8 +1,10 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax, trained in numpy.
 
-The classifier is fitted on the driver on a bounded sample (`PER_LANG` rows a language at most, texts of up to
-`SAMPLE_CHARS`); prediction runs over every row and whole text in the tasks. The average of embeddings under a
-linear layer is the average of each bucket's logits, so a prediction adds up one small row per subword.
+The classifier is fitted on the driver on a bounded sample of labelled rows: `PER_LANG` of each language, fewer where
+there are so many languages that these would be over `SAMPLE_ROWS` (but one at least). Of a text over `SAMPLE_CHARS`
+characters it learns from `WINDOWS` windows spread evenly over the whole text. Prediction runs over every row and whole
+text in the tasks. The average of embeddings under a linear layer is the average of each bucket's logits, so a
+prediction adds up one small row per subword, and a long text is predicted piece by piece.
 
 Scores are calibrated by a temperature, and the rejection threshold is set, on rows that training left aside.
 """
@@ -16,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import keyed, mixed, real_id, slices, texts_of
 
-PER_LANG, SAMPLE_CHARS, MOST_LANGS = 1500, 20_000, 500
+PER_LANG, SAMPLE_ROWS, SAMPLE_CHARS, WINDOWS = 1500, 30_000, 20_000, 8
+PIECE = 1 << 19
 BUCKET_BITS, DIM, ORDERS, EPOCHS, RATE = 16, 16, (1, 2, 3), 8, 0.5
 #: Of rows that the classifier gets right, the share that calibration may reject, and the highest threshold.
 LOST, HIGHEST = 0.001, 0.5
@@ -78,6 +82,30 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners), letters
 
 
+def _pieces(texts: list[str], size: int = PIECE) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The texts in groups of about `size` characters, with the text that each piece is of.
+
+    Texts are cut before characters that are no letters. No subword reaches over one, so the pieces' subwords are
+    those of the whole text.
+    """
+    group, owner, held = [], [], 0
+    for k, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not at:
+            to = at + size
+            while to < len(text) and text[to].isalpha():
+                to += 1
+            group.append(text[at:to])
+            owner.append(k)
+            held += len(group[-1])
+            at = max(to, 1)
+            if held >= size:
+                yield group, np.array(owner)
+                group, owner, held = [], [], 0
+    if group:
+        yield group, np.array(owner)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -88,10 +116,16 @@ class Model:
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: a row of logits and the number of letters."""
-        bucket, owner, letters = subwords(texts)
-        total = np.bincount(owner, minlength=len(texts)).clip(1)
-        sums = np.stack([np.bincount(owner, weights=self.table[bucket, k], minlength=len(texts)) for k in range(len(self.langs))], axis=1)
-        return sums / total[:, None] + self.bias, letters
+        n = len(texts)
+        sums, total, letters = np.zeros((n, len(self.langs))), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for pieces, of_text in _pieces(texts):
+            bucket, piece, found = subwords(pieces)
+            owner = of_text[piece]
+            total += np.bincount(owner, minlength=n)
+            np.add.at(letters, of_text, found)
+            for k in range(len(self.langs)):
+                sums[:, k] += np.bincount(owner, weights=self.table[bucket, k], minlength=n)
+        return sums / total.clip(1)[:, None] + self.bias, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, calibrated scores, and which are rejected."""
@@ -108,7 +142,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
-    """Stochastic gradient descent over the texts in a seeded order; every fifth text calibrates instead."""
+    """Stochastic gradient descent over the texts in a seeded order; every fifth text of a language calibrates instead."""
     langs = sorted(set(labels))
     if not langs:
         return Model([UNKNOWN], np.zeros((1 << BUCKET_BITS, 1)), np.zeros(1))
@@ -121,7 +155,11 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
         bucket, _, _ = subwords([t])
         bags.append((*np.unique(bucket, return_counts=True), k))
     bags = [(b, c / c.sum(), k) for b, c, k in bags if len(b)]
-    fit = [x for x in bags if x[2] % 5] or bags
+    seen = np.zeros(len(langs), np.int64)
+    aside, fit = [], []
+    for x in bags:
+        seen[y[x[2]]] += 1
+        (fit if seen[y[x[2]]] % 5 else aside).append(x)
     steps = EPOCHS * len(fit)
     for step in range(steps):
         if step % len(fit) == 0:
@@ -135,7 +173,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
         layer -= rate * np.outer(mean, p)
         bias -= 0.1 * rate * p
     model = Model(langs, embed @ layer, bias)
-    aside = [k for *_, k in bags if k % 5 == 0] or [k for *_, k in bags]
+    aside = [k for *_, k in aside or bags]
     if aside:
         z = model.logits([texts[k] for k in aside])[0]
         loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(aside)), y[aside]] + 1e-12).mean()
@@ -147,19 +185,33 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     return model
 
 
+def _learned(text: Column) -> Column:
+    """The text, or of a long one WINDOWS windows spread from its first to its last character."""
+    size = SAMPLE_CHARS // WINDOWS
+    step = (F.length(text) - size) / F.lit(WINDOWS - 1)
+    windows = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring(text, (F.floor(k * step) + 1).cast("int"), F.lit(size)))
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.array_join(windows, " "))
+
+
 def sample(docs: DataFrame, where: Column | bool = True, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> tuple[list[str], list[str]]:
-    """Distinct texts and labels of about `per_lang` labelled rows of each language, drawn by a hash of the id and text."""
+    """Distinct texts and labels of up to `per_lang` labelled rows of each language, those of the least hashes of id and text.
+
+    Every language that a row has is learned. The driver holds one count for each, and SAMPLE_ROWS texts, or one for
+    each language if there are more of those.
+    """
     # an inner frame with fixed names, as docs may have columns of any name
     rows = docs.where(F.lit(where) if isinstance(where, bool) else where).select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    rows = rows.where("lang is not null and text is not null").where(F.length("text") <= SAMPLE_CHARS)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    rows = rows.where("lang is not null and text is not null")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], []
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))))
+    per_lang = max(1, min(per_lang, SAMPLE_ROWS // len(counts)))
+    # a share a little too large, of which the least hashes are taken
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.2 * per_lang + 20) / n))))
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_003)) / 1_000_003.0
-    # a hash of (id, text): its count varies about per_lang; the limit bounds what reaches the driver
-    taken = rows.where(draw < share[F.col("lang")]).select("text", "lang").limit(2 * per_lang * len(counts)).collect()
-    kept = sorted({(r["text"], r["lang"]) for r in taken})
+    drawn = rows.select("lang", draw.alias("draw"), "text").where(F.col("draw") < share[F.col("lang")]).select("lang", "draw", _learned(F.col("text")).alias("text")).distinct()
+    least = drawn.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("at") <= per_lang)
+    kept = sorted({(r["text"], r["lang"]) for r in least.select("text", "lang").collect()})
     return [t for t, _ in kept], [x for _, x in kept]
 
 
