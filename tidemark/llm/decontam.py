@@ -7,25 +7,30 @@ no more than the edits; hits are therefore counted in bands of diagonals, twice
 one and overlapping by half. Bands that reach the bound are verified by an alignment confined to the band. The
 grams chosen are those that are rare in the benchmark, as long as their bound stays useful.
 
+Items too short for that (under 2q characters) are looked for as they are, between characters that are neither
+letters nor digits. Texts over `CHUNK` characters are searched piece by piece, the pieces overlapping by more than
+any region.
+
 The benchmark is the query set: it is taken in blocks of `BLOCK_CHARS`, each sent to the tasks by itself; the
-documents are read once for each block and never shuffled.
+documents are read once for each block and never shuffled. With several blocks each block's matches are written
+before the next index is made, so the driver holds one.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keyed, mixed, real_id, slices, texts_of
+from tidemark.llm.common import carried, keyed, mixed, new_path, real_id, slices, texts_of
 
 Q, SEGMENT, RATE, COMMON, LEAST_BOUND = 8, 120, 0.08, 3, 8
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS, CHUNK, OVERLAP = 1 << 22, 1 << 20, 1 << 12
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS, _COUNT_BITS = 21, 20
 
@@ -34,6 +39,30 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def _chunks(text: str, size: int = CHUNK) -> Iterator[tuple[int, str]]:
+    """The normalised text in pieces that overlap by OVERLAP characters, and where each begins in it."""
+    if len(text) <= size:
+        yield 0, normal(text)
+        return
+    at, offset, held, gap = 0, 0, "", False
+    while at < len(text):
+        to = min(len(text), at + size)
+        cut = to
+        while to < len(text) and cut > at and not text[cut - 1].isspace():
+            cut -= 1
+        to = cut if cut > at else to
+        new = normal(text[at:to])
+        gap |= text[at].isspace()
+        if new:
+            tail = held[-OVERLAP:]
+            offset += len(held) - len(tail)
+            held = tail + (" " if tail and gap else "") + new
+            yield offset, held
+            gap = False
+        gap |= text[to - 1].isspace()
+        at = to
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -57,7 +86,7 @@ def _edits(length: int) -> int:
 class Index:
     """Segments of one block of the benchmark and where their grams are."""
 
-    item: np.ndarray  # of each segment
+    item: list[int | None]  # of each segment
     codes: list[np.ndarray]
     edits: np.ndarray
     bound: np.ndarray
@@ -65,39 +94,55 @@ class Index:
     segment: np.ndarray  # of each gram
     place: np.ndarray  # in its segment
     table: np.ndarray  # which leading bits some gram has
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: the sorted hashes of short items, and their segments
 
 
-def build_index(items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT) -> Index:
-    owner, codes = [], []
+def build_index(items: list[tuple[int | None, str]], q: int = Q, segment: int = SEGMENT) -> Index:
+    owner: list[int | None] = []
+    codes: list[np.ndarray] = []
+    own_grams: list[np.ndarray] = []  # of each item, once each
+    brief: dict[int, list[tuple[int, int]]] = {}
+    long: list[int] = []  # segments of items that are not short
     for item, text in items:
         whole = _codes(normal(text))
-        if len(whole) < 2 * q:  # too short to be told from chance
+        if len(whole) < 2 * q:
+            if len(whole):
+                brief.setdefault(len(whole), []).append((int(_grams(whole, len(whole))[0]), len(owner)))
+                owner.append(item)
+                codes.append(whole)
             continue
+        own_grams.append(np.unique(_grams(whole, q)))
         last = max(0, len(whole) - segment)
         for at in dict.fromkeys([*range(0, last, segment // 2), last]):
+            long.append(len(owner))
             owner.append(item)
             codes.append(whole[at : at + segment])
-    edits = np.array([_edits(len(c)) for c in codes], np.int64)
-    grams = [_grams(c, q) for c in codes]
-    # overlapping segments of an item repeat its grams, so an occurrence counts once in each item
-    frequency = Counter(g for item in dict.fromkeys(owner) for g in set().union(*(grams[k].tolist() for k in range(len(owner)) if owner[k] == item))) if len(owner) < 5000 else Counter(x for g in grams for x in g.tolist())
-    gram, seg, place, bound = [], [], [], []
-    for k, g in enumerate(grams):
-        rare = np.array([frequency[x] <= COMMON for x in g.tolist()], bool)
+    short = {}
+    for size, found in brief.items():
+        h, k = (np.array(x) for x in zip(*sorted(found), strict=True))
+        short[size] = h.astype(np.uint64), k
+    edits = np.array([_edits(len(c)) if len(c) >= 2 * q else 0 for c in codes], np.int64)
+    bound = np.full(len(codes), 1 << 40)  # short items have no bound
+    table = np.zeros(1 << _TABLE_BITS, bool)
+    if not long:
+        empty = np.zeros(0, np.int32)
+        return Index(owner, codes, edits, bound, np.zeros(0, np.uint64), empty, empty, table, short)
+    # in how many items a gram occurs
+    known, frequency = np.unique(np.concatenate(own_grams), return_counts=True)
+    gram, seg, place = [], [], []
+    for k in long:
+        g = _grams(codes[k], q)
+        rare = frequency[np.searchsorted(known, g)] <= COMMON
         if rare.sum() - q * edits[k] < LEAST_BOUND:
             rare[:] = True
-        bound.append(max(1, int(rare.sum()) - q * int(edits[k])))
+        bound[k] = max(1, int(rare.sum()) - q * int(edits[k]))
         gram.append(g[rare])
-        seg.append(np.full(int(rare.sum()), k))
-        place.append(np.flatnonzero(rare))
-    if not codes:
-        empty = np.zeros(0, np.int64)
-        return Index(empty, [], empty, empty, np.zeros(0, np.uint64), empty, empty, np.zeros(1 << _TABLE_BITS, bool))
+        seg.append(np.full(int(rare.sum()), k, np.int32))
+        place.append(np.flatnonzero(rare).astype(np.int32))
     gram, seg, place = map(np.concatenate, (gram, seg, place))
     order = np.argsort(gram, kind="stable")
-    table = np.zeros(1 << _TABLE_BITS, bool)
     table[gram >> np.uint64(64 - _TABLE_BITS)] = True
-    return Index(np.array(owner), codes, edits, np.array(bound), gram[order], seg[order], place[order], table)
+    return Index(owner, codes, edits, bound, gram[order], seg[order], place[order], table, short)
 
 
 def banded_distances(patterns: list[np.ndarray], text: np.ndarray, begin: np.ndarray, stop: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,17 +175,54 @@ def banded_distances(patterns: list[np.ndarray], text: np.ndarray, begin: np.nda
     return edits, end
 
 
+def _short_matches(index: Index, joined: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """The first place of each short item in each text, found whole and between no letters or digits."""
+    loose = lambda at: not 0 <= at < len(joined) or not chr(joined[at]).isalnum()
+    for size, (hashes, segments) in index.short.items():
+        h = _grams(joined, size)
+        left = np.searchsorted(hashes, h, "left")
+        count = np.searchsorted(hashes, h, "right") - left
+        met: set[tuple[int, int]] = set()
+        for at in np.flatnonzero(count).tolist():
+            doc = int(np.searchsorted(bounds, at, "right")) - 1
+            if at + size < bounds[doc + 1] and loose(at - 1) and loose(at + size):
+                for s in segments[left[at] : left[at] + count[at]].tolist():
+                    if (doc, s) not in met and (joined[at : at + size] == index.codes[s]).all():
+                        met.add((doc, s))
+                        yield doc, s, 0, at - int(bounds[doc]), at - int(bounds[doc]) + size
+
+
+def _found(index: Index, texts: list[str], q: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """text's number, segment, edits, start of the region, end, in the normalised texts; each segment's best region."""
+    whole: list[int] = []
+    for k, text in enumerate(texts):
+        if len(text) <= CHUNK:
+            whole.append(k)
+            continue
+        best: dict[int, tuple[int, int, int]] = {}
+        for offset, piece in _chunks(text):
+            for _, s, edits, start, stop in _matches(index, [piece], q):
+                best[s] = min(best.get(s, (1 << 28, 0, 0)), (edits, start + offset, stop + offset))
+        for s, found in best.items():
+            yield k, s, *found
+    for k, *found in _matches(index, [normal(texts[k]) for k in whole], q) if whole else ():
+        yield whole[k], *found
+
+
 def _matches(index: Index, texts: list[str], q: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """text's number, segment, edits, start of the region, end, in normalised texts; each segment's best region."""
+    """The same of normalised texts that one numpy step can take."""
     joined = _codes("\n".join(texts))
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    yield from _short_matches(index, joined, bounds)
+    if not len(index.gram):
+        return
     h = _grams(joined, q)
     at = np.flatnonzero(index.table[h >> np.uint64(64 - _TABLE_BITS)])
     left = np.searchsorted(index.gram, h[at], "left")
     count = np.searchsorted(index.gram, h[at], "right") - left
     at, left, count = at[count > 0], left[count > 0], count[count > 0]
     hit = np.repeat(left - np.cumsum(count) + count, count) + np.arange(count.sum())
-    seg, diagonal = index.segment[hit], np.repeat(at, count) - index.place[hit]
+    seg, diagonal = index.segment[hit].astype(np.int64), np.repeat(at, count) - index.place[hit]
     stride = index.edits[seg] + 1
     band = diagonal // stride
     offset = int(bounds[-1]) + 2
@@ -174,63 +256,80 @@ def _matches(index: Index, texts: list[str], q: int) -> Iterator[tuple[int, int,
         yield d, s, *found
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def _indexes(benchmark: DataFrame, id_col: str, text_col: str, q: int) -> Iterator[Index]:
+    """An index of each block of the benchmark."""
     block, size = [], 0
     for item, text in benchmark.select(F.col(id_col).cast("long"), text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         if block and size + len(text) > BLOCK_CHARS:
-            yield block
+            yield build_index(block, q)
             block, size = [], 0
-        block.append((-1 if item is None else item, text))
+        block.append((item, text))
         size += len(text)
-    yield block
+    yield build_index(block, q)
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q) -> DataFrame:
-    """doc_id, item_id, n_segments, edits, start and stop (characters of the normalised text) for each document and item that meet.
+def _met(docs: DataFrame, indexes: Iterator[Index], id_col: str, text_col: str, q: int) -> DataFrame:
+    """A row for each segment that a document holds."""
+    schema = "_id long, _tag long, item_id long, segment long, edits int, start int, stop int"
 
-    A document that holds no item has no row. Texts are compared in lower case with single spaces. Null texts
-    hold nothing; items of fewer than 2q characters are not looked for; a null item_id is -1. Rows with a null
-    doc_id come out with null, repeated rows each with their own. Other columns are ignored.
-    """
-    schema = "_id long, _tag long, item_id long, edits int, start int, stop int"
-
-    def finder(index: Index):
+    def finder(index: Index, block: int):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "_text"):
-                found = list(_matches(index, [normal(t.decode()) for t in texts_of(part, "_text")], q))
+                found = list(_found(index, [t.decode() for t in texts_of(part, "_text")], q))
                 if not found:
                     continue
-                doc, seg, edits, start, stop = map(np.array, zip(*found, strict=True))
+                doc, seg, edits, start, stop = zip(*found, strict=True)
+                at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id").take(pa.array(doc)), part.column("_tag").take(pa.array(doc)), pa.array(index.item[seg]), *(pa.array(x, pa.int32()) for x in (edits, start, stop))],
-                    names=["_id", "_tag", "item_id", "edits", "start", "stop"],
+                    [part.column("_id").take(at), part.column("_tag").take(at), pa.array([index.item[s] for s in seg], pa.int64()), pa.array([(block << 32) + s for s in seg], pa.int64()), *(pa.array(x, pa.int32()) for x in (edits, start, stop))],
+                    names=["_id", "_tag", "item_id", "segment", "edits", "start", "stop"],
                 )
 
         return rows
 
     texts = keyed(docs, id_col, text_col)
-    parts = [texts.mapInArrow(finder(build_index(block, q)), schema) for block in _blocks(benchmark, item_col, item_text)]
-    for part in parts[1:]:
-        parts[0] = parts[0].unionByName(part)
-    best = parts[0].groupBy("_id", "_tag", "item_id").agg(F.count(F.lit(1)).cast("int").alias("n_segments"), F.min(F.struct("edits", "start", "stop")).alias("b"))
-    return best.select(real_id(), "item_id", "n_segments", "b.edits", "b.start", "b.stop")
+    first = texts.mapInArrow(finder(next(indexes), 0), schema)
+    out = None
+    for block, index in enumerate(indexes, 1):
+        if out is None:
+            out = new_path(docs.sparkSession, "matches")
+            first.write.parquet(out)
+        texts.mapInArrow(finder(index, block), schema).write.mode("append").parquet(out)
+    return first if out is None else docs.sparkSession.read.schema(schema).parquet(out)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q) -> DataFrame:
-    """The rows of docs, all columns, that hold no benchmark item; rows are judged where they are read, without a shuffle."""
+def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q) -> DataFrame:
+    """doc_id, item_id, n_segments, edits, start and stop (characters of the normalised text) for each document and item that meet.
 
-    def keeper(index: Index):
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, text_col):
-                keep = np.ones(part.num_rows, bool)
-                keep[[m[0] for m in _matches(index, [normal(t.decode()) for t in texts_of(part, text_col)], q)]] = False
-                yield part.filter(pa.array(keep))
+    A document that holds no item has no row. Texts are compared in lower case with single spaces. Null texts
+    hold nothing, null and blank items are in no document. Items of fewer than 2q characters are found exactly, as
+    whole words. Rows with a null doc_id come out with null, repeated rows as one, items of null item_id as one
+    item of null. Other columns are ignored.
+    """
+    met = _met(docs, _indexes(benchmark, item_col, item_text, q), id_col, text_col, q)
+    best = met.groupBy("_id", "_tag", "item_id").agg(F.count_distinct("segment").cast("int").alias("n_segments"), F.min(F.struct("edits", "start", "stop")).alias("b"))
+    return best.select(real_id(), "item_id", "n_segments", "b.edits", "b.start", "b.stop")
 
-        return rows
 
-    for block in _blocks(benchmark, item_col, item_text):
-        docs = docs.mapInArrow(keeper(build_index(block, q)), docs.schema)
-    return docs
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q) -> DataFrame:
+    """The rows of docs, all columns, that hold no benchmark item; null texts hold none.
+
+    Rows are judged where they are read, without a shuffle, if the benchmark is one block; else those that any
+    block met are left out by (doc_id, hash of the text).
+    """
+    indexes = _indexes(benchmark, item_col, item_text, q)
+    index, more = next(indexes), next(indexes, None)
+    if more is not None:
+        met = _met(docs, chain([index, more], indexes), id_col, text_col, q).select(F.col("_id").alias("_met_id"), F.col("_tag").alias("_met_tag")).distinct()
+        return carried(docs, id_col, text_col).join(met, (F.col("_id") == F.col("_met_id")) & (F.col("_tag") == F.col("_met_tag")), "left_anti").select("row.*")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            keep = np.ones(part.num_rows, bool)
+            keep[[m[0] for m in _found(index, [t.decode() for t in texts_of(part, text_col)], q)]] = False
+            yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def count_hits(texts: list[str], index: Index, q: int = Q) -> int:
