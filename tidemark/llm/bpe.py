@@ -70,6 +70,7 @@ class Codec:
         pairs = np.array([vocab[a] * self.size + vocab[b] for a, b in merges])
         order = np.argsort(pairs)
         self.pairs, self.ranks, self.merged = pairs[order], order, np.array([vocab[a + b] for a, b in merges])[order]
+        self.by_pair: dict[int, tuple[int, int]] = {}  # of a pair its rank and token; made for the first long fragment
         self.memo = self._fresh()
         self.seen = self.missed = 0
 
@@ -101,8 +102,9 @@ class Codec:
         of_fragment = owner[cut]
         done: list[tuple[np.ndarray, np.ndarray]] = []
         size = np.bincount(fragment)
+        first = np.cumsum(size) - size
         for f in np.flatnonzero(size > 256):
-            done.append((merged := self._merge_long(ids[fragment == f].tolist()), np.full(len(merged), f)))
+            done.append((merged := self._merge_long(ids[first[f] : first[f] + size[f]].tolist()), np.full(len(merged), f)))
         short = (size <= 256)[fragment]
         fragment, ids = fragment[short], ids[short]
         while len(ids):
@@ -129,8 +131,9 @@ class Codec:
 
     def _merge_long(self, ids: list[int]) -> np.ndarray:
         """The same merges with a heap of neighbouring pairs, for fragments of any length."""
-        ranks = dict(zip(self.pairs.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
-        n = len(ids)
+        if not self.by_pair:
+            self.by_pair = dict(zip(self.pairs.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+        ranks, n = self.by_pair, len(ids)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(ranks[key][0], k, key) for k in range(n - 1) if (key := ids[k] * self.size + ids[k + 1]) in ranks]
         heapq.heapify(heap)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERDICTS = ("allow", "block")
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def host_of(url: Column) -> Column:
@@ -41,8 +42,8 @@ def _digest(host: str, path: str) -> int:
 
 
 def write_rules(rules: list[tuple[str, str, str]], file: str) -> None:
-    """rules: (verdict, host, path). Of rules with one host and path the last holds."""
-    known = {(h.lower(), p): v for v, h, p in rules}
+    """rules: (verdict, host, path), hosts taken with A-Z in lower case as a url's. Of rules with one host and path the last holds."""
+    known = {(h.translate(_LOWER), p): v for v, h, p in rules}
     if bad := set(known.values()) - set(VERDICTS):
         raise ValueError(f"verdicts are allow and block, not {sorted(bad)}")
     entries = sorted((_digest(h, p), h, p, v) for (h, p), v in known.items())
