@@ -12,6 +12,8 @@ have equal anchors, and some eight neighbours share one, so
 
 Before either shuffle, repeats inside a slice of the input are settled on the spot and only the first goes
 on. An anchor under which a third of all documents fall thus sends a row for each slice, not each document.
+Under an anchor of more than `HOT` such rows each window is dealt by its own hash, so the anchor is split, and
+equal windows still meet; their rows come in order, the first stays, and no task holds the others.
 """
 
 from __future__ import annotations
@@ -20,15 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import ints, keyed, mixed, real_id, rolling, slices, texts_of, word_hashes
+from tidemark.llm.common import checkpointed, ints, keyed, looked_up, mixed, real_id, rolling, slices, texts_of, word_hashes
 
-WIDTH, ANCHOR = 20, 4
+WIDTH, ANCHOR, HOT = 20, 4, 64
 ANCHORS = "key long, anchor long, _id long, _tag long, known boolean"
-RUNS = "anchor long, _id long, _tag long, start int, hashes array<long>, settled boolean"
+RUNS = "anchor long, _id long, _tag long, start int, hashes array<long>, settled boolean, single boolean"
 SPANS = "_id long, _tag long, start int, stop int"
 RESULT = "_id long, _tag long, n_words long, n_removed long, kept string, spans array<struct<start:int,stop:int>>"
 
@@ -117,11 +120,13 @@ def _candidate_rows(width: int):
             text, start, anchor, hashes = text[held], start[held], anchor[held], hashes[held]
             if not len(text):
                 continue
+            single = np.isin(anchor, part.column("hot").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
             ident, tag = ints(part, "_id")[text], ints(part, "_tag")[text]
             order = np.lexsort((start, tag, ident, hashes, anchor))
             first = _equal_to_head(order, (anchor, hashes), (ident, tag, start))
             broken = np.append(False, start[1:] != start[:-1] + 1)
-            at = _run_starts(text, anchor, first, np.cumsum(broken))
+            apart = np.cumsum(broken | (single & first))  # an open window of a hot anchor is a run of its own
+            at = _run_starts(text, anchor, first, apart)
             run = lambda column: pa.array(column[at])
             stop = np.append(at[1:], len(text))
             counts = np.where(first[at], stop - at, 1)  # of a settled run its length is all that is needed
@@ -130,10 +135,11 @@ def _candidate_rows(width: int):
             ends = np.cumsum(counts)
             settled = ~first[at]
             values[(ends - 1)[settled]] = (stop - at)[settled].astype(np.uint64)
-            key = np.where(settled, mixed(anchor[at] ^ mixed(ident[at].view(np.uint64) + start[at].astype(np.uint64))), anchor[at])
+            own = np.where(single[at], mixed(hashes[at] + np.uint64(1)), anchor[at])
+            key = np.where(settled, mixed(anchor[at] ^ mixed(ident[at].view(np.uint64) + start[at].astype(np.uint64))), own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), run(ident), run(tag), pa.array(start[at], pa.int32()), _lists(values, ends - counts), pa.array(settled)],
-                names=["anchor", "_id", "_tag", "start", "hashes", "settled"],
+                [pa.array(key.view(np.int64)), run(ident), run(tag), pa.array(start[at], pa.int32()), _lists(values, ends - counts), pa.array(settled), pa.array(single[at] & ~settled)],
+                names=["anchor", "_id", "_tag", "start", "hashes", "settled", "single"],
             )
 
     return rows
@@ -166,17 +172,38 @@ def _spans_of(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
     )
 
 
+def _single_spans(batch: pa.RecordBatch, width: int, last: tuple[int, ...]) -> tuple[pa.RecordBatch, tuple[int, ...]]:
+    """The spans of windows dealt by their hash, in order, that are not at the place of their hash's first; last: hash and first place of the row before."""
+    key, values = ints(batch, "anchor"), batch.column("hashes").flatten().to_numpy(zero_copy_only=False)
+    columns = key, values, ints(batch, "_id"), ints(batch, "_tag"), ints(batch, "start")
+    head = _run_starts(key)
+    leader = [np.repeat(c[head], np.diff(np.append(head, len(key)))) for c in columns]
+    if last and last[0] == key[0]:
+        for c, x in zip(leader, last, strict=True):
+            c[: head[1] if len(head) > 1 else len(key)] = x
+    later = ~np.logical_and.reduce([x == y for x, y in zip(columns[2:], leader[2:], strict=True)])
+    _, _, ident, tag, start = (c[later] for c in columns)
+    spans = [pa.array(ident), pa.array(tag), pa.array(start, pa.int32()), pa.array(start + width, pa.int32())]
+    return pa.RecordBatch.from_arrays(spans, names=["_id", "_tag", "start", "stop"]), tuple(int(c[-1]) for c in leader)
+
+
 def _span_rows(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []  # rows of the anchor that the next batch may continue
-        for batch in batches:
+        rest: list[pa.RecordBatch] = []  # rows of the anchor that the next batch may continue, HOT at most
+        last: tuple[int, ...] = ()
+        for whole in batches:
+            single = whole.column("single")
+            alone, batch = whole.filter(single), whole.filter(pc.invert(single))
+            if alone.num_rows:
+                spans, last = _single_spans(alone, width, last)
+                yield spans
             if not batch.num_rows:
                 continue
             anchor = ints(batch, "anchor")
             cut = int(np.searchsorted(anchor, anchor[-1]))
             if cut:
-                whole = pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks().to_batches()
-                yield from (_spans_of(b, width) for b in whole)
+                done = pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks().to_batches()
+                yield from (_spans_of(b, width) for b in done)
                 rest = []
             elif rest and ints(rest[-1], "anchor")[-1] != anchor[0]:
                 yield from (_spans_of(b, width) for b in pa.Table.from_batches(rest).combine_chunks().to_batches())
@@ -226,7 +253,11 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     texts = keyed(docs, id_col, text_col)
     counted = texts.mapInArrow(_anchor_rows(width), ANCHORS).repartition("key").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    repeated = counted.where("n > 1 or known").groupBy("_id", "_tag").agg(F.collect_set("anchor").alias("anchors"))
+    rows = checkpointed(counted.where("n > 1 or known").select("anchor", "_id", "_tag", (F.col("key") == F.col("anchor")).alias("counts"), "n"))
+    heads = rows.where("counts").withColumn("hot", F.when(F.col("n") > HOT, F.col("anchor")))
+    hot = heads.where("hot is not null").select("anchor", "hot").distinct()
+    others = looked_up(rows.where("not counts"), ["anchor"], hot, how="left")
+    repeated = heads.unionByName(others).groupBy("_id", "_tag").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("hot").alias("hot"))
     candidates = texts.join(repeated, ["_id", "_tag"]).mapInArrow(_candidate_rows(width), RUNS)
     spans = candidates.repartition("anchor").sortWithinPartitions("anchor", "_id", "_tag", "start").mapInArrow(_span_rows(width), SPANS)
     found = spans.groupBy("_id", "_tag").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
