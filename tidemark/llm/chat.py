@@ -1,10 +1,12 @@
 """Chat formatting with tool calls: link calls to results, order them, validate arguments, write canonical JSON.
 
 Messages are rows; a tool call is a row with a call_id, a tool name and arguments as JSON, a result is a row that
-answers a call_id. Calls and results meet in a join on (conversation, call_id), so neither a long conversation
-nor a busy tool is ever gathered in one task. A call may name calls whose results it uses (`after`); levels
-follow from peeling: calls that wait for nothing settle, round by round, and what never settles is cyclic. Sorting
-by (turn of the root, level, turn) is a topological order. Calls on a cycle, or after one, are marked and keep their own turn.
+answers a call_id. Calls and results meet in a hash join on (conversation, call_id), so neither a long conversation
+nor a busy tool is ever gathered in one task. A call may name calls whose results it uses (`after`). Runs of calls
+that wait for one call each are first contracted by pointer doubling; then levels follow from peeling: calls that
+wait for nothing settle, round by round, and what never settles is cyclic. Sorting by (root_turn, level, turn) is a
+topological order: root_turn is the largest turn of a call and all calls before it, level twice the number of
+calls on the longest chain before it. Calls on a cycle, or after one, are marked and keep their own turn.
 """
 
 from __future__ import annotations
@@ -88,68 +90,97 @@ def _formatted(schemas: dict[str, dict[str, Any]]):
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """conv, call_id, level and root_turn of each call: the longest chain of calls before it, and the turn of that chain's latest root.
+    """conv, call_id, level, root_turn and cyclic of each call: the calls of the longest chain before it, and the largest turn of it and all before it.
 
-    calls: conv, call_id (unique), turn, after. References to unknown calls are ignored.
-    A round settles the calls whose predecessors are settled, so there are as many as the longest chain has calls;
-    settled rows go to the shared folder at once, and a round carries on only those that wait.
+    calls: conv and call_id (unique, not null), turn, after. References to unknown calls are ignored. A call that
+    waits for one other points to it, and pointers are doubled until they reach a call that waits for none or
+    several: a chain of n calls takes log2(n) rounds. Those calls are peeled: a round settles the ones whose
+    predecessors are settled, so there are as many as such calls follow each other; settled rows go to the shared
+    folder, and a round carries on only those that wait. Pointers that still move after log2 of all calls go round.
     """
     edges = calls.select("conv", "call_id", F.explode("after").alias("before")).where("before is not null").distinct()
-    known = calls.select(F.col("conv").alias("c"), F.col("call_id").alias("k"))
-    edges = edges.join(known, (F.col("conv") == F.col("c")) & (F.col("before") == F.col("k"))).select("conv", "call_id", "before")
-    level = calls.select("conv", "call_id", F.lit(0).alias("level"), F.col("turn").alias("root_turn"))
+    known = calls.select("conv", F.col("call_id").alias("before"), F.col("turn").alias("before_turn"))
+    edges = checkpointed(edges.join(known.hint("shuffle_hash"), ["conv", "before"]))
+    own = calls.select("conv", "call_id", F.col("turn").alias("root_turn"))
     if edges.isEmpty():
-        return level.withColumn("cyclic", F.lit(False))
-    edges = checkpointed(edges)
-    waits = edges.groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("waits"))
-    state = checkpointed(level.join(waits, ["conv", "call_id"], "left").select("conv", "call_id", F.coalesce("waits", F.lit(0)).alias("waits"), "level", "root_turn"))
+        return own.select("*", F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
+    waits = edges.groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("waits"), F.first("before").alias("ahead"))
+    nodes = checkpointed(own.join(waits, ["conv", "call_id"], "left").select("conv", "call_id", "root_turn", F.coalesce("waits", F.lit(0)).alias("waits"), "ahead"))
+    # single: a call that waits for one; ahead, steps and top: the call it has reached, over how many, and the largest turn on the way, its own included
+    single = checkpointed(nodes.where("waits = 1").select("conv", "call_id", "ahead", F.lit(1).cast("long").alias("steps"), F.col("root_turn").alias("top")))
+    rounds = int(single.count()).bit_length()
+    for _ in range(rounds):
+        onward = single.select("conv", F.col("call_id").alias("ahead"), F.col("ahead").alias("next"), F.col("steps").alias("more"), F.col("top").alias("up"))
+        step = single.join(onward.hint("shuffle_hash"), ["conv", "ahead"], "left")
+        single = checkpointed(step.select(
+            "conv", "call_id", F.coalesce("next", "ahead").alias("ahead"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.greatest("top", "up").alias("top"), F.col("next").isNotNull().alias("moved"),
+        ))
+        if single.where("moved").isEmpty():
+            break
+    inner = nodes.where("waits = 1").select("conv", F.col("call_id").alias("ahead"))
+    reached = single.join(inner, ["conv", "ahead"], "left_anti").select("conv", "call_id", "ahead", "steps", "top")  # the others go round
+    # the calls that wait for none or several, over the edges among them
+    via = reached.select("conv", F.col("call_id").alias("before"), F.col("ahead").alias("via"), "steps", "top")
+    several = edges.join(nodes.where("waits > 1").select("conv", "call_id"), ["conv", "call_id"]).join(via.hint("shuffle_hash"), ["conv", "before"], "left")
+    several = checkpointed(several.select("conv", "call_id", F.coalesce("via", "before").alias("before"), F.coalesce("steps", F.lit(0).cast("long")).alias("steps"), F.coalesce("top", "before_turn").alias("top")))
+    state = checkpointed(nodes.where("waits <> 1").select("conv", "call_id", "waits", F.lit(0).alias("level"), "root_turn"))
     spark, out = calls.sparkSession, new_path(calls.sparkSession, "levels")
     while True:
         ready = state.where("waits = 0")
         ready.drop("waits").write.mode("append").parquet(out)
         if ready.isEmpty():
             break
-        up = ready.select("conv", F.col("call_id").alias("before"), F.col("level").alias("l"), F.col("root_turn").alias("r"))
-        step = edges.join(up, ["conv", "before"]).groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("n"), F.max("l").alias("l"), F.max("r").alias("r"))
+        settled = ready.select("conv", F.col("call_id").alias("before"), F.col("level").alias("l"), F.col("root_turn").alias("r"))
+        step = several.join(settled.hint("shuffle_hash"), ["conv", "before"]).groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("l") + F.col("steps")).alias("l"), F.max(F.greatest("r", "top")).alias("r"))
         state = checkpointed(state.where("waits > 0").join(step, ["conv", "call_id"], "left").select(
             "conv", "call_id", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"),
-            F.greatest("level", F.coalesce(F.col("l") + 1, F.lit(0))).alias("level"), F.greatest("root_turn", F.coalesce("r", "root_turn")).alias("root_turn"),
+            F.greatest("level", F.coalesce(F.col("l") + 1, F.lit(0))).cast("int").alias("level"), F.greatest("root_turn", "r").alias("root_turn"),
         ))
-    settled = spark.read.parquet(out).withColumn("cyclic", F.lit(False))
-    return settled.unionByName(state.select("conv", "call_id", F.lit(0).alias("level"), "root_turn", F.lit(True).alias("cyclic")))
+    settled = checkpointed(spark.read.schema(state.drop("waits").schema).parquet(out))
+    ends = settled.select("conv", F.col("call_id").alias("ahead"), F.col("level").alias("l"), F.col("root_turn").alias("r"))
+    runs = reached.join(ends.hint("shuffle_hash"), ["conv", "ahead"]).select("conv", "call_id", (F.col("l") + F.col("steps")).cast("int").alias("level"), F.greatest("r", "top").alias("root_turn"))
+    ordered = settled.select("conv", "call_id", "level", "root_turn").unionByName(runs).withColumn("cyclic", F.lit(False))
+    cyclic = own.join(ordered, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.lit(0).alias("level"), "root_turn", F.lit(True).alias("cyclic"))
+    return ordered.unionByName(cyclic)
 
 
-def linked(messages: DataFrame, schemas: dict[str, dict[str, Any]], rounds: int = 32) -> DataFrame:
+def linked(messages: DataFrame, schemas: dict[str, dict[str, Any]]) -> DataFrame:
     """Of messages (conv, turn, role, text, call_id, tool, arguments, answers, after): conv, turn, role, call_id,
     answers, root_turn, level, status, problems and message (canonical JSON); root_turn, level, turn sort a conversation.
 
     status: `plain` (neither call nor result), `linked`, `open` (a call without result), `orphan` (a result without
     call), `repeated` (a call_id used before in its conversation, or a further result of one call), `cyclic`. The
     smallest turn is a call's or result's own; of rows equal in turn too each comes out alike. Null conversations
-    and turns sort first. Chains may have any length; `rounds` is kept for callers and bounds nothing. Empty tables give none.
+    are one conversation; they and null turns sort first. Other columns are ignored. Each message gives one row,
+    chains may have any length, and empty tables give none.
     """
     m = messages.select("conv", "turn", "role", "text", "call_id", "tool", "arguments", "answers", "after")
-    calls = m.where("call_id is not null").groupBy("conv", "call_id").agg(F.min("turn").alias("call_turn"), F.max_by("after", -F.col("turn")).alias("after"))
-    results = m.where("answers is not null").groupBy("conv", F.col("answers").alias("call_id")).agg(F.min("turn").alias("result_turn"))
-    levels = _levels(calls.select("conv", "call_id", F.col("call_turn").alias("turn"), "after"))
-    links = calls.drop("after").join(results, ["conv", "call_id"], "full").join(levels, ["conv", "call_id"], "left")
-    links = links.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), "call_turn", "result_turn", "level", "root_turn", "cyclic")
-    ident = F.coalesce("call_id", "answers")
-    joined = m.withColumn("_key", ident).join(links, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("_key") == F.col("_id")), "left")
+    # joins go by a conversation that is never null
+    m = m.withColumn("_key", F.coalesce("call_id", "answers")).withColumn("_conv", F.struct(F.col("conv").isNull().alias("none"), F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("name")))
+    first = F.coalesce(F.col("turn"), F.lit(-(2**63)))  # a null turn is the first
+    calls = m.where("call_id is not null").groupBy(F.col("_conv").alias("conv"), "call_id").agg(F.min(first).alias("turn"), F.min_by("after", first).alias("after"))
+    calls = checkpointed(calls)
+    results = m.where("answers is not null").groupBy(F.col("_conv").alias("conv"), F.col("answers").alias("call_id")).agg(F.min(first).alias("result_turn"))
+    links = calls.drop("after").withColumnRenamed("turn", "call_turn").join(results.hint("shuffle_hash"), ["conv", "call_id"], "full")
+    links = links.join(_levels(calls).hint("shuffle_hash"), ["conv", "call_id"], "left")
+    links = links.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_key"), "call_turn", "result_turn", F.col("level").alias("_level"), F.col("root_turn").alias("_root"), "cyclic")
+    joined = m.join(links.hint("shuffle_hash"), ["_conv", "_key"], "left")
     is_call = F.col("call_id").isNotNull()
     status = (
         F.when(F.col("_key").isNull(), "plain")
-        .when(is_call & (F.col("turn") > F.col("call_turn")), "repeated")
+        .when(is_call & (first > F.col("call_turn")), "repeated")
         .when(~is_call & F.col("call_turn").isNull(), "orphan")
-        .when(~is_call & (F.col("turn") > F.col("result_turn")), "repeated")
+        .when(~is_call & (first > F.col("result_turn")), "repeated")
         .when(F.col("cyclic"), "cyclic")
         .when(F.col("result_turn").isNull(), "open")
         .otherwise("linked")
     )
-    rows = joined.select(
-        "conv", "turn", "role", "text", "call_id", "tool", "arguments", "answers", status.alias("status"),
-        F.when(status.isin("linked", "open"), F.col("root_turn")).otherwise(F.col("turn")).alias("root_turn"),
-        F.when(status.isin("linked", "open"), 2 * F.col("level") + F.when(is_call, 0).otherwise(1)).otherwise(0).cast("int").alias("level"),
+    found = F.col("status").isin("linked", "open")
+    root = F.when(F.col("_root") != -(2**63), F.col("_root")).cast(dict(messages.dtypes)["turn"])
+    rows = joined.withColumn("status", status).select(
+        "conv", "turn", "role", "text", "call_id", "tool", "arguments", "answers", "status",
+        F.when(found, root).otherwise(F.col("turn")).alias("root_turn"),
+        F.when(found, 2 * F.col("_level") + F.when(is_call, 0).otherwise(1)).otherwise(0).cast("int").alias("level"),
     )
     kinds = dict(rows.dtypes)
     out = ["conv", "turn", "role", "call_id", "answers", "status", "root_turn", "level"]

@@ -14,8 +14,12 @@ from tidemark.llm.common import new_path
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: The tool as which a user's turn is put to the assistant.
-REPLY = {"reply": {"type": "object", "required": ["prompt"], "properties": {"prompt": {"type": "string", "minLength": 1}}, "additionalProperties": False}}
+#: The tools as which a user's turns are put to the assistant: the first of a conversation, and one that follows others.
+_PROMPT = {"type": "string", "minLength": 1}
+TOOLS = {
+    "ask": {"type": "object", "required": ["prompt"], "properties": {"prompt": _PROMPT}, "additionalProperties": False},
+    "follow_up": {"type": "object", "required": ["prompt", "turn"], "properties": {"prompt": _PROMPT, "turn": {"type": "integer", "minimum": 1}}, "additionalProperties": False},
+}
 
 
 def tokenizer_path() -> str:
@@ -31,28 +35,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """The rows of a plain scan over all cores: a file of one row group is one task otherwise. Larger inputs stay as they are."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def hex64(column: str) -> F.Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex64("fingerprint").alias("fingerprint"), "component_id")
 
 
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(spread(table(spark, sf_dir, "documents")), tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linededup.apply_bitmaps(linededup.keep_bitmaps(table(spark, sf_dir, "documents")))
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,22 +72,24 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn is a call of `reply`; the assistant turn next to it answers that call."""
+    """Each user turn is a call, which uses the results of the calls in the two turns before; the assistant turn next to it answers that call."""
     t = table(spark, sf_dir, "conversations")
     name = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    follows = F.col("turn") >= 2
+    arguments = F.when(follows, F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))).otherwise(F.to_json(F.struct(F.col("text").alias("prompt"))))
     messages = t.select(
         F.col("conv_id").alias("conv"), "turn", "role", F.when(~F.coalesce(user, F.lit(False)), F.col("text")).alias("text"),
-        F.when(user, name(F.col("turn"))).alias("call_id"), F.when(user, F.lit("reply")).alias("tool"),
-        F.when(user, F.to_json(F.struct(F.col("text").alias("prompt")))).alias("arguments"),
-        F.when(assistant, name(F.col("turn") - 1)).alias("answers"), F.lit(None).cast("array<string>").alias("after"),
+        F.when(user, name(F.col("turn"))).alias("call_id"), F.when(user, F.when(follows, "follow_up").otherwise("ask")).alias("tool"),
+        F.when(user, arguments).alias("arguments"), F.when(assistant, name(F.col("turn") - 1)).alias("answers"),
+        F.when(user & follows, F.array(name(F.col("turn") - 1), name(F.col("turn") - 2))).alias("after"),
     )
-    rows = chat.linked(messages, REPLY)
+    rows = chat.linked(messages, TOOLS)
     return rows.select(F.col("conv").alias("conv_id"), "turn", "role", "status", "root_turn", "level", F.array_join("problems", "; ").alias("problems"), "message")
 
 
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminations(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -98,7 +99,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~held_out())
-    return langid.predictions(spread(docs), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+    return langid.predictions(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
