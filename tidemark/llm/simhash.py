@@ -13,7 +13,7 @@ are abandoned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,26 +22,53 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, keyed, mixed, real_id, slices, texts_of
+from tidemark.llm.common import LAST_ID, checkpointed, keyed, looked_up, mixed, real_id, slices, texts_of
 from tidemark.llm.components import components
 
-SHINGLE, RADIUS, BUCKET, ITEMS = 3, 2, 4096, 1 << 17
+SHINGLE, RADIUS, BUCKET, ITEMS, CHUNK = 3, 2, 4096, 1 << 17, 1 << 20
+_SPACES = [bytes([c]) for c in (32, *range(9, 14))]
 
 
-def _shingles(text: bytes, width: int) -> np.ndarray:
-    """The XXH64 (seed 42) of each shingle, repeats included; of the whole sequence if it is shorter."""
-    words = text.lower().split()  # both know only ASCII
+def _word_lists(text: bytes, size: int) -> Iterator[list[bytes]]:
+    """The words of the text, in pieces of about `size` bytes."""
+    at = 0
+    while len(text) - at > size:
+        to = at + size
+        cut = max(text.rfind(c, at, to) for c in _SPACES)
+        if cut <= at:  # no white space, so on to the next
+            cut = min((x for c in _SPACES if (x := text.find(c, to)) >= 0), default=len(text))
+        yield text[at:cut].split()
+        at = cut
+    yield text[at:].split()
+
+
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return np.array([h(joined, 42)] if words else [], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     return np.array([h(joined[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def _fingerprint(hashes: np.ndarray) -> int:
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
+def _shingles(text: bytes, width: int, size: int = CHUNK) -> Iterator[np.ndarray]:
+    """The XXH64 (seed 42) of each shingle, repeats included, in pieces; of the whole sequence if it is shorter."""
+    held: list[bytes] = []
+    made = False
+    for words in _word_lists(text.lower(), size):  # lower() and split() know only ASCII here
+        held += words
+        if len(held) >= width:
+            yield _hashes(held, width)
+            held, made = held[len(held) - width + 1 :], True
+    if held and not made:
+        yield _hashes(held, len(held))
+
+
+def _fingerprint(parts: Iterable[np.ndarray]) -> int:
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -189,13 +216,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _grouped(prints: DataFrame, node: str, pairs: DataFrame) -> DataFrame:
-    """_id, _tag, doc_id, fingerprint and component_id of prints, whose rows of one node belong together."""
-    smallest = prints.groupBy(node).agg(F.min("_id").alias("smallest"))
+    """_id, _tag, doc_id, fingerprint, component_id and first (whether the row stands for its component) of prints, whose rows of one node belong together."""
+    least = F.struct("_id", "_tag")
+    smallest = prints.groupBy(node).agg(F.min(least).alias("smallest"))
     found = components(pairs).withColumnRenamed("node", "_node")
     labels = smallest.join(found, smallest[node] == found["_node"], "left").select(node, "smallest", F.coalesce("component", F.col(node)).alias("component"))
     first = labels.groupBy("component").agg(F.min("smallest").alias("_first"))
-    joined = prints.join(labels.join(first, "component").select(node, "_first"), node)
-    return joined.select("_id", "_tag", real_id(), "fingerprint", F.when(F.col("_first") != 2**63 - 1, F.col("_first")).alias("component_id"))
+    named = looked_up(labels.select(node, "component"), ["component"], first).select(node, "_first")
+    joined = looked_up(prints.select("_id", "_tag", "fingerprint", *({node} - {"fingerprint"})), [node], named)
+    component = F.when(F.col("_first._id") != LAST_ID, F.col("_first._id")).alias("component_id")
+    return joined.select("_id", "_tag", real_id(), "fingerprint", component, (least == F.col("_first")).alias("first"))
 
 
 #: Min-hash rows of a sketch: BANDS bands of BAND rows. Two texts of similarity s share a band with 1 - (1 - s**BAND)**BANDS.
@@ -213,12 +243,12 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """_id, _tag, fingerprint (of distinct shingles), node (a hash of their set), keys (one for each band) and sketch (16 bits of each min-hash)."""
+    """_id, _tag, fingerprint (of distinct shingles), node (a hash of their set), size (of that set), keys (one for each band) and sketch (16 bits of each min-hash)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
-            hashes = [np.unique(_shingles(t, width)) for t in texts_of(part, "_text")]
-            prints = np.array([_fingerprint(h) for h in hashes], np.uint64)
+            hashes = [_distinct(t, width) for t in texts_of(part, "_text")]
+            prints = np.array([_fingerprint(np.array_split(h, 1 + len(h) // CHUNK)) for h in hashes], np.uint64)
             minima = np.stack([_sketch(h) for h in hashes])
             keys = [mixed(np.arange(BANDS, dtype=np.uint64) + np.uint64(1))]
             bands = minima.reshape(len(hashes), BANDS, BAND)
@@ -227,10 +257,16 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 key = mixed(key ^ bands[:, :, k])
             raw = [x.astype("<u2").tobytes() for x in minima & np.uint64(0xFFFF)]
             node = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in hashes], np.uint64)
+            size = pa.array([len(h) for h in hashes], pa.int64())
             lists = pa.FixedSizeListArray.from_arrays(pa.array(key.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_tag"), pa.array(prints.view(np.int64)), pa.array(node.view(np.int64)), lists, pa.array(raw, pa.binary())], names=["_id", "_tag", "fingerprint", "node", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_tag"), pa.array(prints.view(np.int64)), pa.array(node.view(np.int64)), size, lists, pa.array(raw, pa.binary())], names=["_id", "_tag", "fingerprint", "node", "size", "keys", "sketch"])
+
+    return keyed(docs, id_col, text_col).mapInArrow(rows, "_id long, _tag long, fingerprint long, node long, size long, keys array<long>, sketch binary")
 
-    return keyed(docs, id_col, text_col).mapInArrow(rows, "_id long, _tag long, fingerprint long, node long, keys array<long>, sketch binary")
+
+def _distinct(text: bytes, width: int) -> np.ndarray:
+    parts = list(_shingles(text, width))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
 def _similar_rows(least: float, reach: int):
@@ -273,18 +309,20 @@ def _with_sets(width: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
-            sets = [np.unique(_shingles(t, width)).tobytes() for t in texts_of(part, "_text")]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("table", "key", "node", "sketch")), pa.array(sets, pa.binary())], names=["table", "key", "node", "sketch", "hashes"])
+            sets = [_distinct(t, width).tobytes() for t in texts_of(part, "_text")]
+            rest = [c for c in part.schema.names if c != "_text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(sets, pa.binary())], names=[*rest, "hashes"])
 
     return rows
 
 
-def _exact_links(node: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], similarity: float, least: float) -> list[tuple[int, int]]:
-    """Links of Jaccard `similarity` or more that join all texts which such links connect, among pairs whose sketches agree in `least`."""
-    size, label, out = np.array([len(x) for x in sets]), np.arange(len(node)), []
+def _exact_links(node: np.ndarray, label: np.ndarray, asks: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], similarity: float, least: float) -> list[tuple[int, int]]:
+    """Links of Jaccard `similarity` or more, enough to join whatever such links connect among pairs of different labels
+    of which one asks and whose sketches agree in `least`."""
+    size, label, out = np.array([len(x) for x in sets]), np.unique(label, return_inverse=True)[1], []
     for i in range(1, len(node)):
         lo, hi = np.minimum(size[:i], size[i]), np.maximum(size[:i], size[i])
-        other = np.flatnonzero((label[:i] != label[i]) & (lo / np.maximum(hi, 1) >= similarity))
+        other = np.flatnonzero((label[:i] != label[i]) & (asks[:i] | asks[i]) & (lo / np.maximum(hi, 1) >= similarity))
         alike = (sketch[other] == sketch[i]).mean(1)
         other, alike = other[alike >= least], alike[alike >= least]
         for j in other[np.argsort(-alike, kind="stable")].tolist():
@@ -298,14 +336,19 @@ def _exact_links(node: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], s
 
 
 def _confirmed_rows(similarity: float, least: float):
+    """Links of rows (table, key, node, label, asks, sketch, hashes) sorted by table and key, inside each key."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _by_bucket(batches):
             for at, to in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
                 group = table.slice(at, to - at)
-                node, first = np.unique(group.column("node").to_numpy(), return_index=True)  # rows repeated in docs
-                group = group.take(pa.array(first))
+                asks = group.column("asks").to_numpy()
+                order = np.argsort(~asks, kind="stable")
+                node, first = np.unique(group.column("node").to_numpy()[order], return_index=True)  # a node may be there on both sides
+                group = group.take(pa.array(order[first]))
                 sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u2").reshape(len(node), -1)
-                found = _exact_links(node, sketch, [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()], similarity, least)
+                sets = [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()]
+                found = _exact_links(node, group.column("label").to_numpy(), group.column("asks").to_numpy(), sketch, sets, similarity, least)
                 if found:
                     a, b = map(np.array, zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -313,6 +356,57 @@ def _confirmed_rows(similarity: float, least: float):
     return rows
 
 
+#: Fingerprints of a bucket, and texts and shingles of a proposed group, that one task compares at once.
+SPLIT, TEXTS, MOST_SHINGLES = 8192, 512, 1 << 22
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """table, key, node, fingerprint and sketch of each band that nodes share.
+
+    A band of more than SPLIT nodes is cut into blocks, and each pair of blocks is a bucket of its own.
+    """
+    banded = nodes.select("node", F.posexplode("keys").alias("table", "key"))
+    sizes = banded.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = looked_up(banded, ["table", "key"], sizes)
+    blocks = F.ceil(F.col("n") / SPLIT)
+    own = F.pmod(F.xxhash64("node"), blocks)
+    held = held.select("table", "key", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"), "n")
+    pair = F.when(F.col("n") <= SPLIT, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return held.select("table", pair.alias("key"), "node").join(nodes.select("node", "fingerprint", "sketch"), "node")
+
+
+def _confirmed(sets: DataFrame, similarity: float, least: float) -> DataFrame:
+    """Links a, b of Jaccard `similarity` or more, enough to join whatever they connect in each group.
+
+    sets: group, blocks, node, sketch, hashes; a group may be any share of the rows. Its texts are dealt to blocks
+    at random, and linked inside each first. Of a group in several blocks, the texts that are not in its largest
+    component so far are then compared with all others; one large group of near copies leaves few of these.
+    """
+
+    def linked(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition("table", "key").sortWithinPartitions("table", "key", "node")
+        return dealt.mapInArrow(_confirmed_rows(similarity, least), "a long, b long")
+
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    key = lambda *c: F.when(F.col("blocks") == 1, F.col("group")).otherwise(F.xxhash64("group", *c))
+    inside = checkpointed(linked(sets.select(F.lit(0).alias("table"), key(block).alias("key"), "node", F.col("node").alias("label"), F.lit(True).alias("asks"), "sketch", "hashes")))
+    large = sets.where("blocks > 1").select("group", "blocks", "node")
+    if large.isEmpty():
+        return inside
+    labels = large.join(components(inside).select("node", "component"), "node", "left").select("group", "blocks", "node", F.coalesce("component", "node").alias("label"))
+    counts = labels.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("n"))
+    main = main.where(F.col("all") > F.col("n")).select("group", "main", F.ceil((F.col("all") - F.col("n")) / TEXTS).alias("parts"))
+    labels = checkpointed(looked_up(labels, ["group"], main))
+    if labels.isEmpty():
+        return inside
+    rows = labels.join(sets.select("node", "sketch", "hashes"), "node").withColumn("block", block).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
+    asking = rows.where("label <> main").select("group", "node", "label", "sketch", "hashes", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
+    asked = rows.select("group", "node", "label", "sketch", "hashes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block", F.lit(False).alias("asks"))
+    across = asking.unionByName(asked)
+    return inside.unionByName(linked(across.select(F.lit(0).alias("table"), F.xxhash64("group", "part", "block").alias("key"), "node", "label", "asks", "sketch", "hashes")))
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The columns of near_duplicates, grouping texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
 
@@ -321,20 +415,17 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     REACH bits, and pairs within it propose each other if their whole sketches (126 rows; the estimate deviates by
     0.036 at 0.8, hence SLACK) agree. Proposals only bring texts together: each link is then confirmed by the exact
     Jaccard of the two sets of shingle hashes, which are joined to the proposed groups, once for each different set.
-    A proposed group is confirmed in one task. Equal sets are one node.
+    Equal sets are one node; texts without words have the empty set.
     """
     prints = checkpointed(sketches(docs, id_col, text_col, width))
-    nodes = prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    banded = nodes.select("node", F.posexplode("keys").alias("table", "key"))
-    sizes = banded.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = banded.join(sizes, ["table", "key"]).select("table", "key", "node")
-    rows = held.join(nodes.select("node", "fingerprint", "sketch"), "node")
-    buckets = rows.repartition("table", "key").sortWithinPartitions("table", "key", "node")
+    nodes = prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.min(F.struct("_id", "_tag")).alias("who"))
+    buckets = _buckets(nodes).repartition("table", "key").sortWithinPartitions("table", "key", "node")
     least = similarity - SLACK
     proposed = components(buckets.mapInArrow(_similar_rows(least, REACH), "a long, b long").distinct())
-    members = prints.join(proposed, "node").groupBy("node").agg(F.first("component").alias("key"), F.min(F.struct("_id", "_tag")).alias("who"), F.first("sketch").alias("sketch"))
-    members = members.select(F.lit(0).alias("table"), "key", "node", "sketch", "who._id", "who._tag")
-    texts = keyed(docs, id_col, text_col).join(members, ["_id", "_tag"]).select("table", "key", "node", "sketch", "_text")
-    sets = texts.mapInArrow(_with_sets(width), "table int, key long, node long, sketch binary, hashes binary")
-    groups = sets.repartition("table", "key").sortWithinPartitions("table", "key", "node")
-    return _grouped(prints, "node", groups.mapInArrow(_confirmed_rows(similarity, least), "a long, b long"))
+    members = checkpointed(nodes.join(proposed, "node").select("node", F.col("component").alias("group"), "size", "sketch", "who._id", "who._tag"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / TEXTS), F.ceil(F.sum("size") / MOST_SHINGLES))
+    members = looked_up(members, ["group"], members.groupBy("group").agg(blocks.alias("blocks")))
+    texts = keyed(docs, id_col, text_col).join(members, ["_id", "_tag"]).select("group", "blocks", "node", "sketch", "_text")
+    sets = texts.mapInArrow(_with_sets(width), "group long, blocks long, node long, sketch binary, hashes binary")
+    sets = checkpointed(sets.dropDuplicates(["node"]))  # rows equal in doc_id and text
+    return _grouped(prints, "node", _confirmed(sets, similarity, least))
