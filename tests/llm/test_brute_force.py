@@ -165,13 +165,19 @@ def test_line_dedup(spark, rows):
     for d, parts in lines:
         kept = [x for x in parts if len(holders[key(x)]) < 2 or min(holders[key(x)]) == d]
         want.append((d, len(parts), len(parts) - len(kept), sha("\n".join(kept))))
-    got = linededup.apply_bitmaps(linededup.keep_bitmaps(frame(spark, rows)))
-    assert sorted((r.doc_id, r.n_lines, r.n_dropped, sha(r.kept)) for r in got.collect()) == sorted(want)
+    docs = frame(spark, rows)
+    bitmaps = linededup.keep_bitmaps(docs)
+    assert "_text" not in bitmaps.columns and bitmaps.count() == len(set(rows))
+    got = linededup.apply_bitmaps(docs, bitmaps)
+    assert sorted((r.row.doc_id, r.n_lines, r.n_dropped, sha(r.kept or "")) for r in got.collect()) == sorted(want)
+    assert {r.row.doc_id for r in got.collect() if r.kept is None} == {d for d, t in rows if t is None}
     for r in got.collect():
         assert linededup.unpacked(r.bitmap, r.n_lines).sum() == r.n_lines - r.n_dropped
 
 
-def test_substring_dedup(spark, rows):
+@pytest.mark.parametrize("hot", [substring.HOT, 1])
+def test_substring_dedup(spark, rows, hot, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", hot)
     first, docs = {}, []
     tag = {(r._id, r._text): r._tag for r in __import__("tidemark.llm.common", fromlist=["keyed"]).keyed(frame(spark, rows), "doc_id", "text").collect()}
     for d, t in rows:
@@ -267,9 +273,9 @@ def test_contaminations(spark):
         typo[k] = "z"
     rows = [(0, prose(300)), (1, prose(100) + " " + items[0][1].upper() + " " + prose(50)), (2, "\n".join(items[1][1].split())), (3, prose(30) + " " + "".join(typo)), (4, items[2][1][: len(items[2][1]) * 3 // 4] + prose(90)), (5, None), (6, ""), (7, prose(10) + " tiny"), (8, prose(2000))]
     got = decontam.contaminations(frame(spark, rows), bench)
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 0), (2, 1), (3, 3), (4, 2)}
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 0), (2, 1), (3, 3), (4, 2), (7, 6)}
     kept = decontam.drop_contaminated(frame(spark, rows), bench)
-    assert sorted(r.doc_id for r in kept.collect()) == [0, 5, 6, 7, 8] and kept.columns == frame(spark, rows).columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 5, 6, 8] and kept.columns == frame(spark, rows).columns
 
 
 def test_alignment_equals_the_full_table():
@@ -349,7 +355,7 @@ def test_chat(spark):
         (None, None, "user", "x", None, None, None, None, None),
     ]
     df = spark.createDataFrame(m, "conv long, turn long, role string, text string, call_id string, tool string, arguments string, answers string, after array<string>")
-    got = {(r.conv, r.turn): r for r in chat.linked(df, schema, rounds=4).collect()}
+    got = {(r.conv, r.turn): r for r in chat.linked(df, schema).collect()}
     status = {k: r.status for k, r in got.items()}
     assert [status[1, k] for k in range(11)] == ["plain", "linked", "linked", "linked", "linked", "linked", "linked", "repeated", "orphan", "repeated", "cyclic"]
     assert status[2, 0] == "open" and status[None, None] == "plain"
@@ -376,7 +382,7 @@ EMPTY = {
     "simhash": lambda df, s: simhash.near_duplicates(df),
     "similar": lambda df, s: simhash.similar(df),
     "bpe": lambda df, s: bpe.round_trip(df, queries.tokenizer_path()),
-    "lines": lambda df, s: linededup.keep_bitmaps(df),
+    "lines": lambda df, s: linededup.apply_bitmaps(df, linededup.keep_bitmaps(df)).select("row.doc_id"),
     "substring": lambda df, s: substring.drop_repeated_passages(df),
     "exact": lambda df, s: exact.exact_groups(df),
     "decontam": lambda df, s: decontam.contaminations(df, s.createDataFrame([], "item_id long, text string")),
@@ -398,3 +404,214 @@ def test_empty_token_files(spark):
     tokenstore.write_tokens(frame(spark, []), out, queries.tokenizer_path(), 2)
     files = tokenstore.read_tokens(spark, out)
     assert tokenstore.with_starts(tokenstore.checksums(files), files).collect() == []
+
+
+def test_short_items_are_found_as_they_are(spark):
+    bench = spark.createDataFrame([(1, "What is 2+2? 4"), (None, "Ok  then"), (-1, "ok then!"), (3, " \n")], "item_id long, text string")
+    texts = ["so: what is 2+2?  4", "what is 2+2? 40", "it was ok\nthen.", "book then", "ok then!", "xok then! y"]
+    got = decontam.contaminations(frame(spark, list(enumerate(texts))), bench).collect()
+    assert {(r.doc_id, r.item_id, r.edits, r.start, r.stop) for r in got} == {(0, 1, 0, 4, 18), (2, None, 0, 7, 14), (4, None, 0, 0, 7), (4, -1, 0, 0, 8)}
+    kept = decontam.drop_contaminated(frame(spark, list(enumerate(texts))), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5]
+
+
+def _brute_contaminations(docs, items):
+    """Each item's segments against whole documents by a plain alignment; the pairs within the edits."""
+    met = set()
+    for item, text in items:
+        whole = decontam.normal(text or "")
+        if not whole:
+            continue
+        last = max(0, len(whole) - decontam.SEGMENT)
+        for at in {*range(0, last, decontam.SEGMENT // 2), last}:
+            p = np.frombuffer(whole[at : at + decontam.SEGMENT].encode("utf-32-le"), np.uint32)
+            for d, t in docs:
+                if (d, item) in met:
+                    continue
+                c = np.frombuffer(decontam.normal(t or "").encode("utf-32-le"), np.uint32)
+                cost, ramp = np.zeros(len(c) + 1, np.int64), np.arange(len(c) + 1)
+                for i, x in enumerate(p):
+                    new = np.concatenate([[i + 1], np.minimum(cost[:-1] + (c != x), cost[1:] + 1)])
+                    cost = np.minimum.accumulate(new - ramp) + ramp
+                if cost.min() <= int(decontam.RATE * len(p)):
+                    met.add((d, item))
+    return met
+
+
+def test_contaminations_equal_full_alignment(spark):
+    """Regions with 0 to 12 edits in a segment's length, in plain texts and over the edge of a piece of a long one."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    items = [(k, prose(22)) for k in range(4)]
+    docs = []
+    for k in range(40):
+        copy = list(items[k % 4][1])
+        for at in rng.sample(range(len(copy)), k * 12 // 40):
+            copy[at] = rng.choice(["", "q", copy[at] + "j"])
+        docs.append((k, prose(15) + " " + "".join(copy) + " " + prose(15)))
+    want = _brute_contaminations(docs, items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminations(frame(spark, docs), bench).collect()}
+    assert got <= want and len(want) > 20
+    missed = want - got
+    assert not missed, missed
+
+
+def test_long_texts_are_searched_in_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    item = prose(20)
+    index = decontam.build_index([(1, item), (2, "short one")])
+    texts = [prose(rng.randrange(1, 400)) + "  " + item + " \n " + prose(300) + " short one " + prose(700) for _ in range(30)]
+    want = sorted(decontam._found(index, texts, decontam.Q))
+    monkeypatch.setattr(decontam, "CHUNK", 1000)
+    monkeypatch.setattr(decontam, "OVERLAP", 600)
+    chunks = decontam._chunks.__defaults__
+    monkeypatch.setattr(decontam._chunks, "__defaults__", (1000,))
+    for text in [*texts, "x" * 5000, " " * 3000, "a " * 2000]:
+        whole = decontam.normal(text)
+        assert all(whole[at : at + len(piece)] == piece for at, piece in decontam._chunks(text)) and chunks
+        assert max((at + len(p) for at, p in decontam._chunks(text)), default=0) == len(whole)
+    assert sorted(decontam._found(index, texts, decontam.Q)) == want and len(want) == 60
+
+
+def test_several_blocks_of_the_benchmark(spark, sf_dir, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    key = lambda rows: {(r.doc_id, r.item_id, r.edits) for r in rows}
+    want = key(decontam.contaminations(docs, bench).collect())
+    kept = {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()}
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 4000)
+    assert {x[:2] for x in key(decontam.contaminations(docs, bench).collect())} == {x[:2] for x in want}
+    assert {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()} == kept
+
+
+def test_language_id_learns_from_long_texts_alone(spark):
+    en, fr = "the cat and the dog went over the hill ", "le chat et le chien sont dans la maison "
+    docs = [(k, (en if k % 2 else fr) * 700) for k in range(20)]
+    df = spark.createDataFrame([(d, t, "en" if d % 2 else "fr") for d, t in docs], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predictions(df, langid.fit(df)).collect()}
+    assert got == {d: "en" if d % 2 else "fr" for d, _ in docs}
+
+
+def test_language_sample_is_bounded_and_takes_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 60)
+    rows = [(k, f"text number {k % 700}", f"l{k % 30}") for k in range(2000)] + [(1, "the same row", "l0")] * 500 + [(9, "rare", "rarest"), (10, None, "never")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, labels = langid.sample(df)
+    assert len(texts) <= 60 and set(labels) == {f"l{k}" for k in range(30)} | {"rarest"}
+    assert (texts, labels) == langid.sample(df.repartition(5))
+
+
+def test_language_of_pieces_is_that_of_the_whole(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcé  .\n日") for _ in range(rng.randrange(0, 400))) for _ in range(40)] + ["", "x" * 300]
+    model = langid.train(["the cat and the dog", "le chat et le chien"] * 10, ["en", "fr"] * 10)
+    z, letters = model.logits(texts)
+    monkeypatch.setattr(langid._pieces, "__defaults__", (50,))
+    z2, letters2 = model.logits(texts)
+    assert np.allclose(z, z2) and (letters == letters2).all()
+
+
+def test_token_file_starts_with_several_files_a_task(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = new_path(spark, "tokens")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 40)
+    try:
+        tokenstore.write_tokens(docs, out, queries.tokenizer_path(), 2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    files = tokenstore.read_tokens(spark, out)
+    rows = sorted(tokenstore.with_starts(tokenstore.checksums(files), files).collect(), key=lambda r: r.doc_id)
+    assert len({r.file for r in rows}) > 4
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+
+
+def test_url_rule_hosts_are_lower_cased_as_urls_are(tmp_path):
+    urlfilter.write_rules([("block", "É.Com", "/")], str(tmp_path / "r"))
+    assert urlfilter.RuleFile(str(tmp_path / "r")).judge(["É.com", "é.com"], ["/", "/"])[1] == ["block", None]
+
+
+def test_url_filter_of_empty_tables_and_null_ids(spark):
+    schema = "page_id long, url string"
+    assert urlfilter.judged(spark.createDataFrame([], schema), queries.URL_RULES).collect() == []
+    assert [r.page_id for r in urlfilter.judged(spark.createDataFrame([(None, "http://a.com/de/")] * 2, schema), queries.URL_RULES).collect()] == [None, None]
+
+
+CHAT = "conv long, turn int, role string, text string, call_id string, tool string, arguments string, answers string, after array<string>, level string, status int, _conv string"
+
+
+def test_chat_of_null_conversations_and_empty_tables(spark):
+    assert chat.linked(spark.createDataFrame([], CHAT), {}).collect() == []
+    rows = [(None, 1, "assistant", None, "c", "t", "{}", None, None, "x", 1, "y"), (None, 2, "tool", "r", None, None, None, "c", None, "x", 1, "y"), (0, 3, "tool", "r", None, None, None, "c", None, "x", 1, "y"), (1, None, "assistant", None, "d", "t", "{}", None, ["e"], "x", 1, "y")]
+    got = chat.linked(spark.createDataFrame(rows, CHAT), {"t": {}}).collect()
+    assert sorted((str(r.conv), str(r.turn), r.status, str(r.root_turn), r.level) for r in got) == sorted([("None", "1", "linked", "1", 0), ("None", "2", "linked", "1", 1), ("0", "3", "orphan", "3", 0), ("1", "None", "open", "None", 0)])
+
+
+def test_chat_levels_equal_brute_force(spark):
+    """Random graphs of calls, with chains, joins and cycles, in three conversations."""
+    rng = random.Random(4)
+    rows, after, turn = [], {}, {}
+    for conv in range(3):
+        for k in range(120):
+            far = [f"c{j}" for j in (rng.randrange(120) if rng.random() < 0.02 else rng.randrange(k + 1), max(0, k - 1)) if j != k or rng.random() < 0.02]
+            after[conv, f"c{k}"] = rng.choice([None, far[-1:], far[-1:], far[:1], far]) if k % 40 else None
+            turn[conv, f"c{k}"] = rng.randrange(1000)
+            rows.append((conv, turn[conv, f"c{k}"], "assistant", None, f"c{k}", "t", "{}", None, after[conv, f"c{k}"], None, None, None))
+    level, root = {}, {}
+    for _ in range(400):
+        for key, before in after.items():
+            ahead = [(key[0], b) for b in set(before or ())]
+            if all(a in level for a in ahead):
+                level[key] = 1 + max((level[a] for a in ahead), default=-1)
+                root[key] = max([turn[key], *(root[a] for a in ahead)])
+    got = chat.linked(spark.createDataFrame(rows, CHAT), {"t": {}}).collect()
+    assert 0 < len(level) < len(after) and max(level.values()) > 32
+    for r in got:
+        key = r.conv, r.call_id
+        assert (r.status, r.level, r.root_turn) == (("open", 2 * level[key], root[key]) if key in level else ("cyclic", 0, r.turn)), key
+
+
+def test_hashes_of_long_texts_in_pieces():
+    text = ("Ab cd  e\tf " * 40 + "x" * 500 + " y" * 90).encode()
+    whole = np.concatenate(list(simhash._shingles(text, 5)))
+    for size in (7, 64, 1000):
+        assert (np.concatenate(list(simhash._shingles(text, 5, size))) == whole).all()
+    assert list(map(len, simhash._shingles(b"a b c " + b" " * 99, 5, 10))) == [1] and list(simhash._shingles(b"  ", 5)) == []
+
+
+def test_similar_groups_in_several_blocks(spark, monkeypatch):
+    """Groups over the block size: dense copies, and texts that only a chain joins."""
+    monkeypatch.setattr(simhash, "TEXTS", 5)
+    monkeypatch.setattr(simhash, "SPLIT", 6)
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(200)]
+        for k in range(30):
+            copy = list(base)
+            for at in rng.sample(range(200), k // 5):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    chain = [word() for _ in range(300)]
+    for k in range(12):
+        texts.append(" ".join(chain))
+        chain[24 * k : 24 * k + 24] = [word() for _ in range(24)]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if len(s & sets[j]) / len(s | sets[j]) >= 0.8 and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(label)) and len(set(label)) < len(label) / 3
+
+
+def test_looked_up(spark):
+    from tidemark.llm.common import looked_up
+
+    rows = spark.createDataFrame([(1, k) for k in range(200)] + [(2, 0), (2, 0), (3, 1)], "k int, v int")
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k int, x string")
+    got = sorted((r.k, r.v, r.x) for r in looked_up(rows, ["k"], table).collect())
+    assert got == sorted([(1, k, "a") for k in range(200)] + [(2, 0, "b")] * 2)

@@ -86,15 +86,21 @@ def test_op7(spark, sf_dir):
     role = {(r.conv_id, r.turn): r.role for r in rows}
     got = {(r.conv_id, r.turn): r for r in queries.chat_messages(spark, sf_dir).collect()}
     assert got.keys() == role.keys()
+    level = {}
+    for conv, turn in sorted(k for k, x in role.items() if x == "user"):
+        level[conv, turn] = max((2 + level[conv, p] for p in (turn - 1, turn - 2) if turn >= 2 and (conv, p) in level), default=0)
+    assert max(level.values()) >= 6
     for r in rows:
         g, m = got[r.conv_id, r.turn], json.loads(got[r.conv_id, r.turn].message)
         if r.role == "user":
             status = "linked" if role.get((r.conv_id, r.turn + 1)) == "assistant" else "open"
-            assert m["tool_calls"] == [{"arguments": {"prompt": r.text}, "id": f"{r.conv_id}-{r.turn}", "name": "reply"}] and m["content"] is None
-            assert g.problems == "" and (g.root_turn, g.level) == (r.turn, 0)
+            arguments = {"prompt": r.text} | ({"turn": r.turn} if r.turn >= 2 else {})
+            assert m["tool_calls"] == [{"arguments": arguments, "id": f"{r.conv_id}-{r.turn}", "name": "follow_up" if r.turn >= 2 else "ask"}] and m["content"] is None
+            assert g.problems == "" and (g.root_turn, g.level) == (r.turn, level[r.conv_id, r.turn])
         elif r.role == "assistant":
             status = "linked" if role.get((r.conv_id, r.turn - 1)) == "user" else "orphan"
             assert m == {"content": r.text, "role": "assistant", "tool_call_id": f"{r.conv_id}-{r.turn - 1}"}
+            assert (g.root_turn, g.level) == ((r.turn - 1, level[r.conv_id, r.turn - 1] + 1) if status == "linked" else (r.turn, 0))
         else:
             status = "plain"
             assert m == {"content": r.text, "role": r.role}
