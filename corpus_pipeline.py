@@ -10,46 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, langid, linededup, simhash
-from tidemark.llm.common import LAST_ID, keyed, new_path
+from tidemark.llm.common import carried, new_path
 from tidemark.llm.queries import held_out, tokenizer_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier doesn't reject."""
+    """Documents whose language the classifier doesn't reject. Null texts and texts without a letter have none and go."""
     return langid.drop_rejected(docs, langid.fit(docs, ~held_out()))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents without lines that an earlier document has; n_chars follows the text. A null text stays null."""
-    keys = keyed(docs, "doc_id", "text")
-    plan = linededup.dropped_positions(keys).withColumnsRenamed({"_id": "_drop_id", "_tag": "_drop_tag"})
-    # packed, so that no column of docs clashes with one of ours
-    ident = docs["doc_id"].cast("long")
-    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(ident, F.lit(LAST_ID)).alias("_id"), F.xxhash64(docs["text"], ident.isNull()).alias("_tag"))
-    joined = own.join(plan, (F.col("_id") == F.col("_drop_id")) & (F.col("_tag") == F.col("_drop_tag")), "left")
-    # positions are from 0; filter() numbers the lines likewise
-    kept = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda line, k: ~F.array_contains(F.col("drops"), k)), "\n")
-    same = F.col("drops").isNull()
-    changed = {"text": F.when(same, F.col("row.text")).otherwise(kept)}
+    found = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
+    changed = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.length(changed["text"])).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+        changed["n_chars"] = F.when(F.col("n_dropped") == 0, F.col("row.n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five words, similarity 0.8) the document with the smallest doc_id. A null doc_id has no say and stays."""
-    found = simhash.similar(docs)
-    gone = found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Of each component of near duplicates (five words, similarity 0.8) the document with the smallest doc_id.
+
+    Of rows with that doc_id one text stays. A null doc_id is the largest. Rows equal in doc_id and text are one document.
+    Documents without words are alike.
+    """
+    gone = simhash.similar(docs).where("not first").select(F.col("_id").alias("_gone_id"), F.col("_tag").alias("_gone_tag"))
+    rows = carried(docs, "doc_id", "text")
+    return rows.join(gone, (rows["_id"] == gone["_gone_id"]) & (rows["_tag"] == gone["_gone_tag"]), "left_anti").select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. A null text holds none and stays."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of what they decode to."""
+    """doc_id, n_tokens, and digests of the ids and of what they decode to. A null text is empty; repeated rows each come out."""
     return bpe.round_trip(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
