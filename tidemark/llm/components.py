@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, looked_up
+from tidemark.llm.common import checkpointed
 
 ROUNDS = 60
 
@@ -17,10 +17,11 @@ def _both(edges: DataFrame) -> DataFrame:
 def _star(directed: DataFrame, only_larger: bool) -> DataFrame:
     """Ties each node's neighbours (or the larger ones alone) to the least of the node and its neighbours.
 
-    The least is an aggregate with partial sums, joined back by a salted join, so a hub's neighbours are never gathered in one place.
+    The least is an aggregate with partial sums. It is joined back by u, a hub's neighbours on the one side and a single
+    row on the other, which is the join that adaptive execution splits where one u has too many.
     """
     least = directed.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    tied = looked_up(directed, ["u"], least)
+    tied = directed.join(least, "u")
     if only_larger:
         return tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     own = least.where("u <> m").select("u", F.col("m").alias("v"))

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import keyed, mixed, real_id, slices, texts_of
 
 PER_LANG, SAMPLE_ROWS, SAMPLE_CHARS, WINDOWS = 1500, 30_000, 20_000, 8
-PIECE = 1 << 19
+PIECE = 1 << 17
 BUCKET_BITS, DIM, ORDERS, EPOCHS, RATE = 16, 16, (1, 2, 3), 8, 0.5
 #: Of rows that the classifier gets right, the share that calibration may reject, and the highest threshold.
 LOST, HIGHEST = 0.001, 0.5

@@ -222,7 +222,7 @@ def _grouped(prints: DataFrame, node: str, pairs: DataFrame) -> DataFrame:
     found = components(pairs).withColumnRenamed("node", "_node")
     labels = smallest.join(found, smallest[node] == found["_node"], "left").select(node, "smallest", F.coalesce("component", F.col(node)).alias("component"))
     first = labels.groupBy("component").agg(F.min("smallest").alias("_first"))
-    named = looked_up(labels.select(node, "component"), ["component"], first).select(node, "_first")
+    named = labels.select(node, "component").join(first, "component").select(node, "_first")
     joined = looked_up(prints.select("_id", "_tag", "fingerprint", *({node} - {"fingerprint"})), [node], named)
     component = F.when(F.col("_first._id") != LAST_ID, F.col("_first._id")).alias("component_id")
     return joined.select("_id", "_tag", real_id(), "fingerprint", component, (least == F.col("_first")).alias("first"))
@@ -367,7 +367,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     """
     banded = nodes.select("node", F.posexplode("keys").alias("table", "key"))
     sizes = banded.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = looked_up(banded, ["table", "key"], sizes)
+    held = banded.join(sizes, ["table", "key"])
     blocks = F.ceil(F.col("n") / SPLIT)
     own = F.pmod(F.xxhash64("node"), blocks)
     held = held.select("table", "key", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"), "n")
@@ -397,7 +397,7 @@ def _confirmed(sets: DataFrame, similarity: float, least: float) -> DataFrame:
     counts = labels.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("n"))
     main = main.where(F.col("all") > F.col("n")).select("group", "main", F.ceil((F.col("all") - F.col("n")) / TEXTS).alias("parts"))
-    labels = checkpointed(looked_up(labels, ["group"], main))
+    labels = checkpointed(labels.join(main, "group"))
     if labels.isEmpty():
         return inside
     rows = labels.join(sets.select("node", "sketch", "hashes"), "node").withColumn("block", block).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
@@ -424,7 +424,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     proposed = components(buckets.mapInArrow(_similar_rows(least, REACH), "a long, b long").distinct())
     members = checkpointed(nodes.join(proposed, "node").select("node", F.col("component").alias("group"), "size", "sketch", "who._id", "who._tag"))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / TEXTS), F.ceil(F.sum("size") / MOST_SHINGLES))
-    members = looked_up(members, ["group"], members.groupBy("group").agg(blocks.alias("blocks")))
+    members = members.join(members.groupBy("group").agg(blocks.alias("blocks")), "group")
     texts = keyed(docs, id_col, text_col).join(members, ["_id", "_tag"]).select("group", "blocks", "node", "sketch", "_text")
     sets = texts.mapInArrow(_with_sets(width), "group long, blocks long, node long, sketch binary, hashes binary")
     sets = checkpointed(sets.dropDuplicates(["node"]))  # rows equal in doc_id and text
