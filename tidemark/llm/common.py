@@ -6,6 +6,7 @@ stay apart, and a null doc_id sorts after every other id instead of vanishing in
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,6 +47,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Has the driver drop what is out of reach, so that Spark's cleaner deletes its shuffle files; for loops that shuffle many times."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def docs_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     ident = docs[id_col].cast("long")
     return [F.coalesce(ident, F.lit(LAST_ID)).alias("_id"), F.xxhash64(docs[text_col], ident.isNull()).alias("_tag")]

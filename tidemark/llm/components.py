@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, released
 
 ROUNDS = 60
 
@@ -18,27 +18,31 @@ def _star(directed: DataFrame, only_larger: bool) -> DataFrame:
     """Ties each node's neighbours (or the larger ones alone) to the least of the node and its neighbours.
 
     The least is an aggregate with partial sums. It is joined back by u, a hub's neighbours on the one side and a single
-    row on the other, which is the join that adaptive execution splits where one u has too many.
+    row on the other, which is the join that adaptive execution splits where one u has too many. Edges may repeat.
     """
     least = directed.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     tied = directed.join(least, "u")
     if only_larger:
-        return tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        return tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.where("u <> m").select("u", F.col("m").alias("v"))
-    return tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).distinct()
+    return tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
 
 
 def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """node, component (the least node reachable) for each node of the links a, b (longs); nodes without links are not listed."""
+    """node, component (the least node reachable) for each node of the links a, b (longs); nodes without links are not listed.
+
+    Rounds go on until one changes nothing; all edges then lead to their component's least node.
+    """
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(rounds):
         large = _star(_both(edges), only_larger=True)
-        edges = checkpointed(_star(large.where("u > v"), only_larger=False).where("u > v"))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        if tuple(now) == before and now[0] == now[2]:  # stars only, and a round that changed nothing
+        edges = checkpointed(_star(large.where("u > v"), only_larger=False).where("u > v").distinct())
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        released(links.sparkSession)
+        if now == before:
             break
-        before = tuple(now)
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LAST_ID, checkpointed, keyed, looked_up, mixed, real_id, slices, texts_of
+from tidemark.llm.common import LAST_ID, checkpointed, keyed, looked_up, mixed, real_id, released, slices, texts_of
 from tidemark.llm.components import components
 
 SHINGLE, RADIUS, BUCKET, ITEMS, CHUNK = 3, 2, 4096, 1 << 17, 1 << 20
@@ -428,4 +428,5 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     texts = keyed(docs, id_col, text_col).join(members, ["_id", "_tag"]).select("group", "blocks", "node", "sketch", "_text")
     sets = texts.mapInArrow(_with_sets(width), "group long, blocks long, node long, sketch binary, hashes binary")
     sets = checkpointed(sets.dropDuplicates(["node"]))  # rows equal in doc_id and text
+    released(docs.sparkSession)
     return _grouped(prints, "node", _confirmed(sets, similarity, least))
