@@ -173,8 +173,8 @@ def test_intervals(spark):
     assert [r.seconds for r in got] == [None, 120.0, 0.0, 121.0, 19.0, None, None]
 
 
-PLAY = {"game": 1, "play_id": 1, "drive": 1, "posteam": "a", "play_deleted": 0.0, "aborted_play": 0.0, "pass_attempt": 0.0, "rush_attempt": 0.0, "complete_pass": 0.0, "qb_dropback": None, "qb_kneel": 0.0, "qb_spike": 0.0, "sack": 0.0, "epa": 0.5, "success": 1.0, "interception": 0.0, "fumble_lost": 0.0, "qtr": 1, "score_differential": 0.0, "game_seconds_remaining": 1800.0, "yardline_100": 50.0, "goal_to_go": 0.0, "yards_gained": 5.0, "result": None}
-PLAY_SCHEMA = ", ".join(f"{k} {'string' if k in ('posteam', 'result') else 'int' if k in ('game', 'play_id', 'drive', 'qtr') else 'double'}" for k in PLAY)
+PLAY = {"game": 1, "play_id": 1, "drive": 1, "posteam": "a", "defteam": "b", "play_type": "run", "play_deleted": 0.0, "aborted_play": 0.0, "pass_attempt": 0.0, "rush_attempt": 0.0, "complete_pass": 0.0, "qb_dropback": None, "qb_kneel": 0.0, "qb_spike": 0.0, "sack": 0.0, "epa": 0.5, "success": 1.0, "interception": 0.0, "fumble_lost": 0.0, "qtr": 1, "score_differential": 0.0, "game_seconds_remaining": 1800.0, "yardline_100": 50.0, "goal_to_go": 0.0, "yards_gained": 5.0, "result": None}
+PLAY_SCHEMA = ", ".join(f"{k} {'string' if k in ('posteam', 'defteam', 'play_type', 'result') else 'int' if k in ('game', 'play_id', 'drive', 'qtr') else 'double'}" for k in PLAY)
 
 
 def _plays(spark, *changes):
@@ -185,10 +185,19 @@ def test_play_flags(spark):
     df = events.play_flags(_plays(spark, {"rush_attempt": 1.0, "qb_kneel": 1.0}, {"sack": 1.0}, {"interception": 1.0, "fumble_lost": 1.0}, {"rush_attempt": 1.0, "epa": None}, {"rush_attempt": 1.0, "score_differential": -8.0}, {"rush_attempt": 1.0, "score_differential": 9.0}, {"rush_attempt": 1.0, "qtr": 4, "game_seconds_remaining": 899.0}, {"rush_attempt": 1.0, "qtr": 4, "game_seconds_remaining": 900.0}, {"posteam": None, "rush_attempt": 1.0}, {"rush_attempt": 1.0, "score_differential": None}))
     r = df.orderBy("play_id").collect()
     assert not r[0].is_rush and r[1].is_dropback and r[2].is_turnover and not r[3].has_epa
-    assert [x.is_neutral for x in r[4:8]] == [True, False, False, True] and not r[8].is_valid and not r[9].is_neutral
+    # the fourth quarter is never neutral
+    assert [x.is_neutral for x in r[4:8]] == [True, False, False, False] and not r[8].is_valid and not r[9].is_neutral
     assert all(v is not None for x in r for k, v in x.asDict().items() if k.startswith(("is_", "has_", "in_")))
 
 
+def test_valid_plays_turnovers_and_explosive_passes(spark):
+    changes = [{"defteam": None}, {"play_type": "punt"}, {"play_type": None}, {"play_deleted": None}, {"aborted_play": 1.0}, {"play_type": "qb_spike"}, {"interception": 1.0}, {"pass_attempt": 1.0, "interception": 1.0}, {"pass_attempt": 1.0, "yards_gained": 25.0}, {"pass_attempt": 1.0, "qb_dropback": 0.0}]
+    r = events.play_flags(_plays(spark, *changes)).orderBy("play_id").collect()
+    assert [x.is_valid for x in r] == [False] * 5 + [True] * 5
+    assert [x.is_turnover for x in r[6:8]] == [False, True] and r[8].is_explosive_pass and not r[8].is_completion
+    assert r[8].is_dropback and r[8].is_dropback_fallback and not r[9].is_dropback and not r[9].is_dropback_fallback
+
+
 def test_possessions(spark):
     p = _plays(spark, {"drive": 1}, {"drive": 1, "result": "Touchdown"}, {"drive": 2, "result": "Field goal"}, {"drive": 2, "result": "Punt"}, {"drive": 3})
     got = {r.drive: r for r in events.possessions(p, ["game", "drive"], "play_id", "result", {"n_pass": F.col("pass_attempt") == 1}).collect()}
@@ -397,7 +406,7 @@ def test_every_customer_of_orders_is_classed(spark, sf_dir):
     from tidemark.plans import QUERIES
 
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    rows = QUERIES["candidate_classes_all"](spark, sf_dir).collect()
+    rows = QUERIES["candidate_classes"](spark, sf_dir).collect()
     assert {r.o_custkey for r in rows} == {r.o_custkey for r in orders.select("o_custkey").distinct().collect()}
     assert sum(r.n_candidates for r in rows) == orders.count()
 
@@ -409,3 +418,97 @@ def test_request_plan_covers_every_order_within_its_span(spark, sf_dir):
     games = [int(g) for r in rows for g in r.games.split(",")]
     assert sorted(games) == sorted(r.o_orderkey for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").collect())
     assert all(r.cluster_start - r.requested_at == 3_600_000_000 and r.n == len(r.games.split(",")) for r in rows)
+
+
+def test_ridge_panel_equals_the_plain_fit(spark):
+    """Medians of the training rows for nulls, standardised numbers, one-hot categories, a ridge around the mean."""
+    rng = np.random.default_rng(3)
+    rows = [(b, k, float(rng.normal()) if rng.random() > 0.2 else None, float(k % 7), rng.choice(["p", "q", "r"]) if rng.random() > 0.1 else None, float(rng.normal() + 2 * (k % 7)) if k % 9 else None) for k, b in enumerate(b for b in range(6) for _ in range(40))]
+    rows.append((5, 999, 0.5, None, "new", 1.0))
+    df = spark.createDataFrame(rows, "block_ord int, k int, x1 double, x2 double, c string, y double")
+    pairs = blocks.prior_pairs(df.select("block_ord").distinct())
+    got = {(r.target, r.alpha, r.k): r.predicted for r in fits.ridge_panel(df, pairs, ["x1", "x2"], ["c"], "y", [1.0, 50.0], ["k"]).collect()}
+    assert len(got) == 2 * len(rows)
+    for target in range(6):
+        train, test = [r for r in rows if r[0] < target and r[5] is not None], [r for r in rows if r[0] == target]
+        for alpha in (1.0, 50.0):
+            if len(train) < 50:
+                assert all(got[target, alpha, r[1]] is None for r in test)
+                continue
+            mid = [float(np.median([r[c] for r in train if r[c] is not None])) for c in (2, 3)]
+            number = lambda rs: np.array([[m if r[c] is None else r[c] for c, m in zip((2, 3), mid, strict=True)] for r in rs])
+            a, b = number(train), number(test)
+            mean, dev = a.mean(0), a.std(0)
+            levels = sorted({r[4] for r in train if r[4] is not None})
+            hot = lambda rs: np.array([[float(r[4] == x) for x in levels] for r in rs])
+            a, b = np.hstack([(a - mean) / dev, hot(train)]), np.hstack([(b - mean) / dev, hot(test)])
+            y = np.array([r[5] for r in train])
+            centre, base = a.mean(0), y.mean()
+            w = np.linalg.solve((a - centre).T @ (a - centre) + alpha * np.eye(a.shape[1]), (a - centre).T @ (y - base))
+            assert [got[target, alpha, r[1]] for r in test] == pytest.approx((b - centre) @ w + base, abs=1e-6)
+
+
+def test_pooling_and_point_fits_equal_the_plain_fits(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for b in range(5):
+        for _ in range(80):
+            p = float(np.round(rng.uniform(0.1, 0.9), 3))
+            rows.append((b, float(np.round(np.clip(p + rng.normal(0, 0.1), 0.02, 0.98), 3)), p, int(rng.random() < p), float(rng.integers(-20, 20)) / 2, float(rng.integers(-15, 15)), float(np.round(rng.normal(0, 5), 2))))
+    df = spark.createDataFrame(rows, "block_ord int, m double, k double, y int, t double, a double, e double")
+    pairs = blocks.prior_pairs(df.select("block_ord").distinct())
+    logit = lambda p: np.log(np.clip(p, 0.01, 0.99) / (1 - np.clip(p, 0.01, 0.99)))
+    for r in fits.pooling(df, pairs, "m", "k", "y").collect():
+        train = [x for x in rows if x[0] < r.target]
+        assert r.n == len(train)
+        if r.supported:
+            pm, pk, y = (np.array([x[c] for x in train], float) for c in (1, 2, 3))
+            a, b, _ = fits.logistic(logit(pk), y, 1.0)
+            at = logit(1 / (1 + np.exp(-(a + b * logit(pk)))))
+            grid = np.linspace(0, 1, 10001)
+            loss = [np.mean(np.log1p(np.exp(at + w * (logit(pm) - at))) - y * (at + w * (logit(pm) - at))) for w in grid]
+            assert (r.intercept, r.slope) == pytest.approx((a, b), abs=1e-7) and r.weight == pytest.approx(grid[int(np.argmin(loss))], abs=2e-4)
+    for r in fits.point_fits(df, pairs, "e", "t", "k", "a").collect():
+        train = [x for x in rows if x[0] < r.target]
+        if r.reason == "FITTED":
+            e, t, p, a = (np.array([x[c] for x in train], float) for c in (6, 4, 2, 5))
+            res = a - t
+            sigma = 1.4826 * np.median(np.abs(res - np.median(res)))
+            mean = fits.implied_means(t, p, sigma)
+            beta = np.clip(((e - mean) * (a - mean)).sum() / ((e - mean) ** 2).sum(), 0, 1)
+            assert (r.sigma, r.beta) == pytest.approx((sigma, beta), abs=1e-7)
+
+
+def test_boosted_panel_walks_forward(spark):
+    rng = np.random.default_rng(1)
+    rows = [(b, k, float(rng.normal()), int(rng.random() < 0.5) if b != 9 else None) for k, b in enumerate(b for b in range(10) for _ in range(25))]
+    of = lambda rs: {r.k: r for r in fits.boosted_panel(spark.createDataFrame(rs, "block_ord int, k int, x double, y int"), ["x"], "y", least_rows=80, most_rounds=3).collect()}
+    got = of(rows)
+    assert len(got) == len(rows) and {r.status for r in got.values() if r.block_ord < 4} == {"WARMUP"} and {r.status for r in got.values() if r.block_ord >= 4} == {"FITTED"}
+    again = of([r if r[0] < 8 else (*r[:2], r[2], None) for r in rows])  # later results change nothing before them
+    assert all(got[r[1]].p_boosted == again[r[1]].p_boosted for r in rows if r[0] <= 8)
+
+
+def test_offer_board_has_all_markets_and_sees_earlier_blocks_only(spark, sf_dir):
+    from tidemark.plans import pipelines
+
+    rng = np.random.default_rng(2)
+    games, quotes = [], []
+    for g in range(600):
+        b, h, a = g // 50, int(rng.integers(0, 40)), int(rng.integers(0, 40))
+        games.append((g, float(np.round(rng.uniform(0.2, 0.8), 3)), float(np.round(rng.normal(0, 6), 1)), float(np.round(rng.normal(42, 6), 1))))
+        for market, sides, line in (("moneyline", ("home", "away"), None), ("spread", ("home", "away"), float(rng.integers(-14, 14)) / 2), ("total", ("over", "under"), 35.0 + float(rng.integers(0, 20)) / 2)):
+            for k, s in enumerate(sides):
+                quotes.append((g, b, "b0", market, s, None if line is None else -line if market == "spread" and k else line, int(rng.integers(-130, -100)), h, a))
+    schema = "game int, block_ord int, book string, market string, side string, line double, price int, home_score int, away_score int"
+    models = spark.createDataFrame(games, "game int, p_home double, margin double, total double")
+    board = lambda q: {(r.game, r.side, r.market): r for r in pipelines.offer_board(spark.createDataFrame(q, schema), models, ["b0"], least=60, least_rows=60, least_blocks=3).collect()}
+    got = board(quotes)
+    assert len(got) == len(quotes)
+    for r in got.values():
+        assert (r.p_win is None) == (r.reason is not None) and (r.p_win is None or r.p_win + r.p_push + r.p_loss == pytest.approx(1))
+        if r.p_win is not None and r.market != "moneyline" and abs(r.line % 1 - 0.5) < 0.1:
+            assert r.p_push == pytest.approx(0, abs=1e-9)
+    assert {r.market for r in got.values() if r.p_win is not None} == {"moneyline", "spread", "total"} and len({r.tier for r in got.values()}) > 1
+    late = board([q if q[1] < 8 else (*q[:7], 1, 30) for q in quotes])
+    assert all(late[k].p_win == got[k].p_win and late[k].tier == got[k].tier for k, r in got.items() if r.block_ord <= 8)

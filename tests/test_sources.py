@@ -101,7 +101,7 @@ def test_sinks(spark, tmp_path):
     new = T.StructType([*old.fields, T.StructField("s", T.StringType())])
     path = str(tmp_path / "ledger")
     sinks.append(df.select("k"), path, old)
-    sinks.append_once(df.union(spark.createDataFrame([(2, "b"), (2, "b")], df.schema)), path, new, "k")
+    sinks.append(spark.createDataFrame([(2, "b")], df.schema), path, new)
     assert sorted(map(tuple, sinks.ledger(spark, path).select("k", "s").collect())) == [(1, None), (2, "b")]
     with pytest.raises(ValueError):
         sinks.append(df, path, old)
@@ -110,6 +110,23 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
 
 
+def test_append_widens_and_reads_old_files(spark, tmp_path):
+    schema, path = T.StructType([T.StructField("k", T.IntegerType())]), str(tmp_path / "w")
+    sinks.append(spark.createDataFrame([(1,)], "k int"), path, schema)
+    wider = sinks.append(spark.createDataFrame([(2, "x")], "k long, s string"), path, schema, widen=True)
+    assert wider.names == ["k", "s"] and sorted(map(tuple, sinks.ledger(spark, path).collect())) == [(1, None), (2, "x")]
+
+
+def test_append_once_keeps_snapshots_whole(spark, tmp_path):
+    """All rows of a snapshot, equal ones once; a repeated batch writes the same again, another batch adds nothing."""
+    df = spark.createDataFrame([("s1", 1), ("s1", 2), ("s1", 2), ("s2", 1), (None, 5)], "snap string, v int")
+    path, schema = str(tmp_path / "once"), df.schema
+    for batch in (0, 0, 1):
+        sinks.append_once(df, path, schema, "snap", batch)
+    sinks.append_once(df.union(spark.createDataFrame([("s3", 9)], df.schema)), path, schema, "snap", 2)
+    assert sorted((r.snap or "", r.v) for r in sinks.ledger(spark, path).collect()) == [("", 5), ("s1", 1), ("s1", 2), ("s2", 1), ("s3", 9)]
+
+
 def test_season_files_and_baseline(spark, tmp_path):
     for y in (2020, 2021):
         spark.createDataFrame([(y * 10,)], "g int").write.parquet(str(tmp_path / str(y)))

@@ -97,3 +97,12 @@ def test_staleness_alarm(spark, tmp_path):
         q.stop()
         for k in ROCKS:
             spark.conf.unset(k)
+
+
+def test_rating_stream_carries_seasons_and_skips_unplayed_games(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    rows = [("L", b, 2000 + b // 7, f"{b:02}", "abc"[b % 3], "abc"[(b + 1) % 3], None if b % 6 == 5 else b * 7 % 30, b * 5 % 30, b % 4 == 0, float(b % 3), 1.0) for b in range(20)]
+    schema = "league string, block_ord int, season int, game string, home string, away string, home_score int, away_score int, neutral boolean, home_adjustment double, away_adjustment double"
+    got = {r.game: (r.p_home, r.change) for r in run(spark, jobs.rating_stream(landed(spark, rows, schema, tmp_path)), tmp_path, "append", ROCKS)}
+    batch = ratings.rating_ledger(spark.createDataFrame(rows, schema), {"x": Rating()}).where("side = 'home'").collect()
+    assert len(got) == 20 and got == {r.game: (pytest.approx(r.p), pytest.approx(r.change)) for r in batch}

@@ -1,18 +1,22 @@
 """Per-block fits on earlier blocks: ridge effects, logistic maps, market pooling, point markets.
 
-Statistics that add up (normal equations, histograms) are summed in Spark; a group's fit then solves a small dense
+Statistics that add up (normal equations, counts of equal observations) are summed in Spark for each block first, and
+a target adds up the blocks before it: rows are never paired with targets. A group's fit then solves a small dense
 system or a one-dimensional problem in numpy. Blocks are independent, so all fit in parallel.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from math import erf
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.odds import calibrated_probability, pooled_probability
+from tidemark.functions.odds import ERF, calibrated_probability, pooled_probability
 
 
 def _sigmoid(x):
@@ -144,29 +148,41 @@ def expected_points(games: DataFrame, effects: DataFrame) -> DataFrame:
     return out.select(*games.columns, home.alias("expected_home"), away.alias("expected_away"), (home - away).alias("expected_margin"))
 
 
-def pooling(rows: DataFrame, pairs: DataFrame, model: str, market: str, y: str, least: int = 100, strength: float = 1.0) -> DataFrame:
+def _cells(rows: DataFrame, pairs: DataFrame, columns: dict[str, str], digits: int, sums: dict[str, str] | None = None) -> DataFrame:
+    """target, the columns rounded to `digits`, n and sums: the rows of the blocks before each target, equal ones counted.
+
+    Blocks are counted before they meet their targets, so what is paired is as large as a block's different values.
+    """
+    known = rows.select("block_ord", *(F.col(c).cast("double").alias(name) for name, c in (columns | (sums or {})).items())).dropna()
+    by = [F.round(c, digits).alias(c) for c in columns]
+    count = [F.sum(c).alias(c) for c in sums or {}]
+    per = known.groupBy("block_ord", *by).agg(F.count(F.lit(1)).cast("double").alias("n"), *count)
+    return per.join(pairs, per["block_ord"] == pairs["source"]).groupBy("target", *columns).agg(F.sum("n").alias("n"), *count)
+
+
+def pooling(rows: DataFrame, pairs: DataFrame, model: str, market: str, y: str, least: int = 100, strength: float = 1.0, digits: int = 4) -> DataFrame:
     """ML-09. For each target block on earlier rows: the logistic calibration of the market, and the weight in [0, 1] that the model gets beside it.
 
-    The gradient of the loss in the weight is monotone; its root is bisected. Not supported with too few rows, one
-    class, or a slope that isn't positive (reason says which).
+    Probabilities are rounded to `digits`, and equal pairs counted by block. The gradient of the loss in the weight is
+    monotone; its root is bisected. Not supported with too few rows, one class, or a slope that isn't positive (reason
+    says which).
     """
     from_p = lambda p: np.log(np.clip(p, 0.01, 0.99) / (1 - np.clip(p, 0.01, 0.99)))
-    ok = rows.where(F.col(model).isNotNull() & F.col(market).isNotNull() & F.col(y).isNotNull()).select("block_ord", F.col(model).alias("pm"), F.col(market).alias("pk"), F.col(y).cast("double").alias("y"))
-    panel = ok.join(pairs, ok["block_ord"] == pairs["source"]).select("target", "pm", "pk", "y")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pm, pk, y = (pdf[c].to_numpy(float) for c in ("pm", "pk", "y"))
+        pdf = pdf.sort_values(["pk", "pm"])  # sums in one order
+        pm, pk, n, hits = (pdf[c].to_numpy(float) for c in ("pm", "pk", "n", "y"))
         a = b = w = np.nan
-        if len(y) < least:
+        if n.sum() < least:
             reason = "TOO_FEW"
         else:
-            a, b, reason = logistic(from_p(pk), y, 1 / strength)
+            a, b, reason = weighted_logistic(from_p(pk), n, hits, 1 / strength)
             if reason == "CONVERGED" and b <= 0:
                 reason = "NONPOSITIVE_SLOPE"
         if reason == "CONVERGED":
             at = from_p(_sigmoid(a + b * from_p(pk)))
             d = from_p(pm) - at
-            slope = lambda t: float(np.mean(d * (_sigmoid(at + t * d) - y)))
+            slope = lambda t: float((d * (n * _sigmoid(at + t * d) - hits)).sum())
             low, high = 0.0, 1.0
             if slope(0.0) >= 0:
                 high = 0.0
@@ -176,8 +192,9 @@ def pooling(rows: DataFrame, pairs: DataFrame, model: str, market: str, y: str,
                 mid = (low + high) / 2
                 low, high = (mid, high) if slope(mid) <= 0 else (low, mid)
             w = (low + high) / 2
-        return pd.DataFrame({"target": [pdf["target"].iloc[0]], "intercept": [a], "slope": [b], "weight": [w], "n": [len(y)], "supported": [reason == "CONVERGED"], "reason": [reason]})
+        return pd.DataFrame({"target": [pdf["target"].iloc[0]], "intercept": [a], "slope": [b], "weight": [w], "n": [int(n.sum())], "supported": [reason == "CONVERGED"], "reason": [reason]})
 
+    panel = _cells(rows, pairs, {"pm": model, "pk": market}, digits, {"y": y})
     return panel.groupBy("target").applyInPandas(fit, "target int, intercept double, slope double, weight double, n long, supported boolean, reason string")
 
 
@@ -188,96 +205,199 @@ def pooled(rows: DataFrame, fits: DataFrame, model: str, market: str) -> DataFra
     return rows.join(f, "block_ord", "left").withColumn("p_pooled", p).drop("intercept", "slope", "weight")
 
 
-def implied_means(line: np.ndarray, p: np.ndarray, sigma: float) -> np.ndarray:
-    """FN-09. The normal mean at which P(above, given no push) is p, for all lines at once: bisection in vectors."""
-    from math import erf
+def _normal_cdf(z: np.ndarray) -> np.ndarray:
+    """functions.odds.normal_cdf for arrays."""
+    x = np.abs(z) / 2**0.5
+    t = 1 / (1 + ERF["p"] * x)
+    tail = 0.5 * t * np.polyval(ERF["a"][::-1], t) * np.exp(-x * x)
+    return np.where(z >= 0, 1 - tail, tail)
+
 
-    cdf = np.vectorize(lambda z: 0.5 * (1 + erf(z / 2**0.5)))
-    push = np.abs(line - np.round(line)) <= 1e-9
+def _exact_cdf(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.fromiter(map(erf, (z / 2**0.5).tolist()), float, len(z)))
+
+
+def implied_means(line: np.ndarray, p: np.ndarray, sigma: float | np.ndarray) -> np.ndarray:
+    """FN-09. The normal mean at which P(above, given no push) is p, for all lines at once: bisection in vectors, then two Newton steps with the exact distribution."""
+    push = 0.5 * (np.abs(line - np.round(line)) <= 1e-9)
     p = np.clip(p, 0.01, 0.99)
     low, high = line - 12 * sigma, line + 12 * sigma
-    for _ in range(60):
+    for _ in range(40):
         mid = (low + high) / 2
-        loss, win = cdf((line - 0.5 * push - mid) / sigma), 1 - cdf((line + 0.5 * push - mid) / sigma)
+        loss, win = _normal_cdf((line - push - mid) / sigma), 1 - _normal_cdf((line + push - mid) / sigma)
         up = win / (win + loss) < p
         low, high = np.where(up, mid, low), np.where(up, high, mid)
-    return (low + high) / 2
+    mid = (low + high) / 2
+    density = lambda z: np.exp(-z * z / 2) / (2 * np.pi) ** 0.5 / sigma
+    for _ in range(2):
+        below, above = (line - push - mid) / sigma, (line + push - mid) / sigma
+        loss, win = _exact_cdf(below), 1 - _exact_cdf(above)
+        slope = (density(above) * loss + win * density(below)) / (win + loss) ** 2
+        mid = mid - (win / (win + loss) - p) / np.maximum(slope, 1e-12)
+    return mid
+
+
+def with_implied_mean(rows: DataFrame, line: str, p_above: str, sigma: str, name: str) -> DataFrame:
+    """FN-09. rows with the implied mean of each line, integer lines included; null where an operand is."""
+
+    @F.pandas_udf("double")
+    def mean(t: pd.Series, p: pd.Series, s: pd.Series) -> pd.Series:
+        known = t.notna() & p.notna() & s.notna()
+        return pd.Series(implied_means(*(x.where(known, 1.0).to_numpy(float) for x in (t, p, s)))).where(known)
+
+    return rows.withColumn(name, mean(*(F.col(c).cast("double") for c in (line, p_above, sigma))))
 
 
-def point_fits(rows: DataFrame, pairs: DataFrame, model: str, line: str, p_above: str, actual: str, least: int = 100) -> DataFrame:
-    """ML-10. For each target block: robust scale of actual minus line, and beta in [0, 1], the share of the model's distance to the market's implied mean that holds."""
-    ok = rows.select("block_ord", *(F.col(c).cast("double").alias(n) for c, n in ((model, "m"), (line, "t"), (p_above, "p"), (actual, "a")))).dropna()
-    panel = ok.join(pairs, ok["block_ord"] == pairs["source"]).select("target", "m", "t", "p", "a")
+def weighted_median(x: np.ndarray, n: np.ndarray) -> float:
+    """The median of values that occur n times each."""
+    order = np.argsort(x, kind="stable")
+    ends = np.cumsum(n[order])
+    at = np.searchsorted(ends, [(ends[-1] - 1) // 2, ends[-1] // 2], side="right")
+    return float(x[order][at].mean())
+
+
+def point_fits(rows: DataFrame, pairs: DataFrame, model: str, line: str, p_above: str, actual: str, least: int = 100, digits: int = 4) -> DataFrame:
+    """ML-10. For each target block: robust scale of actual minus line, and beta in [0, 1], the share of the model's distance to the market's implied mean that holds.
+
+    Values are rounded to `digits`, and equal rows counted by block.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, t, p, a = (pdf[c].to_numpy(float) for c in ("m", "t", "p", "a"))
+        pdf = pdf.sort_values(["t", "a", "m", "p"])
+        m, t, p, a, n = (pdf[c].to_numpy(float) for c in ("m", "t", "p", "a", "n"))
         sigma = beta = np.nan
-        reason = "TOO_FEW" if len(a) < least else "FITTED"
+        total = n.sum()
+        reason = "TOO_FEW" if total < least else "FITTED"
         if reason == "FITTED":
             r = a - t
-            sigma = 1.4826 * float(np.median(np.abs(r - np.median(r))))
+            sigma = 1.4826 * weighted_median(np.abs(r - weighted_median(r, n)), n)
             if sigma <= 1e-9:
-                sigma = float(np.std(r, ddof=1))
+                mean = (n * r).sum() / total
+                sigma = float(((n * (r - mean) ** 2).sum() / (total - 1)) ** 0.5)
             if sigma <= 1e-9:
                 reason, sigma = "NO_SCALE", np.nan
             else:
                 mean = implied_means(t, p, sigma)
                 d = m - mean
-                beta = float(np.clip((d * (a - mean)).sum() / max((d * d).sum(), 1e-12), 0, 1))
-        return pd.DataFrame({"target": [pdf["target"].iloc[0]], "sigma": [sigma], "beta": [beta], "n": [len(a)], "reason": [reason]})
+                beta = float(np.clip((n * d * (a - mean)).sum() / max((n * d * d).sum(), 1e-12), 0, 1))
+        return pd.DataFrame({"target": [pdf["target"].iloc[0]], "sigma": [sigma], "beta": [beta], "n": [int(total)], "reason": [reason]})
 
+    panel = _cells(rows, pairs, {"m": model, "t": line, "p": p_above, "a": actual}, digits)
     return panel.groupBy("target").applyInPandas(fit, "target int, sigma double, beta double, n long, reason string")
 
 
-def ridge_panel(rows: DataFrame, pairs: DataFrame, numbers: list[str], categories: list[str], y: str, alphas: list[float], keys: list[str], least: int = 50) -> DataFrame:
-    """ML-11. Predictions of each target block by a ridge on earlier blocks, for each alpha: medians for nulls, standardised numbers, one-hot categories."""
-    train = rows.join(pairs, rows["block_ord"] == pairs["source"]).select("target", F.lit(True).alias("_train"), *keys, *numbers, *categories, F.col(y).cast("double").alias("_y")).where("_y is not null")
-    test = rows.select(F.col("block_ord").alias("target"), F.lit(False).alias("_train"), *keys, *numbers, *categories, F.col(y).cast("double").alias("_y"))
-    grid = train.unionByName(test).withColumn("alpha", F.explode(F.array(*(F.lit(float(a)) for a in alphas))))
-    kinds = dict(rows.dtypes)
+def ridge_panel(rows: DataFrame, pairs: DataFrame, numbers: list[str], categories: list[str], y: str, alphas: list[float], keys: list[str], least: int = 50, digits: int = 6) -> DataFrame:
+    """ML-11. Predictions of each target block by a ridge on earlier blocks, for each alpha: medians for nulls, standardised numbers, one-hot categories.
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        tr, te = pdf[pdf["_train"]], pdf[~pdf["_train"]]
-        out = te[["target", "alpha", *keys, "_y"]].rename(columns={"_y": "actual"}).assign(predicted=np.nan)
-        if len(tr) >= least and len(te):
-            x, z = tr[numbers].astype(float), te[numbers].astype(float)
-            mid = x.median().fillna(0.0)
-            x, z = x.fillna(mid), z.fillna(mid)
-            mean, dev = x.mean(), x.std(ddof=0).replace(0, 1.0)
-            a, b = [((x - mean) / dev).to_numpy()], [((z - mean) / dev).to_numpy()]
-            for c in categories:
-                for level in sorted(tr[c].dropna().unique()):
-                    a.append((tr[c] == level).to_numpy(float)[:, None])
-                    b.append((te[c] == level).to_numpy(float)[:, None])
-            a, b = np.hstack(a), np.hstack(b)
-            centre, base = a.mean(0), tr["_y"].mean()
-            a = a - centre
-            w = np.linalg.solve(a.T @ a + tr["alpha"].iloc[0] * np.eye(a.shape[1]), a.T @ (tr["_y"].to_numpy() - base))
-            out["predicted"] = (b - centre) @ w + base
-        return out
-
-    schema = ", ".join(["target int, alpha double", *(f"{k} {kinds[k]}" for k in keys), "actual double, predicted double"])
-    return grid.groupBy("target", "alpha").applyInPandas(fit, schema)
-
-
-def boosted_panel(rows: DataFrame, features: list[str], y: str, split_at: int, validation: int = 2, rounds: int = 20, depth: int = 3, seed: int = 7) -> DataFrame:
-    """ML-12. One step of a boosted-tree panel: fitted on blocks before split_at less the validation blocks, with p_boosted for the blocks from there on.
-
-    The learner is Spark ML's gradient-boosted trees, which trains over partitions; nulls are medians of the training rows.
+    A block is reduced to the products of its terms (each number with zero for null, whether it is null, each category,
+    the target and one) and to counts of each number's values, rounded to `digits`, for the medians. A target adds up
+    both, puts its own medians into the products, and solves one system for each alpha; its rows are predicted
+    by a join with the solution. Categories that earlier blocks lack, and nulls among them, weigh nothing.
+    """
+    train = rows.where(F.col(y).isNotNull())
+    term = lambda name, v: F.struct(name.alias("t"), v.cast("double").alias("v"))
+    some = F.filter(F.array(
+        term(F.lit("1"), F.lit(1.0)), term(F.lit("y"), F.col(y)),
+        *(term(F.lit(f"v:{c}"), F.col(c)) for c in numbers), *(term(F.lit(f"m:{c}"), F.when(F.col(c).isNull(), 1.0)) for c in numbers),
+        *(term(F.concat(F.lit(f"c:{c}="), F.col(c).cast("string")), F.when(F.col(c).isNotNull(), 1.0)) for c in categories),
+    ), lambda x: x["v"].isNotNull() & (x["v"] != 0))
+    left = train.select("block_ord", some.alias("terms")).select("block_ord", "terms", F.explode("terms").alias("a"))
+    products = left.select("block_ord", "a", F.explode("terms").alias("b")).groupBy("block_ord", F.col("a.t").alias("i"), F.col("b.t").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("v"))
+    values = train.select("block_ord", F.explode(F.array(*(F.struct(F.lit(f"v:{c}").alias("i"), F.round(F.col(c).cast("double"), digits).alias("x")) for c in numbers))).alias("e")).where("e.x is not null")
+    counts = values.groupBy("block_ord", F.col("e.i").alias("i"), F.col("e.x").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    both = products.withColumn("x", F.lit(None).cast("double")).unionByName(counts.withColumn("j", F.lit(None).cast("string")))
+    panel = both.join(pairs, both["block_ord"] == pairs["source"]).groupBy("target", "i", "j", "x").agg(F.sum("v").alias("v"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        gram, counted = pdf[pdf["j"].notna()], pdf[pdf["j"].isna()]
+        names = sorted({"1", "y"} | set(gram["i"]) | {f"{k}:{c}" for k in "vm" for c in numbers})
+        at = {n: k for k, n in enumerate(names)}
+        g = np.zeros((len(names), len(names)))
+        g[gram["i"].map(at), gram["j"].map(at)] = gram["v"]
+        n = g[at["1"], at["1"]]
+        if n < least:
+            return pd.DataFrame({"target": np.zeros(0, int), "alpha": np.zeros(0), "term": np.zeros(0, object), "weight": np.zeros(0), "middle": np.zeros(0)})
+        # columns of the design as combinations of the terms
+        levels = [t for t in names if t.startswith("c:")]
+        middles, mix = [], np.zeros((len(names), len(numbers) + len(levels)))
+        for k, c in enumerate(numbers):
+            own = counted[counted["i"] == f"v:{c}"]
+            middles.append(weighted_median(own["x"].to_numpy(float), own["v"].to_numpy(float)) if len(own) else 0.0)
+            mix[at[f"v:{c}"], k], mix[at[f"m:{c}"], k] = 1, middles[k]
+        for k, t in enumerate(levels):
+            mix[at[t], len(numbers) + k] = 1
+        centre, base = mix.T @ g[:, at["1"]] / n, g[at["y"], at["1"]] / n
+        xx = mix.T @ g @ mix - n * np.outer(centre, centre)
+        xy = mix.T @ g[:, at["y"]] - n * centre * base
+        dev = np.ones(len(centre))
+        own = np.sqrt(np.maximum(np.diag(xx)[: len(numbers)], 0) / n)
+        dev[: len(numbers)] = np.where(own > 1e-12, own, 1.0)
+        out = []
+        for alpha in alphas:
+            w = np.linalg.solve(xx / np.outer(dev, dev) + alpha * np.eye(len(dev)), xy / dev) / dev
+            out.append(("1", base - float(centre @ w), 0.0, alpha))
+            out += [(t, x, m, alpha) for t, x, m in zip([*(f"v:{c}" for c in numbers), *levels], w.tolist(), [*middles, *[0.0] * len(levels)], strict=True)]
+        terms, x, m, alpha = (np.array(c, object if k == 0 else float) for k, c in enumerate(zip(*out, strict=True)))
+        return pd.DataFrame({"target": pdf["target"].iloc[0], "alpha": alpha, "term": terms, "weight": x, "middle": m})
+
+    weights = panel.groupBy("target").applyInPandas(solve, "target int, alpha double, term string, weight double, middle double")
+    solved = weights.groupBy("target", "alpha").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("weight", "middle")))).alias("_w"))
+    # one row a block and alpha
+    tests = rows.select(F.col("block_ord").alias("target"), *keys, *numbers, *categories, F.col(y).cast("double").alias("actual"), F.explode(F.array(*(F.lit(float(x)) for x in alphas))).alias("alpha"))
+    joined = tests.join(solved, ["target", "alpha"], "left")
+    of = lambda t: F.try_element_at("_w", t)
+    predicted = of(F.lit("1"))["weight"]
+    for c in numbers:
+        predicted = predicted + of(F.lit(f"v:{c}"))["weight"] * F.coalesce(F.col(c).cast("double"), of(F.lit(f"v:{c}"))["middle"])
+    for c in categories:
+        predicted = predicted + F.coalesce(of(F.concat(F.lit(f"c:{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))))["weight"], F.lit(0.0))
+    return joined.select("target", "alpha", *keys, "actual", predicted.alias("predicted"))
+
+
+def boosted_panel(rows: DataFrame, features: list[str], y: str, validation: int = 2, least_blocks: int = 4, least_rows: int = 100, most_rounds: int = 20, depth: int = 3, seed: int = 7) -> DataFrame:
+    """ML-12. A walk-forward panel of boosted trees: every row with p_boosted, status and warmup_reason.
+
+    Of each target block the blocks before it are split into fit and validation blocks (blocks.fit_split, which also
+    says what is warm-up). Trees are fitted on the fit blocks, the number of rounds is the one with the least loss on
+    the validation blocks, and a refit on both with so many rounds scores the target. A fit with one class is a warm-up.
+    Nulls are medians of the training rows. The learner is Spark ML's gradient-boosted trees, which trains over
+    partitions; the driver loops over the blocks of the calendar, a bounded list, and rows stay in Spark.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    cast = rows.select("*", *(F.col(c).cast("double").alias(f"_f_{c}") for c in features), F.col(y).cast("double").alias("_y"))
+    from tidemark.operators import blocks
+
+    calendar = rows.select("block_ord").distinct()
+    exposed = blocks.exposure(rows, calendar, F.col(y).isNotNull(), "block_ord")
+    split = blocks.fit_split(exposed, validation, least_blocks, least_rows)
     names = [f"_f_{c}" for c in features]
-    train = cast.where((F.col("block_ord") < split_at - validation) & F.col("_y").isNotNull())
-    imputer = Imputer(inputCols=names, outputCols=[f"{n}_i" for n in names], strategy="median").fit(train)
+    cast = rows.select("*", *(F.col(c).cast("double").alias(f"_f_{c}") for c in features), F.col(y).cast("double").alias("_y")).persist()
     pack = VectorAssembler(inputCols=[f"{n}_i" for n in names], outputCol="_x")
-    model = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=rounds, maxDepth=depth, seed=seed).fit(pack.transform(imputer.transform(train)))
-    scored = model.transform(pack.transform(imputer.transform(cast.where(F.col("block_ord") >= split_at - validation))))
-    part = F.when(F.col("block_ord") < split_at, "validate").otherwise("predict")
-    return scored.select(*rows.columns, part.alias("part"), vector_to_array("probability")[1].alias("p_boosted"))
+
+    def trained(train: DataFrame, rounds: int):
+        imputer = Imputer(inputCols=names, outputCols=[f"{n}_i" for n in names], strategy="median").fit(train)
+        packed = lambda df: pack.transform(imputer.transform(df))
+        return packed, GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=rounds, maxDepth=depth, seed=seed).fit(packed(train))
+
+    out = []
+    for b in split.orderBy("block_ord").collect():
+        known = cast.where((F.col("block_ord") < b.block_ord) & F.col("_y").isNotNull())
+        target = cast.where(F.col("block_ord") == b.block_ord)
+        reason, p = b.warmup_reason, F.lit(None).cast("double")
+        if reason is None:
+            fit, valid = known.where(F.col("block_ord") <= b.fit_last), known.where(F.col("block_ord") >= b.validate_first)
+            if fit.agg(F.count_distinct("_y")).first()[0] < 2:
+                reason = "single_class"
+            else:
+                packed, model = trained(fit, most_rounds)
+                losses = model.evaluateEachIteration(packed(valid)) if valid.limit(1).count() else []
+                packed, model = trained(known, 1 + losses.index(min(losses)) if losses else most_rounds)
+                target = model.transform(packed(target))
+                p = vector_to_array("probability")[1]
+        out.append(target.select(*rows.columns, p.alias("p_boosted"), F.lit("FITTED" if reason is None else "WARMUP").alias("status"), F.lit(reason).cast("string").alias("warmup_reason")))
+    return reduce(DataFrame.unionByName, out) if out else rows.select("*", F.lit(None).cast("double").alias("p_boosted"), F.lit("WARMUP").alias("status"), F.lit("no_block").alias("warmup_reason"))
 
 
 def reliability_states(losses: DataFrame, block: str = "block_ord", least_rows: int = 128, least_blocks: int = 8, replicates: int = 200, seed: int = 0) -> DataFrame:

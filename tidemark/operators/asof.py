@@ -7,8 +7,12 @@ cutoff counts. One entity's rows share a partition; entities are many.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -23,11 +27,14 @@ def asof(targets: DataFrame, facts: DataFrame, key: list[str], as_of: str, avail
     names = [c for c in targets.columns if c not in key]
     t = targets.select(*key, F.col(as_of).alias("_t"), F.lit(1).alias("_kind"), F.struct(*names).alias("_target"))
     both = f.unionByName(t, allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy("_t", "_kind", *(f"_tie{k}" for k in range(len(tie)))).rowsBetween(Window.unboundedPreceding, 0)
-    picked = both.withColumn("_seen", F.last("_fact", ignorenulls=True).over(w)).where("_kind = 1")
-    known = F.col("_t").isNotNull()
+    # targets that can find nothing are spread, not gathered under the null key
+    lost = F.col("_t").isNull()
     for k in key:
-        known = known & F.col(k).isNotNull()
+        lost = lost | F.col(k).isNull()
+    both = both.withColumn("_apart", F.when(lost, F.xxhash64("_target")).otherwise(F.lit(0).cast("long")))
+    w = Window.partitionBy(*key, "_apart").orderBy("_t", "_kind", *(f"_tie{k}" for k in range(len(tie)))).rowsBetween(Window.unboundedPreceding, 0)
+    picked = both.withColumn("_seen", F.last("_fact", ignorenulls=True).over(w)).where("_kind = 1")
+    known = ~lost
     clash = [v for v in values if v in targets.columns]
     if clash:
         raise ValueError(f"columns on both sides: {clash}")
@@ -97,17 +104,40 @@ def first_per_key(df: DataFrame, key: list[str], order: list, n: int = 1) -> Dat
 def resolved(targets: DataFrame, evidence: DataFrame, key: list[str], candidate: str, rank: str, time: str, as_of: str, label: str) -> DataFrame:
     """JN-04. The candidate that the evidence before the cutoff names: state and candidates of each target.
 
-    Each candidate counts with its latest row at or before as_of; the lowest rank leads; two leaders are AMBIGUOUS,
-    one has the state `label`, none UNKNOWN. Rows without a candidate are ignored. The evidence of a target is
-    joined by key, so its rows per key should be few.
+    Each candidate counts with its latest row at or before as_of, the lowest rank of those if several; the lowest
+    rank leads; two leaders are AMBIGUOUS, one has the state `label`, none UNKNOWN. Rows without a candidate or time
+    are ignored, those without a rank never lead; a target with a null key or cutoff is UNKNOWN. Evidence and targets
+    of a key are sorted by time together and streamed; a task holds the ranks of one key's candidates, never its rows.
     """
-    e = evidence.where(F.col(candidate).isNotNull()).select(*key, F.col(candidate).alias("_c"), F.col(rank).alias("_r"), F.col(time).alias("_t"))
-    t = targets.withColumn("_target", F.xxhash64(*targets.columns))
-    joined = t.select("_target", *key, F.col(as_of).alias("_cut")).distinct().join(e, key).where("_t <= _cut")
-    latest = joined.groupBy("_target", "_c").agg(F.max_by("_r", F.struct("_t", -F.col("_r"))).alias("_r"))
-    least = latest.groupBy("_target").agg(F.min("_r").alias("_least"))
-    leaders = latest.join(least, "_target").where("_r = _least").groupBy("_target").agg(F.array_sort(F.collect_set("_c")).alias("candidates"))
-    out = t.join(leaders, "_target", "left").drop("_target")
+    e = evidence.where(F.col(candidate).isNotNull() & F.col(time).isNotNull())
+    e = e.select(*key, F.col(time).cast("timestamp").alias("_t"), F.lit(0).alias("_kind"), F.col(candidate).cast("string").alias("_c"), F.col(rank).cast("double").alias("_r"))
+    t = targets.select(*key, F.col(as_of).cast("timestamp").alias("_t"), F.lit(1).alias("_kind"), F.struct(*targets.columns).alias("_target"))
+    both = e.unionByName(t, allowMissingColumns=True)
+    lost = F.col("_t").isNull()
+    for k in key:
+        lost = lost | F.col(k).isNull()
+    both = both.withColumns({"_key": F.to_json(F.struct(*key)), "_lost": lost}).withColumn("_key", F.when(F.col("_lost"), F.concat(F.lit("lost "), F.xxhash64("_target").cast("string"))).otherwise(F.col("_key")))
+    kind = both.schema["_target"].dataType
+    ordered = both.select("_key", "_lost", "_t", "_kind", "_c", "_r", "_target").repartition("_key").sortWithinPartitions("_key", "_t", "_kind", F.col("_r").desc_nulls_first())
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ranks = None, {}
+        for batch in batches:
+            kept, leaders = [], []
+            for k, (name, lost_, is_target, c, r) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("_key", "_lost", "_kind", "_c", "_r")), strict=True)):
+                if name != at:
+                    at, ranks = name, {}
+                if is_target:
+                    known = {} if lost_ else {x: y for x, y in ranks.items() if y is not None}
+                    least = min(known.values(), default=None)
+                    kept.append(k)
+                    leaders.append(sorted(x for x, y in known.items() if y == least) or None)
+                elif not lost_:
+                    ranks[c] = r
+            yield pa.RecordBatch.from_arrays([batch.column("_target").take(pa.array(kept, pa.int64())), pa.array(leaders, pa.list_(pa.string()))], names=["_target", "candidates"])
+
+    schema = T.StructType([T.StructField("_target", kind), T.StructField("candidates", T.ArrayType(T.StringType()))])
+    out = ordered.mapInArrow(rows, schema).select("_target.*", F.col("candidates").cast(T.ArrayType(evidence.schema[candidate].dataType)).alias("candidates"))
     n = F.coalesce(F.size("candidates"), F.lit(0))
     return out.withColumn("state", F.when(n > 1, "AMBIGUOUS").when(n == 1, label).otherwise("UNKNOWN"))
 

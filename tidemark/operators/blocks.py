@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -67,18 +71,26 @@ def fit_split(exposed: DataFrame, validation: int = 2, least_blocks: int = 4, le
 def anchored_clusters(events: DataFrame, key: list[str], time: str, minutes: int, ident: str) -> DataFrame:
     """WN-14. Greedy clusters: an event joins the open cluster while it is within `minutes` of the cluster's start.
 
-    Returns key, cluster_start, n and ids. Each key (an entity's day) is folded in one array, so a key must hold
-    few events; session windows do something else, as they measure from the last event.
+    Returns key, cluster_start, n and ids. Each key's events are sorted by time and streamed, and only the start of the
+    open cluster is carried, so a key may hold any number of events; session windows do something else, as they
+    measure from the last event. Null keys are keys; events without a time are left out.
     """
-    # micros, so that the fold compares exact integers
-    items = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(ident).alias("id"))))
     span = minutes * 60_000_000
-    kind = f"array<struct<start:bigint,ids:array<{dict(events.dtypes)[ident]}>>>"
-    fold = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (x["t"] - F.element_at(acc, -1)["start"] <= span),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.concat(F.element_at(acc, -1)["ids"], F.array(x["id"])).alias("ids")))),
-    ).otherwise(F.concat(acc, F.array(F.struct(x["t"].alias("start"), F.array(x["id"]).alias("ids")))))
-    safe = lambda acc, x: F.when(F.size(acc) == 0, F.array(F.struct(x["t"].alias("start"), F.array(x["id"]).alias("ids")))).otherwise(fold(acc, x))
-    groups = events.groupBy(*key).agg(items.alias("items"))
-    folded = groups.select(*key, F.explode(F.aggregate("items", F.array().cast(kind), safe)).alias("c"))
-    return folded.select(*key, F.timestamp_micros("c.start").alias("cluster_start"), F.size("c.ids").alias("n"), F.col("c.ids").alias("ids"))
+    timed = events.select(*key, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.col(ident).alias("_id")).where("_t is not null")
+    timed = timed.withColumn("_key", F.to_json(F.struct(*key)))
+    ordered = timed.repartition("_key").sortWithinPartitions("_key", "_t", "_id")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, start = None, 0
+        for batch in batches:
+            starts = []
+            for name, t in zip(batch.column("_key").to_pylist(), batch.column("_t").to_pylist(), strict=True):
+                if name != at or t - start > span:
+                    at, start = name, t
+                starts.append(start)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64())], names=[*batch.schema.names, "_start"])
+
+    schema = T.StructType([*ordered.schema.fields, T.StructField("_start", T.LongType())])
+    placed = ordered.mapInArrow(rows, schema)
+    found = placed.groupBy("_key", *key, "_start").agg(F.count(F.lit(1)).cast("int").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_t", "_id"))), lambda x: x["_id"]).alias("ids"))
+    return found.select(*key, F.timestamp_micros("_start").alias("cluster_start"), "n", "ids")

@@ -88,31 +88,36 @@ def matchup(rate_for: Column | str, rate_against: Column | str) -> Column:
     return (a + b) / 2
 
 
-def matchups(games: DataFrame, states: DataFrame, families: dict[str, tuple[str, str, float]], block: str = "block_ord", home: str = "home", away: str = "away") -> DataFrame:
-    """WN-06. games with home_<family> and away_<family> for each family: (metric made, metric allowed, least denominator).
+def matchups(games: DataFrame, states: DataFrame, families: dict[str, tuple[str, str, float]], block: str = "block_ord", home: str = "home", away: str = "away", prefix: str = "", missing: bool = False) -> DataFrame:
+    """WN-06. games with away_<prefix><family> and home_<prefix><family> for each family: (metric made, metric allowed,
+    least denominator); with `missing` each followed by <column>_missing, 1 where the matchup is null and 0 elsewhere.
 
     states: entity, metric, block, num, den, n after the block (leaving_state). The latest block before the game's
-    counts, by one as-of pick of each side's states folded to a map of rates.
+    counts: each entity and block that plays is picked once, over as many rows as the calendar has, and games find
+    both their sides by entity and block.
     """
     from tidemark.operators.asof import asof
 
-    made = {m: d for a, b, d in families.values() for m in (a, b)}
+    made = {m: k for k, m in enumerate(dict.fromkeys(m for a, b, _ in families.values() for m in (a, b)))}
     # one row an entity and block, with every metric's latest state carried along
-    wide = states.groupBy("entity", block).agg(*(F.max(F.when(F.col("metric") == m, F.struct("num", "den"))).alias(f"_m{k}") for k, m in enumerate(made)))
+    wide = states.groupBy("entity", block).agg(*(F.max(F.when(F.col("metric") == m, F.struct("num", "den"))).alias(f"_m{k}") for m, k in made.items()))
     w = Window.partitionBy("entity").orderBy(block).rowsBetween(Window.unboundedPreceding, 0)
-    wide = wide.select("entity", (F.col(block) + 1).alias("_usable"), *(F.last(f"_m{k}", ignorenulls=True).over(w).alias(f"_m{k}") for k in range(len(made))))
-    values = [f"_m{k}" for k in range(len(made))]
+    values = [f"_m{k}" for k in made.values()]
+    wide = wide.select("entity", (F.col(block) + 1).alias("_usable"), *(F.last(v, ignorenulls=True).over(w).alias(v) for v in values))
+    calendar = games.select(F.explode(F.array(home, away)).alias("entity"), block).distinct()
+    picked = asof(calendar, wide, ["entity"], block, "_usable", values)
     out = games
     for side, column in (("h", home), ("a", away)):
-        facts = wide.select(F.col("entity").alias(column), F.col("_usable").alias(f"_usable_{side}"), *(F.col(v).alias(f"{v}{side}") for v in values))
-        out = asof(out, facts, [column], block, f"_usable_{side}", [f"{v}{side}" for v in values])
-    number = {m: k for k, m in enumerate(made)}
+        facts = picked.select(F.col("entity").alias(column), block, *(F.col(v).alias(f"{v}{side}") for v in values))
+        out = out.join(facts, [column, block], "left")
 
     def known(metric: str, side: str, least: float) -> Column:
-        s = F.col(f"_m{number[metric]}{side}")
+        s = F.col(f"_m{made[metric]}{side}")
         return F.when(s["den"] >= least, s["num"] / s["den"])
 
     cols = []
     for name, (a, b, least) in families.items():
-        cols += [matchup(known(a, "h", least), known(b, "a", least)).alias(f"home_{name}"), matchup(known(a, "a", least), known(b, "h", least)).alias(f"away_{name}")]
+        for side, x, y in (("away", "a", "h"), ("home", "h", "a")):
+            value = matchup(known(a, x, least), known(b, y, least))
+            cols += [value.alias(f"{side}_{prefix}{name}")] + ([value.isNull().cast("int").alias(f"{side}_{prefix}{name}_missing")] if missing else [])
     return out.select(*games.columns, *cols)

@@ -91,14 +91,16 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Line items as a play log: an order is a game, its returned items end a possession.
 PLAYS_SQL = """plays as (
-    select l_orderkey as game, l_linenumber * 10000000 + l_partkey as play_id, (l_linenumber - 1) // 3 as drive, case when l_suppkey % 11 = 0 then null else 's' || (l_suppkey % 7) end as posteam,
+    select l_orderkey as game, (l_linenumber * 10000000 + l_partkey) * 1000 + l_suppkey % 1000 as play_id, (l_linenumber - 1) // 3 as drive, case when l_suppkey % 11 = 0 then null else 's' || (l_suppkey % 7) end as posteam,
+           case when l_suppkey % 11 <> 0 and l_suppkey % 53 <> 1 then 's' || ((l_suppkey + 1) % 7) end as defteam, case when l_partkey % 13 = 0 then 'qb_kneel' when l_partkey % 17 = 0 then 'qb_spike' when l_partkey % 3 = 0 then 'pass' when l_partkey % 37 = 0 then 'punt' else 'run' end as play_type,
+           case when l_partkey % 3 = 0 and l_partkey % 10 <> 3 then cast(l_partkey % 40 - 5 as double) end as air_yards, case when l_partkey % 10 <> 6 then cast(l_partkey % 12 as double) end as yards_after_catch,
            case when l_quantity > 48 then 1.0 else 0.0 end as play_deleted, 0.0 as aborted_play, case when l_partkey % 3 = 0 then 1.0 else 0.0 end as pass_attempt,
            case when l_partkey % 3 = 1 then 1.0 else 0.0 end as rush_attempt, case when l_partkey % 6 = 0 then 1.0 else 0.0 end as complete_pass,
            case l_partkey % 5 when 0 then null when 1 then 1.0 else 0.0 end as qb_dropback, case when l_partkey % 13 = 0 then 1.0 else 0.0 end as qb_kneel,
            case when l_partkey % 17 = 0 then 1.0 else 0.0 end as qb_spike, case when l_partkey % 19 = 0 then 1.0 else 0.0 end as sack,
            case when l_suppkey % 9 = 0 then null else l_discount * 10 - 0.5 end as epa, case when l_suppkey % 9 = 0 then null else l_partkey % 2 * 1.0 end as success,
            case when l_partkey % 23 = 0 then 1.0 else 0.0 end as interception, case when l_partkey % 29 = 0 then 1.0 else 0.0 end as fumble_lost,
-           l_linenumber % 4 + 1 as qtr, cast(l_quantity as bigint) % 20 - 10 as score_differential, case when l_suppkey % 8 = 0 then null else l_partkey % 1800 end as game_seconds_remaining,
+           l_linenumber % 4 + 1 as qtr, cast(l_quantity as bigint) % 20 - 10 as score_differential, case when l_suppkey % 8 = 0 then null else 3600 - 200 * l_linenumber - l_partkey % 300 end as game_seconds_remaining,
            l_partkey % 100 as yardline_100, case when l_partkey % 31 = 0 then 1.0 else 0.0 end as goal_to_go, cast(l_quantity as bigint) - 20 as yards_gained,
            case l_returnflag when 'R' then 'Touchdown' when 'A' then 'Field goal' end as result
     from lineitem)"""
@@ -107,11 +109,13 @@ PLAYS_SQL = """plays as (
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = lambda c: f"case when {c} then 1.0D else 0.0D end"
     return load(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey as game", "l_linenumber * 10000000 + l_partkey as play_id", "(l_linenumber - 1) div 3 as drive", "case when l_suppkey % 11 = 0 then null else concat('s', l_suppkey % 7) end as posteam",
+        "l_orderkey as game", "(l_linenumber * 10000000 + l_partkey) * 1000 + l_suppkey % 1000 as play_id", "(l_linenumber - 1) div 3 as drive", "case when l_suppkey % 11 = 0 then null else concat('s', l_suppkey % 7) end as posteam",
+        "case when l_suppkey % 11 <> 0 and l_suppkey % 53 <> 1 then concat('s', (l_suppkey + 1) % 7) end as defteam", "case when l_partkey % 13 = 0 then 'qb_kneel' when l_partkey % 17 = 0 then 'qb_spike' when l_partkey % 3 = 0 then 'pass' when l_partkey % 37 = 0 then 'punt' else 'run' end as play_type",
+        "case when l_partkey % 3 = 0 and l_partkey % 10 <> 3 then cast(l_partkey % 40 - 5 as double) end as air_yards", "case when l_partkey % 10 <> 6 then cast(l_partkey % 12 as double) end as yards_after_catch",
         f"{flag('l_quantity > 48')} as play_deleted", "0.0D as aborted_play", f"{flag('l_partkey % 3 = 0')} as pass_attempt", f"{flag('l_partkey % 3 = 1')} as rush_attempt", f"{flag('l_partkey % 6 = 0')} as complete_pass",
         "case l_partkey % 5 when 0 then null when 1 then 1.0D else 0.0D end as qb_dropback", f"{flag('l_partkey % 13 = 0')} as qb_kneel", f"{flag('l_partkey % 17 = 0')} as qb_spike", f"{flag('l_partkey % 19 = 0')} as sack",
         "case when l_suppkey % 9 = 0 then null else l_discount * 10 - 0.5D end as epa", "case when l_suppkey % 9 = 0 then null else l_partkey % 2 * 1.0D end as success", f"{flag('l_partkey % 23 = 0')} as interception", f"{flag('l_partkey % 29 = 0')} as fumble_lost",
-        "l_linenumber % 4 + 1 as qtr", "cast(l_quantity as bigint) % 20 - 10 as score_differential", "case when l_suppkey % 8 = 0 then null else l_partkey % 1800 end as game_seconds_remaining",
+        "l_linenumber % 4 + 1 as qtr", "cast(l_quantity as bigint) % 20 - 10 as score_differential", "case when l_suppkey % 8 = 0 then null else 3600 - 200 * l_linenumber - l_partkey % 300 end as game_seconds_remaining",
         "l_partkey % 100 as yardline_100", f"{flag('l_partkey % 31 = 0')} as goal_to_go", "cast(l_quantity as bigint) - 20 as yards_gained", "case l_returnflag when 'R' then 'Touchdown' when 'A' then 'Field goal' end as result",
     )
 

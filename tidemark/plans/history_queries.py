@@ -110,30 +110,32 @@ def completed_age(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("o_orderkey", "age", F.round(history.half_life_weight("age", 8.0), 6).alias("weight"))
 
 
-_FLAGS_SQL = """v as (select *, play_deleted <> 1 and aborted_play <> 1 and posteam is not null as is_valid from plays),
-    fl as (select *, is_valid and pass_attempt = 1 and qb_spike <> 1 as is_pass, is_valid and rush_attempt = 1 and qb_kneel <> 1 as is_rush,
-           is_valid and qb_spike <> 1 and qb_kneel <> 1 and (case when qb_dropback is null then pass_attempt = 1 or sack = 1 else qb_dropback = 1 end) as is_dropback,
-           is_valid and (interception = 1 or fumble_lost = 1) as is_turnover from v),
-    fs as (select *, is_rush or is_dropback as is_scrimmage, is_pass and complete_pass = 1 as is_completion from fl)"""
-
-
-@query("event_flags", with_(PLAYS_SQL, _FLAGS_SQL, """n as (select game, count(*) filter (is_valid) as n_valid, count(*) filter (is_pass) as n_pass, count(*) filter (is_completion) as n_completion, count(*) filter (is_rush) as n_rush,
-        count(*) filter (is_dropback) as n_dropback, count(*) filter (is_turnover) as n_turnover, count(*) filter (is_scrimmage and epa is not null) as n_epa,
-        count(*) filter (is_completion and yards_gained >= 20 or is_rush and yards_gained >= 10) as n_explosive, count(*) filter (is_valid and yardline_100 <= 20) as n_red_zone, count(*) filter (is_valid and goal_to_go = 1) as n_goal,
-        count(*) filter (is_scrimmage and coalesce(abs(score_differential) <= 8 and (qtr < 4 or qtr = 4 and game_seconds_remaining >= 900), false)) as n_neutral from fs group by game)
+FLAGS_SQL = """v as (select *, coalesce(play_deleted = 0 and aborted_play = 0 and posteam is not null and defteam is not null and play_type in ('pass', 'run', 'qb_kneel', 'qb_spike'), false) as is_valid from plays),
+    fl as (select *, is_valid and pass_attempt = 1 as is_pass, is_valid and rush_attempt = 1 and qb_kneel = 0 as is_rush,
+           is_valid and (case when qb_dropback is null then pass_attempt = 1 or sack = 1 else qb_dropback = 1 end) as is_dropback from v),
+    fs as (select *, is_pass and complete_pass = 1 as is_completion, is_pass and interception = 1 or is_valid and fumble_lost = 1 as is_turnover,
+           is_valid and coalesce(qtr in (1, 2, 3) and abs(score_differential) <= 8 and game_seconds_remaining >= 900, false) as is_neutral from fl)"""
+
+
+@query("event_flags", with_(PLAYS_SQL, FLAGS_SQL, """n as (select game, count(*) filter (is_valid) as n_valid, count(*) filter (is_pass) as n_pass, count(*) filter (is_completion) as n_completion, count(*) filter (is_rush) as n_rush,
+        count(*) filter (is_dropback) as n_dropback, count(*) filter (is_dropback and qb_dropback is null) as n_fallback, count(*) filter (is_turnover) as n_turnover, count(*) filter (is_valid and epa is not null) as n_epa, count(*) filter (is_valid and success is not null) as n_success,
+        count(*) filter (is_pass and air_yards is not null) as n_air, count(*) filter (is_completion and yards_after_catch is not null) as n_yac, count(*) filter (is_valid and yards_gained is not null) as n_yards,
+        count(*) filter (is_pass and yards_gained >= 20) as n_explosive_pass, count(*) filter (is_rush and yards_gained >= 10) as n_explosive_rush, count(*) filter (is_valid and yardline_100 <= 20) as n_red_zone, count(*) filter (is_valid and goal_to_go = 1) as n_goal,
+        count(*) filter (is_neutral) as n_neutral from fs group by game)
     select * from n"""))
 def event_flags(spark: SparkSession, sf: str) -> DataFrame:
     p = events.play_flags(plays(spark, sf))
-    n = {"n_valid": "is_valid", "n_pass": "is_pass", "n_completion": "is_completion", "n_rush": "is_rush", "n_dropback": "is_dropback", "n_turnover": "is_turnover", "n_epa": "has_epa", "n_red_zone": "in_red_zone", "n_goal": "is_goal_to_go", "n_neutral": "is_neutral"}
-    return p.groupBy("game").agg(*(F.count_if(c).alias(k) for k, c in n.items()), F.count_if(F.col("is_explosive_pass") | F.col("is_explosive_rush")).alias("n_explosive"))
+    n = {"n_valid": "is_valid", "n_pass": "is_pass", "n_completion": "is_completion", "n_rush": "is_rush", "n_dropback": "is_dropback", "n_fallback": "is_dropback_fallback", "n_turnover": "is_turnover", "n_epa": "has_epa", "n_success": "has_success",
+         "n_air": "has_air_yards", "n_yac": "has_yac", "n_yards": "has_yards", "n_explosive_pass": "is_explosive_pass", "n_explosive_rush": "is_explosive_rush", "n_red_zone": "in_red_zone", "n_goal": "is_goal_to_go", "n_neutral": "is_neutral"}
+    return p.groupBy("game").agg(*(F.count_if(c).alias(k) for k, c in n.items()))
 
 
-@query("game_triples", with_(PLAYS_SQL, _FLAGS_SQL, """l as (select game, posteam, 'epa' as metric, coalesce(sum(epa) filter (is_scrimmage), 0) as num, count(epa) filter (is_scrimmage) * 1.0 as den, count(epa) filter (is_scrimmage) as n from fs where posteam is not null group by 1, 2
+@query("game_triples", with_(PLAYS_SQL, FLAGS_SQL, """l as (select game, posteam, 'epa' as metric, coalesce(sum(epa) filter (is_valid), 0) as num, count(epa) filter (is_valid) * 1.0 as den, count(epa) filter (is_valid) as n from fs where posteam is not null group by 1, 2
         union all select game, posteam, 'yards', coalesce(sum(yards_gained) filter (is_rush), 0), coalesce(sum(2.0) filter (is_rush), 0), count(*) filter (is_rush) from fs where posteam is not null group by 1, 2)
     select posteam, metric, round(sum(num), 6) as num, cast(sum(den) as double) as den, cast(sum(n) as bigint) as n from l group by 1, 2"""))
 def game_triples(spark: SparkSession, sf: str) -> DataFrame:
     p = events.play_flags(plays(spark, sf)).where("posteam is not null")
-    long = events.triples(p, ["game", "posteam"], {"epa": events.Metric(F.col("is_scrimmage"), F.col("epa")), "yards": events.Metric(F.col("is_rush"), F.col("yards_gained"), F.lit(2.0))})
+    long = events.triples(p, ["game", "posteam"], {"epa": events.Metric(F.col("is_valid"), F.col("epa")), "yards": events.Metric(F.col("is_rush"), F.col("yards_gained"), F.lit(2.0))})
     return long.groupBy("posteam", "metric").agg(F.round(F.sum("num"), 6).alias("num"), F.sum("den").alias("den"), F.sum("n").alias("n"))
 
 
@@ -285,14 +287,18 @@ def latest_rows(spark: SparkSession, sf: str) -> DataFrame:
     return asof.first_per_key(_orders(spark, sf), ["o_custkey"], [F.desc("day"), F.desc("o_orderkey")], 2).select("o_custkey", "o_orderkey", "price")
 
 
-@query("evidence_resolution", """with t as (select distinct user_id, timestamp '2024-01-20 12:00:00' as cut from events),
-    l as (select t.user_id, event_type as c, arg_max(cast(floor(value) as bigint) % 3, (ts, -(cast(floor(value) as bigint) % 3))) as r from t join events e on e.user_id = t.user_id and e.ts <= t.cut group by 1, 2),
-    m as (select user_id, min(r) as least from l group by 1), x as (select user_id, list_sort(list(c)) as cs from l join m using (user_id) where r = least group by 1)
-    select t.user_id, array_to_string(cs, ',') as candidates, case when len(cs) > 1 then 'AMBIGUOUS' when len(cs) = 1 then 'SUPPORTED' else 'UNKNOWN' end as state,
-           case when len(cs) > 0 then least(len(cs), 2) else 1 end as n_scenarios from t left join x using (user_id)""")
+_CUTS = ["2024-01-05 12:00:00", "2024-01-20 12:00:00", "2024-01-31 00:00:00"]
+
+
+@query("evidence_resolution", f"""with t as (select distinct user_id, cast(cut as timestamp) as cut from events, (select unnest({_CUTS}) as cut)),
+    l as (select t.user_id, t.cut, event_type as c, arg_max(cast(floor(value) as bigint) % 3, (ts, -(cast(floor(value) as bigint) % 3))) as r from t join events e on e.user_id = t.user_id and e.ts <= t.cut group by 1, 2, 3),
+    m as (select user_id, cut, min(r) as least from l group by 1, 2), x as (select user_id, cut, list_sort(list(c)) as cs from l join m using (user_id, cut) where r = least group by 1, 2)
+    select t.user_id, cast(t.cut as varchar) as cut, array_to_string(cs, ',') as candidates, case when len(cs) > 1 then 'AMBIGUOUS' when len(cs) = 1 then 'SUPPORTED' else 'UNKNOWN' end as state,
+           case when len(cs) > 0 then least(len(cs), 2) else 1 end as n_scenarios from t left join x using (user_id, cut)""")
 def evidence_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's leading event types as of three cutoffs."""
     e = load(spark, sf, "events").select("user_id", "event_type", (F.floor("value") % 3).alias("rank"), "ts")
-    targets = e.select("user_id", F.lit("2024-01-20 12:00:00").cast("timestamp").alias("cut")).distinct()
+    targets = e.select("user_id").distinct().select("user_id", F.explode(F.array(*(F.lit(c).cast("timestamp") for c in _CUTS))).alias("cut"))
     out = asof.resolved(targets, e, ["user_id"], "event_type", "rank", "ts", "cut", "SUPPORTED")
-    many = reshape.scenarios(out, "candidates").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_scenarios"))
-    return out.join(many, "user_id").select("user_id", F.array_join("candidates", ",").alias("candidates"), "state", "n_scenarios")
+    many = reshape.scenarios(out, "candidates").groupBy("user_id", "cut").agg(F.count(F.lit(1)).alias("n_scenarios"))
+    return out.join(many, ["user_id", "cut"]).select("user_id", F.col("cut").cast("string").alias("cut"), F.array_join("candidates", ",").alias("candidates"), "state", "n_scenarios")

@@ -118,16 +118,13 @@ def listed_members(spark: SparkSession, sf: str) -> DataFrame:
     return identity.listed_members(c, "roles").groupBy("conv_id", "member").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("candidate_classes", """with c as (select o_custkey, o_orderpriority as pos from orders where o_custkey % 3 = 0), g as (select o_custkey, count(pos) as n, bool_and(pos = '1-URGENT') as a, bool_or(pos = '1-URGENT') as o, array_to_string(list_sort(list(pos)), ',') as positions from c group by 1)
-    select o_custkey, n as n_candidates, positions, case when n = 1 then 'ONE' when a then 'MANY_1-URGENT' when o then 'MIXED' else 'OTHER' end as class from g""")
-def candidate_classes(spark: SparkSession, sf: str) -> DataFrame:
-    out = identity.candidate_classes(load(spark, sf, "orders").where("o_custkey % 3 = 0").select("o_custkey", F.col("o_orderpriority").alias("pos")), ["o_custkey"], "pos", "1-URGENT")
-    return out.withColumn("positions", F.array_join("positions", ","))
+_CLASSES_SQL = """with g as (select o_custkey, count(o_orderpriority) as n, bool_and(o_orderpriority = '1-URGENT') as a, bool_or(o_orderpriority = '1-URGENT') as o, array_to_string(list_sort(list(o_orderpriority)), ',') as positions from orders group by 1)
+    select o_custkey, n as n_candidates, positions, case when n = 1 then 'ONE' when a then 'MANY_1-URGENT' when o then 'MIXED' else 'OTHER' end as class from g"""
 
 
-@query("candidate_classes_all", """with g as (select o_custkey, count(o_orderpriority) as n, bool_and(o_orderpriority = '1-URGENT') as a, bool_or(o_orderpriority = '1-URGENT') as o, array_to_string(list_sort(list(o_orderpriority)), ',') as positions from orders group by 1)
-    select o_custkey, n as n_candidates, positions, case when n = 1 then 'ONE' when a then 'MANY_1-URGENT' when o then 'MIXED' else 'OTHER' end as class from g""")
-def candidate_classes_all(spark: SparkSession, sf: str) -> DataFrame:
+@query("candidate_classes", _CLASSES_SQL)
+@query("candidate_classes_all", _CLASSES_SQL)
+def candidate_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Every customer of orders; candidate_classes keeps the third that its SQL asks for."""
     out = identity.candidate_classes(load(spark, sf, "orders").select("o_custkey", F.col("o_orderpriority").alias("pos")), ["o_custkey"], "pos", "1-URGENT")
     return out.withColumn("positions", F.array_join("positions", ","))

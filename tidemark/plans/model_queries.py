@@ -11,6 +11,7 @@ from tidemark.functions import Rating
 from tidemark.models import fits, ratings
 from tidemark.operators import blocks, offers
 from tidemark.operators import evaluation as ev
+from tidemark.plans import pipelines
 from tidemark.plans.base import games, predictions, query, quotes
 
 
@@ -84,18 +85,19 @@ def ridge_panel(spark: SparkSession, sf: str) -> DataFrame:
     return ev.regression_scores(out, "predicted", "actual", "target", ["alpha"])
 
 
+def _board(spark: SparkSession, sf: str) -> DataFrame:
+    q = quotes(spark, sf).withColumn("block_ord", (F.col("season") - 1990) * 12 + F.col("month"))
+    # a game is a part in a month
+    q = q.withColumn("game", F.col("game") * 1000 + F.col("block_ord"))
+    ids = q.select("game", "home_score", "away_score").distinct()
+    models = ids.select("game", ((F.col("game") % 89 + 5) / 100.0).alias("p_home"), (F.col("home_score") - F.col("away_score") + F.col("game") % 15 - 7).cast("double").alias("margin"), (F.col("home_score") + F.col("away_score") + F.col("game") % 11 - 5).cast("double").alias("total"))
+    return pipelines.offer_board(q, models, ["b3", "b0"])
+
+
 @query("offer_board")
 def offer_board(spark: SparkSession, sf: str) -> DataFrame:
-    """ML-13, ML-14: pooled probabilities by block, the reliability of earlier blocks, tiers, value, play-through and settlement."""
-    rows, pairs = _priced(spark, sf)
-    pooled = fits.pooled(rows, fits.pooling(rows, pairs, "p_model", "p_market", "y"), "p_model", "p_market")
-    losses = pooled.where("p_pooled is not null and y is not null").select("block_ord", (F.col("p_pooled") - F.col("y")).alias("gap"))
-    states = fits.reliability_states(losses, least_blocks=2)
-    joined = pooled.join(states, "block_ord", "left").withColumns({"disagreement": F.abs(F.col("p_model") - F.col("p_market")), "distance": F.lit(0.0)})
-    tiered = joined.withColumns({"tier": fn.reliability_tier(F.coalesce("support", F.lit(0)), "radius", "distance", "disagreement", "stable"), "value": fn.three_way_value("p_pooled", 1 - F.col("p_pooled"), "price")})
-    play = fn.play_through(F.col("p_pooled").isNotNull(), "value", "p_pooled", fn.break_even("price"), "tier", "radius")
-    out = tiered.withColumn("play", play).withColumn("settled", fn.settlement(F.lit("spread"), F.lit("home"), "line", "margin", F.lit(0)))
-    return out.select("l_orderkey", "l_linenumber", "block_ord", "p_pooled", "tier", "value", "play.status", "settled")
+    """PL-09, ML-13, ML-14: every best offer of all markets and sides by month."""
+    return _board(spark, sf)
 
 
 @query("reliability_states")
@@ -106,13 +108,15 @@ def reliability_states(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("boosted_panel")
 def boosted_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-12: every prediction's row, weeks in order; the first weeks are warm-up."""
     df = predictions(spark, sf).withColumn("block_ord", F.col("week").cast("int"))
-    out = fits.boosted_panel(df, ["p", "p2", "season"], "y", 8, rounds=5)
-    return out.select("doc_id", "part", F.col("p_boosted").alias("p"))
+    return fits.boosted_panel(df, ["p", "p2", "season"], "y", least_rows=20, most_rounds=5).select("doc_id", "block_ord", F.col("p_boosted").alias("p"), "status", "warmup_reason")
 
 
 @query("evaluated_summary")
 def evaluated_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """PL-09: the offer board summed up by block and status."""
-    b = offer_board(spark, sf)
-    return offers.summaries(b.withColumns({"profit": F.when(F.col("settled") == "WIN", 1.0).when(F.col("settled") == "LOSS", -1.0).otherwise(0.0), "price_decimal": F.lit(2.0)}), [["block_ord", "status"], ["status"], []], offers.summary())
+    """PL-09: the offer board summed up by market, tier and status."""
+    b = _board(spark, sf)
+    price = fn.american_to_decimal("price")
+    profit = F.when(F.col("settled") == "WIN", price - 1).when(F.col("settled") == "LOSS", -1.0).otherwise(0.0)
+    return offers.summaries(b.withColumns({"profit": profit, "price_decimal": price}), [["market", "tier", "status"], ["market"], []], offers.summary())

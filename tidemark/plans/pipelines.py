@@ -6,9 +6,11 @@ Each takes and returns lazy frames; gates come back beside the rows, to be run b
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark import functions as fn
 from tidemark import quality
@@ -65,43 +67,93 @@ def actual_entering(games: DataFrame, stats: DataFrame, starters: DataFrame, pri
     return picked.withColumn("shrunk_value", history.shrunk(F.col("num") / F.col("den"), F.coalesce("n", F.lit(0)), prior, k)).drop("num", "den"), gates
 
 
-#: PL-03. Families of the totals table: metric made, metric allowed, least denominator.
+#: PL-03. The families of the totals table in order, with the least denominator of each. Fixed values.
 FAMILIES = {
-    "epa": ("epa", "epa_allowed", 20.0),
-    "success": ("success", "success_allowed", 20.0),
-    "explosive": ("explosive", "explosive_allowed", 20.0),
-    "turnover": ("turnover", "turnover_allowed", 20.0),
-    "neutral_pass": ("neutral_pass", "neutral_pass_allowed", 10.0),
-    "red_zone": ("red_zone", "red_zone_allowed", 5.0),
-    "pace": ("pace", "pace_allowed", 5.0),
-    "points": ("points", "points_allowed", 5.0),
+    "epa_per_play": 20,
+    "success_rate": 20,
+    "points_per_drive": 5,
+    "scoring_drive_rate": 5,
+    "seconds_per_play": 10,
+    "neutral_seconds_per_play": 10,
+    "neutral_pass_rate": 20,
+    "red_zone_td_rate": 5,
+    "goal_to_go_td_rate": 5,
+    "turnovers_per_drive": 5,
+    "sacks_per_dropback": 20,
+    "air_yards_per_attempt": 20,
+    "yac_per_completion": 20,
+    "explosive_pass_rate": 20,
+    "explosive_rush_rate": 20,
 }
-
-
-def totals_table(plays: DataFrame, games: DataFrame, families: dict[str, tuple[str, str, float]] = FAMILIES) -> DataFrame:
-    """PL-03. games (game, block_ord, home, away) with the matchup means of each family, from the plays of earlier blocks.
-
-    plays: the log of events.play_flags, with game, drive, play_id and result. Flags, per-game sums, possessions and
-    intervals are one pass each over the plays; the rest works on entity-block sums.
+#: PL-03. A starter's columns in the totals table, in order. Fixed values.
+PASSER = ["passing_epa", "passing_epa_imputed", "passing_cpoe", "passing_cpoe_imputed", "sacks_suffered_rate", "sack_rate_imputed", "interception_rate", "interception_rate_imputed", "recency_weighted_form", "low_sample", "missing_player_id"]
+_BOTH = ("away", "home")
+#: PL-03. The ninety columns: rest, roof, surface, both starters, and each family's matchups with their missing flags.
+TOTALS_COLUMNS = [
+    *(f"{s}_rest_days{m}" for s in _BOTH for m in ("", "_missing")),
+    *(c for x in ("roof", "surface") for c in (f"{x}_category", f"{x}_missing")),
+    *(f"{s}_qb_{c}" for s in _BOTH for c in PASSER),
+    *(f"{s}_matchup_{f}{m}" for f in FAMILIES for s in _BOTH for m in ("", "_missing")),
+]
+
+
+def play_metrics(plays: DataFrame) -> DataFrame:
+    """PL-03. game, posteam, metric, num, den, n of each family's rate, from the log of events.play_flags with game, drive, play_id, result.
+
+    A drive counts if it has a valid play and a result, and its turnovers are summed. An interval counts between valid
+    plays of one drive and quarter that are no kneels or spikes; it is neutral if it begins so.
     """
     flagged = events.play_flags(plays).where("posteam is not null")
-    one = F.lit(1.0)
-    metrics = {
-        "epa": events.Metric(F.col("has_epa"), F.col("epa")),
-        "success": events.Metric(F.col("has_success"), F.col("success")),
-        "explosive": events.Metric(F.col("is_scrimmage"), (F.col("is_explosive_pass") | F.col("is_explosive_rush")).cast("double")),
-        "turnover": events.Metric(F.col("is_scrimmage"), F.col("is_turnover").cast("double")),
-        "neutral_pass": events.Metric(F.col("is_neutral"), F.col("is_dropback").cast("double")),
-    }
-    by_play = events.triples(flagged, ["game", "posteam"], metrics)
-    drives = events.possessions(flagged, ["game", "drive", "posteam"], "play_id", "result", {"n_red": F.col("in_red_zone")})
-    by_drive = events.triples(drives, ["game", "posteam"], {"points": events.Metric(F.lit(True), F.coalesce("points", F.lit(0))), "red_zone": events.Metric(F.col("n_red") > 0, F.col("scored").cast("double"))})
-    gaps = events.intervals(flagged.where("is_scrimmage"), ["game", "drive", "posteam"], ["play_id"], "game_seconds_remaining", ["qtr"])
-    by_gap = events.triples(gaps, ["game", "posteam"], {"pace": events.Metric(F.col("valid_interval"), F.col("seconds"), one)})
-    long = reshape.stacked([by_play, by_drive, by_gap]).withColumnRenamed("posteam", "entity")
+    number = lambda c: F.col(c).cast("double")
+    neutral = F.col("is_neutral") & (F.col("is_pass") | F.col("is_rush"))
+    by_play = events.triples(flagged, ["game", "posteam"], {
+        "epa_per_play": events.Metric(F.col("has_epa"), F.col("epa")),
+        "success_rate": events.Metric(F.col("has_success"), F.col("success")),
+        "neutral_pass_rate": events.Metric(neutral, number("is_pass"), number("is_pass") + number("is_rush")),
+        "sacks_per_dropback": events.Metric(F.col("is_dropback") & F.col("sack").isNotNull(), (F.col("sack") == 1).cast("double")),
+        "air_yards_per_attempt": events.Metric(F.col("has_air_yards"), F.col("air_yards")),
+        "yac_per_completion": events.Metric(F.col("has_yac"), F.col("yards_after_catch")),
+        "explosive_pass_rate": events.Metric(F.col("is_pass") & F.col("has_yards"), number("is_explosive_pass")),
+        "explosive_rush_rate": events.Metric(F.col("is_rush") & F.col("has_yards"), number("is_explosive_rush")),
+    })
+    counts = {"n_valid": F.col("is_valid"), "n_turnovers": F.col("is_turnover"), "n_red": F.col("in_red_zone"), "n_goal": F.col("is_goal_to_go")}
+    drives = events.possessions(flagged, ["game", "drive", "posteam"], "play_id", "result", counts).where("n_valid > 0 and result is not null")
+    touchdown = (F.col("result") == "Touchdown").cast("double")
+    by_drive = events.triples(drives, ["game", "posteam"], {
+        "points_per_drive": events.Metric(F.lit(True), F.col("points")),
+        "scoring_drive_rate": events.Metric(F.lit(True), number("scored")),
+        "turnovers_per_drive": events.Metric(F.lit(True), F.col("n_turnovers")),
+        "red_zone_td_rate": events.Metric(F.col("n_red") > 0, touchdown),
+        "goal_to_go_td_rate": events.Metric(F.col("n_goal") > 0, touchdown),
+    })
+    stopped = (F.coalesce("qb_spike", F.lit(0)) != 0) | (F.coalesce("qb_kneel", F.lit(0)) != 0)
+    clocked = flagged.where("is_valid and drive is not null").withColumn("clock", F.when(~stopped, F.col("game_seconds_remaining")))
+    gaps = events.intervals(clocked, ["game", "drive", "posteam"], ["play_id"], "clock", ["qtr"], before=["is_neutral"])
+    by_gap = events.triples(gaps, ["game", "posteam"], {
+        "seconds_per_play": events.Metric(F.col("valid_interval"), F.col("seconds")),
+        "neutral_seconds_per_play": events.Metric(F.col("valid_interval") & F.col("before_is_neutral"), F.col("seconds")),
+    })
+    return reshape.stacked([by_play, by_drive, by_gap])
+
+
+def totals_table(plays: DataFrame, games: DataFrame, context: DataFrame, passers: DataFrame) -> DataFrame:
+    """PL-03. games (game, block_ord, home, away) with the ninety TOTALS_COLUMNS.
+
+    plays: see play_metrics; of a game only plays of blocks before it count. context: game, away_rest, home_rest, roof,
+    surface, as the schedule has them. passers: game, side and PASSER, one row a side at most; flags may be boolean.
+    Flags, sums, possessions and intervals are one pass each over the plays; the rest works on entity-block sums.
+    """
+    long = play_metrics(plays).withColumnRenamed("posteam", "entity")
     mirrored = events.mirrored(long, games, "game", "entity")
     states = history.leaving_state(mirrored.join(games.select("game", "block_ord"), "game"), ["entity", "metric"])
-    return history.matchups(games, states, families)
+    rates = history.matchups(games, states, {f: (f, f"{f}_allowed", float(least)) for f, least in FAMILIES.items()}, prefix="matchup_", missing=True)
+    category = lambda c: (F.coalesce(F.lower(c), F.lit("unknown")).alias(f"{c}_category"), F.col(c).isNull().cast("int").alias(f"{c}_missing"))
+    rest = lambda s: (F.col(f"{s}_rest").cast("int").alias(f"{s}_rest_days"), F.col(f"{s}_rest").isNull().cast("int").alias(f"{s}_rest_days_missing"))
+    known = context.select("game", *rest("away"), *rest("home"), *category("roof"), *category("surface"))
+    kinds = dict(passers.dtypes)
+    plain = passers.select("game", "side", *(F.col(c).cast("int").alias(f"qb_{c}") if kinds[c] == "boolean" else F.col(c).alias(f"qb_{c}") for c in PASSER))
+    starters = reshape.wide_sides(plain, ["game"], "side", list(_BOTH), [f"qb_{c}" for c in PASSER])
+    return rates.join(known, "game", "left").join(starters, "game", "left").select(*games.columns, *TOTALS_COLUMNS)
 
 
 def modeling_table(features: DataFrame, targets: DataFrame, key: str = "game") -> tuple[DataFrame, DataFrame]:
@@ -141,6 +193,112 @@ def edge_census(predictions: dict[str, DataFrame], quotes: DataFrame, book_order
     return out.select("game", "model", "side", p.alias("p"), fair_side.alias("p_market"), "best_book", "best_price", (p - fn.break_even("best_price")).alias("edge"), (p - fair_side).alias("disagreement"))
 
 
+def census_families(models: DataFrame, points: DataFrame, quotes: DataFrame, anchor: str, backup: str, actionable: list[str]) -> DataFrame:
+    """PL-06. The four families of the census, one under the other: TWO_SIDED, POSITIVE_EDGE, SPREAD and TOTAL.
+
+    models: game, model, p_home. points: game, margin, total (what is expected). TWO_SIDED has each model and moneyline
+    side: its probability, the edge in percentage points over the anchor's no-vig probability and over that of the mean
+    of anchor and backup prices, and the value at the best price of the actionable books (the first of equals).
+    POSITIVE_EDGE is the first side (home before away) whose edge is over zero. SPREAD and TOTAL have the side that the
+    expected points favour against the anchor's line, by how many points, the best actionable offer of that side, and how
+    many actionable prices are better than, equal to and worse than the anchor's. A book's best price counts.
+    """
+    best = offers.max_price_offers(quotes, ["game", "book", "market", "side"], "price", ["line"]).withColumn("dec", fn.american_to_decimal("price"))
+    of = lambda book, c: F.max(F.when(F.col("book") == book, F.col(c)))
+    rank = F.array_position(F.array(*map(F.lit, actionable)), F.col("book"))
+    act = F.max(F.when(rank > 0, F.struct("dec", (-rank).alias("k"), "price", "book", "line")))
+    sides = best.groupBy("game", "market", "side").agg(of(anchor, "dec").alias("anchor"), of(anchor, "line").alias("anchor_line"), of(backup, "dec").alias("backup"), act.alias("act"), *(of(b, "dec").alias(f"dec_{k}") for k, b in enumerate(actionable)))
+    ml = sides.where("market = 'moneyline'")
+    pair = reshape.wide_sides(ml, ["game"], "side", ["home", "away"], ["anchor", "backup"])
+    fair = lambda h, a: (1 / h) / (1 / h + 1 / a)
+    mean = lambda s: F.coalesce((F.col(f"{s}_anchor") + F.col(f"{s}_backup")) / 2, f"{s}_anchor", f"{s}_backup")
+    market = pair.select("game", fair(F.col("home_anchor"), F.col("away_anchor")).alias("f"), fair(mean("home"), mean("away")).alias("r"))
+    each = models.where("p_home is not null").select("game", "model", "p_home", F.explode(F.array(F.lit("home"), F.lit("away"))).alias("side"))
+    offered = ml.select("game", "side", "act.price", "act.book", F.col("act.dec").alias("dec"))
+    rows = each.join(market, "game", "left").join(offered, ["game", "side"], "left")
+    p = fn.oriented("side", "p_home")
+    two = rows.select("game", "model", "side", p.alias("p"), (100 * (p - fn.oriented("side", "f"))).alias("edge"), (100 * (p - fn.oriented("side", "r"))).alias("edge_backup"), (p * F.col("dec") - 1).alias("value"), "price", "book")
+    first = two.where("edge > 0").groupBy("game", "model").agg(F.max_by(F.struct("side", "p", "edge", "edge_backup", "value", "price", "book"), "side").alias("x")).select("game", "model", "x.*")
+
+    def by_points(name: str, column: str, lead: str, other: str, gap: Column) -> DataFrame:
+        line = sides.where((F.col("market") == name) & (F.col("side") == lead)).select("game", F.col("anchor_line").alias("_line")).where("_line is not null")
+        found = points.where(F.col(column).isNotNull()).join(line, "game").withColumn("_gap", gap).where(F.abs("_gap") > 1e-9)
+        chosen = found.select("game", F.when(F.col("_gap") > 0, lead).otherwise(other).alias("side"), F.abs("_gap").alias("points"))
+        own = sides.where(F.col("market") == name)
+        count = lambda test: reduce(lambda x, y: x + y, (F.coalesce(test(F.col(f"dec_{k}") - F.col("anchor")).cast("int"), F.lit(0)) for k in range(len(actionable))))
+        counts = {"n_better": count(lambda d: d > 1e-9), "n_equal": count(lambda d: F.abs(d) <= 1e-9), "n_worse": count(lambda d: d < -1e-9)}
+        return chosen.join(own, ["game", "side"], "left").select(F.lit(name.upper()).alias("family"), "game", "side", "points", F.col("act.price").alias("price"), F.col("act.book").alias("book"), F.col("act.line").alias("line"), "anchor_line", *(c.alias(k) for k, c in counts.items()))
+
+    spread = by_points("spread", "margin", "home", "away", F.col("margin") + F.col("_line"))
+    total = by_points("total", "total", "over", "under", F.col("total") - F.col("_line"))
+    label = lambda df, name: df.select(F.lit(name).alias("family"), *df.columns)
+    return reshape.stacked([label(two, "TWO_SIDED"), label(first, "POSITIVE_EDGE"), spread, total], widen=True)
+
+
+def offer_board(quotes: DataFrame, models: DataFrame, book_order: list[str], least: int = 100, least_rows: int = 128, least_blocks: int = 8) -> DataFrame:
+    """PL-09, ML-13. Every best offer of the three markets, evaluated by its own block's states, tiered and settled.
+
+    quotes: game, block_ord, book, market, side, line, price, home_score, away_score (null before the result); models:
+    game, p_home, margin, total. Moneylines take pooling states (ML-09), and a tie the share of ties among earlier
+    games; spreads and totals take point states of their market (ML-10): the market's implied mean, moved by beta to the
+    model, gives the chances to win, push and lose. Fits, reliability (ML-14) and the envelope of disagreements are all
+    of earlier blocks. Columns: game, market, side, book, line, price, block_ord, p_win, p_push, p_loss, value, distance,
+    tier, status, settled and reason (why an offer has no state).
+    """
+    best = offers.best_offers(quotes, ["game", "market", "side"], book_order)
+    first = F.col("side").isin("home", "over")
+    other = best.select("game", "market", F.when(F.col("side") == "home", "away").when(F.col("side") == "away", "home").when(F.col("side") == "over", "under").otherwise("over").alias("side"), F.col("price").alias("_other"))
+    both = best.join(other, ["game", "market", "side"], "left").join(models, "game")
+    p_side = F.when(F.col("_other").isNotNull(), fn.no_vig("price", "_other")).otherwise(fn.break_even("price"))
+    # everything about a game's first side: home or over
+    margin = (F.col("home_score") - F.col("away_score")).cast("double")
+    rows = both.withColumns({
+        "first": first, "p_market": F.when(first, p_side).otherwise(1 - p_side), "actual": F.when(F.col("market") == "total", (F.col("home_score") + F.col("away_score")).cast("double")).otherwise(margin),
+        "at": F.when(F.col("market") == "total", F.col("line")).when(first, -F.col("line")).otherwise(F.col("line")).cast("double"),
+        "expected": F.when(F.col("market") == "total", F.col("total")).otherwise(F.col("margin")).cast("double"),
+        "won": F.when(margin > 0, 1).when(margin < 0, 0),
+    })
+    calendar = blocks.prior_pairs(rows.select("block_ord").distinct())
+    ml = rows.where("market = 'moneyline'")
+    pool = fits.pooling(ml.where("first"), calendar, "p_home", "p_market", "won", least)
+    results = ml.where("first").groupBy("block_ord").agg(F.count("actual").alias("g"), F.count_if(F.col("actual") == 0).alias("t"))
+    w = Window.orderBy("block_ord").rangeBetween(Window.unboundedPreceding, -1)
+    ties = results.select("block_ord", F.coalesce(F.sum("g").over(w), F.lit(0)).alias("_games"), F.coalesce(F.sum("t").over(w), F.lit(0)).alias("_ties"))
+    state = pool.select(F.col("target").alias("block_ord"), "intercept", "slope", "weight", "supported", "reason")
+    money = ml.join(state, "block_ord", "left").join(ties, "block_ord", "left")
+    p_home = F.when(F.col("supported"), fn.pooled_probability("p_home", fn.calibrated_probability("p_market", "intercept", "slope"), "weight"))
+    chances = fn.with_ties(fn.oriented("side", "_p"), "_ties", "_games")
+    money = money.withColumn("_p", p_home).withColumn("_c", chances).select(*rows.columns, F.col("_c.win").alias("p_win"), F.col("_c.push").alias("p_push"), F.col("_c.loss").alias("p_loss"), F.when(~F.coalesce("supported", F.lit(False)), F.coalesce("reason", F.lit("NO_STATE"))).alias("reason"))
+
+    def pointed(name: str) -> DataFrame:
+        own = rows.where(F.col("market") == name)
+        fitted = fits.point_fits(own.where("first"), calendar, "expected", "at", "p_market", "actual", least).select(F.col("target").alias("block_ord"), "sigma", "beta", F.col("reason").alias("why"))
+        joined = own.join(fitted, "block_ord", "left")
+        placed = fits.with_implied_mean(joined, "at", "p_market", "sigma", "_market")
+        mean = F.col("_market") + F.col("beta") * (F.col("expected") - F.col("_market"))
+        placed = placed.withColumn("_mean", mean)
+        z = lambda t: fn.normal_cdf((t - F.col("_mean")) / F.col("sigma"))
+        half = F.when(fn.allows_push("at"), 0.5).otherwise(0.0)
+        below, above = z(F.col("at") - half), 1 - z(F.col("at") + half)
+        win, loss = F.when(first, above).otherwise(below), F.when(first, below).otherwise(above)
+        return placed.select(*rows.columns, win.alias("p_win"), (1 - above - below).alias("p_push"), loss.alias("p_loss"), F.when(F.col("why") != "FITTED", F.col("why")).when(F.col("why").isNull(), "NO_STATE").alias("reason"))
+
+    priced = reshape.stacked([money, pointed("spread"), pointed("total")])
+    implied = F.when(first, F.col("p_market")).otherwise(1 - F.col("p_market"))
+    given = F.col("p_win") / (F.col("p_win") + F.col("p_loss"))
+    priced = priced.withColumns({"disagreement": F.abs(given - implied), "settled": fn.settlement("market", "side", "line", "home_score", "away_score")})
+    gaps = priced.where("first and p_win is not null and settled in ('WIN', 'LOSS')").select("market", "block_ord", (given - (F.col("settled") == "WIN").cast("double")).alias("gap"))
+    reliable = reshape.stacked([fits.reliability_states(gaps.where(F.col("market") == m), least_rows=least_rows, least_blocks=least_blocks).withColumn("market", F.lit(m)) for m in offers.MARKETS])
+    # blocks without settled offers of their own take the latest state before them
+    reliable = reliable.withColumnRenamed("support", "n_support")
+    envelope = reshape.stacked([ev.support(priced.where(F.col("market") == m).select("block_ord", "disagreement"), ["disagreement"], "block_ord").withColumn("market", F.lit(m)) for m in offers.MARKETS])
+    joined = asof.asof(priced, reliable.withColumnRenamed("block_ord", "_state_block"), ["market"], "block_ord", "_state_block", ["n_support", "radius", "stable"]).join(envelope, ["market", "block_ord"], "left")
+    tiered = joined.withColumn("distance", ev.support_distance(["disagreement"]))
+    tiered = tiered.withColumns({"tier": fn.reliability_tier(F.coalesce("n_support", F.lit(0)), "radius", "distance", "disagreement", "stable"), "value": fn.three_way_value("p_win", "p_loss", "price")})
+    play = fn.play_through(F.col("p_win").isNotNull(), "value", given, fn.break_even("price"), "tier", "radius")
+    return tiered.withColumn("_play", play).select("game", "market", "side", "book", "line", "price", "block_ord", "p_win", "p_push", "p_loss", "value", "distance", "tier", F.col("_play.status").alias("status"), "settled", "reason")
+
+
 def graded_ledger(census: DataFrame, results: DataFrame, least_edge: float, discovery_until: int) -> tuple[DataFrame, DataFrame]:
     """PL-07. Positive edges graded against results (game, season, home_score, away_score), and their summary by period, model and bucket.
 

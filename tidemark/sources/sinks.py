@@ -14,12 +14,22 @@ def frozen(df: DataFrame, path: str, partition_by: list[str] | None = None, sort
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def append(df: DataFrame, path: str, schema: T.StructType) -> None:
-    """SNK-02. Rows cast to the ledger's schema, missing columns null, appended. Columns outside the schema are an error."""
-    if extra := [c for c in df.columns if c not in schema.names]:
+def append(df: DataFrame, path: str, schema: T.StructType, widen: bool = False) -> T.StructType:
+    """SNK-02. Rows cast to the ledger's schema, missing columns null, appended. Returns the schema written.
+
+    Columns outside the schema are an error, or with `widen` come after its own; older files give null for them
+    (see ledger). A column whose values cannot be cast to the schema's type fails the job.
+    """
+    extra = [c for c in df.columns if c not in schema.names]
+    if extra and not widen:
         raise ValueError(f"columns outside the ledger's schema: {extra}")
-    cast = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields))
-    cast.write.mode("append").option("compression", "zstd").parquet(path)
+    schema = T.StructType([*schema.fields, *(T.StructField(c, df.schema[c].dataType) for c in extra)])
+    _cast(df, schema).write.mode("append").option("compression", "zstd").parquet(path)
+    return schema
+
+
+def _cast(df: DataFrame, schema: T.StructType) -> DataFrame:
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields))
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -27,14 +37,27 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
-def append_once(df: DataFrame, path: str, schema: T.StructType, key: str) -> None:
-    """STR-03. Appends only keys that the ledger lacks; for foreachBatch, so that a repeated batch adds nothing."""
-    spark = df.sparkSession
-    rows = df.dropDuplicates([key])
+def _exists(spark: SparkSession, path: str) -> bool:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        rows = rows.join(ledger(spark, path).select(key), key, "left_anti")
-    append(rows, path, schema)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def append_once(df: DataFrame, path: str, schema: T.StructType, key: str, batch: int = 0) -> None:
+    """STR-03. Appends the rows of snapshots (`key`) that no other batch has committed; equal rows of one snapshot count once.
+
+    The committed snapshots are kept beside the ledger, one row each, so a batch reads those and never the ledger.
+    Rows and commits of a batch go to a folder of its own, which a repeated batch writes anew: a batch that died
+    between the two leaves nothing behind. A null key is one snapshot.
+    """
+    spark, commits = df.sparkSession, f"{path.rstrip('/')}-commits"
+    new = df.select(F.col(key).cast(schema[key].dataType).alias("_key")).distinct()
+    if _exists(spark, commits):
+        done = spark.read.schema(f"_key {schema[key].dataType.simpleString()}, batch long").parquet(commits).where(F.col("batch") != batch)
+        new = new.join(done.select(F.col("_key").alias("_done")), F.col("_key").eqNullSafe(F.col("_done")), "left_anti")
+    rows = _cast(df, schema).dropDuplicates()
+    rows = rows.join(new, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path.rstrip('/')}/batch={batch}")
+    new.write.mode("overwrite").parquet(f"{commits}/batch={batch}")
 
 
 def csv_report(df: DataFrame, path: str, order: list[str]) -> None:

@@ -43,8 +43,8 @@ def reliability_windows(attempts: DataFrame, time: str, source: str, outcome: st
 
 
 def commit_once(stream: DataFrame, path: str, schema: T.StructType, key: str, checkpoint: str) -> StreamingQuery:
-    """STR-03. Each key reaches the ledger once, though batches repeat."""
-    return stream.writeStream.foreachBatch(lambda df, _: sinks.append_once(df, path, schema, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """STR-03. Each snapshot reaches the ledger once and whole, though it comes again or batches repeat."""
+    return stream.writeStream.foreachBatch(lambda df, batch: sinks.append_once(df, path, schema, key, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class ChangeProcessor(StatefulProcessor):
@@ -128,16 +128,30 @@ class RatingProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ratings = handle.getMapState("ratings", "entity string", "rating double")
+        self.season = handle.getValueState("season", "season int")
+
+    def _begin(self, season: int) -> None:
+        """Carries every rating back to the start when a season ends."""
+        if self.season.exists() and self.season.get()[0] != season:
+            for (entity,), (rating,) in list(self.ratings.iterator()):
+                self.ratings.updateValue((entity,), (rating + self.c.carry_back * (self.c.start - rating),))
+        self.season.update((season,))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         c, out = self.c, []
         of = lambda e: self.ratings.getValue((e,))[0] if self.ratings.containsKey((e,)) else c.start
-        for _, block in pd.concat(list(rows)).sort_values(["block_ord", "game"]).groupby("block_ord", sort=True):
+        expected = lambda gap: 1 / (1 + 10 ** (-gap / c.scale))
+        for block_ord, block in pd.concat(list(rows)).sort_values(["block_ord", "game"]).groupby("block_ord", sort=True):
+            self._begin(int(block["season"].iloc[0]))
             new: dict[str, float] = {}
             for g in block.itertuples(index=False):
+                if g.home in new or g.away in new or g.home == g.away:
+                    raise ValueError(f"an entity plays twice in block {block_ord}")
                 h, a, m = of(g.home), of(g.away), g.home_score - g.away_score
-                p = 1 / (1 + 10 ** (-(h + c.home - a) / c.scale))
-                d = c.k * min(c.margin_cap, 1 + (abs(m) / c.margin_divisor) ** 2) * ((m > 0) + 0.5 * (m == 0) - p)
+                gap = h - a + (0.0 if g.neutral else c.home)
+                p = min(c.highest, max(c.lowest, expected(gap + g.home_adjustment - g.away_adjustment)))
+                # the change follows the ratings' own expectation; an unplayed game changes nothing
+                d = 0.0 if pd.isna(m) else c.k * min(c.margin_cap, 1 + (abs(m) / c.margin_divisor) ** 2) * ((m > 0) + 0.5 * (m == 0) - expected(gap))
                 new[g.home], new[g.away] = h + d, a - d
                 out.append((key[0], g.game, g.home, g.away, p, d))
             for e, r in new.items():
@@ -149,7 +163,13 @@ class RatingProcessor(StatefulProcessor):
 
 
 def rating_stream(games: DataFrame, config: Rating = Rating()) -> DataFrame:
-    """STR-07. games (league, block_ord, game, home, away, home_score, away_score), blocks in order between batches, as predictions and changes."""
+    """STR-07. games (league, block_ord, game, home, away, home_score, away_score), blocks in order between batches, as predictions and changes.
+
+    season, neutral, home_adjustment and away_adjustment count as in the batch fold, if games has them; without,
+    there is one season, no neutral site and no adjustment. Null scores are games to come.
+    """
     schema = "league string, game string, home string, away string, p_home double, change double"
-    cols = ["league", "block_ord", "game", "home", "away", "home_score", "away_score"]
-    return games.select(*cols).groupBy("league").transformWithStateInPandas(RatingProcessor(config), schema, "append", "None")
+    given = {"season": F.lit(0), "neutral": F.lit(False), "home_adjustment": F.lit(0.0), "away_adjustment": F.lit(0.0)}
+    extra = [F.coalesce(F.col(c), v).alias(c) if c in games.columns else v.alias(c) for c, v in given.items()]
+    cols = ["league", "block_ord", "game", "home", "away", *(F.col(c).cast("double").alias(c) for c in ("home_score", "away_score"))]
+    return games.select(*cols, *extra).groupBy("league").transformWithStateInPandas(RatingProcessor(config), schema, "append", "None")
