@@ -555,6 +555,10 @@ def test_chat_levels_equal_brute_force(spark):
         for k in range(120):
             far = [f"c{j}" for j in (rng.randrange(120) if rng.random() < 0.02 else rng.randrange(k + 1), max(0, k - 1)) if j != k or rng.random() < 0.02]
             after[conv, f"c{k}"] = rng.choice([None, far[-1:], far[-1:], far[:1], far]) if k % 40 else None
+            if conv == 0 and 10 <= k <= 13:  # a cycle of three, and a call after it
+                after[conv, f"c{k}"] = [{10: "c12", 11: "c10", 12: "c11", 13: "c11"}[k]]
+            if conv == 1 and 60 <= k < 110:  # a long chain that waits for one call each
+                after[conv, f"c{k}"] = [f"c{k - 1}"]
             turn[conv, f"c{k}"] = rng.randrange(1000)
             rows.append((conv, turn[conv, f"c{k}"], "assistant", None, f"c{k}", "t", "{}", None, after[conv, f"c{k}"], None, None, None))
     level, root = {}, {}
@@ -615,3 +619,36 @@ def test_looked_up(spark):
     table = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k int, x string")
     got = sorted((r.k, r.v, r.x) for r in looked_up(rows, ["k"], table).collect())
     assert got == sorted([(1, k, "a") for k in range(200)] + [(2, 0, "b")] * 2)
+
+
+def test_language_scores_equal_plain_sums():
+    """Each text's logits from its character n-grams one by one."""
+    mask, base = 2**64 - 1, 0x9E3779B97F4A7C15
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcé  .\n日İ") for _ in range(rng.randrange(0, 60))) for _ in range(30)]
+    model = langid.train(["the cat and the dog", "le chat et le chien"] * 10, ["en", "fr"] * 10)
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return x ^ x >> 31
+
+    for text, z, letters in zip(texts, *model.logits(texts), strict=True):
+        words = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text).split()
+        grams = []
+        for w in words:
+            padded = f" {w} "
+            for n in langid.ORDERS:
+                for k in range(len(padded) - n + 1):
+                    g = padded[k : k + n]
+                    if g.strip() and not (n > 2 and g[1] == " "):
+                        grams.append(g)
+        # a space between two words is the end of the one and the beginning of the other, in a gram of two each
+        assert letters == sum(map(len, words))
+        total = np.zeros(2)
+        for g in grams:
+            h = 0
+            for c in g:
+                h = (h * base + ord(c)) & mask
+            total += model.table[mix((h + len(g)) & mask) >> (64 - langid.BUCKET_BITS)]
+        assert z == pytest.approx(total / max(1, len(grams)) + model.bias, abs=1e-9), text

@@ -66,3 +66,34 @@ def test_clashing_columns_pass_through(spark, sf_dir):
     assert got[1].text == rows[0][1] and got[1].n_chars == 9 and got[None].text is None
     for name, stage in cp.STAGES[:-1]:
         assert stage(spark, df, sf_dir).columns == df.columns, name
+
+
+def test_near_duplicate_stage_goes_by_row(spark, sf_dir):
+    """A doc_id that occurs with two texts loses only the one that is a copy; nulls and repeated rows are settled."""
+    t, u = " ".join(f"word{k}" for k in range(60)), " ".join(f"other{k}" for k in range(60))
+    rows = [(1, t), (2, t), (2, u), (None, t + " more"), (None, u + " x y z"), (7, "alone in the world"), (7, "alone in the world"), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, map(tuple, cp.one_of_each_group(spark, df, sf_dir).collect())))
+    assert got == sorted(map(str, [(1, t), (2, u), (7, "alone in the world"), (7, "alone in the world"), (8, None)]))
+
+
+def test_near_duplicate_stage_equals_brute_force(spark, docs, sf_dir):
+    """Of each component of exact Jaccard links over 0.8 the smallest doc_id stays."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)] if w else []))
+    group = [r[0] for r in rows]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and (a == b or len(a & b) >= 0.8 * len(a | b)) and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    assert sorted(r.doc_id for r in cp.one_of_each_group(spark, docs, sf_dir).collect()) == sorted(set(group))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_stages_of_an_empty_table(spark, docs, sf_dir, name):
+    assert dict(cp.STAGES)[name](spark, docs.limit(0), sf_dir).collect() == []
