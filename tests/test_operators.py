@@ -512,3 +512,15 @@ def test_offer_board_has_all_markets_and_sees_earlier_blocks_only(spark, sf_dir)
     assert {r.market for r in got.values() if r.p_win is not None} == {"moneyline", "spread", "total"} and len({r.tier for r in got.values()}) > 1
     late = board([q if q[1] < 8 else (*q[:7], 1, 30) for q in quotes])
     assert all(late[k].p_win == got[k].p_win and late[k].tier == got[k].tier for k, r in got.items() if r.block_ord <= 8)
+
+
+def test_bootstrap_difference_draws_blocks_in_each_period(spark):
+    rows = [(k, "ab"[k % 2], float(k), 1 + k % 3) for k in range(10)]
+    df = spark.createDataFrame(rows, "w int, half string, s double, n int")
+    got = ev.bootstrap_difference(df, "w", "half", ("a", "b"), F.sum("s") / F.sum("n"), replicates=300, seed=5).first()
+    of = lambda rs: sum(r[2] for r in rs) / sum(r[3] for r in rs)
+    a, b = [r for r in rows if r[1] == "a"], [r for r in rows if r[1] == "b"]
+    assert (got.value_a, got.value_b, got.difference) == pytest.approx((of(a), of(b), of(b) - of(a)))
+    draw = spark.range(300).select(*(F.pmod(F.xxhash64(F.lit(5), F.col("id").cast("int"), F.lit(k)), F.lit(5)).alias(f"d{k}") for k in range(5))).collect()
+    d = [of([b[x] for x in r]) - of([a[x] for x in r]) for r in draw]
+    assert (got.low, got.high, got.n_replicates) == pytest.approx((np.percentile(d, 2.5), np.percentile(d, 97.5), 300))

@@ -1,72 +1,90 @@
 """Pairwise ratings as a fold of a league's games.
 
-A rating is not a window: each game changes both sides, nonlinearly. One group is one league under one set of
-parameters, folded in numpy a block at a time (an entity plays once a block at most, so a block is one vector
-step). Parallelism comes from leagues and parameters; a single league's history is sequential and must fit in
-one task, about 60 bytes a game.
+A rating is not a window: each game changes both sides, nonlinearly. One key is one league under one set of
+parameters. Its games are sorted by block and streamed, and only the ratings of its entities and the games of the
+block at hand are held. Parallelism comes from leagues and parameters; a single league's history is sequential.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.odds import Rating
 
 LEDGER = "league string, config string, block_ord int, season int, game string, side string, entity string, other string, before double, p double, actual double, change double, after double"
+_NAMES = [c.split()[0] for c in LEDGER.split(", ")]
 
 
-def _fold(games: pd.DataFrame) -> pd.DataFrame:
-    games = games.sort_values(["block_ord", "game"], kind="stable").reset_index(drop=True)
-    c, n = games.iloc[0], len(games)
-    names, codes = np.unique(np.concatenate([games["home"], games["away"]]).astype(str), return_inverse=True)
-    home, away = codes[:n], codes[n:]
-    season, block = games["season"].to_numpy(), games["block_ord"].to_numpy()
-    bonus = np.where(games["neutral"].to_numpy(bool), 0.0, c["home_bonus"])
-    adjust = games["home_adjustment"].to_numpy(float) - games["away_adjustment"].to_numpy(float)
-    margin = (games["home_score"] - games["away_score"]).to_numpy(float)
-    played = ~np.isnan(margin)
-    actual = np.where(played, (np.sign(margin) + 1) / 2, np.nan)
-    weight = np.where(played, c["k"] * np.minimum(c["margin_cap"], 1 + (np.abs(margin) / c["margin_divisor"]) ** 2), 0.0)
-    rating = np.full(len(names), float(c["start"]))
-    before_h, before_a, p, change = (np.empty(n) for _ in range(4))
-    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
-        h, w = home[a:b], away[a:b]
-        if len(set(h.tolist()) | set(w.tolist())) != 2 * (b - a):
-            raise ValueError(f"an entity plays twice in block {block[a]}")
-        if a and season[a] != season[a - 1]:
-            rating += c["carry_back"] * (c["start"] - rating)
-        before_h[a:b], before_a[a:b] = rating[h], rating[w]
-        gap = rating[h] + bonus[a:b] - rating[w]
-        p[a:b] = 1 / (1 + 10 ** (-(gap + adjust[a:b]) / c["scale"]))
-        # the change follows the ratings' own expectation, without adjustments
-        d = weight[a:b] * (np.where(played[a:b], actual[a:b], 0.0) - 1 / (1 + 10 ** (-gap / c["scale"])))
-        change[a:b] = d
-        rating[h] += d
-        rating[w] -= d
-    p = np.clip(p, c["lowest"], c["highest"])
-    same = games[["league", "config", "block_ord", "season", "game"]]
-    sides = (("home", home, away, before_h, p, actual, change), ("away", away, home, before_a, 1 - p, 1 - actual, -change))
-    return pd.concat([same.assign(side=side, entity=names[me], other=names[other], before=r, p=q, actual=y, change=d, after=r + d) for side, me, other, r, q, y, d in sides])
+class _League:
+    """The ratings of one league under one set of parameters, and the changes of the block at hand."""
+
+    def __init__(self, config: Rating):
+        self.c, self.ratings, self.season, self.block, self.changes = config, {}, None, None, {}
+
+    def begin(self, block: int, season: int) -> None:
+        """Settles the block before; a new season carries every rating back to the start."""
+        for entity, change in self.changes.items():
+            self.ratings[entity] = self.ratings.get(entity, self.c.start) + change
+        self.changes.clear()
+        if self.season is not None and season != self.season:
+            self.ratings = {e: r + self.c.carry_back * (self.c.start - r) for e, r in self.ratings.items()}
+        self.block, self.season = block, season
+
+    def play(self, home: str, away: str, margin: float | None, neutral: bool, adjustment: float) -> tuple[float, float, float, float | None, float]:
+        """Ratings before, the probability of the home side, what came of it, and the change."""
+        if home in self.changes or away in self.changes or home == away:
+            raise ValueError(f"an entity plays twice in block {self.block}")
+        c = self.c
+        h, a = self.ratings.get(home, c.start), self.ratings.get(away, c.start)
+        gap = h - a + (0.0 if neutral else c.home)
+        expected = lambda x: 1 / (1 + 10 ** (-x / c.scale))
+        p = min(c.highest, max(c.lowest, expected(gap + adjustment)))
+        actual, change = None, 0.0
+        if margin is not None:
+            actual = 1.0 if margin > 0 else 0.5 if margin == 0 else 0.0
+            # the change follows the ratings' own expectation, without adjustments
+            change = c.k * min(c.margin_cap, 1 + (abs(margin) / c.margin_divisor) ** 2) * (actual - expected(gap))
+        self.changes[home], self.changes[away] = change, -change
+        return h, a, p, actual, change
+
+
+def _folded(configs: dict[str, Rating]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, league = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for name, config, block, season, game, home, away, margin, neutral, adjustment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (name, config) != at:
+                    at, league = (name, config), _League(configs[config])
+                if block != league.block:
+                    league.begin(block, season)
+                h, a, p, y, d = league.play(home, away, margin, neutral, adjustment)
+                head = (name, config, block, season, game)
+                out.append((*head, "home", home, away, h, p, y, d, h + d))
+                out.append((*head, "away", away, home, a, 1 - p, None if y is None else 1 - y, -d, a - d))
+            columns = zip(*out, strict=True) if out else [()] * len(_NAMES)
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4, *[pa.float64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES)
+
+    return rows
 
 
 def rating_ledger(games: DataFrame, configs: dict[str, Rating]) -> DataFrame:
     """ML-01, ML-02. Of games (league, block_ord, season, game, home, away, home_score, away_score, neutral, home_adjustment,
     away_adjustment) under each set of parameters: two rows a game with rating before, probability, change and rating after.
 
-    Unplayed games are predicted and change nothing. A block's games are all predicted before any counts.
+    Unplayed games are predicted and change nothing; what came of them is null. A block's games are all predicted before any counts.
     """
-    table = games.sparkSession.createDataFrame([(k, *map(float, asdict(c).values())) for k, c in configs.items()], "config string, " + ", ".join(f"{n} double" for n in asdict(Rating())))
-    table = table.withColumnRenamed("home", "home_bonus")
-    need = ["league", "block_ord", "season", "game", "home", "away", "home_score", "away_score", "neutral", "home_adjustment", "away_adjustment"]
-    text = {c: F.col(c).cast("string") for c in ("league", "game", "home", "away")}
-    swept = games.select(*need).withColumns(text).join(F.broadcast(table), F.lit(True))  # a handful of configurations
-    return swept.groupBy("league", "config").applyInPandas(_fold, LEDGER)
+    text = lambda c: F.col(c).cast("string").alias(c)
+    swept = games.select(
+        text("league"), F.explode(F.array(*map(F.lit, configs))).alias("config"), F.col("block_ord").cast("int").alias("block_ord"), F.col("season").cast("int").alias("season"), text("game"), text("home"), text("away"),
+        (F.col("home_score") - F.col("away_score")).cast("double").alias("margin"), F.coalesce("neutral", F.lit(False)).alias("neutral"), (F.col("home_adjustment") - F.col("away_adjustment")).cast("double").alias("adjustment"),
+    )
+    return swept.repartition("league", "config").sortWithinPartitions("league", "config", "block_ord", "game").mapInArrow(_folded(configs), LEDGER)
 
 
 def replay_differences(ledger: DataFrame, games: DataFrame, configs: dict[str, Rating], tolerance: float = 1e-9) -> DataFrame:

@@ -156,6 +156,24 @@ def bootstrap(sums: DataFrame, block: str, statistic: Column, replicates: int =
     return point.join(ci, by) if by else point.join(ci, F.lit(True))  # one row each
 
 
+def bootstrap_difference(sums: DataFrame, block: str, period: str, periods: tuple[object, object], statistic: Column, replicates: int = 1000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """AG-31. The interval of the difference of a statistic between two periods, whole blocks drawn with replacement in each by itself.
+
+    One row: value_a, value_b, difference (b minus a), low, high and n_replicates. Draws are those of `bootstrap`.
+    """
+    two = sums.where(F.col(period).isin(*periods))
+    w = Window.partitionBy(period)
+    numbered = two.withColumns({"_b": F.row_number().over(w.orderBy(block)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    draws = numbered.select(period, F.col("_b").alias("_draw"), "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
+    draws = draws.select(period, "_rep", F.pmod(F.xxhash64(F.lit(seed), "_rep", "_draw"), F.col("_n")).cast("int").alias("_b"))
+    each = lambda k: F.max(F.when(F.col(period) == periods[k], F.col("_s")))
+    reps = draws.join(numbered.drop("_n"), [period, "_b"]).groupBy("_rep", period).agg(statistic.alias("_s")).groupBy("_rep").agg((each(1) - each(0)).alias("_d"))
+    tail = (1 - level) / 2
+    ci = reps.agg(F.percentile("_d", F.lit(tail)).alias("low"), F.percentile("_d", F.lit(1 - tail)).alias("high"), F.count("_d").alias("n_replicates"))
+    point = two.groupBy(period).agg(statistic.alias("_s")).agg(each(0).alias("value_a"), each(1).alias("value_b"))
+    return point.join(ci, F.lit(True)).select("value_a", "value_b", (F.col("value_b") - F.col("value_a")).alias("difference"), "low", "high", "n_replicates")  # one row each
+
+
 def two_proportions(hits_a: str, n_a: str, hits_b: str, n_b: str) -> Column:
     """AG-32. Struct z, p_value, and both with continuity correction; null without variance."""
     a, b, m, n = (F.col(c).cast("double") for c in (hits_a, hits_b, n_a, n_b))

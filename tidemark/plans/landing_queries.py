@@ -314,21 +314,27 @@ def leagues(spark: SparkSession, sf: str) -> DataFrame:
     return g.select(*g.columns[:8], F.lit(5.0).alias("home_adjustment"), (F.col("o_orderkey") % 7).cast("double").alias("away_adjustment"), F.row_number().over(order).alias("block_ord"))
 
 
-#: The fold as a recursion over each league's games, with the ratings of its eight entities in a list.
-LEAGUES_SQL = """gm as (select cast(o_custkey as varchar) as league, year(o_orderdate) as season, cast(o_orderkey as varchar) as game, 1 + o_orderkey % 5 as h, 6 + o_orderkey % 3 as a,
+def leagues_sql(carry: dict[str, float]) -> str:
+    """The fold as a recursion over each league's games, with the ratings of its eight entities in a list, for each share that is carried back."""
+    configs = ", ".join(f"('{name}', {share!r}::double)" for name, share in carry.items())
+    return f"""cf(config, carry) as (values {configs}),
+    gm as (select cast(o_custkey as varchar) as league, year(o_orderdate) as season, cast(o_orderkey as varchar) as game, 1 + o_orderkey % 5 as h, 6 + o_orderkey % 3 as a,
         case when o_orderkey % 20 <> 0 then cast(floor(o_totalprice) as bigint) % 41 end as hs, cast(floor(o_totalprice / 7) as bigint) % 38 as aw, o_orderkey % 10 = 0 as neutral, 5.0 - o_orderkey % 7 as adj,
         row_number() over (partition by o_custkey order by cast(o_orderdate as date), o_orderkey) as k from orders),
     fold as (
-        select league, cast(0 as bigint) as k, cast(null as bigint) as season, [1500.0::double for x in range(8)] as r, ''::varchar as game, 0::bigint as h, 0::bigint as a, 0.0::double as p, 0.0::double as d, null::double as bh, null::double as ba, null::bigint as m from (select distinct league from gm)
+        select config, carry, league, cast(0 as bigint) as k, cast(null as bigint) as season, [1500.0::double for x in range(8)] as r, ''::varchar as game, 0::bigint as h, 0::bigint as a, 0.0::double as p, 0.0::double as d, null::double as bh, null::double as ba, null::bigint as m from (select distinct league from gm), cf
         union all
-        select league, k, season, list_transform(r, lambda x, i: x + case when i = h then d when i = a then -d else 0 end), game, h, a, p, d, r[h], r[a], m from (
+        select config, carry, league, k, season, list_transform(r, lambda x, i: x + case when i = h then d when i = a then -d else 0 end), game, h, a, p, d, r[h], r[a], m from (
             select *, case when m is null then 0 else 20 * least(2.5, 1 + pow(abs(m) / 6.0, 2)) * ((case when m > 0 then 1.0 when m = 0 then 0.5 else 0.0 end) - 1 / (1 + pow(10, -gap / 400))) end as d,
                    least(0.99, greatest(0.01, 1 / (1 + pow(10, -(gap + adj) / 400)))) as p from (
                 select *, r[h] - r[a] + case when neutral then 0 else 48 end as gap from (
-                    select g.league, g.k, g.season, g.game, g.h, g.a, g.hs - g.aw as m, g.neutral, g.adj, case when f.season <> g.season then list_transform(f.r, lambda x: x + (1500 - x) / 3) else f.r end as r
+                    select f.config, f.carry, g.league, g.k, g.season, g.game, g.h, g.a, g.hs - g.aw as m, g.neutral, g.adj, case when f.season <> g.season then list_transform(f.r, lambda x: x + (1500 - x) * f.carry) else f.r end as r
                     from fold f join gm g on g.league = f.league and g.k = f.k + 1))))"""
 
 
+LEAGUES_SQL = leagues_sql({"x": 1 / 3})
+
+
 @query("stream_ratings", "with recursive " + LEAGUES_SQL + " select league, game, 'e' || (h - 1) as home, 'f' || (a - 6) as away, round(p, 6) as p_home, round(d, 6) as change from fold where k > 0")
 def stream_ratings(spark: SparkSession, sf: str) -> DataFrame:
     """STR-07. The ratings of every league as its games come in."""
@@ -354,6 +360,19 @@ def rating_replay(spark: SparkSession, sf: str) -> DataFrame:
     return ratings.replay_differences(stored, g, {"x": Rating()}).agg(F.count_if(F.col("problem") == "DIFFERS").alias("n_differs"))
 
 
+@query("stream_snapshot_changes", """with d as (select distinct cast(ts as date) as day from events), o as (select day, row_number() over (order by day) as n from d),
+    r as (select user_id, cast(ts as date) as day, max(event_type) as kind from events group by 1, 2),
+    w as (select user_id, day, n, kind, lag(n) over x as b, lead(n) over x as a, lag(kind) over x as old from r join o using (day) window x as (partition by user_id order by n))
+    select user_id, cast(day as varchar) as day, case when b = n - 1 then 'kind' end as field, case when b = n - 1 then old end as old, case when b = n - 1 then kind end as "new", case when b = n - 1 then 'changed' else 'first_seen' end as change_type from w where b is distinct from n - 1 or kind <> old
+    union all select user_id, cast(o.day as varchar), null, null, null, 'dropped' from w join o on o.n = w.n + 1 where a is null or a > w.n + 1""")
+def stream_snapshot_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-02. Each day's users as a snapshot that comes in whole; users that the next day lacks are dropped there."""
+    e = _events(spark, sf).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("event_type").alias("kind")).withColumn("at", F.unix_date("day"))
+    path = scratch(spark, "changes")
+    _finished(jobs.commit_changes(_landed(spark, e, "days", "at"), path, "user_id", "day", ["kind"], scratch(spark, "stream")))
+    return sinks.ledger(spark, path).select("user_id", F.col("day").cast("string").alias("day"), "field", "old", "new", "change_type")
+
+
 @query("listed_order", with_(GAMES_SQL, "w as (select game as key, row_number() over (order by home_score, game) as ordinal from games where season = 1995) select w.key as game, ordinal, home from w join games on game = w.key"))
 def listed_order(spark: SparkSession, sf: str) -> DataFrame:
     """JN-16. Wanted games in their own order."""

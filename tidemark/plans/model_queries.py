@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark import functions as fn
 from tidemark.functions import Rating
@@ -13,24 +12,31 @@ from tidemark.operators import blocks, offers
 from tidemark.operators import evaluation as ev
 from tidemark.plans import pipelines
 from tidemark.plans.base import games, predictions, query, quotes
+from tidemark.plans.landing_queries import leagues, leagues_sql
 
 
-def league_games(spark: SparkSession, sf: str) -> DataFrame:
-    """Games with a block for each round in which no entity of the league plays twice: a league a priority, a block a game."""
-    g = games(spark, sf).where("home <> away")
-    return g.select(F.col("priority").alias("league"), "season", "game", "home", "away", "home_score", "away_score", "neutral", F.lit(0.0).alias("home_adjustment"), F.lit(0.0).alias("away_adjustment"), F.row_number().over(Window.partitionBy("priority").orderBy("day", "game")).alias("block_ord"))
+_CARRY = {f"carry {k}": c for k, c in enumerate((0.0, 0.25, 1 / 3))}
 
 
-@query("rating_fold")
+@query("rating_fold", "with recursive " + leagues_sql(_CARRY) + """ select config, league, k as block_ord, season, game, s.side, case s.side when 'home' then 'e' || (h - 1) else 'f' || (a - 6) end as entity, case s.side when 'home' then 'f' || (a - 6) else 'e' || (h - 1) end as other,
+    round(case s.side when 'home' then bh else ba end, 6) as before, round(case s.side when 'home' then p else 1 - p end, 6) as p, case when m > 0 then case s.side when 'home' then 1.0 else 0.0 end when m < 0 then case s.side when 'home' then 0.0 else 1.0 end when m = 0 then 0.5 end as actual,
+    round(case s.side when 'home' then d else -d end, 6) as change, round(case s.side when 'home' then bh + d else ba - d end, 6) as after from fold, (values ('home'), ('away')) s(side) where k > 0""")
 def rating_fold(spark: SparkSession, sf: str) -> DataFrame:
-    configs = {f"carry {c}": Rating(carry_back=c) for c in (0.0, 0.25, 1 / 3)}
-    return ratings.rating_ledger(league_games(spark, sf), configs)
+    """ML-01, ML-02. Every league's games under three shares that are carried back."""
+    out = ratings.rating_ledger(leagues(spark, sf), {name: Rating(carry_back=c) for name, c in _CARRY.items()})
+    r = lambda c: (F.round(c, 6) + 0.0).alias(c)
+    return out.select("config", "league", "block_ord", "season", "game", "side", "entity", "other", r("before"), r("p"), "actual", r("change"), r("after"))
 
 
-@query("season_boundary_audit")
+@query("season_boundary_audit", "with recursive " + leagues_sql({"x": 1 / 3}) + """, l as (select league || '/' || case s.side when 'home' then 'e' || (h - 1) else 'f' || (a - 6) end as who, season, k, case s.side when 'home' then bh else ba end as before, case s.side when 'home' then bh + d else ba - d end as after from fold, (values ('home'), ('away')) s(side) where k > 0),
+    e as (select who, season, arg_min(before, k) as first_value, arg_max(after, k) as last_value from l group by 1, 2)
+    select e.who, e.season, round(q.last_value, 6) as prior_value, round(q.last_value + (1500 - q.last_value) / 3, 6) as expected, round(e.first_value, 6) as first_value,
+        case when q.who is null then 'NO_PRIOR' when abs(q.last_value + (1500 - q.last_value) / 3 - e.first_value) <= 1e-6 then 'PASS' else 'FAIL' end as state from e left join e q on q.who = e.who and q.season = e.season - 1""")
 def season_boundary_audit(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ratings.rating_ledger(league_games(spark, sf), {"carry": Rating()}).withColumn("who", F.concat_ws("/", "league", "entity"))
-    return ev.season_boundaries(rows, "who", "season", "block_ord", "before", "after", 1 / 3, 1500.0)
+    """WN-10."""
+    rows = ratings.rating_ledger(leagues(spark, sf), {"carry": Rating()}).withColumn("who", F.concat_ws("/", "league", "entity"))
+    out = ev.season_boundaries(rows, "who", "season", "block_ord", "before", "after", 1 / 3, 1500.0)
+    return out.withColumns({c: F.round(c, 6) + 0.0 for c in ("prior_value", "expected", "first_value")})
 
 
 @query("recalibration")
@@ -60,8 +66,9 @@ def margin_maps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _priced(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    q = quotes(spark, sf).where("market = 'spread' and side = 'home'").withColumn("block_ord", F.col("season") - 1990)
-    rows = q.select("l_orderkey", "l_linenumber", "block_ord", "line", "price", F.when(F.col("home_score") != F.col("away_score"), (F.col("home_score") > F.col("away_score")).cast("int")).alias("y"), (F.col("game") % 89 + 5).cast("double").alias("g"), fn.break_even("price").alias("p_market"), (F.col("home_score") - F.col("away_score")).cast("double").alias("margin"))
+    """All quotes by month, with a model's probability and whether the bet won (null on a push)."""
+    q = quotes(spark, sf).withColumns({"block_ord": (F.col("season") - 1990) * 12 + F.col("month"), "settled": fn.settlement("market", "side", "line", "home_score", "away_score")})
+    rows = q.withColumns({"y": F.when(F.col("settled") == "WIN", 1).when(F.col("settled") == "LOSS", 0), "g": (F.col("game") % 89 + 5).cast("double"), "p_market": fn.break_even("price")})
     return rows.withColumn("p_model", F.col("g") / 100), blocks.prior_pairs(rows.select("block_ord").distinct())
 
 
@@ -73,8 +80,13 @@ def pooled_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("point_fits")
 def point_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-10 over all spreads and totals, each side's line as the home side's or over's."""
     rows, pairs = _priced(spark, sf)
-    return fits.point_fits(rows.withColumn("m", F.col("g") / 10 - 5), pairs, "m", "line", "p_market", "margin")
+    total, first = F.col("market") == "total", F.col("side").isin("home", "over")
+    at = F.when(total, F.col("line")).when(first, -F.col("line")).otherwise(F.col("line"))
+    actual = F.when(total, F.col("home_score") + F.col("away_score")).otherwise(F.col("home_score") - F.col("away_score"))
+    lined = rows.where("market <> 'moneyline'").withColumns({"at": at, "actual": actual, "m": at + F.col("g") / 10 - 5, "p_above": F.when(first, F.col("p_market")).otherwise(1 - F.col("p_market"))})
+    return fits.point_fits(lined, pairs, "m", "at", "p_above", "actual")
 
 
 @query("ridge_panel")

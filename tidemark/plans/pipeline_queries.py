@@ -8,16 +8,45 @@ from pyspark.sql import functions as F
 from tidemark.operators import reshape
 from tidemark.plans import pipelines
 from tidemark.plans.base import GAMES_SQL, PLAYS_SQL, QUOTES_SQL, games, load, plays, query, quotes, with_
-from tidemark.plans.history_queries import FLAGS_SQL
+from tidemark.plans.history_queries import FLAGS_SQL, after_sql, before_sql
 from tidemark.plans.offer_queries import _RANK, _SUMMARY
 
 
-@query("feature_bundle")
+_BUNDLE_SQL = f"""g as (select * from games where home <> away),
+    bl as (select block_ord, {before_sql('min(day)')} as as_of, {after_sql('max(day)')} as available_at from g group by 1),
+    f as (select s.entity, g.game, g.season, bl.available_at, s.points from g join bl using (block_ord), lateral (values (home, home_score), (away, away_score)) s(entity, points)),
+    t as (select distinct s.entity, block_ord, as_of from g join bl using (block_ord), lateral (values (home), (away)) s(entity)),
+    r as (select t.entity, t.block_ord, f.season, f.points, row_number() over w as k, first_value(f.season) over w as last_season from t join f on f.entity = t.entity and f.available_at <= t.as_of window w as (partition by t.entity, t.block_ord order by f.available_at desc, f.game desc)),
+    en as (select entity, block_ord, avg(points) filter (k <= 4) as r4, avg(points) filter (k <= 8) as r8, avg(points) filter (season = last_season) as sm, count(*) filter (season = last_season) as sn from r group by 1, 2),
+    e as (select 'e' || (c_custkey % 25) as entity, c_name as c, cast(trunc(c_acctbal) as int) as rk, epoch_us(timestamp '1995-06-01' + to_days(cast(c_custkey % 1500 as int))) as at from customer),
+    l as (select t.entity, t.block_ord, c, rk, min(rk) over (partition by t.entity, t.block_ord) as least from t join e on e.entity = t.entity and e.at <= t.as_of),
+    st as (select entity, block_ord, count(*) as n, min(c) as c from l where rk = least group by 1, 2),
+    pf as (select c_name as player, g.game, bl.available_at, o_totalprice as price from orders join customer on c_custkey = o_custkey join g on g.game = o_orderkey join bl on bl.block_ord = g.block_ord),
+    pq as (select distinct c as player, st.block_ord, as_of from st join bl using (block_ord)),
+    pk as (select pq.player, pq.block_ord, price, row_number() over (partition by pq.player, pq.block_ord order by pf.available_at desc, pf.game desc) as k from pq join pf on pf.player = pq.player and pf.available_at <= pq.as_of),
+    pa as (select player, block_ord, avg(price) filter (k <= 4) as p4 from pk where k <= 8 group by 1, 2)"""
+
+
+def _bundle_side(s: str) -> str:
+    return f"""round(coalesce({s}n.r4, 20.0), 6) as {s}_roll4_points, {s}n.r4 is null as {s}_roll4_points_imputed, round(coalesce({s}n.r8, 20.0), 6) as {s}_roll8_points, round({s}n.sm, 6) as {s}_std_points_mean, {s}n.sn as {s}_std_points_n,
+        case when {s}t.n is null then 'UNKNOWN' when {s}t.n = 1 then 'DEPTH_CHART_SUPPORTED' else 'AMBIGUOUS' end as {s}_starter_state, {s}t.c as {s}_candidate, round(coalesce({s}p.p4, 1000.0), 4) as {s}_passer_roll4_price"""
+
+
+_BUNDLE_JOINS = " ".join(f"left join en {s}n on {s}n.entity = g.{s} and {s}n.block_ord = g.block_ord left join st {s}t on {s}t.entity = g.{s} and {s}t.block_ord = g.block_ord left join pa {s}p on {s}p.player = {s}t.c and {s}p.block_ord = g.block_ord" for s in ("home", "away"))
+
+
+@query("feature_bundle", with_(GAMES_SQL, _BUNDLE_SQL, f"z as (select 1) select g.game, g.season, g.block_ord, {_bundle_side('home')}, {_bundle_side('away')} from g {_BUNDLE_JOINS}"))
 def feature_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """PL-01. The wide rows: entity features, starters and the passer features of the first scenario."""
     g = games(spark, sf).where("home <> away").select("game", "season", "block_ord", "day", "home", "away", "home_score", "away_score")
     facts = g.selectExpr("game", "season", "day", "stack(2, home, home_score, away, away_score) as (entity, points)")
-    evidence = load(spark, sf, "customer").selectExpr("concat('e', c_custkey % 25) as entity", "c_name as candidate", "cast(c_acctbal as int) as rank", "timestamp'1995-06-01 00:00:00' + make_dt_interval(c_custkey % 1500) as at")
-    return pipelines.feature_bundle(g.drop("home_score", "away_score"), facts, evidence, {"points": 20.0}).wide
+    c, o = load(spark, sf, "customer"), load(spark, sf, "orders")
+    evidence = c.selectExpr("concat('e', c_custkey % 25) as entity", "c_name as candidate", "cast(c_acctbal as int) as rank", "timestamp'1995-06-01 00:00:00' + make_dt_interval(c_custkey % 1500) as at")
+    passers = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("c_name").alias("player"), F.col("o_orderkey").alias("game"), F.col("o_totalprice").alias("price"))
+    w = pipelines.feature_bundle(g.drop("home_score", "away_score"), facts, evidence, {"points": 20.0}, passers, {"price": 1000.0}).wide
+    r = lambda c, k=6: F.round(c, k).alias(c)
+    side = lambda s: (r(f"{s}_roll4_points"), f"{s}_roll4_points_imputed", r(f"{s}_roll8_points"), r(f"{s}_std_points_mean"), f"{s}_std_points_n", f"{s}_starter_state", f"{s}_candidate", r(f"{s}_passer_roll4_price", 4))
+    return w.select("game", "season", "block_ord", *side("home"), *side("away"))
 
 
 #: Orders with line items as games of seven entities, with context and starters by order; a play's side is its game's.

@@ -27,31 +27,45 @@ class Bundle:
     starters: DataFrame
     scenarios: DataFrame
     entity: DataFrame
+    passers: DataFrame
     wide: DataFrame
     gates: DataFrame
 
 
-def feature_bundle(games: DataFrame, facts: DataFrame, evidence: DataFrame, metrics: dict[str, float], sizes: tuple[int, ...] = (4, 8)) -> Bundle:
+def feature_bundle(games: DataFrame, facts: DataFrame, evidence: DataFrame, metrics: dict[str, float], passer_facts: DataFrame, passer_metrics: dict[str, float], sizes: tuple[int, ...] = (4, 8)) -> Bundle:
     """PL-01. Pregame features that see only facts available at the block's cutoff.
 
     games: game, season, block_ord, day, home, away; facts: entity, game, season, day and the metrics (name to prior);
-    evidence: entity, candidate, rank, at. A block's facts become usable at the boundary after its last day.
+    evidence: entity, candidate, rank, at; passer_facts: player, game and the passer metrics. A block's facts become
+    usable at the boundary after its last day. Starters are resolved from the evidence before the cutoff; each of up to
+    two candidates is a scenario with its own rolled passer features. wide has a row a game: both sides' entity
+    features, the starter's state, the first scenario's candidate and its passer features.
     """
     weeks = fn.weekly_availability(games, ["block_ord"], "day")
     timed = games.join(weeks.select("block_ord", "as_of", "available_at"), "block_ord")
     sides = reshape.two_sided(timed, {"entity": "home"}, {"entity": "away"}, ["game", "season", "block_ord", "as_of"])
-    usable = facts.join(timed.select("game", "available_at"), "game")
-    rolled = asof.rolled(usable, ["entity"], ["available_at", "game"], list(metrics), list(sizes))
+    available = timed.select("game", "available_at")
+
+    def filled(names: dict[str, float]) -> list[Column]:
+        return [c for m, prior in names.items() for k in sizes for c in history.with_prior(f"roll{k}_{m}_mean", prior, f"roll{k}_{m}_n", f"roll{k}_{m}")]
+
+    rolled = asof.rolled(facts.join(available, "game"), ["entity"], ["available_at", "game"], list(metrics), list(sizes))
     to_date = asof.season_to_date(rolled, ["entity"], "season", ["available_at", "game"], list(metrics))
     values = [c for c in to_date.columns if c.startswith(("roll", "std_"))]
     picked = asof.asof(sides, to_date.withColumnRenamed("game", "_fact_game"), ["entity"], "as_of", "available_at", values, ["_fact_game"])
-    filled = [c for m, prior in metrics.items() for k in sizes for c in history.with_prior(f"roll{k}_{m}_mean", prior, f"roll{k}_{m}_n", f"roll{k}_{m}")]
-    entity = picked.select("game", "season", "block_ord", "side", "entity", *filled, *(v for v in values if v.startswith("std_")))
+    entity = picked.select("game", "season", "block_ord", "side", "entity", *filled(metrics), *(v for v in values if v.startswith("std_")))
     starters = asof.resolved(sides, evidence, ["entity"], "candidate", "rank", "at", "as_of", "DEPTH_CHART_SUPPORTED")
+    scenarios = reshape.scenarios(starters, "candidates")
+    own = asof.rolled(passer_facts.join(available, "game"), ["player"], ["available_at", "game"], list(passer_metrics), list(sizes))
+    own_values = [c for c in own.columns if c.startswith("roll")]
+    seen = asof.asof(scenarios.select("game", "side", "as_of", "state", "scenario_rank", F.col("candidate").alias("player")), own.withColumnRenamed("game", "_fact_game"), ["player"], "as_of", "available_at", own_values, ["_fact_game"])
+    passers = seen.select("game", "side", "state", "scenario_rank", "player", *filled(passer_metrics))
+    first = passers.where("coalesce(scenario_rank, 1) = 1").select("game", "side", F.col("state").alias("starter_state"), F.col("player").alias("candidate"), *(F.col(c).alias(f"passer_{c}") for c in passers.columns if c.startswith("roll")))
     columns = [c for c in entity.columns if c not in ("game", "season", "block_ord", "side")]
-    wide = games.select("game", "season", "block_ord").join(reshape.wide_sides(entity, ["game"], "side", ["home", "away"], columns), "game")
-    gates = quality.union(quality.unique_key(games, ["game"]), quality.unique_key(facts, ["entity", "game"]), quality.once_per_block(games, ["block_ord"], ["home", "away"]))
-    return Bundle(weeks, starters, reshape.scenarios(starters, "candidates"), entity, wide, gates)
+    both = lambda df, names: reshape.wide_sides(df, ["game"], "side", ["home", "away"], names)
+    wide = games.select("game", "season", "block_ord").join(both(entity, columns), "game").join(both(first, [c for c in first.columns if c not in ("game", "side")]), "game")
+    gates = quality.union(quality.unique_key(games, ["game"]), quality.unique_key(facts, ["entity", "game"]), quality.unique_key(passer_facts, ["player", "game"]), quality.once_per_block(games, ["block_ord"], ["home", "away"]))
+    return Bundle(weeks, starters, scenarios, entity, passers, wide, gates)
 
 
 def actual_entering(games: DataFrame, stats: DataFrame, starters: DataFrame, prior: float = -0.05, k: float = 250.0) -> tuple[DataFrame, DataFrame]:
@@ -325,6 +339,7 @@ def forensic_report(ledger: DataFrame, group: str = "book", season: str = "seaso
         "concentration": offers.concentration(ledger, group, "profit"),
         "running": offers.running_profit(ledger, [season], list(order)),
         "interval": ev.bootstrap(sums, season, F.sum("p") / F.sum("n"), replicates=200),
+        "half_difference": ev.bootstrap_difference(sums.withColumn("half", half), season, "half", ("a", "b"), F.sum("p") / F.sum("n"), replicates=200),
         "halves": halves.select(ev.two_proportions("w_a", "n_a", "w_b", "n_b").alias("t")).select("t.*"),
         "worst": ledger.orderBy("profit", *order).limit(20),
     }

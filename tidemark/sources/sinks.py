@@ -37,7 +37,8 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, on whatever file system it is."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
@@ -51,7 +52,7 @@ def append_once(df: DataFrame, path: str, schema: T.StructType, key: str, batch:
     """
     spark, commits = df.sparkSession, f"{path.rstrip('/')}-commits"
     new = df.select(F.col(key).cast(schema[key].dataType).alias("_key")).distinct()
-    if _exists(spark, commits):
+    if exists(spark, commits):
         done = spark.read.schema(f"_key {schema[key].dataType.simpleString()}, batch long").parquet(commits).where(F.col("batch") != batch)
         new = new.join(done.select(F.col("_key").alias("_done")), F.col("_key").eqNullSafe(F.col("_done")), "left_anti")
     rows = _cast(df, schema).dropDuplicates()

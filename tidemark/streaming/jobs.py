@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.functions.odds import Rating
+from tidemark.operators import snapshots
 from tidemark.sources import sinks
 from tidemark.sources.readers import SNAPSHOT, unfolded
 
@@ -82,12 +84,44 @@ class ChangeProcessor(StatefulProcessor):
 def change_stream(records: DataFrame, fields: list[str]) -> DataFrame:
     """STR-02. records (key string, at timestamp, fields as strings) as a stream of changes.
 
-    Keys that a snapshot drops are found by snapshots.changes per snapshot; one key's state cannot see its absence.
+    One key's state cannot see its absence: keys that a snapshot drops are found by commit_changes.
     """
     schema = "key string, at timestamp, field string, old string, new string, change_type string"
     return records.select("key", "at", *fields).groupBy("key").transformWithStateInPandas(ChangeProcessor(fields), schema, "append", "None")
 
 
+def commit_changes(stream: DataFrame, path: str, key: str, snapshot: str, fields: list[str], checkpoint: str) -> StreamingQuery:
+    """STR-02. Whole snapshots as they come in: the ledger of each one's changes against the one before, dropped keys included.
+
+    A batch holds whole snapshots, later ones than the batches before. Its changes and its last snapshot are written
+    to folders of their own, which a repeated batch writes anew; the driver loops over the batch's snapshots, each
+    step compares two of them by a join.
+    """
+    state = f"{path.rstrip('/')}-last"
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark, before = df.sparkSession, None
+        df = df.select(key, snapshot, *fields).persist()
+        times = [r[0] for r in df.select(snapshot).distinct().orderBy(snapshot).collect()]
+        if not times:
+            return
+        if sinks.exists(spark, state):
+            kept = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(state).where(F.col("batch") < batch)
+            latest = kept.agg(F.max("batch")).first()[0]
+            before = None if latest is None else kept.where(F.col("batch") == latest).select(key, *fields)
+        out = []
+        for t in times:
+            after = df.where(F.col(snapshot) == t).select(key, *fields)
+            found = snapshots.changes(after if before is None else before, after, key, fields, first=before is None)
+            out.append(found.withColumn(snapshot, F.lit(t)))
+            before = after
+        reduce(DataFrame.unionByName, out).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+        df.where(F.col(snapshot) == times[-1]).write.mode("overwrite").parquet(f"{state}/batch={batch}")
+        df.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class StalenessProcessor(StatefulProcessor):
     """STR-04. Sets a timer at each success and raises an alarm when it runs out without another."""
 
