@@ -31,7 +31,7 @@ def _star(directed: DataFrame, only_larger: bool) -> DataFrame:
 def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """node, component (the least node reachable) for each node of the links a, b (longs); nodes without links are not listed.
 
-    Rounds go on until one changes nothing; all edges then lead to their component's least node.
+    Rounds go on until one changes nothing and each node has one edge, to its component's least node.
     """
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -40,7 +40,7 @@ def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         edges = checkpointed(_star(large.where("u > v"), only_larger=False).where("u > v"))
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         released(links.sparkSession)
-        if now == before:
+        if now == before and edges.groupBy("u").count().where("count > 1").isEmpty():
             break
         before = now
     else:
