@@ -79,17 +79,26 @@ class Metric:
     weight: Column = field(default_factory=lambda: F.lit(1.0))
 
 
-def triples(rows: DataFrame, key: list[str], metrics: dict[str, Metric]) -> DataFrame:
-    """AG-03. key, metric, num, den, n: one aggregate, unfolded to long. Rows without a value add nothing."""
+def sums(rows: DataFrame, key: list[str], metrics: dict[str, Metric]) -> DataFrame:
+    """AG-03. key and <metric>_num, _den, _n of each metric, in one aggregate. Rows without a value add nothing."""
     aggs = []
     for name, m in metrics.items():
         ok = flag(m.where) & m.value.isNotNull()
         aggs += [F.sum(F.when(ok, m.value.cast("double"))).alias(f"{name}_num"), F.sum(F.when(ok, m.weight.cast("double"))).alias(f"{name}_den"), F.count_if(ok).alias(f"{name}_n")]
-    wide = rows.groupBy(*key).agg(*aggs)
-    long = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.coalesce(f"{m}_num", F.lit(0.0)).alias("num"), F.coalesce(f"{m}_den", F.lit(0.0)).alias("den"), F.col(f"{m}_n").alias("n")) for m in metrics)))
+    return rows.groupBy(*key).agg(*aggs)
+
+
+def unfolded(wide: DataFrame, key: list[str], metrics: list[str]) -> DataFrame:
+    """AG-03. The columns of sums as rows: key, metric, num, den, n."""
+    long = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.coalesce(f"{m}_num", F.lit(0.0)).alias("num"), F.coalesce(f"{m}_den", F.lit(0.0)).alias("den"), F.coalesce(f"{m}_n", F.lit(0)).cast("long").alias("n")) for m in metrics)))
     return wide.select(*key, long.alias("_m")).select(*key, "_m.*")
 
 
+def triples(rows: DataFrame, key: list[str], metrics: dict[str, Metric]) -> DataFrame:
+    """AG-03. key, metric, num, den, n: sums, unfolded to long."""
+    return unfolded(sums(rows, key, metrics), key, list(metrics))
+
+
 def mirrored(long: DataFrame, games: DataFrame, game: str, entity: str, home: str = "home", away: str = "away", suffix: str = "_allowed") -> DataFrame:
     """PRJ-07. Each metric once for the entity that made it and once, renamed, for its opponent, by one explode."""
     joined = long.join(games.select(game, home, away), game)

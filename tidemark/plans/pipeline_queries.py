@@ -10,6 +10,9 @@ from tidemark.plans import pipelines
 from tidemark.plans.base import GAMES_SQL, PLAYS_SQL, QUOTES_SQL, games, load, plays, query, quotes, with_
 from tidemark.plans.history_queries import FLAGS_SQL, after_sql, before_sql
 from tidemark.plans.offer_queries import _RANK, _SUMMARY
+from tidemark.sources import sinks
+from tidemark.sources.readers import table
+from tidemark.sources.scratch import scratch
 
 
 _BUNDLE_SQL = f"""g as (select * from games where home <> away),
@@ -91,7 +94,10 @@ def _totals_sql() -> str:
 def totals_table(spark: SparkSession, sf: str) -> DataFrame:
     """PL-03. All ninety columns of each game."""
     g = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("game")).agg(F.min(F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("int").alias("block_ord"), F.min("l_suppkey").alias("s"))
-    g = g.selectExpr("game", "block_ord", "concat('s', s % 7) as home", "concat('s', (s + 1) % 7) as away")
+    path = scratch(spark, "games")
+    # the schedule is a table of its own, read by every step
+    sinks.frozen(g.selectExpr("game", "block_ord", "concat('s', s % 7) as home", "concat('s', (s + 1) % 7) as away"), path)
+    g = table(spark, path)
     p = plays(spark, sf)
     own = p.join(g.select("game", "home", "away"), "game").withColumn("posteam", F.when(F.col("posteam").isin("s0", "s2", "s4", "s6"), F.col("home")).when(F.col("posteam").isNotNull(), F.col("away")))
     o = load(spark, sf, "orders").withColumnRenamed("o_orderkey", "game")

@@ -111,16 +111,17 @@ TOTALS_COLUMNS = [
 ]
 
 
-def play_metrics(plays: DataFrame) -> DataFrame:
-    """PL-03. game, posteam, metric, num, den, n of each family's rate, from the log of events.play_flags with game, drive, play_id, result.
+def play_sums(plays: DataFrame) -> DataFrame:
+    """PL-03. game, posteam and the sums of each family's rate (events.sums), from the log of events.play_flags with game, drive, play_id, result.
 
-    A drive counts if it has a valid play and a result, and its turnovers are summed. An interval counts between valid
-    plays of one drive and quarter that are no kneels or spikes; it is neutral if it begins so.
+    A row has the families of plays, of drives or of intervals, the others null. A drive counts if it has a valid play
+    and a result, and its turnovers are summed. An interval counts between valid plays of one drive and quarter that are
+    no kneels or spikes; it is neutral if it begins so.
     """
     flagged = events.play_flags(plays).where("posteam is not null")
     number = lambda c: F.col(c).cast("double")
     neutral = F.col("is_neutral") & (F.col("is_pass") | F.col("is_rush"))
-    by_play = events.triples(flagged, ["game", "posteam"], {
+    by_play = events.sums(flagged, ["game", "posteam"], {
         "epa_per_play": events.Metric(F.col("has_epa"), F.col("epa")),
         "success_rate": events.Metric(F.col("has_success"), F.col("success")),
         "neutral_pass_rate": events.Metric(neutral, number("is_pass"), number("is_pass") + number("is_rush")),
@@ -133,7 +134,7 @@ def play_metrics(plays: DataFrame) -> DataFrame:
     counts = {"n_valid": F.col("is_valid"), "n_turnovers": F.col("is_turnover"), "n_red": F.col("in_red_zone"), "n_goal": F.col("is_goal_to_go")}
     drives = events.possessions(flagged, ["game", "drive", "posteam"], "play_id", "result", counts).where("n_valid > 0 and result is not null")
     touchdown = (F.col("result") == "Touchdown").cast("double")
-    by_drive = events.triples(drives, ["game", "posteam"], {
+    by_drive = events.sums(drives, ["game", "posteam"], {
         "points_per_drive": events.Metric(F.lit(True), F.col("points")),
         "scoring_drive_rate": events.Metric(F.lit(True), number("scored")),
         "turnovers_per_drive": events.Metric(F.lit(True), F.col("n_turnovers")),
@@ -143,23 +144,28 @@ def play_metrics(plays: DataFrame) -> DataFrame:
     stopped = (F.coalesce("qb_spike", F.lit(0)) != 0) | (F.coalesce("qb_kneel", F.lit(0)) != 0)
     clocked = flagged.where("is_valid and drive is not null").withColumn("clock", F.when(~stopped, F.col("game_seconds_remaining")))
     gaps = events.intervals(clocked, ["game", "drive", "posteam"], ["play_id"], "clock", ["qtr"], before=["is_neutral"])
-    by_gap = events.triples(gaps, ["game", "posteam"], {
+    by_gap = events.sums(gaps, ["game", "posteam"], {
         "seconds_per_play": events.Metric(F.col("valid_interval"), F.col("seconds")),
         "neutral_seconds_per_play": events.Metric(F.col("valid_interval") & F.col("before_is_neutral"), F.col("seconds")),
     })
-    return reshape.stacked([by_play, by_drive, by_gap])
+    return reshape.stacked([by_play, by_drive, by_gap], widen=True)
 
 
 def totals_table(plays: DataFrame, games: DataFrame, context: DataFrame, passers: DataFrame) -> DataFrame:
     """PL-03. games (game, block_ord, home, away) with the ninety TOTALS_COLUMNS.
 
-    plays: see play_metrics; of a game only plays of blocks before it count. context: game, away_rest, home_rest, roof,
+    plays: see play_sums; of a game only plays of blocks before it count. context: game, away_rest, home_rest, roof,
     surface, as the schedule has them. passers: game, side and PASSER, one row a side at most; flags may be boolean.
     Flags, sums, possessions and intervals are one pass each over the plays; the rest works on entity-block sums.
     """
-    long = play_metrics(plays).withColumnRenamed("posteam", "entity")
-    mirrored = events.mirrored(long, games, "game", "entity")
-    states = history.leaving_state(mirrored.join(games.select("game", "block_ord"), "game"), ["entity", "metric"])
+    # what an entity made and allowed in a block is summed before it is unfolded by family
+    joined = play_sums(plays).join(games.select("game", "block_ord", "home", "away"), "game")
+    other = F.when(F.col("posteam") == F.col("home"), F.col("away")).otherwise(F.col("home"))
+    sides = F.explode(F.array(*(F.struct(e.alias("entity"), F.lit(s).alias("suffix")) for e, s in ((F.col("posteam"), ""), (other, "_allowed")))))
+    names = [f"{f}_{c}" for f in FAMILIES for c in ("num", "den", "n")]
+    per = joined.select(sides.alias("_s"), "block_ord", *names).groupBy("_s.entity", "_s.suffix", "block_ord").agg(*(F.sum(c).alias(c) for c in names))
+    long = events.unfolded(per, ["entity", "suffix", "block_ord"], list(FAMILIES))
+    states = history.leaving_state(long.withColumn("metric", F.concat("metric", "suffix")), ["entity", "metric"])
     rates = history.matchups(games, states, {f: (f, f"{f}_allowed", float(least)) for f, least in FAMILIES.items()}, prefix="matchup_", missing=True)
     category = lambda c: (F.coalesce(F.lower(c), F.lit("unknown")).alias(f"{c}_category"), F.col(c).isNull().cast("int").alias(f"{c}_missing"))
     rest = lambda s: (F.col(f"{s}_rest").cast("int").alias(f"{s}_rest_days"), F.col(f"{s}_rest").isNull().cast("int").alias(f"{s}_rest_days_missing"))
