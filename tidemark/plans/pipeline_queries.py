@@ -81,7 +81,7 @@ TOTALS_SQL = """tg as (select l_orderkey as game, cast(min(year(l_shipdate) * 12
 
 def _totals_sql() -> str:
     rates = ", ".join(f"max(case when m = '{f}{a}' and w >= {least} then x / w end) as {f}{a}" for f, least in pipelines.FAMILIES.items() for a in ("", "_allowed"))
-    pairs = ", ".join(f"round(({x}.{f} + {y}.{f}_allowed) / 2, 6) as {s}_matchup_{f}, case when {x}.{f} is null or {y}.{f}_allowed is null then 1 else 0 end as {s}_matchup_{f}_missing" for f in pipelines.FAMILIES for s, x, y in (("away", "a", "h"), ("home", "h", "a")))
+    pairs = ", ".join(f"round(({x}.{f} + {y}.{f}_allowed) / 2 + 1e-9, 6) as {s}_matchup_{f}, case when {x}.{f} is null or {y}.{f}_allowed is null then 1 else 0 end as {s}_matchup_{f}_missing" for f in pipelines.FAMILIES for s, x, y in (("away", "a", "h"), ("home", "h", "a")))
     rest = ", ".join(f"cx.{s}_rest as {s}_rest_days, case when cx.{s}_rest is null then 1 else 0 end as {s}_rest_days_missing" for s in ("away", "home"))
     kind = ", ".join(f"coalesce(lower(cx.{c}), 'unknown') as {c}_category, case when cx.{c} is null then 1 else 0 end as {c}_missing" for c in ("roof", "surface"))
     numbers = ", ".join(f"case when {n} then cast((o_orderkey + {7 * k + (3 if s == 'home' else 0)}) % {11 + k} as {'int' if 'imputed' in c or c in ('low_sample', 'missing_player_id') else 'double'}) % {2 if 'imputed' in c or c in ('low_sample', 'missing_player_id') else 100} end as {s}_qb_{c}" for s, n in (("away", "o_orderkey % 3 <> 0"), ("home", "true")) for k, c in enumerate(pipelines.PASSER))
@@ -108,7 +108,7 @@ def totals_table(spark: SparkSession, sf: str) -> DataFrame:
     is_flag = lambda c: "imputed" in c or c in ("low_sample", "missing_player_id")
     passers = sides.select("game", "side", *((number(k) % 2 == 1).alias(c) if is_flag(c) else number(k).cast("double").alias(c) for k, c in enumerate(pipelines.PASSER)))
     out = pipelines.totals_table(own.drop("home", "away"), g, context, passers)
-    return out.select(*(F.round(c, 6).alias(c) if "_matchup_" in c and not c.endswith("_missing") else c for c in out.columns))
+    return out.select(*(F.round(F.col(c) + 1e-9, 6).alias(c) if "_matchup_" in c and not c.endswith("_missing") else c for c in out.columns))
 
 
 _CENSUS_SQL = with_(QUOTES_SQL, f"""m as (select 'a' as model, game, (game % 89 + 5) / 100.0 as ph from (select distinct game from quotes) union all select 'b', game, (game % 53 + 20) / 100.0 from (select distinct game from quotes)),

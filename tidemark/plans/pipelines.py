@@ -17,6 +17,9 @@ from tidemark import quality
 from tidemark.models import fits
 from tidemark.operators import asof, blocks, events, history, identity, offers, reshape, snapshots
 from tidemark.operators import evaluation as ev
+from tidemark.sources import sinks
+from tidemark.sources.readers import table
+from tidemark.sources.scratch import scratch
 
 
 @dataclass(frozen=True)
@@ -306,7 +309,11 @@ def offer_board(quotes: DataFrame, models: DataFrame, book_order: list[str], lea
     priced = reshape.stacked([money, pointed("spread"), pointed("total")])
     implied = F.when(first, F.col("p_market")).otherwise(1 - F.col("p_market"))
     given = F.col("p_win") / (F.col("p_win") + F.col("p_loss"))
-    priced = priced.withColumns({"disagreement": F.abs(given - implied), "settled": fn.settlement("market", "side", "line", "home_score", "away_score")})
+    path = scratch(quotes.sparkSession, "priced")
+    # written once: reliability, envelopes and the board itself read it again
+    sinks.frozen(priced.withColumns({"disagreement": F.abs(given - implied), "settled": fn.settlement("market", "side", "line", "home_score", "away_score")}), path)
+    priced = table(quotes.sparkSession, path)
+    first = F.col("side").isin("home", "over")
     gaps = priced.where("first and p_win is not null and settled in ('WIN', 'LOSS')").select("market", "block_ord", (given - (F.col("settled") == "WIN").cast("double")).alias("gap"))
     reliable = reshape.stacked([fits.reliability_states(gaps.where(F.col("market") == m), least_rows=least_rows, least_blocks=least_blocks).withColumn("market", F.lit(m)) for m in offers.MARKETS])
     # blocks without settled offers of their own take the latest state before them
