@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, exact, langid, linededup, simhash, substring, tokenstore, urlfilter
+from tidemark.llm import bpe, chat, decontam, exact, langid, linededup, merkle, simhash, substring, tokenstore, urlfilter
 from tidemark.llm.common import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -106,6 +106,14 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaves = merkle.leaves(docs, ["doc_id", "source", "lang", "n_chars", "text"], {"text": merkle.lowered(F.col("text"))}, tampered)
+    rows = merkle.manifest(leaves).rows
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -120,10 +128,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination,
         "op9_language_id": language_id,
         "op10_url_filter": url_filter,
+        "op11_merkle_manifest": merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
 
+def _merkle_sql(levels: int = 6, upper_levels: int = 5) -> str:
+    """Trees level by level; 16 ** levels leaves a source and 16 ** upper_levels sources at most."""
+    crc = "list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), xor({c}, ascii({x})))"
+    crc = f"xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), lambda a, x: {crc.replace('ascii({x})', 'x').format(c='a')}, 4294967295), 4294967295)"
+    leaf = "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = [
+        f"""l as (select doc_id, source, {leaf.format(text="text")} as leaf, {leaf.format(text=lower)} as lowered, {crc} % 5 = 0 as tampered from documents),
+        d0 as (select *, case when tampered then lowered else leaf end as folded, '' as proof,
+               row_number() over (partition by source order by doc_id nulls last, leaf) - 1 as pos from l),
+        t0 as (select source, pos, leaf as d, count(*) over (partition by source) as n from d0)"""
+    ]
+
+    def climb(k: int, tree: str) -> None:
+        # each level: the runs of 16, where the tree has more than one node; then every document's own way through them
+        sql.append(f"""r{k} as (select {tree}, pos // 16 as pos, list(d order by pos) as g, any_value(n) as n from t{k} group by {tree}, pos // 16),
+        t{k + 1} as (select {tree}, pos, case when n > 1 then sha256(array_to_string(g, '')) else g[1] end as d, (n + 15) // 16 as n from r{k}),
+        d{k + 1} as (select d.* exclude (pos, folded, proof), d.pos // 16 as pos,
+               case when n = 1 then folded else sha256(array_to_string(g[1 : (d.pos % 16)::int], '') || folded || array_to_string(g[(d.pos % 16)::int + 2 :], '')) end as folded,
+               proof || case when n = 1 then '' else array_to_string(g[1 : (d.pos % 16)::int], '') || array_to_string(g[(d.pos % 16)::int + 2 :], '') end as proof
+               from d{k} d join r{k} r on d.{tree} is not distinct from r.{tree} and d.pos // 16 = r.pos)""")
+
+    for k in range(levels):
+        climb(k, "source")
+    k = levels
+    sql.append(f"""s as (select source, d as subroot, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n from t{k}),
+        t{k + 1} as (select 0 as everything, pos, subroot as d, n from s),
+        d{k + 1} as (select d.* exclude (pos), 0 as everything, s.pos, s.subroot from d{k} d join s on d.source is not distinct from s.source)""")
+    for k in range(levels + 1, levels + 1 + upper_levels):
+        climb(k, "everything")
+    k = levels + 1 + upper_levels
+    return f"""with {", ".join(sql)}
+        select doc_id, leaf, subroot, t.d as root, sha256(proof) as proof_sha256, folded as folded_root, folded = t.d as verified from d{k}, t{k} t"""
+
+
 _SPACE = r"[ \t\n\x0B\f\r]"
 
 
@@ -165,4 +209,5 @@ def oracle_sql() -> dict[str, str]:
                   from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, s))
             select p.page_id, host, path, m.rule, coalesce(m.verdict, 'allow') as verdict from p left join m on m.page_id = p.page_id and n = 1""",
     }
+    sql["op11_merkle_manifest"] = _merkle_sql()
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
