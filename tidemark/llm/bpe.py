@@ -24,7 +24,8 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.common import keyed, real_id, slices, texts_of
 
-MEMO = 400_000
+#: Bytes that a worker's memo may take, by estimate, and the longest piece in it.
+MEMO_BYTES, MEMO_PIECE = 72 << 20, 64
 #: The byte-level alphabet's rule: printable bytes stand for themselves, the others follow from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -45,7 +46,8 @@ _COVERED = re.compile(r"[\t-\r -ɏ]*\Z")
 class Codec:
     """Encodes and decodes with a tokenizer file of byte-level BPE; made once for each Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True, memo_bytes: int = MEMO_BYTES):
+        """special: whether a special token's string in a text is that token, or text like any other."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"] is not None:
@@ -56,9 +58,10 @@ class Codec:
         as_bytes = lambda token: bytes(letters[c] for c in token)
         vocab = {as_bytes(t): i for t, i in spec["model"]["vocab"].items()}
         merges = [tuple(as_bytes(x) for x in (m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = added if special else {}
         self.splits = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        by_id = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
+        by_id = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in added.items()}
         self.tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.decimals = [str(i) for i in range(len(self.tokens))]
         self.joined = np.zeros((256, 256), bool)
@@ -71,11 +74,19 @@ class Codec:
         order = np.argsort(pairs)
         self.pairs, self.ranks, self.merged = pairs[order], order, np.array([vocab[a + b] for a, b in merges])[order]
         self.by_pair: dict[int, tuple[int, int]] = {}  # of a pair its rank and token; made for the first long fragment
-        self.memo = self._fresh()
-        self.seen = self.missed = 0
+        self.memo_bytes = memo_bytes
+        self._forget()
 
-    def _fresh(self) -> dict[str, bytes]:
-        return {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+    def _forget(self) -> None:
+        self.memo = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+        self.held = self.seen = self.missed = 0
+
+    def _remember(self, made: dict[str, bytes]) -> None:
+        """Adds short pieces while there is room; objects and their place in the memo take some 180 bytes each."""
+        if self.held < self.memo_bytes:
+            kept = {p: ids for p, ids in made.items() if len(p) <= MEMO_PIECE}
+            self.memo.update(kept)
+            self.held += sum(180 + len(p) + len(ids) for p, ids in kept.items())
 
     def pieces(self, text: str) -> list[str]:
         """The text as the tokenizer splits it before merging; a special token is a piece of its own."""
@@ -167,17 +178,18 @@ class Codec:
             made = dict(zip(new, (missing or self.encode_pieces)(new), strict=True))
             for k in gaps:
                 got[k] = made[flat[k]]
-            if len(self.memo) < MEMO:
-                self.memo.update(made)
+            self._remember(made)
             self.seen, self.missed = self.seen + len(flat), self.missed + len(gaps)
-            if self.seen > 5_000_000:  # the texts have changed: begin again
-                if len(self.memo) >= MEMO and self.missed > 0.25 * self.seen:
-                    self.memo = self._fresh()
+            if self.seen > 5_000_000:  # if the memo is full and the texts have changed, begin again
+                if self.held >= self.memo_bytes and self.missed > 0.25 * self.seen:
+                    self._forget()
                 self.seen = self.missed = 0
         ends = list(accumulate(map(len, split)))
         return [b"".join(got[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def decode(self, ids: np.ndarray) -> str:
+        if len(ids) and not 0 <= ids.min() <= ids.max() < self.size:
+            raise ValueError("an id is outside the vocabulary")
         return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
@@ -215,12 +227,12 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and text of each row's ids; null ids give an empty text, an id outside the vocabulary is an error."""
+    """doc_id and text of each row's ids; no ids give an empty text, a null among them none, an id outside the vocabulary is an error."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            texts = [c.decode(np.array(x or [], np.int64)) for x in batch.column("ids").to_pylist()]
+            texts = [c.decode(np.array([i for i in x or [] if i is not None], np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return tokens.select(tokens[id_col].cast("long").alias("doc_id"), tokens[ids_col].alias("ids")).mapInArrow(rows, "doc_id long, text string")
