@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, exact, langid, linededup, merkle, simhash, substring, tokenstore, urlfilter
+from tidemark.llm import align, bpe, chat, decontam, exact, langid, linededup, merkle, simhash, substring, tokenstore, urlfilter
 from tidemark.llm.common import new_path
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID = 2
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: The tools as which a user's turns are put to the assistant: the first of a conversation, and one that follows others.
@@ -31,6 +31,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def pieces_path() -> str:
+    """TIDEMARK_PIECES, or the file of the installed public tokenizers."""
+    if path := os.environ.get("TIDEMARK_PIECES"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -114,6 +123,11 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = align.alignments(table(spark, sf_dir, "documents"), tokenizer_path(), pieces_path(), digest=True)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -129,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": language_id,
         "op10_url_filter": url_filter,
         "op11_merkle_manifest": merkle_manifest,
+        "op13_tokenizer_alignment": tokenizer_alignment,
         "pipeline": corpus_pipeline.run,
     }
 
