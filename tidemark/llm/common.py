@@ -150,7 +150,7 @@ def rolling(values: np.ndarray, width: int, base: int = WORD_BASE) -> np.ndarray
     return mixed((sums[width:] - sums[:-width]) * inverse[: len(sums) - width])
 
 
-def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _table(BYTE_BASE, len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
@@ -181,7 +181,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         inside = ~_is_space(data)
         edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        out.append(_hash_words(data, starts, ends))
+        out.append(hash_words(data, starts, ends))
         counts += np.bincount(np.searchsorted(bounds, starts + at, side="right") - 1, minlength=len(texts))[: len(texts)]
         at = to
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts

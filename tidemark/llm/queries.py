@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import align, bpe, chat, decontam, exact, langid, linededup, merkle, simhash, substring, tokenstore, urlfilter
+from tidemark.llm import align, bpe, chat, decontam, exact, langid, linededup, merkle, quality, simhash, substring, tokenstore, urlfilter
 from tidemark.llm.common import new_path
 
 TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -108,7 +108,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~held_out())
-    return langid.predictions(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+    return langid.predictions(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +123,13 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 3
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder != 1)
+    return quality.scored(docs, model).select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = align.alignments(table(spark, sf_dir, "documents"), tokenizer_path(), pieces_path(), digest=True)
     return rows.withColumnRenamed("groups", "groups_sha256")
@@ -143,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": language_id,
         "op10_url_filter": url_filter,
         "op11_merkle_manifest": merkle_manifest,
+        "op12_quality_classifier": quality_scores,
         "op13_tokenizer_alignment": tokenizer_alignment,
         "pipeline": corpus_pipeline.run,
     }
