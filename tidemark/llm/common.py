@@ -7,6 +7,7 @@ stay apart, and a null doc_id sorts after every other id instead of vanishing in
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ LAST_ID = 2**63 - 1
 #: Bytes of text that one numpy step works on; temporaries are some 60 times as large.
 STEP_BYTES = 2 << 20
 SPACE = rb"[\x20\x09-\x0D]"
+_SPACES = re.compile(SPACE)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -118,8 +121,7 @@ def _inverse(odd: int) -> int:
     return pow(odd, -1, 2**64)
 
 
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_CHUNK = 1 << 20
+BYTE_BASE = 0x9E3779B97F4A7C15
 _tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -140,52 +142,70 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def rolling(values: np.ndarray, width: int, base: int = WORD_BASE) -> np.ndarray:
-    """Rabin-Karp hashes, modulo 2**64, of all `width` consecutive values."""
-    if len(values) < width:
-        return np.zeros(0, np.uint64)
-    power, inverse = _table(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=sums[1:])
-    return mixed((sums[width:] - sums[:-width]) * inverse[: len(sums) - width])
+PRIME = np.uint64(2**61 - 1)
+#: Bases of the two window hashes.
+BASES = 0x1A5F3D86B1C94E27, 0x0E7D15A2C36B9F43
+_LOW31, _LOW30 = np.uint64(2**31 - 1), np.uint64(2**30 - 1)
+_U1, _U30, _U31, _U61 = (np.uint64(n) for n in (1, 30, 31, 61))
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    power, inverse = _table(BYTE_BASE, len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1."""
+    x = (x & PRIME) + (x >> _U61)
+    return np.where(x >= PRIME, x - PRIME, x)
+
 
+def times(x: np.ndarray, factor: int) -> np.ndarray:
+    """x times a factor modulo 2**61 - 1; both are under it. Halves of 31 and 30 bits keep every product within 64 bits."""
+    high, low = np.uint64(factor >> 31), np.uint64(factor & (2**31 - 1))
+    x_high, x_low = x >> _U31, x & _LOW31
+    middle = x_high * low + x_low * high
+    return reduced(((x_high * high) << _U1) + (middle >> _U30) + ((middle & _LOW30) << _U31) + x_low * low)
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of each text, one after the other, and the number of words of each text.
 
-    Long texts are hashed in chunks that end at white space, so that temporaries stay bounded.
+def rolling(values: np.ndarray, width: int, base: int = BASES[0]) -> np.ndarray:
+    """Rabin-Karp hashes of all `width` consecutive values: polynomials in the base modulo the prime 2**61 - 1.
+
+    They are joined from those of half the width, so log2(width) products are taken.
     """
-    out: list[np.ndarray] = []
-    counts = np.zeros(len(texts), np.int64)
-    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    if len(values) < width:
+        return np.zeros(0, np.uint64)
+    p, done, out, span, have = 2**61 - 1, 0, None, values, 1  # out: of the `done` first values; span: of `have` values
+    while True:
+        if width & have:
+            out = span if out is None else reduced(times(out[: len(out) - have], pow(base, have, p)) + span[done : done + len(out) - have])
+            done += have
+        if done == width:
+            return out
+        span, have = reduced(times(span[:-have], pow(base, have, p)) + span[have:]), 2 * have
+
+
+def words_of(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, of some `size` bytes at a time."""
     at = 0
-    while at < len(joined):
-        to = min(len(joined), at + _CHUNK)
-        if to < len(joined):
-            spaces = np.flatnonzero(_is_space(joined[at:to]))
-            if len(spaces):
-                to = at + int(spaces[-1]) + 1
-            else:  # one word longer than a chunk
-                while to < len(joined) and not len(spaces := np.flatnonzero(_is_space(joined[to : to + _CHUNK]))):
-                    to += _CHUNK
-                to = min(len(joined), to + (int(spaces[0]) + 1 if len(spaces) else 0))
-        data = joined[at:to]
-        inside = ~_is_space(data)
-        edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        out.append(hash_words(data, starts, ends))
-        counts += np.bincount(np.searchsorted(bounds, starts + at, side="right") - 1, minlength=len(texts))[: len(texts)]
+    while at < len(text):
+        to = len(text)
+        if to - at > size and (found := _SPACES.search(text, at + size)):
+            to = found.start()
+        yield text[at:to].split()  # bytes.split() knows exactly 20 and 09-0D
         at = to
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
 
 
-def _is_space(data: np.ndarray) -> np.ndarray:
-    return (data == 32) | ((data >= 9) & (data <= 13))
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes modulo 2**61 - 1 of each word (the halves of its XXH3-128), one text after the other, and each text's number of words."""
+    out: list[bytes] = []
+    counts = np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        for words in words_of(text):
+            out.append(b"".join(map(xxhash.xxh3_128_digest, words)))
+            counts[k] += len(words)
+    halves = np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
+    return reduced(halves[:, 0]), reduced(halves[:, 1]), counts
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, for buckets of features; words made to collide do."""
+    power, inverse = _table(BYTE_BASE, len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))

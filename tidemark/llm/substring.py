@@ -1,6 +1,7 @@
 """Removal of repeated passages: every window of `width` words whose sequence also starts earlier goes.
 
-Windows are hashed by Rabin-Karp. To count them without shuffling one row for each word of the corpus, a
+Windows are hashed by Rabin-Karp in two bases modulo 2**61 - 1, over words that XXH3 hashes to 128 bits: windows are equal
+if both hashes are, which no pair of different ones among 10**15 is to be expected to fulfil by chance. To count them without shuffling one row for each word of the corpus, a
 window is filed under its anchor, the smallest hash of its short word runs (`ANCHOR` words): equal windows
 have equal anchors, and some eight neighbours share one, so
 
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import checkpointed, ints, keyed, looked_up, mixed, real_id, rolling, slices, texts_of, word_hashes
+from tidemark.llm.common import BASES, checkpointed, ints, keyed, looked_up, mixed, real_id, rolling, slices, texts_of, word_hashes, words_of
 
 WIDTH, ANCHOR, HOT = 20, 4, 64
 ANCHORS = "key long, anchor long, _id long, _tag long, known boolean"
-RUNS = "anchor long, _id long, _tag long, start int, hashes array<long>, settled boolean, single boolean"
+#: hashes has two values for each window; of a settled run, its number of windows and 0. lane: a single window's second hash.
+RUNS = "anchor long, lane long, _id long, _tag long, start int, hashes array<long>, settled boolean, single boolean"
 SPANS = "_id long, _tag long, start int, stop int"
 RESULT = "_id long, _tag long, n_words long, n_removed long, kept string, spans array<struct<start:int,stop:int>>"
 
@@ -43,18 +45,18 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - span)], out[width - span :]) if width > span else out
 
 
-def _windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of the texts: its text's index, its start, its anchor and its hash."""
-    words, counts = word_hashes(texts)
+def _windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of the texts: its text's index, its start, its anchor and its two hashes."""
+    words, others, counts = word_hashes(texts)
     short = min(ANCHOR, width)
     if len(words) < width:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-    anchors = _sliding_min(rolling(words, short, 0xA24BAED4963EE407), width - short + 1)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 3
+    anchors = _sliding_min(mixed(rolling(words, short)), width - short + 1)
     first = np.cumsum(counts) - counts
     text = np.repeat(np.arange(len(texts)), counts)[: len(anchors)]
     start = np.arange(len(anchors)) - first[text]
     whole = start + width <= counts[text]
-    return text[whole], start[whole], anchors[whole], rolling(words, width)[whole]
+    return text[whole], start[whole], anchors[whole], rolling(words, width)[whole], rolling(others, width, BASES[1])[whole]
 
 
 def _run_starts(*columns: np.ndarray) -> np.ndarray:
@@ -78,7 +80,7 @@ def _equal_to_head(order: np.ndarray, keys: tuple[np.ndarray, ...], places: tupl
 def _anchor_rows(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
-            text, start, anchor, hashes = _windows(texts_of(part, "_text"), width)
+            text, start, anchor, hashes, _ = _windows(texts_of(part, "_text"), width)
             if not len(text):
                 continue
             at = _run_starts(text, anchor)
@@ -112,18 +114,18 @@ def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
 def _candidate_rows(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
-            text, start, anchor, hashes = _windows(texts_of(part, "_text"), width)
+            text, start, anchor, hashes, seconds = _windows(texts_of(part, "_text"), width)
             lists = part.column("anchors")
             owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy())
             wanted = mixed(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + owner.astype(np.uint64))
             held = np.isin(mixed(anchor + text.astype(np.uint64)), wanted)
-            text, start, anchor, hashes = text[held], start[held], anchor[held], hashes[held]
+            text, start, anchor, hashes, seconds = text[held], start[held], anchor[held], hashes[held], seconds[held]
             if not len(text):
                 continue
             single = np.isin(anchor, part.column("hot").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
             ident, tag = ints(part, "_id")[text], ints(part, "_tag")[text]
-            order = np.lexsort((start, tag, ident, hashes, anchor))
-            first = _equal_to_head(order, (anchor, hashes), (ident, tag, start))
+            order = np.lexsort((start, tag, ident, seconds, hashes, anchor))
+            first = _equal_to_head(order, (anchor, hashes, seconds), (ident, tag, start))
             broken = np.append(False, start[1:] != start[:-1] + 1)
             apart = np.cumsum(broken | (single & first))  # an open window of a hot anchor is a run of its own
             at = _run_starts(text, anchor, first, apart)
@@ -131,15 +133,17 @@ def _candidate_rows(width: int):
             stop = np.append(at[1:], len(text))
             counts = np.where(first[at], stop - at, 1)  # of a settled run its length is all that is needed
             takes = np.repeat(at - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-            values = hashes[takes]
+            values = np.stack([hashes[takes], seconds[takes]], 1)
             ends = np.cumsum(counts)
             settled = ~first[at]
-            values[(ends - 1)[settled]] = (stop - at)[settled].astype(np.uint64)
+            values[(ends - 1)[settled]] = np.stack([(stop - at)[settled].astype(np.uint64), np.zeros(settled.sum(), np.uint64)], 1)
             own = np.where(single[at], mixed(hashes[at] + np.uint64(1)), anchor[at])
             key = np.where(settled, mixed(anchor[at] ^ mixed(ident[at].view(np.uint64) + start[at].astype(np.uint64))), own)
+            alone = single[at] & ~settled
+            lane = np.where(alone, seconds[at], np.uint64(0)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), run(ident), run(tag), pa.array(start[at], pa.int32()), _lists(values, ends - counts), pa.array(settled), pa.array(single[at] & ~settled)],
-                names=["anchor", "_id", "_tag", "start", "hashes", "settled", "single"],
+                [pa.array(key.view(np.int64)), pa.array(lane), run(ident), run(tag), pa.array(start[at], pa.int32()), _lists(values.ravel(), 2 * (ends - counts)), pa.array(settled), pa.array(alone)],
+                names=["anchor", "lane", "_id", "_tag", "start", "hashes", "settled", "single"],
             )
 
     return rows
@@ -149,23 +153,23 @@ def _spans_of(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
     """Of rows in the order of anchor, _id, _tag and start: the words under windows that are not the first of their hash."""
     settled = batch.column("settled").to_numpy(zero_copy_only=False)
     lists = batch.column("hashes")
-    counts = lists.value_lengths().to_numpy()
-    values = lists.flatten().to_numpy(zero_copy_only=False)
+    counts = lists.value_lengths().to_numpy() // 2
+    values = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
     ends = np.cumsum(counts)
     ident, tag, start, anchor = (ints(batch, c) for c in ("_id", "_tag", "start", "anchor"))
     done = np.flatnonzero(settled)
     row = np.repeat(np.arange(batch.num_rows), counts)
     open_ = ~settled[row]
-    row, within, hashes = row[open_], (np.arange(len(values)) - np.repeat(ends - counts, counts))[open_], values[open_]
+    row, within, (hashes, seconds) = row[open_], (np.arange(len(values)) - np.repeat(ends - counts, counts))[open_], values[open_].T
     place = ident[row], tag[row], start[row] + within
-    order = np.lexsort((*place[::-1], hashes, anchor[row]))
-    later = ~_equal_to_head(order, (anchor[row], hashes), place)
+    order = np.lexsort((*place[::-1], seconds, hashes, anchor[row]))
+    later = ~_equal_to_head(order, (anchor[row], hashes, seconds), place)
     row, within = row[later], within[later]
     at = _run_starts(row, within - np.arange(len(row)))
     length = np.diff(np.append(at, len(row)))
     rows = np.concatenate([row[at], done])
     begin = np.concatenate([start[row[at]] + within[at], start[done]])
-    length = np.concatenate([length, values[(ends - 1)[done]]])
+    length = np.concatenate([length, values[(ends - 1)[done], 0]])
     return pa.RecordBatch.from_arrays(
         [pa.array(ident[rows]), pa.array(tag[rows]), pa.array(begin, pa.int32()), pa.array(begin + length + width - 1, pa.int32())],
         names=["_id", "_tag", "start", "stop"],
@@ -173,12 +177,12 @@ def _spans_of(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
 
 
 def _single_spans(batch: pa.RecordBatch, width: int, last: tuple[int, ...]) -> tuple[pa.RecordBatch, tuple[int, ...]]:
-    """The spans of windows dealt by their hash, in order, that are not at the place of their hash's first; last: hash and first place of the row before."""
-    key, values = ints(batch, "anchor"), batch.column("hashes").flatten().to_numpy(zero_copy_only=False)
-    columns = key, values, ints(batch, "_id"), ints(batch, "_tag"), ints(batch, "start")
-    head = _run_starts(key)
+    """The spans of windows dealt by their hash, in order, that are not at the place of their hashes' first; last: hashes and first place of the row before."""
+    key, lane = ints(batch, "anchor"), ints(batch, "lane")
+    columns = key, lane, ints(batch, "_id"), ints(batch, "_tag"), ints(batch, "start")
+    head = _run_starts(key, lane)
     leader = [np.repeat(c[head], np.diff(np.append(head, len(key)))) for c in columns]
-    if last and last[0] == key[0]:
+    if last and last[:2] == (key[0], lane[0]):
         for c, x in zip(leader, last, strict=True):
             c[: head[1] if len(head) > 1 else len(key)] = x
     later = ~np.logical_and.reduce([x == y for x, y in zip(columns[2:], leader[2:], strict=True)])
@@ -225,17 +229,31 @@ def _merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def _without(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, bytes]:
+    """The number of words, and those outside the spans (in order, apart) with one space between, in one pass."""
+    n, kept, k = 0, [], 0
+    for words in words_of(text):
+        at, end = n, n + len(words)
+        while at < end:
+            while k < len(spans) and spans[k][1] <= at:
+                k += 1
+            a, b = spans[k] if k < len(spans) else (end, end)
+            if at < a:
+                kept.append(b" ".join(words[at - n : min(a, end) - n]))
+            at = max(at, min(b, end)) if a < end else end
+        n = end
+    return n, b" ".join(kept)
+
+
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "_text"):
         n_words, n_removed, kept, spans = [], [], [], []
         for text, found in zip(texts_of(part, "_text"), part.column("found").to_pylist(), strict=True):
-            words = text.split()  # bytes.split() knows exactly 20 and 09-0D
             merged = _merged([x["start"] for x in found], [x["stop"] for x in found]) if found else []
-            n_words.append(len(words))
+            n, rest = _without(text, merged)
+            n_words.append(n)
             n_removed.append(sum(b - a for a, b in merged))
-            for a, b in reversed(merged):
-                del words[a:b]
-            kept.append(b" ".join(words).decode())
+            kept.append(rest.decode())
             spans.append([{"start": a, "stop": b} for a, b in merged])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         yield pa.RecordBatch.from_arrays(
@@ -259,7 +277,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     others = looked_up(rows.where("not counts"), ["anchor"], hot, how="left")
     repeated = heads.unionByName(others).groupBy("_id", "_tag").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("hot").alias("hot"))
     candidates = texts.join(repeated, ["_id", "_tag"]).mapInArrow(_candidate_rows(width), RUNS)
-    spans = candidates.repartition("anchor").sortWithinPartitions("anchor", "_id", "_tag", "start").mapInArrow(_span_rows(width), SPANS)
+    spans = candidates.repartition("anchor").sortWithinPartitions("anchor", "lane", "_id", "_tag", "start").mapInArrow(_span_rows(width), SPANS)
     found = spans.groupBy("_id", "_tag").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     result = texts.join(found, ["_id", "_tag"], "left").mapInArrow(_kept_rows, RESULT)
     return result.select(real_id(), "n_words", "n_removed", "kept", "spans")
