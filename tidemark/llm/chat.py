@@ -4,7 +4,8 @@ Messages are rows; a tool call is a row with a call_id, a tool name and argument
 answers a call_id. Calls and results meet in a hash join on (conversation, call_id), so neither a long conversation
 nor a busy tool is ever gathered in one task. A call may name calls whose results it uses (`after`). Runs of calls
 that wait for one call each are first contracted by pointer doubling; then levels follow from peeling: calls that
-wait for nothing settle, round by round, and what never settles is cyclic. Sorting by (root_turn, level, turn) is a
+wait for nothing settle, round by round, and what never settles is cyclic. Conversations of up to `IN_TASK` calls are
+ordered by one task each, in one pass, whatever their depth. Sorting by (root_turn, level, turn) is a
 topological order: root_turn is the largest turn of a call and all calls before it, level twice the number of
 calls on the longest chain before it. Calls on a cycle, or after one, are marked and keep their own turn.
 """
@@ -12,6 +13,7 @@ calls on the longest chain before it. Calls on a cycle, or after one, are marked
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -24,9 +26,60 @@ from tidemark.llm.common import checkpointed, new_path
 _TYPES: dict[str, tuple[type, ...]] = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "array": (list,), "object": (dict,), "null": (type(None),)}
 
 
+#: Arguments nested deeper, and integers of more digits, are not taken apart.
+DEPTH, DIGITS = 64, 4000
+#: Calls of a conversation that one task orders; longer conversations are ordered by rounds of joins.
+IN_TASK = 1000
+
+
 def canonical(value: Any) -> str:
     """JSON with sorted keys, no spaces and no escapes beyond the needed ones."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+class _Unfit(ValueError):
+    """Why a text that may be JSON can't be written as canonical JSON."""
+
+
+def _integer(digits: str) -> int:
+    if len(digits) > DIGITS:
+        raise _Unfit("number too long")
+    return int(digits)
+
+
+def _real(number: str) -> float:
+    value = float(number)
+    if not math.isfinite(value):
+        raise _Unfit("number not finite")
+    return value
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(name)  # NaN and Infinity are no JSON
+
+
+def parsed(text: str) -> tuple[Any, str | None]:
+    """The value of a JSON text; or the text itself, and why: not JSON, nested too deeply, a number that is too long or not finite, a lone surrogate."""
+    try:
+        value = json.loads(text, parse_int=_integer, parse_float=_real, parse_constant=_no_constant)
+    except RecursionError:
+        return text, "nested too deeply"
+    except _Unfit as e:
+        return text, str(e)
+    except ValueError:
+        return text, "not JSON"
+    level, rest = 0, [value]
+    while rest:
+        level += 1
+        if level > DEPTH:
+            return text, "nested too deeply"
+        rest = [x for v in rest if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+    if "\\u" in text:
+        try:
+            canonical(value).encode()
+        except UnicodeEncodeError:
+            return text, "lone surrogate"
+    return value, None
 
 
 def problems(value: Any, schema: dict[str, Any], at: str = "$") -> list[str]:
@@ -65,15 +118,13 @@ def _formatted(schemas: dict[str, dict[str, Any]]):
         message: dict[str, Any] = {"role": role, "content": text}
         found: list[str] = []
         if call is not None:
-            try:
-                value = json.loads(arguments) if arguments is not None else None
-            except ValueError:
-                value, found = arguments, ["$: not JSON"]
+            value, unfit = (None, None) if arguments is None else parsed(arguments)
+            if unfit:
+                found = [f"$: {unfit}"]
+            elif tool not in schemas:
+                found = ["unknown tool"]
             else:
-                if tool not in schemas:
-                    found = ["unknown tool"]
-                else:
-                    found = problems(value, schemas[tool])
+                found = problems(value, schemas[tool])
             message["tool_calls"] = [{"id": call, "name": tool, "arguments": value}]
         if answers is not None:
             message["tool_call_id"] = answers
@@ -89,7 +140,62 @@ def _formatted(schemas: dict[str, dict[str, Any]]):
     return rows
 
 
+def _ordered(turns: dict[str, int], after: dict[str, list[str | None]]) -> dict[str, tuple[int, int]]:
+    """level and root_turn of each call of one conversation that is on no cycle and after none."""
+    waits: dict[str, int] = {}
+    then: dict[str, list[str]] = {}
+    for call, names in after.items():
+        known = {n for n in names or [] if n in turns}
+        waits[call] = len(known)
+        for n in known:
+            then.setdefault(n, []).append(call)
+    found = {call: (0, turn) for call, turn in turns.items()}
+    ready, settled = [call for call, n in waits.items() if not n], {}
+    while ready:
+        call = ready.pop()
+        level, root = settled[call] = found[call]
+        for other in then.get(call, []):
+            found[other] = max(found[other][0], level + 1), max(found[other][1], root)
+            waits[other] -= 1
+            if not waits[other]:
+                ready.append(other)
+    return settled
+
+
+def _in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The levels of conversations that come one after the other."""
+
+    def ended(rows: list[dict]) -> pa.RecordBatch:
+        own = {r["call_id"]: r["turn"] for r in rows}
+        settled = _ordered(own, {r["call_id"]: r["after"] for r in rows})
+        made = [{"conv": r["conv"], "call_id": (c := r["call_id"]), "level": settled.get(c, (0, 0))[0], "root_turn": settled[c][1] if c in settled else r["turn"], "cyclic": c not in settled} for r in rows]
+        return pa.RecordBatch.from_pylist(made, schema=pa.schema([("conv", conv), ("call_id", pa.string()), ("level", pa.int32()), ("root_turn", pa.int64()), ("cyclic", pa.bool_())]))
+
+    held: list[dict] = []
+    for batch in batches:
+        conv = batch.schema.field("conv").type
+        for row in batch.to_pylist():
+            if held and held[-1]["conv"] != row["conv"]:
+                yield ended(held)
+                held = []
+            held.append(row)
+    if held:
+        yield ended(held)
+
+
 def _levels(calls: DataFrame) -> DataFrame:
+    """conv, call_id, level, root_turn and cyclic of each call: of conversations of up to IN_TASK calls in one pass, of others by rounds."""
+    long = calls.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > IN_TASK).select("conv")
+    rest = calls.join(long, "conv", "left_anti").select("conv", "call_id", F.col("turn").cast("long").alias("turn"), "after")
+    schema = "conv struct<none:boolean,name:string>, call_id string, level int, root_turn long, cyclic boolean"
+    short = rest.repartition("conv").sortWithinPartitions("conv").mapInArrow(_in_task, schema)
+    if long.isEmpty():
+        return short
+    by_rounds = _rounds(checkpointed(calls.join(long, "conv", "left_semi"))).select("conv", "call_id", "level", F.col("root_turn").cast("long").alias("root_turn"), "cyclic")
+    return short.unionByName(by_rounds)
+
+
+def _rounds(calls: DataFrame) -> DataFrame:
     """conv, call_id, level, root_turn and cyclic of each call: the calls of the longest chain before it, and the largest turn of it and all before it.
 
     calls: conv and call_id (unique, not null), turn, after. References to unknown calls are ignored. A call that
@@ -150,7 +256,9 @@ def linked(messages: DataFrame, schemas: dict[str, dict[str, Any]]) -> DataFrame
 
     status: `plain` (neither call nor result), `linked`, `open` (a call without result), `orphan` (a result without
     call), `repeated` (a call_id used before in its conversation, or a further result of one call), `cyclic`. The
-    smallest turn is a call's or result's own; of rows equal in turn too each comes out alike. Null conversations
+    smallest turn is a call's or result's own; of rows equal in turn too each comes out alike, with the least `after` among them.
+    Arguments that are no JSON, nested too deeply, or hold a number too long or not finite or a lone surrogate are a problem,
+    and stand as text in the message, which is always JSON. Null conversations
     are one conversation; they and null turns sort first. Other columns are ignored. Each message gives one row,
     chains may have any length, and empty tables give none.
     """
@@ -158,7 +266,7 @@ def linked(messages: DataFrame, schemas: dict[str, dict[str, Any]]) -> DataFrame
     # joins go by a conversation that is never null
     m = m.withColumn("_key", F.coalesce("call_id", "answers")).withColumn("_conv", F.struct(F.col("conv").isNull().alias("none"), F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("name")))
     first = F.coalesce(F.col("turn"), F.lit(-(2**63)))  # a null turn is the first
-    calls = m.where("call_id is not null").groupBy(F.col("_conv").alias("conv"), "call_id").agg(F.min(first).alias("turn"), F.min_by("after", first).alias("after"))
+    calls = m.where("call_id is not null").groupBy(F.col("_conv").alias("conv"), "call_id").agg(F.min(first).alias("turn"), F.min_by("after", F.struct(first, F.sort_array("after"))).alias("after"))
     calls = checkpointed(calls)
     results = m.where("answers is not null").groupBy(F.col("_conv").alias("conv"), F.col("answers").alias("call_id")).agg(F.min(first).alias("result_turn"))
     links = calls.drop("after").withColumnRenamed("turn", "call_turn").join(results.hint("shuffle_hash"), ["conv", "call_id"], "full")
