@@ -1,6 +1,7 @@
 """Tokenizer alignment against whole-text encodings by the two libraries and plain counting."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -88,9 +89,46 @@ def test_memo_is_bounded(monkeypatch):
     made, fresh = align.Aligner(queries.tokenizer_path(), queries.pieces_path()), align.Aligner(queries.tokenizer_path(), queries.pieces_path())
     for k in range(5):
         texts = [f"text {k} of some words {j}" for j in range(20)]
-        slots, ends = made.units(texts)
-        assert made.sums(slots, ends, made.stats).tolist() == fresh.sums(*fresh.units(texts), fresh.stats).tolist()
-        assert len(made.groups) <= 150
+        links, where, ends, _ = made.texts_of(texts, True)
+        more, other, _, _ = fresh.texts_of(texts, True)
+        assert align.text_sums(links.stats, where, ends).tolist() == align.text_sums(more.stats, other, ends).tolist()
+        assert align._joined(links, where, ends) == align._joined(more, other, ends)
+        assert len(made.slots) <= 150
+
+
+def test_encoders_of_a_agree():
+    """By ranks and by merges, over random texts of many alphabets; unequal ids would change the result."""
+    rng = random.Random(8)
+    c = align.Aligner(queries.tokenizer_path(), queries.pieces_path())
+    assert c.ranked is not None
+    pools = ["abcdefghi th", "aàâäéèê ß.,", "\n\t \r xX1", "日本語の漢字ひ ", "0123456789 .-", "ÀÉ İı ſK", "\u2028\u180e\x85\x1c a ", "😀👩‍👧 é"]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 60))) for _ in range(3000)] + ["".join(rng.choice(p) for _ in range(80)) for p in pools for _ in range(40)]
+    by_ranks = [np.array(c.ranked(f" {t}"), "<u4").tobytes() for t in texts]
+    assert by_ranks == c.a.encode([f" {t}" for t in texts])
+    c.ranked = None
+    d = align.Aligner(queries.tokenizer_path(), queries.pieces_path())
+    for x, y in zip(c.texts_of(texts, True)[0].groups, d.texts_of(texts, True)[0].groups, strict=True):
+        assert x == y
+
+
+def test_groups_with_very_many_links():
+    """A group of over 4,096 links is counted by its distinct pairs."""
+    c = align.Aligner(queries.tokenizer_path(), queries.pieces_path())
+    c.b_bytes = [b"x" * 101 if i == 5 else x for i, x in enumerate(c.b_bytes)]
+    c.sizes[1] = np.array([len(x) for x in c.b_bytes])
+    slots = np.array([0])
+    c.ids[0].add(np.array([c.a.byte_ids[120]] * 101 * 70), np.array([101 * 70]))
+    c.ids[1].add(np.array([5] * 70), np.array([70]))
+    c.sizes[0] = np.where(np.arange(len(c.sizes[0])) == c.a.byte_ids[120], 1, c.sizes[0])
+    links = c.linked(slots, True)
+    assert links.stats.tolist() == [[7070, 70, 70, 7070]]
+    c.sizes[1][5] = 99
+    c.ids[1].add(np.array([5] * 70 + [6]), np.array([71]))
+    c.sizes[1][6] = 7070 - 99 * 70
+    c.ids[0].add(np.array([c.a.byte_ids[120]] * 7070), np.array([7070]))
+    c.sizes[0][c.a.byte_ids[120]] = 1
+    whole = c.linked(np.array([1]), False)
+    assert whole.stats.tolist()[0][3] == whole.times.sum()
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])

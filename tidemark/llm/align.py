@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from tidemark.llm.common import keyed, mixed, new_path, real_id, slices, texts_o
 SHARES, SALTS = 64, 16
 BROADCAST_BYTES = 96 << 20
 #: Bytes of text that are aligned at once, of a worker's memory of units, by estimate, and of pairs that a task holds before it passes them on.
-STEP, MEMO_BYTES, HELD = 1 << 20, 64 << 20, 1_500_000
+STEP, MEMO_BYTES, HELD = 1 << 20, 160 << 20, 1_500_000
 #: Before a space, unless white space (or what some call so) stands before it.
 _UNIT = re.compile(r"(?<=[^\s\u180e\u200b-\u200f\u2028-\u202f\u205f-\u2064\ufeff])(?= )")
 _SHIFT = np.int64(32)
@@ -49,86 +50,176 @@ class Aligner:
         import sentencepiece
 
         self.a = Codec(path_a, special=False, memo_bytes=24 << 20)
+        self.ranked = self.a.as_ranks()
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         as_bytes = lambda i, p: bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
         self.b_bytes = [as_bytes(i, p) for i, p in enumerate(pieces)]
-        self.a_sizes, self.b_sizes = [len(t) for t in self.a.tokens], [len(t) for t in self.b_bytes]
+        self.sizes = [np.array([len(t) for t in tokens]) for tokens in (self.a.tokens, self.b_bytes)]
+        #: of each id its text with what may follow it: inside a group, and at the end of the group's ids
+        self.texts = [[np.array([f"{i}{mark}" for i in range(len(size))], object) for mark in marks] for size, marks in zip(self.sizes, (",|", ",;"), strict=True)]
         self.space = self.b.piece_to_id("▁")
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces) and self.b_bytes[self.space] == b" "
         self.forget()
 
     def forget(self) -> None:
         self.slots: dict[str, int] = {}
-        self.groups: list[str] = []  # of each unit its groups as text, its distinct pairs and how often it links each
-        self.pairs: list[bytes] = []
-        self.times: list[bytes] = []
-        self.stats = np.zeros((1 << 12, 5), np.int64)  # tokens of A, of B, groups, links, and 1 if the bytes differ
+        self.ids = [_Pool(), _Pool()]
+        self.good = np.zeros(1 << 12, bool)  # whether a unit's tokens give its bytes
         self.held = 0
 
+    def _encode_a(self, units: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units, and the number of each unit's."""
+        if self.ranked is None:
+            raw = self.a.encode(units)
+            return np.frombuffer(b"".join(raw), "<u4"), np.array([len(r) // 4 for r in raw])
+        # in one text: a unit begins with a space, before which A splits unless white space ends the unit before
+        apart = {c for c in {u[-1] for u in units} if not _UNIT.match(f"{c} ", 1)}
+        if not apart:
+            ids = np.array(self.ranked("".join(units)), np.int64)
+            return ids, np.diff(np.searchsorted(np.cumsum(self.sizes[0][ids]), np.cumsum(lengths), side="right"), prepend=0)
+        alone = np.array([u[-1] in apart for u in units])
+        together = np.flatnonzero(~alone).tolist()
+        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(units)
+        if together:
+            ids, counts = self._encode_a([units[k] for k in together], lengths[together])
+            for k, x in zip(together, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                found[k] = x
+        for k in np.flatnonzero(alone).tolist():
+            found[k] = np.array(self.ranked(units[k]), np.int64)
+        return np.concatenate(found), np.array([len(x) for x in found])
+
     def _learn(self, units: list[str]) -> None:
-        n = len(self.groups)
-        while n + len(units) > len(self.stats):
-            self.stats = np.concatenate([self.stats, np.zeros_like(self.stats)])
+        n = len(self.slots)
         of_b = self.b.encode([u[1:] for u in units], num_threads=1)
-        for k, (unit, raw, b) in enumerate(zip(units, self.a.encode(units), of_b, strict=True), n):
-            a = np.frombuffer(raw, "<u4").tolist()
-            if unit == " ":
-                b = [self.space]
-            whole = unit.encode()
-            self.slots[unit] = k
-            if b"".join(map(self.b_bytes.__getitem__, b)) != whole or b"".join(map(self.a.tokens.__getitem__, a)) != whole:
-                self.stats[k] = 0, 0, 0, 0, 1
-                groups, links = "", Counter()
-            else:
-                groups, links, n_groups, n_links = self._linked(a, b)
-                self.stats[k] = len(a), len(b), n_groups, n_links, 0
-            self.groups.append(groups)
-            keys = np.fromiter(links.keys(), np.int64, len(links))
-            self.pairs.append(keys.tobytes())
-            self.times.append(np.fromiter(links.values(), np.int64, len(links)).tobytes())
-            self.held += 500 + 2 * len(unit) + len(groups) + 16 * len(links)
-
-    def _linked(self, a: list[int], b: list[int]) -> tuple[str, Counter, int, int]:
-        """The groups as text, how often each pair of ids is linked, and the numbers of groups and links."""
-        out, links, n_links = [], Counter(), 0
-        i = j = first_a = first_b = at_a = at_b = 0
-        while i < len(a):
-            at_a += self.a_sizes[a[i]]
-            i += 1
-            while at_b < at_a and j < len(b):
-                at_b += self.b_sizes[b[j]]
-                j += 1
-            if at_a == at_b:
-                own_a, own_b = a[first_a:i], b[first_b:j]
-                out.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-                n_links += len(own_a) * len(own_b)
-                if len(own_a) == len(own_b) == 1:
-                    links[own_a[0] << 32 | own_b[0]] += 1
-                else:
-                    times_b = Counter(own_b)
-                    for x, n in Counter(own_a).items():
-                        for y, m in times_b.items():
-                            links[x << 32 | y] += n * m
-                first_a, first_b = i, j
-        return ";".join(out), links, len(out), n_links
+        if " " in units:
+            of_b[units.index(" ")] = [self.space]
+        raw = [u.encode() for u in units]
+        lengths = np.array([len(r) for r in raw])
+        flat, counts = self._encode_a(units, lengths)
+        self.ids[0].add(flat, counts)
+        counts_b = np.array([len(x) for x in of_b])
+        flat_b = np.fromiter(chain.from_iterable(of_b), np.int64, counts_b.sum())
+        self.ids[1].add(flat_b, counts_b)
+        total = np.concatenate([[0], np.cumsum(self.sizes[1][flat_b])])
+        ends = np.cumsum(counts_b)
+        good = total[ends] - total[ends - counts_b] == lengths
+        given = list(map(self.b_bytes.__getitem__, flat_b.tolist()))
+        if not good.all() or b"".join(given) != b"".join(raw):
+            good = np.array([b"".join(given[e - c : e]) == r for e, c, r in zip(ends, counts_b, raw, strict=True)])
+        while len(self.good) < n + len(units):
+            self.good = np.concatenate([self.good, np.zeros_like(self.good)])
+        self.good[n : n + len(units)] = good
+        self.slots.update(zip(units, range(n, n + len(units)), strict=True))
+        self.held += 200 * len(units) + int(lengths.sum()) + 4 * (len(flat) + len(flat_b))
 
     def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The slots of the texts' units, one text after the other, and each text's end among them. An empty text has none."""
         if self.held > MEMO_BYTES:
             self.forget()
         split = [(_UNIT.split(f" {t}") if self.cuts else [f" {t}"]) if t else [] for t in texts]
-        flat = [u for s in split for u in s]
+        flat = list(chain.from_iterable(split))
         new = [u for u in dict.fromkeys(flat) if u not in self.slots]
         if new:
             self._learn(new)
         return np.fromiter(map(self.slots.__getitem__, flat), np.int64, len(flat)), np.cumsum([len(s) for s in split])
 
-    def sums(self, slots: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Of each text the sum of its units' values."""
-        total = np.zeros((len(slots) + 1, values.shape[1]), np.int64)
-        np.cumsum(values[slots], axis=0, out=total[1:])
-        return total[ends] - total[np.concatenate([[0], ends[:-1]])]
+    def linked(self, slots: np.ndarray, texts: bool) -> Links:
+        """The alignment of good units."""
+        (a, n_a), (b, n_b) = (pool.take(slots) for pool in self.ids)
+        at_a, at_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        size = int(at_a[-1]) if len(at_a) else 0
+        in_a, in_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+        in_a[at_a] = in_b[at_b] = True
+        last_a, last_b = in_b[at_a], in_a[at_b]  # the last tokens of groups
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        unit = np.repeat(np.arange(len(slots)), n_a)[last_a]
+        own_a, own_b = np.bincount(group_a), np.bincount(group_b)
+        product = own_a * own_b
+        stats = np.stack([n_a, n_b, np.bincount(unit, minlength=len(slots)), np.bincount(unit, weights=product, minlength=len(slots)).astype(np.int64)], 1)
+        first_a, first_b = np.cumsum(own_a) - own_a, np.cumsum(own_b) - own_b
+        small = np.flatnonzero(product <= 4096)
+        many = product[small]
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        wide = np.repeat(own_b[small], many)
+        pairs = [a[np.repeat(first_a[small], many) + within // wide] << _SHIFT | b[np.repeat(first_b[small], many) + within % wide]]
+        times, owner = [np.ones(len(within), np.int64)], [np.repeat(unit[small], many)]
+        for g in np.flatnonzero(product > 4096).tolist():  # their distinct pairs alone
+            x, n = np.unique(a[first_a[g] : first_a[g] + own_a[g]], return_counts=True)
+            y, m = np.unique(b[first_b[g] : first_b[g] + own_b[g]], return_counts=True)
+            pairs.append((x[:, None] << _SHIFT | y).ravel())
+            times.append(np.outer(n, m).ravel())
+            owner.append(np.full(len(x) * len(y), unit[g]))
+        pairs, times, owner = map(np.concatenate, (pairs, times, owner))
+        if len(owner) > len(within):
+            order = np.argsort(owner, kind="stable")
+            pairs, times, owner = pairs[order], times[order], owner[order]
+        groups: list[str] = []
+        if texts:
+            both = np.empty(len(a) + len(b), object)
+            both[np.arange(len(a)) + first_b[group_a]] = np.where(last_a, self.texts[0][1][a], self.texts[0][0][a])
+            both[np.arange(len(b)) + first_a[group_b] + own_a[group_b]] = np.where(last_b, self.texts[1][1][b], self.texts[1][0][b])
+            flat, ends = both.tolist(), np.cumsum(n_a + n_b).tolist()
+            groups = ["".join(flat[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
+        return Links(stats, pairs, times, np.searchsorted(owner, np.arange(len(slots) + 1)), groups)
+
+    def texts_of(self, texts: list[str], groups: bool) -> tuple[Links, np.ndarray, np.ndarray, np.ndarray]:
+        """The links of the texts' distinct good units, the unit of each place in the texts, each text's end, and which texts have tokens.
+
+        A text with a unit whose tokens don't give its bytes has none.
+        """
+        slots, ends = self.units(texts)
+        bad = np.concatenate([[0], np.cumsum(~self.good[slots])])
+        starts = np.concatenate([[0], ends[:-1]])
+        has = (ends > starts) & (bad[ends] == bad[starts])
+        slots = slots[np.repeat(has, ends - starts)]
+        own, where = np.unique(slots, return_inverse=True)
+        return self.linked(own, groups), where, np.cumsum(np.where(has, ends - starts, 0)), has
+
+
+class _Pool:
+    """Lists of ids, one after the other."""
+
+    def __init__(self):
+        self.ids, self.ends, self.n, self.size = np.zeros(1 << 14, np.int32), np.zeros((1 << 12) + 1, np.int64), 0, 0
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        while self.size + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(counts) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[self.size : self.size + len(ids)] = ids
+        self.ends[self.n + 1 : self.n + 1 + len(counts)] = self.size + np.cumsum(counts)
+        self.size, self.n = self.size + len(ids), self.n + len(counts)
+
+    def take(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these lists, and the number of each."""
+        first = self.ends[slots]
+        counts = self.ends[slots + 1] - first
+        return self.ids[np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)].astype(np.int64), counts
+
+
+@dataclass
+class Links:
+    """Of some units: numbers of tokens of A and B, groups and links; the linked pairs of ids, how often each is, where each unit's begin; groups as text."""
+
+    stats: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+    starts: np.ndarray
+    groups: list[str]
+
+    def of(self, units: np.ndarray) -> np.ndarray:
+        """The places of these units' pairs."""
+        counts = self.starts[units + 1] - self.starts[units]
+        return np.arange(counts.sum()) + np.repeat(self.starts[units] - (np.cumsum(counts) - counts), counts)
+
+
+def text_sums(values: np.ndarray, where: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each text the sum of its units' values."""
+    total = np.zeros((len(where) + 1, values.shape[1]), np.int64)
+    np.cumsum(values[where], axis=0, out=total[1:])
+    return total[ends] - total[np.concatenate([[0], ends[:-1]])]
 
 
 @lru_cache(maxsize=1)
@@ -235,12 +326,8 @@ def _document_counts(path_a: str, path_b: str):
         c = aligner(path_a, path_b)
         pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for part in slices(batches, "_text", STEP):
-            slots, ends = c.units([t.decode() for t in texts_of(part, "_text")])
-            bad = c.sums(slots, ends, c.stats[:, 4:])[:, 0] > 0
-            found = []
-            for a, b, skip in zip([0, *ends[:-1]], ends, bad, strict=True):
-                if a < b and not skip:
-                    found.append(np.unique(np.frombuffer(b"".join(map(c.pairs.__getitem__, np.unique(slots[a:b]).tolist())), np.int64)))
+            links, where, ends, _ = c.texts_of([t.decode() for t in texts_of(part, "_text")], False)
+            found = [np.unique(links.pairs[links.of(np.unique(where[a:b]))]) for a, b in zip([0, *ends[:-1]], ends, strict=True) if a < b]
             if found:
                 new = np.concatenate(found)
                 pairs, counts = _summed([pairs, new], [counts, np.ones(len(new), np.int64)])
@@ -365,14 +452,6 @@ _ROWS = "_id long, _tag long, " + ", ".join(f"{n} long" for n in _NUMBERS) + ",
 _LINKS = "uid long, _id long, _tag long, n_a long, n_b long, n_groups long, n_links long, groups string, share int, salt int, uids binary, pairs binary, times binary"
 
 
-def _aligned(c: Aligner, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Of a slice: slots and ends of its texts' units, which texts have tokens, and the texts' groups."""
-    slots, ends = c.units([t.decode() for t in texts_of(part, "_text")])
-    good = (np.diff(ends, prepend=0) > 0) & (c.sums(slots, ends, c.stats[:, 4:])[:, 0] == 0)
-    groups = [";".join(map(c.groups.__getitem__, slots[a:b].tolist())) if ok else "" for a, b, ok in zip([0, *ends[:-1]], ends, good, strict=True)]
-    return slots, ends, good, groups
-
-
 def _named(groups: list[str], digest: bool) -> pa.Array:
     return pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups] if digest else groups, pa.string())
 
@@ -385,23 +464,25 @@ def _looked_up(path_a: str, path_b: str, table, digest: bool):
         for row in table.value:
             shares[row["share"]] = Share(row)
         for part in slices(batches, "_text", STEP):
-            slots, ends, good, groups = _aligned(c, part)
-            own = np.unique(slots[np.repeat(good, np.diff(ends, prepend=0))])
-            pairs = np.frombuffer(b"".join(c.pairs[s] for s in own.tolist()), np.int64)
-            times = np.frombuffer(b"".join(c.times[s] for s in own.tolist()), np.int64)
-            found, share = np.zeros((len(pairs) + 1, 2), np.int64), share_of(pairs)
+            links, where, ends, _ = c.texts_of([t.decode() for t in texts_of(part, "_text")], True)
+            found, share = np.zeros((len(links.pairs) + 1, 2), np.int64), share_of(links.pairs)
             order = np.argsort(share, kind="stable")
             for s, at in zip(*_cut(share[order]), strict=True):
-                found[1 + order[at]] = shares[s].values(pairs[order[at]]) * times[order[at], None]
-            found, links = np.cumsum(found, axis=0), np.cumsum([0, *(len(c.pairs[s]) // 8 for s in own.tolist())])
-            values = np.zeros((len(c.stats), 2), np.int64)
-            values[own] = found[links[1:]] - found[links[:-1]]
-            sums = np.concatenate([c.sums(slots, ends, c.stats[:, :4]), c.sums(slots, ends, values)], 1) * good[:, None]
+                found[1 + order[at]] = shares[s].values(links.pairs[order[at]]) * links.times[order[at], None]
+            found = np.cumsum(found, axis=0)
+            values = np.concatenate([links.stats, found[links.starts[1:]] - found[links.starts[:-1]]], 1)
+            sums, groups = text_sums(values, where, ends), _joined(links, where, ends)
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_tag"), *map(pa.array, np.ascontiguousarray(sums.T)), _named(groups, digest)], names=["_id", "_tag", *_NUMBERS, "groups"])
 
     return rows
 
 
+def _joined(links: Links, where: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The groups of each text."""
+    flat = list(map(links.groups.__getitem__, where.tolist()))
+    return ["".join(flat[a:b])[:-1] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def _cut(ordered: np.ndarray) -> tuple[list[int], list[slice]]:
     """The distinct values of an ordered array, and where each is."""
     values, first = np.unique(ordered, return_index=True)
@@ -420,20 +501,19 @@ def _dealt_links(path_a: str, path_b: str, digest: bool):
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
         for part in slices(batches, "_text", STEP):
-            slots, ends, good, groups = _aligned(c, part)
+            links, where, ends, _ = c.texts_of([t.decode() for t in texts_of(part, "_text")], True)
             n = part.num_rows
-            sums = c.sums(slots, ends, c.stats[:, :4]) * good[:, None]
-            yield batch(n, uid=np.arange(uid, uid + n), _id=part.column("_id"), _tag=part.column("_tag"), groups=_named(groups, digest), **dict(zip(number[3:], np.ascontiguousarray(sums.T), strict=True)))
+            sums = text_sums(links.stats, where, ends)
+            columns = dict(zip(number[3:], np.ascontiguousarray(sums.T), strict=True))
+            yield batch(n, uid=np.arange(uid, uid + n), _id=part.column("_id"), _tag=part.column("_tag"), groups=_named(_joined(links, where, ends), digest), **columns)
             owner, pairs, times = [], [], []
-            for k, (a, b, ok) in enumerate(zip([0, *ends[:-1]], ends, good, strict=True)):
-                if ok:
-                    own, n_own = np.unique(slots[a:b], return_counts=True)
-                    keys = np.frombuffer(b"".join(map(c.pairs.__getitem__, own.tolist())), np.int64)
-                    n_links = np.frombuffer(b"".join(map(c.times.__getitem__, own.tolist())), np.int64) * np.repeat(n_own, [len(c.pairs[s]) // 8 for s in own.tolist()])
-                    keys, n_links = _summed([keys], [n_links])
+            for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                if a < b:
+                    own, often = np.unique(where[a:b], return_counts=True)
+                    keys, often = _summed([links.pairs[at := links.of(own)]], [links.times[at] * np.repeat(often, links.starts[own + 1] - links.starts[own])])
                     owner.append(np.full(len(keys), uid + k))
                     pairs.append(keys)
-                    times.append(n_links)
+                    times.append(often)
             if pairs:
                 owner, pairs, times = map(np.concatenate, (owner, pairs, times))
                 share = share_of(pairs)

@@ -39,6 +39,7 @@ def byte_alphabet() -> dict[str, int]:
 _LATIN = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "L")
 _NUMBER = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "N")
 _PATTERN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LATIN}]+| ?[{_NUMBER}]+| ?[^\s{_LATIN}{_NUMBER}]+|\s+(?!\S)|\s+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Such texts. U+001C to U+001F are left out: they are white space to re alone.
 _COVERED = re.compile(r"[\t-\r -ɏ]*\Z")
 
@@ -58,6 +59,7 @@ class Codec:
         as_bytes = lambda token: bytes(letters[c] for c in token)
         vocab = {as_bytes(t): i for t, i in spec["model"]["vocab"].items()}
         merges = [tuple(as_bytes(x) for x in (m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
+        self.vocab = set(vocab.values()) - {t["id"] for t in spec["added_tokens"]}
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = added if special else {}
         self.splits = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -104,7 +106,9 @@ class Codec:
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Forced-boundary encoding of many pieces at once: every fragment takes its next merge in the same numpy step."""
-        raw = [p.encode() for p in pieces]
+        return self._encode_raw([p.encode() for p in pieces])
+
+    def _encode_raw(self, raw: list[bytes]) -> list[bytes]:
         data = np.frombuffer(b"".join(raw), np.uint8)
         owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
         cut = np.ones(len(data), bool)
@@ -161,6 +165,22 @@ class Codec:
                     heapq.heappush(heap, (ranks[key][0], i, key))
         return np.array([i for i in ids if i >= 0])
 
+    def as_ranks(self) -> Callable[[str], list[int]] | None:
+        """An encoder of whole texts by ranks, special tokens being text like any other; None where it could differ from the merges.
+
+        It merges any two neighbours that make a token, the least id first. That is the same where ids rise with the
+        merges, and the bytes of each token alone are merged to that token: two neighbours that make a token are then
+        a state of that token's own merging, whose last step joins them.
+        """
+        import tiktoken
+
+        order = np.argsort(self.ranks)
+        vocab = sorted(self.vocab)
+        made = self._encode_raw([self.tokens[i] for i in vocab])
+        if (np.diff(self.merged[order]) <= 0).any() or self.byte_ids.max() >= self.merged.min() or any(m != np.array([i], "<u4").tobytes() for i, m in zip(vocab, made, strict=True)):
+            return None
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={self.tokens[i]: i for i in vocab}, special_tokens={})._core_bpe.encode_ordinary
+
     def library_pieces(self, pieces: list[str]) -> list[bytes]:
         """The same by the tokenizers library's own model."""
         alphabet = {b: c for c, b in self.letters.items()}
