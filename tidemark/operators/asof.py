@@ -2,7 +2,7 @@
 
 Facts and targets of an entity are tagged (fact 0, target 1), unioned and sorted by (time, tag); the last fact
 before a target is then a window frame that runs along one sort of each entity. A fact available exactly at the
-cutoff counts. One entity's rows share a partition; entities are many.
+cutoff counts. One entity's rows share a partition, unless a timeline is asked for in slices.
 """
 
 from __future__ import annotations
@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.operators.scan import running
 
-def asof(targets: DataFrame, facts: DataFrame, key: list[str], as_of: str, available: str, values: list[str], tie: list[str] | None = None) -> DataFrame:
+
+def asof(targets: DataFrame, facts: DataFrame, key: list[str], as_of: str, available: str, values: list[str], tie: list[str] | None = None, sliced: bool = False) -> DataFrame:
     """WN-00, JN-03. targets with each value of the entity's latest fact available at or before as_of, null if there is none.
 
-    tie orders facts of one time; the greatest wins. A target with a null key or cutoff finds nothing.
+    tie orders facts of one time; the greatest wins. A target with a null key or cutoff finds nothing. sliced: timelines are
+    cut into slices over many tasks, and the last fact of a slice enters the next; for entities that hold a large share of
+    the rows, at the price of one more pass through the shared folder.
     """
     tie = tie or []
     cols = [*values, *(t for t in tie if t not in values)]
@@ -32,8 +36,12 @@ def asof(targets: DataFrame, facts: DataFrame, key: list[str], as_of: str, avail
     for k in key:
         lost = lost | F.col(k).isNull()
     both = both.withColumn("_apart", F.when(lost, F.xxhash64("_target")).otherwise(F.lit(0).cast("long")))
-    w = Window.partitionBy(*key, "_apart").orderBy("_t", "_kind", *(f"_tie{k}" for k in range(len(tie)))).rowsBetween(Window.unboundedPreceding, 0)
-    picked = both.withColumn("_seen", F.last("_fact", ignorenulls=True).over(w)).where("_kind = 1")
+    order = ["_t", "_kind", *(f"_tie{k}" for k in range(len(tie)))]
+    if sliced:
+        picked = running(both, [*key, "_apart"], order, lasts={"_seen": "_fact"}).where("_kind = 1")
+    else:
+        w = Window.partitionBy(*key, "_apart").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        picked = both.withColumn("_seen", F.last("_fact", ignorenulls=True).over(w)).where("_kind = 1")
     known = ~lost
     clash = [v for v in values if v in targets.columns]
     if clash:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.odds import normal_cdf
+from tidemark.operators.scan import beside, quantiles, running, same
 
 EPS = 1e-15
 
@@ -60,17 +59,24 @@ def expected_calibration_error(table: DataFrame) -> DataFrame:
     return table.agg((F.sum(F.col("n") * F.abs("gap")) / F.sum("n")).alias("ece"))
 
 
+def _ranked(per: DataFrame, by: list[str], name: str) -> DataFrame:
+    """per, one row for each value `_v` of a group with its number of rows `_n`, with the mean rank of the value.
+
+    Values are ranked by a scan over ranges of them, so a group, or all rows, may hold any number of different values.
+    """
+    summed = running(per, by, ["_v"], {"_upto": "_n"})
+    return summed.withColumn(name, F.col("_upto") - (F.col("_n") - 1) / 2.0).drop("_upto")
+
+
 def average_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
-    """WN-13. df with the mean rank of equal values, from 1.
+    """WN-13. df with the mean rank of equal values, from 1; rows without a value are left out.
 
-    Ranks come from counts of distinct values, so ties cost nothing; the running count is over distinct values of a group.
+    Ranks come from counts of distinct values, so ties cost nothing.
     """
     by = by or []
-    per = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = per.withColumn(name, F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0).drop("_n")
-    on = reduce(lambda a, c: a & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), by, F.col(f"l.{value}") == F.col("r._v"))
-    return df.alias("l").join(ranks.alias("r"), on).select("l.*", f"r.{name}")
+    per = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = _ranked(per, by, name).drop("_n")
+    return df.alias("l").join(ranks.alias("r"), same("l", "r", by) & (F.col(f"l.{value}") == F.col("r._v"))).select("l.*", f"r.{name}")
 
 
 def auc(df: DataFrame, p: str, y: str, by: list[str] | None = None) -> DataFrame:
@@ -78,8 +84,7 @@ def auc(df: DataFrame, p: str, y: str, by: list[str] | None = None) -> DataFrame
     by = by or []
     ok = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
     per = ok.groupBy(*by, F.col(p).alias("_v")).agg(F.count_if(F.col(y).cast("int") == 1).alias("_pos"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = per.withColumn("_r", F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0)
+    ranked = _ranked(per, by, "_r")
     pos, neg = F.sum("_pos").cast("double"), (F.sum("_n") - F.sum("_pos")).cast("double")
     return ranked.groupBy(*by).agg(F.when((pos > 0) & (neg > 0), (F.sum(F.col("_r") * F.col("_pos")) - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"), F.sum("_pos").alias("n_pos"), (F.sum("_n") - F.sum("_pos")).alias("n_neg"))
 
@@ -106,7 +111,7 @@ def paired_losses(a: DataFrame, b: DataFrame, key: list[str], p: str, y: str, by
     both = left.join(b.select(*key, F.col(p).alias("_pb")), key).where("_y is not null and _pa is not null and _pb is not null")
     la, lb = brier("_pa", "_y"), brier("_pb", "_y")
     d = lb - la
-    return both.groupBy(*by).agg(
+    means = both.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(la).alias("brier_a"),
         F.avg(lb).alias("brier_b"),
@@ -117,8 +122,9 @@ def paired_losses(a: DataFrame, b: DataFrame, key: list[str], p: str, y: str, by
         F.count_if(d > 0).alias("n_worse"),
         F.count_if(d == 0).alias("n_equal"),
         F.avg(F.abs(F.col("_pb") - F.col("_pa"))).alias("mean_change"),
-        F.median(F.abs(F.col("_pb") - F.col("_pa"))).alias("median_change"),
     )
+    middle = quantiles(both.withColumn("_d", F.abs(F.col("_pb") - F.col("_pa"))), "_d", {"median_change": 0.5}, by)
+    return beside(means, middle, by, "left").select("l.*", "r.median_change")
 
 
 def season_stability(per_season: DataFrame, season: str, delta: str) -> DataFrame:
@@ -186,13 +192,18 @@ def two_proportions(hits_a: str, n_a: str, hits_b: str, n_b: str) -> Column:
 
 
 def robust_scale(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """AG-33. 1.4826 times the median absolute deviation, or the sample deviation where that is zero."""
+    """AG-33. 1.4826 times the median absolute deviation, or the sample deviation where that is zero.
+
+    Both medians are selected by counting, so a group, or all rows, may be of any size.
+    """
     by = by or []
-    ok = df.where(F.col(value).isNotNull())
-    centre = ok.groupBy(*by).agg(F.median(value).alias("_m"))
-    joined = ok.join(centre, by) if by else ok.join(F.broadcast(centre), F.lit(True))  # one row
-    mad = 1.4826 * F.median(F.abs(F.col(value) - F.col("_m")))
-    return joined.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(mad > 1e-9, mad).otherwise(F.when(F.stddev_samp(value) > 1e-9, F.stddev_samp(value))).alias("scale"))
+    ok = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    centre = quantiles(ok, value, {"_m": 0.5}, by).drop("n")
+    apart = beside(ok, centre, by).select("l.*", F.abs(F.col(f"l.{value}") - F.col("r._m")).alias("_d"))
+    mad = quantiles(apart, "_d", {"_mad": 0.5}, by).withColumn("_mad", 1.4826 * F.col("_mad"))
+    spread = ok.groupBy(*by).agg(F.stddev_samp(value).alias("_sd"))
+    scale = F.when(F.col("_mad") > 1e-9, F.col("_mad")).otherwise(F.when(F.col("_sd") > 1e-9, F.col("_sd")))
+    return beside(mad, spread, by).select(*(f"l.{c}" for c in by), "l.n", scale.alias("scale"))
 
 
 def support(df: DataFrame, features: list[str], block: str) -> DataFrame:

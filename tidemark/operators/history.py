@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.scan import running
 
 def with_prior(value: Column | str, prior: float, n: Column | str, name: str) -> list[Column]:
     """AG-06. The value or the prior in its place, and flags `_missing` (no fact at all) and `_imputed`."""
@@ -60,12 +61,17 @@ def shrunk(value: Column | str, n: Column | str, prior: Column | float, k: float
     return F.when(v.isNull() | m.isNull(), p).otherwise(w * v + (1 - w) * p)
 
 
-def entering_state(updates: DataFrame, key: list[str], block: str = "block_ord", sums: tuple[str, ...] = ("num", "den", "n")) -> DataFrame:
+def entering_state(updates: DataFrame, key: list[str], block: str = "block_ord", sums: tuple[str, ...] = ("num", "den", "n"), sliced: bool = False) -> DataFrame:
     """WN-05. For each key and block with updates: sums over strictly earlier blocks. One shuffle on the key.
 
-    The frame runs to the block before by value, so rows of one block never see each other.
+    The frame runs to the block before by value, so rows of one block never see each other. sliced: a key's blocks are
+    cut into ranges over many tasks.
     """
     per = updates.groupBy(*key, block).agg(*(F.sum(c).alias(c) for c in sums))
+    if sliced:
+        kinds = dict(per.dtypes)
+        out = running(per, key, [block], {f"_{c}": c for c in sums}, own=False)
+        return out.select(*key, block, *(F.coalesce(f"_{c}", F.lit(0)).cast(kinds[c]).alias(c) for c in sums))
     w = Window.partitionBy(*key).orderBy(block).rangeBetween(Window.unboundedPreceding, -1)
     return per.select(*key, block, *(F.coalesce(F.sum(c).over(w), F.lit(0)).cast(dict(per.dtypes)[c]).alias(c) for c in sums))
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.odds import allows_push, residual_threshold
 from tidemark.functions.times import minutes_between
+from tidemark.operators.scan import beside, quantiles, running
 
 MARKETS = ("moneyline", "spread", "total")
 
@@ -160,8 +161,12 @@ def set_overlap(rows: DataFrame, key: list[str], member: str, a: str, b: str) ->
     return per.agg(one.alias("n_a"), two.alias("n_b"), both.alias("n_both"), (one - both).alias("only_a"), (two - both).alias("only_b"), (both / F.nullif(one + two - both, F.lit(0))).alias("jaccard"))
 
 
-def running_profit(ledger: DataFrame, group: list[str], order: list[str], profit: str = "profit") -> DataFrame:
-    """WN-11. The number of bets, wins, profit and ROI so far in each group."""
+def running_profit(ledger: DataFrame, group: list[str], order: list[str], profit: str = "profit", sliced: bool = False) -> DataFrame:
+    """WN-11. The number of bets, wins, profit and ROI so far in each group; sliced: a group's rows are cut into ranges over many tasks."""
+    if sliced:
+        p = F.col(profit)
+        out = running(ledger, group, order, {"bet_no": F.when(p.isNotNull(), 1).otherwise(0), "cum_wins": F.when(p > 0, 1).otherwise(0), "cum_profit": p})
+        return out.withColumn("cum_roi", F.col("cum_profit") / F.col("bet_no"))
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     n = F.count(profit).over(w)
     return ledger.withColumns({"bet_no": n, "cum_wins": F.count_if(F.col(profit) > 0).over(w), "cum_profit": F.sum(profit).over(w), "cum_roi": F.sum(profit).over(w) / n})
@@ -215,6 +220,8 @@ def contribution_split(board: DataFrame, coefficients: DataFrame, key: list[str]
 
 
 def quote_ages(quotes: DataFrame, group: list[str], quoted: str, snapshot: str) -> DataFrame:
-    """AG-17, AG-18, FN-24. Exact quantiles of the quotes' ages in minutes."""
+    """AG-17, AG-18, FN-24. Exact quantiles of the quotes' ages in minutes, selected by counting; groups without an age have none."""
     age = quotes.withColumn("_age", minutes_between(quoted, snapshot))
-    return age.groupBy(*group).agg(F.count("_age").alias("n"), F.min("_age").alias("min_age"), F.median("_age").alias("median_age"), F.percentile("_age", 0.9).alias("p90_age"), F.max("_age").alias("max_age"))
+    ends = age.groupBy(*group).agg(F.count("_age").alias("n"), F.min("_age").alias("min_age"), F.max("_age").alias("max_age"))
+    middle = quantiles(age, "_age", {"median_age": 0.5, "p90_age": 0.9}, group)
+    return beside(ends, middle, group, "left").select(*(f"l.{c}" for c in group), "l.n", "l.min_age", "r.median_age", "r.p90_age", "l.max_age")

@@ -142,3 +142,32 @@ def block_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     """No SQL: draws come from Spark's hash. Tests hold it against the same draws made in Python."""
     sums = ev.block_sums(predictions(spark, sf), "week", {"l": ev.brier("p2", "y") - ev.brier("p", "y"), "n": F.lit(1)})
     return ev.bootstrap(sums, "week", F.sum("l") / F.sum("n"), replicates=500, seed=11)
+
+
+@query("global_ranks", with_(GAMES_SQL, f"""e as (select block_ord, home_score + game % 10007 / 10007.0 as p, away_score * 1.0 as a, home_score > away_score as won from games where home <> away),
+    r as (select *, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 as rp, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra from e),
+    b as (select sqrt(avg(pow(p - a, 2))) as rmse from e group by block_ord)
+    select count(*) as n, round(avg(p - a), 6) as bias, round(avg(abs(p - a)), 6) as mae, round(sqrt(avg(pow(p - a, 2))), 6) as rmse, round(corr(p, a), 6) as pearson, round(corr(rp, ra), 6) as spearman, round((select stddev_samp(rmse) from b), 6) as block_rmse_std,
+        round((sum(rp) filter (won) - count(*) filter (won) * (count(*) filter (won) + 1) / 2.0) / (count(*) filter (won) * 1.0 * count(*) filter (not won)), 6) as auc from r"""))
+def global_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-24, AG-26 and WN-13 over all rows at once: ranks of as many values as there are games, by a scan over ranges."""
+    g = games(spark, sf).where("home <> away").select("block_ord", (F.col("home_score") + F.col("game") % 10007 / F.lit(10007.0)).alias("p"), F.col("away_score").cast("double").alias("a"), (F.col("home_score") > F.col("away_score")).cast("int").alias("won"))
+    both = ev.regression_scores(g, "p", "a", "block_ord").join(F.broadcast(ev.auc(g, "p", "won").select("auc")), F.lit(True))  # one row each
+    return rounded(both, *(c for c, t in both.dtypes if t == "double"))
+
+
+@query("global_quantiles", """select count(*) as n, round(quantile_cont(l_extendedprice, 0.5), 6) as median, round(quantile_cont(l_extendedprice, 0.9), 6) as p90, round(quantile_cont(l_extendedprice, 0.001), 6) as low from lineitem""")
+def global_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-17: exact quantiles of all rows."""
+    from tidemark.operators.scan import quantiles
+    from tidemark.plans.base import load
+
+    out = quantiles(load(spark, sf, "lineitem"), "l_extendedprice", {"median": 0.5, "p90": 0.9, "low": 0.001})
+    return rounded(out, "median", "p90", "low")
+
+
+@query("global_scale", with_(GAMES_SQL, """c as (select median(home_score) as m from games), d as (select 1.4826 * median(abs(home_score - m)) as mad, stddev_samp(home_score) as sd, count(*) as n from games, c)
+    select n, round(case when mad > 1e-9 then mad else sd end, 6) as scale from d"""))
+def global_scale(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-33 over all rows."""
+    return rounded(ev.robust_scale(games(spark, sf), "home_score"), "scale")

@@ -302,3 +302,27 @@ def evidence_resolution(spark: SparkSession, sf: str) -> DataFrame:
     out = asof.resolved(targets, e, ["user_id"], "event_type", "rank", "ts", "cut", "SUPPORTED")
     many = reshape.scenarios(out, "candidates").groupBy("user_id", "cut").agg(F.count(F.lit(1)).alias("n_scenarios"))
     return out.join(many, ["user_id", "cut"]).select("user_id", F.col("cut").cast("string").alias("cut"), F.array_join("candidates", ",").alias("candidates"), "state", "n_scenarios")
+
+
+_HOT_SQL = """e as (select event_id, event_type, user_id, value, ts from events),
+    t as (select event_type, cast(ts as date) as day from events group by 1, 2)"""
+
+
+@query("asof_hot_entity", with_(_HOT_SQL, """r as (select t.event_type, t.day, e.event_id, e.value, row_number() over (partition by t.event_type, t.day order by e.ts desc, e.event_id desc) as k
+        from t join (select event_type, cast(ts as date) as d, max(struct_pack(ts := ts, event_id := event_id, value := value)) as x from events group by 1, 2) g on g.event_type = t.event_type and g.d < t.day
+        cross join (select g.x.ts as ts, g.x.event_id as event_id, g.x.value as value) e)
+    select t.event_type, cast(t.day as varchar) as day, r.event_id, r.value from t left join r on r.event_type = t.event_type and r.day = t.day and r.k = 1"""))
+def asof_hot_entity(spark: SparkSession, sf: str) -> DataFrame:
+    """WN-00 where a few entities (event types) hold all facts: the last event before each day, timelines cut into slices."""
+    e = load(spark, sf, "events").select("event_type", "event_id", "value", "ts")
+    targets = e.select("event_type", F.to_date("ts").alias("day")).distinct().withColumn("as_of", F.col("day").cast("timestamp") - F.expr("interval 1 microsecond"))
+    out = asof.asof(targets, e, ["event_type"], "as_of", "ts", ["event_id", "value"], ["event_id"], sliced=True)
+    return out.select("event_type", F.col("day").cast("string").alias("day"), "event_id", "value")
+
+
+@query("entering_state_hot", with_("d as (select o_orderstatus as entity, datediff('day', date '1990-01-01', cast(o_orderdate as date)) as block_ord, count(*) as n, sum(cast(floor(o_totalprice) as bigint)) as num from orders group by 1, 2)",
+    """select entity, block_ord, cast(coalesce(sum(num) over w, 0) as bigint) as num, cast(coalesce(sum(n) over w, 0) as bigint) as n from d window w as (partition by entity order by block_ord rows between unbounded preceding and 1 preceding)"""))
+def entering_state_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """WN-05 where a few entities have an update on nearly every day."""
+    o = load(spark, sf, "orders").select(F.col("o_orderstatus").alias("entity"), F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date")).alias("block_ord"), F.floor("o_totalprice").cast("long").alias("num"), F.lit(1).cast("long").alias("n"))
+    return history.entering_state(o, ["entity"], sums=("num", "n"), sliced=True)
