@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,6 +40,8 @@ BROADCAST_BYTES = 96 << 20
 STEP, MEMO_BYTES, HELD = 1 << 20, 160 << 20, 1_500_000
 #: Before a space, unless white space (or what some call so) stands before it.
 _UNIT = re.compile(r"(?<=[^\s\u180e\u200b-\u200f\u2028-\u202f\u205f-\u2064\ufeff])(?= )")
+#: What a text has none of if it can be split at each space: white space before a space, or a space at its end.
+_ODD = re.compile(_UNIT.pattern.replace("(?<=[^", "[").replace("])(?= )", "] | $"))
 _SHIFT = np.int64(32)
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -60,11 +63,13 @@ class Aligner:
         self.texts = [[np.array([f"{i}{mark}" for i in range(len(size))], object) for mark in marks] for size, marks in zip(self.sizes, (",|", ",;"), strict=True)]
         self.space = self.b.piece_to_id("▁")
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces) and self.b_bytes[self.space] == b" "
+        self.values_of = ""
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.slots: dict[str, int] = {}  # of each unit without the space that it begins with
         self.ids = [_Pool(), _Pool()]
+        self.values, self.valued = np.zeros((1 << 12, 2), np.int64), np.zeros(1 << 12, bool)  # best flags and counts of a unit's links, summed, where known
         self.good = np.zeros(1 << 12, bool)  # whether a unit's tokens give its bytes
         self.held = 0
 
@@ -89,11 +94,12 @@ class Aligner:
             found[k] = np.array(self.ranked(units[k]), np.int64)
         return np.concatenate(found), np.array([len(x) for x in found])
 
-    def _learn(self, units: list[str]) -> None:
-        n = len(self.slots)
-        of_b = self.b.encode([u[1:] for u in units], num_threads=1)
-        if " " in units:
-            of_b[units.index(" ")] = [self.space]
+    def _learn(self, names: list[str]) -> None:
+        """names: the units without the space that each begins with."""
+        n, units = len(self.slots), [f" {u}" for u in names]
+        of_b = self.b.encode(names, num_threads=1)
+        if "" in names:
+            of_b[names.index("")] = [self.space]
         raw = [u.encode() for u in units]
         lengths = np.array([len(r) for r in raw])
         flat, counts = self._encode_a(units, lengths)
@@ -108,24 +114,35 @@ class Aligner:
         if not good.all() or b"".join(given) != b"".join(raw):
             good = np.array([b"".join(given[e - c : e]) == r for e, c, r in zip(ends, counts_b, raw, strict=True)])
         while len(self.good) < n + len(units):
-            self.good = np.concatenate([self.good, np.zeros_like(self.good)])
+            self.good, self.values, self.valued = (np.concatenate([x, np.zeros_like(x)]) for x in (self.good, self.values, self.valued))
         self.good[n : n + len(units)] = good
-        self.slots.update(zip(units, range(n, n + len(units)), strict=True))
+        self.slots.update(zip(names, range(n, n + len(units)), strict=True))
         self.held += 200 * len(units) + int(lengths.sum()) + 4 * (len(flat) + len(flat_b))
 
     def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The slots of the texts' units, one text after the other, and each text's end among them. An empty text has none."""
         if self.held > MEMO_BYTES:
             self.forget()
-        split = [(_UNIT.split(f" {t}") if self.cuts else [f" {t}"]) if t else [] for t in texts]
+        split = [self._split(t) if t else [] for t in texts]
         flat = list(chain.from_iterable(split))
-        new = [u for u in dict.fromkeys(flat) if u not in self.slots]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.slots.__getitem__, flat), np.int64, len(flat)), np.cumsum([len(s) for s in split])
-
-    def linked(self, slots: np.ndarray, texts: bool) -> Links:
-        """The alignment of good units."""
+        found = list(map(self.slots.get, flat))
+        if None in found:
+            gaps = [k for k, x in enumerate(found) if x is None]
+            self._learn(list(dict.fromkeys(map(flat.__getitem__, gaps))))
+            for k in gaps:
+                found[k] = self.slots[flat[k]]
+        return np.array(found, np.int64), np.cumsum([len(s) for s in split])
+
+    def _split(self, text: str) -> list[str]:
+        """The text's units, each without the space that it begins with."""
+        if not self.cuts:
+            return [text]
+        if text[0] != " " and not _ODD.search(text):
+            return text.split(" ")  # no space but such as a unit begins with
+        return [u[1:] for u in _UNIT.split(f" {text}")]
+
+    def linked(self, slots: np.ndarray, texts: bool, pairs_too: bool = True) -> Links:
+        """The alignment of good units; without pairs_too, no pairs."""
         (a, n_a), (b, n_b) = (pool.take(slots) for pool in self.ids)
         at_a, at_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
         size = int(at_a[-1]) if len(at_a) else 0
@@ -138,13 +155,13 @@ class Aligner:
         product = own_a * own_b
         stats = np.stack([n_a, n_b, np.bincount(unit, minlength=len(slots)), np.bincount(unit, weights=product, minlength=len(slots)).astype(np.int64)], 1)
         first_a, first_b = np.cumsum(own_a) - own_a, np.cumsum(own_b) - own_b
-        small = np.flatnonzero(product <= 4096)
+        small = np.flatnonzero(product <= (4096 if pairs_too else -1))
         many = product[small]
         within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         wide = np.repeat(own_b[small], many)
         pairs = [a[np.repeat(first_a[small], many) + within // wide] << _SHIFT | b[np.repeat(first_b[small], many) + within % wide]]
         times, owner = [np.ones(len(within), np.int64)], [np.repeat(unit[small], many)]
-        for g in np.flatnonzero(product > 4096).tolist():  # their distinct pairs alone
+        for g in np.flatnonzero(product > 4096).tolist() if pairs_too else []:  # their distinct pairs alone
             x, n = np.unique(a[first_a[g] : first_a[g] + own_a[g]], return_counts=True)
             y, m = np.unique(b[first_b[g] : first_b[g] + own_b[g]], return_counts=True)
             pairs.append((x[:, None] << _SHIFT | y).ravel())
@@ -163,8 +180,8 @@ class Aligner:
             groups = ["".join(flat[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
         return Links(stats, pairs, times, np.searchsorted(owner, np.arange(len(slots) + 1)), groups)
 
-    def texts_of(self, texts: list[str], groups: bool) -> tuple[Links, np.ndarray, np.ndarray, np.ndarray]:
-        """The links of the texts' distinct good units, the unit of each place in the texts, each text's end, and which texts have tokens.
+    def texts_of(self, texts: list[str], groups: bool, pairs_too: bool = True) -> tuple[Links, np.ndarray, np.ndarray, np.ndarray]:
+        """The links of the texts' distinct good units, the unit of each place in the texts, each text's end, and the units' slots.
 
         A text with a unit whose tokens don't give its bytes has none.
         """
@@ -174,7 +191,7 @@ class Aligner:
         has = (ends > starts) & (bad[ends] == bad[starts])
         slots = slots[np.repeat(has, ends - starts)]
         own, where = np.unique(slots, return_inverse=True)
-        return self.linked(own, groups), where, np.cumsum(np.where(has, ends - starts, 0)), has
+        return self.linked(own, groups, pairs_too), where, np.cumsum(np.where(has, ends - starts, 0)), own
 
 
 class _Pool:
@@ -456,27 +473,37 @@ def _named(groups: list[str], digest: bool) -> pa.Array:
     return pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups] if digest else groups, pa.string())
 
 
-def _looked_up(path_a: str, path_b: str, table, digest: bool):
-    """Each document's row, by the broadcast table."""
+def _looked_up(path_a: str, path_b: str, table, name: str, digest: bool):
+    """Each document's row, by the broadcast table, which has a name of its own."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, shares = aligner(path_a, path_b), {}
+        if c.values_of != name:
+            c.values_of, c.valued = name, np.zeros_like(c.valued)
         for row in table.value:
             shares[row["share"]] = Share(row)
         for part in slices(batches, "_text", STEP):
-            links, where, ends, _ = c.texts_of([t.decode() for t in texts_of(part, "_text")], True)
-            found, share = np.zeros((len(links.pairs) + 1, 2), np.int64), share_of(links.pairs)
-            order = np.argsort(share, kind="stable")
-            for s, at in zip(*_cut(share[order]), strict=True):
-                found[1 + order[at]] = shares[s].values(links.pairs[order[at]]) * links.times[order[at], None]
-            found = np.cumsum(found, axis=0)
-            values = np.concatenate([links.stats, found[links.starts[1:]] - found[links.starts[:-1]]], 1)
+            links, where, ends, slots = c.texts_of([t.decode() for t in texts_of(part, "_text")], True, False)
+            new = slots[~c.valued[slots]]
+            if len(new):
+                c.values[new], c.valued[new] = _unit_values(c.linked(new, False), shares), True
+            values = np.concatenate([links.stats, c.values[slots]], 1)
             sums, groups = text_sums(values, where, ends), _joined(links, where, ends)
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_tag"), *map(pa.array, np.ascontiguousarray(sums.T)), _named(groups, digest)], names=["_id", "_tag", *_NUMBERS, "groups"])
 
     return rows
 
 
+def _unit_values(links: Links, shares: dict[int, Share]) -> np.ndarray:
+    """Of each unit the best flags and the counts of its links, summed."""
+    found, share = np.zeros((len(links.pairs) + 1, 2), np.int64), share_of(links.pairs)
+    order = np.argsort(share, kind="stable")
+    for s, at in zip(*_cut(share[order]), strict=True):
+        found[1 + order[at]] = shares[s].values(links.pairs[order[at]]) * links.times[order[at], None]
+    found = np.cumsum(found, axis=0)
+    return found[links.starts[1:]] - found[links.starts[:-1]]
+
+
 def _joined(links: Links, where: np.ndarray, ends: np.ndarray) -> list[str]:
     """The groups of each text."""
     flat = list(map(links.groups.__getitem__, where.tolist()))
@@ -554,7 +581,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
     size = table.agg(F.sum(sum(F.octet_length(c) for c in ("words", "keys", "counts", "best")))).first()[0] or 0
     if size <= broadcast_bytes:
         sent = spark.sparkContext.broadcast([row.asDict() for row in table.collect()])
-        made = rows.mapInArrow(_looked_up(path_a, path_b, sent, digest), _ROWS)
+        made = rows.mapInArrow(_looked_up(path_a, path_b, sent, uuid.uuid4().hex, digest), _ROWS)
     else:
         links = _stored(rows.mapInArrow(_dealt_links(path_a, path_b, digest), _LINKS), "pair-links")
         salted = table.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
