@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import BASES, checkpointed, ints, keyed, looked_up, mixed, real_id, rolling, slices, texts_of, word_hashes, words_of
 
-WIDTH, ANCHOR, HOT = 20, 4, 64
+WIDTH, ANCHOR, HOT = 20, 4, 32
 ANCHORS = "key long, anchor long, _id long, _tag long, known boolean"
 #: hashes has two values for each window; of a settled run, its number of windows and 0. lane: a single window's second hash.
 RUNS = "anchor long, lane long, _id long, _tag long, start int, hashes array<long>, settled boolean, single boolean"
