@@ -142,6 +142,7 @@ class Rating:
 
     start: float = 1500.0
     k: float = 20.0
+    k_post: float = 4.0
     home: float = 48.0
     scale: float = 400.0
     margin_divisor: float = 6.0

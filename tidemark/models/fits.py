@@ -1,7 +1,7 @@
 """Per-block fits on earlier blocks: ridge effects, logistic maps, market pooling, point markets.
 
 Statistics that add up (normal equations, counts of equal observations) are summed in Spark for each block first, and
-a target adds up the blocks before it: rows are never paired with targets. A group's fit then solves a small dense
+a target adds up the blocks before it (by nodes of blocks.prior_nodes, or by pairs): rows are never paired with targets. A group's fit then solves a small dense
 system or a one-dimensional problem in numpy. Blocks are independent, so all fit in parallel.
 """
 
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.odds import ERF, calibrated_probability, pooled_probability
+from tidemark.operators.blocks import Prior, node_rows, prior_sums
+from tidemark.operators.bootstrap import block_draws
+from tidemark.operators.scan import stored
 
 
 def _sigmoid(x):
@@ -68,14 +71,14 @@ def weighted_logistic(x: np.ndarray, n: np.ndarray, hits: np.ndarray, penalty: f
     return np.nan, np.nan, "DIVERGED"
 
 
-def margin_maps(rows: DataFrame, pairs: DataFrame, x: str, y: str, least: int = 30, penalty: float = 1.0, digits: int = 2) -> DataFrame:
+def margin_maps(rows: DataFrame, prior: Prior | DataFrame, x: str, y: str, least: int = 256, penalty: float = 0.0, digits: int = 6) -> DataFrame:
     """ML-06. For each target block the logistic map from x to y on earlier blocks: target, intercept, slope, status, n.
 
-    Blocks are reduced to counts by rounded x before they meet their targets. A slope that isn't positive, or fewer
-    than `least` rows, is a warm-up with status and no numbers.
+    Blocks are reduced to counts by x, rounded to `digits`, before they meet their targets. Fewer than `least` rows are a
+    WARMUP, and a slope that isn't positive a NONPOSITIVE_SLOPE, without numbers; targets without an earlier row have none.
     """
     cells = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy("block_ord", F.round(x, digits).alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("hits"))
-    panel = cells.join(pairs, cells["block_ord"] == pairs["source"]).groupBy("target", "x").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    panel = prior_sums(cells, prior, ["x"], ["n", "hits"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x")
@@ -88,46 +91,87 @@ def margin_maps(rows: DataFrame, pairs: DataFrame, x: str, y: str, least: int =
     return panel.groupBy("target").applyInPandas(fit, "target int, intercept double, slope double, status string, n long")
 
 
-def ridge_effects(games: DataFrame, pairs: DataFrame, half_life: float | None = None, penalty: float = 10.0, base: float = 20.0) -> DataFrame:
-    """ML-04. For each target block: offense and defense effects of all entities, the home effect and the baseline.
+def normal_equations(games: DataFrame, prior: Prior | DataFrame, half_life: float | None = None) -> DataFrame:
+    """ML-04. For each target block the weighed normal equations of the score model over earlier blocks: target, i, j and v,
+    where j null is the right side, and i and j "" count the games.
 
-    games: block_ord, game_ord (in time), home, away, home_score, away_score. Each game gives two observations,
-    score = baseline + offense + defense of the other + home / 2 up or down, weighed 0.5 ** (age / half_life) with the age
-    counted back from the latest game before the target. Normal equations are summed once for each block, weighed from
-    the block's own last game; a target adds up the blocks before it, each times one factor, so games are never paired
-    with targets. Entities are at most some thousands, as a target's system is solved in one task. Effects are centred to zero.
+    games: block_ord, game_ord (in time), home, away, neutral, home_score, away_score. Each game gives two observations:
+    home score = base + home effect unless neutral + offense of home - defense of away, and away score = base + offense of
+    away - defense of home, weighed 0.5 ** (age / half_life) by the age back from the latest game before the target.
+    Equations are summed once for each node of blocks, weighed from the node's own last game; a target adds up its
+    nodes, each times one factor, so games are never paired with targets.
     """
     halved = lambda gap: F.pow(F.lit(0.5), gap / half_life) if half_life else F.lit(1.0)
     played = games.where("home_score is not null and away_score is not null")
+    term = lambda name, v: F.struct(name.alias("t"), v.cast("double").alias("v"))
+    base = term(F.lit("base"), F.lit(1.0))
+    home = term(F.lit("home"), F.when(F.coalesce("neutral", F.lit(False)), 0.0).otherwise(1.0))
+    off, con = (lambda c: term(F.concat(F.lit("o:"), F.col(c)), F.lit(1.0))), (lambda c: term(F.concat(F.lit("d:"), F.col(c)), F.lit(-1.0)))
+    one = lambda terms, score: F.struct(F.array(*terms).alias("terms"), F.col(score).cast("double").alias("y"))
+    both = played.select("block_ord", "game_ord", F.explode(F.array(one([base, home, off("home"), con("away")], "home_score"), one([base, off("away"), con("home")], "away_score"))).alias("ob"))
     ends = played.groupBy("block_ord").agg(F.max("game_ord").alias("block_end"))
-    rows = played.join(ends, "block_ord").withColumn("w", halved(F.col("block_end") - F.col("game_ord")))
-    term = lambda name, v: F.struct(name.alias("t"), F.lit(v).cast("double").alias("v"))
-    off, con = (lambda c: F.concat(F.lit("o:"), F.col(c))), (lambda c: F.concat(F.lit("d:"), F.col(c)))
-    one = lambda a, b, s, score: F.struct(F.array(term(F.lit("base"), 1.0), term(F.lit("home"), s), term(off(a), 1.0), term(con(b), 1.0)).alias("terms"), F.col(score).cast("double").alias("y"))
-    both = rows.select("block_ord", "w", F.explode(F.array(one("home", "away", 0.5, "home_score"), one("away", "home", -0.5, "away_score"))).alias("ob"))
-    # each term against every term of its observation, and against the score (no second term)
-    left = both.select("block_ord", "w", "ob.y", F.col("ob.terms").alias("terms"), F.explode("ob.terms").alias("a"))
+    # each term against every term of its observation, and against the score (no second term); a neutral game's home term is named, as zero
+    weighed = both.join(ends, "block_ord").withColumn("w", halved(F.col("block_end") - F.col("game_ord")))
+    left = weighed.select("block_ord", "w", "ob.y", F.col("ob.terms").alias("terms"), F.explode("ob.terms").alias("a"))
     score = F.struct(F.lit(None).cast("string").alias("t"), F.col("y").alias("v"))
     products = left.select("block_ord", "w", "a", F.explode(F.concat("terms", F.array(score))).alias("b"))
-    sums = products.groupBy("block_ord", F.col("a.t").alias("i"), F.col("b.t").alias("j")).agg(F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("v"))
-    sources = pairs.join(ends, pairs["source"] == ends["block_ord"]).select("target", "source", "block_end")
-    last = sources.groupBy("target").agg(F.max("block_end").alias("last"))
-    factors = sources.join(last, "target").select("target", "source", halved(F.col("last") - F.col("block_end")).alias("factor"))
-    panel = sums.join(factors, sums["block_ord"] == factors["source"]).groupBy("target", "i", "j").agg(F.sum(F.col("v") * F.col("factor")).alias("v"))
+    per = products.groupBy("block_ord", F.col("a.t").alias("i"), F.col("b.t").alias("j")).agg(F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("v"))
+    counts = played.groupBy("block_ord").agg(F.count(F.lit(1)).cast("double").alias("v")).select("block_ord", F.lit("").alias("i"), F.lit("").alias("j"), "v")
+    if isinstance(prior, DataFrame):
+        nodes = prior.withColumn("node", F.col("source").cast("long")).withColumn("level", F.lit(0)).select("target", "level", "node")
+        at = lambda df: df.withColumns({"level": F.lit(0), "node": F.col("block_ord").cast("long")})
+    else:
+        nodes, at = prior.nodes, lambda df: node_rows(df, prior.levels)
+    node_ends = at(ends).groupBy("level", "node").agg(F.max("block_end").alias("node_end"))
+    aged = at(per.join(ends, "block_ord")).join(node_ends, ["level", "node"])
+    sums = aged.groupBy("level", "node", "i", "j").agg(F.sum(F.col("v") * halved(F.col("node_end") - F.col("block_end"))).alias("v"))
+    sums = sums.unionByName(at(counts).groupBy("level", "node", "i", "j").agg(F.sum("v").alias("v")))
+    sources = nodes.join(node_ends, ["level", "node"])
+    last = sources.groupBy("target").agg(F.max("node_end").alias("last"))
+    factors = sources.join(last, "target").select("target", "level", "node", halved(F.col("last") - F.col("node_end")).alias("factor"))
+    return sums.join(factors, ["level", "node"]).groupBy("target", "i", "j").agg(F.sum(F.col("v") * F.when(F.col("i") == "", 1.0).otherwise(F.col("factor"))).alias("v"))
+
+
+def ridge_effects(games: DataFrame, prior: Prior | DataFrame, half_life: float | None = None, penalty: float = 1.0, base: float = 22.5, base_weight: float = 1e-6, least: int = 64, dense: bool = True) -> DataFrame:
+    """ML-04. target, term ("base", "home", "o:" and "d:" with an entity) and effect of normal_equations, for targets with `least` earlier games.
+
+    Every effect is drawn to zero by `penalty`, the baseline to `base` by base_weight; then offenses and defenses are
+    centred, and the baseline takes up what they lose. dense: a target's system is solved in one task, for some thousands
+    of entities; else by conjugate gradients over frames, where no task holds a row of the matrix beyond its own terms.
+    """
+    panel = normal_equations(games, prior, half_life)
+    shrink = lambda name: base_weight if name == "base" else penalty
+    if not dense:
+        from tidemark.models.linear import solved
+
+        panel = stored(panel, "normal-equations")
+        fitted = panel.where((F.col("i") == "") & (F.col("v") >= least)).select("target")
+        own = panel.where("i <> ''").join(fitted, "target", "left_semi")
+        diagonal = own.where("j is null").select("target", "i", F.col("i").alias("j"), F.when(F.col("i") == "base", base_weight).otherwise(penalty).alias("v"))
+        matrix = own.where("j is not null").unionByName(diagonal).groupBy("target", "i", "j").agg(F.sum("v").alias("v"))
+        right = own.where("j is null").select("target", "i", (F.col("v") + F.when(F.col("i") == "base", base * base_weight).otherwise(0.0)).alias("v"))
+        x = solved(matrix, right, ["target"])
+        kind = F.when(F.substring("i", 2, 1) == ":", F.substring("i", 1, 1))
+        means = x.where(kind.isNotNull()).groupBy("target", kind.alias("kind")).agg(F.avg("x").alias("mean"))
+        both = means.groupBy("target").agg(F.sum(F.when(F.col("kind") == "o", F.col("mean")).otherwise(-F.col("mean"))).alias("up"))
+        out = x.withColumn("kind", kind).join(means, ["target", "kind"], "left").join(both, "target", "left")
+        effect = F.col("x") - F.coalesce("mean", F.lit(0.0)) + F.when(F.col("i") == "base", F.coalesce("up", F.lit(0.0))).otherwise(0.0)
+        return out.select("target", F.col("i").alias("term"), effect.alias("effect"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf.loc[pdf["i"] == "", "v"].sum() < least:
+            return pd.DataFrame({"target": np.zeros(0, int), "term": np.zeros(0, object), "effect": np.zeros(0)})
+        pdf = pdf[pdf["i"] != ""]
         vector, entries = pdf[pdf["j"].isna()], pdf[pdf["j"].notna()]
         names = np.sort(vector["i"].to_numpy())
         at = {n: k for k, n in enumerate(names)}
         m, v = np.zeros((len(names), len(names))), np.zeros(len(names))
         m[entries["i"].map(at), entries["j"].map(at)] = entries["v"]
         v[vector["i"].map(at)] = vector["v"]
-        shrink = np.array([1.0 if n == "base" else penalty for n in names])
-        # the baseline is drawn weakly to its prior, effects to zero
-        x = np.linalg.solve(m + np.diag(shrink), v + np.where(names == "base", base, 0.0))
-        for kind in ("o:", "d:"):
+        x = np.linalg.solve(m + np.diag([shrink(n) for n in names]), v + np.where(names == "base", base * base_weight, 0.0))
+        for kind, sign in (("o:", 1), ("d:", -1)):
             own = np.array([n.startswith(kind) for n in names])
-            x[names == "base"] += x[own].mean()
+            x[names == "base"] += sign * x[own].mean()
             x[own] -= x[own].mean()
         return pd.DataFrame({"target": pdf["target"].iloc[0], "term": names, "effect": x})
 
@@ -135,7 +179,7 @@ def ridge_effects(games: DataFrame, pairs: DataFrame, half_life: float | None =
 
 
 def expected_points(games: DataFrame, effects: DataFrame) -> DataFrame:
-    """ML-05, ML-07. games with expected_home, expected_away and expected_margin of their own block's fit; unknown entities are average, games without a fit null."""
+    """ML-05. games with expected_home, expected_away and expected_margin of their own block's fit; unknown entities are average, games without a fit null."""
     base = effects.where(F.col("term").isin("base", "home")).groupBy("target").agg(F.max(F.when(F.col("term") == "base", F.col("effect"))).alias("_base"), F.max(F.when(F.col("term") == "home", F.col("effect"))).alias("_home"))
     out = games.join(base, games["block_ord"] == base["target"], "left").drop("target")
     for side in ("home", "away"):
@@ -143,12 +187,31 @@ def expected_points(games: DataFrame, effects: DataFrame) -> DataFrame:
             e = effects.where(F.col("term").startswith(f"{kind}:")).select(F.col("target").alias("block_ord"), F.substring("term", 3, 10_000).alias(side), F.col("effect").alias(f"_{kind}_{side}"))
             out = out.join(e, ["block_ord", side], "left")
     of = lambda c: F.coalesce(c, F.lit(0.0))
-    home = F.col("_base") + of("_o_home") + of("_d_away") + F.col("_home") / 2
-    away = F.col("_base") + of("_o_away") + of("_d_home") - F.col("_home") / 2
+    home = F.col("_base") + F.when(F.coalesce("neutral", F.lit(False)), 0.0).otherwise(F.col("_home")) + of("_o_home") - of("_d_away")
+    away = F.col("_base") + of("_o_away") - of("_d_home")
     return out.select(*games.columns, home.alias("expected_home"), away.alias("expected_away"), (home - away).alias("expected_margin"))
 
 
-def _cells(rows: DataFrame, pairs: DataFrame, columns: dict[str, str], digits: int, sums: dict[str, str] | None = None) -> DataFrame:
+def margin_chain(games: DataFrame, prior: Prior | DataFrame, half_life: float = 8.0, penalty: float = 1.0, least_games: int = 64, least_rows: int = 256, clip: float = 0.001) -> DataFrame:
+    """ML-07. games with expected points and margin, p_home and status: a walk forward in two stages.
+
+    Stage 1 predicts every block's margins by the score model of the blocks before it. Stage 2 maps margins to chances
+    by a logistic map fitted on stage 1's own out-of-sample margins of earlier blocks, of games with a result that is no
+    tie. status: TEAM_WARMUP (no score model yet), MAP_WARMUP (under least_rows such games), NONPOSITIVE_SLOPE or another
+    fault of the map, or FITTED; only then there is a chance, clipped to [clip, 1 - clip].
+    """
+    staged = stored(expected_points(games, ridge_effects(games, prior, half_life, penalty, least=least_games)), "stage-margins")
+    margin = F.col("home_score") - F.col("away_score")
+    eligible = staged.where(F.col("expected_margin").isNotNull() & (margin != 0)).select("block_ord", "expected_margin", (margin > 0).cast("int").alias("won"))
+    maps = margin_maps(eligible, prior, "expected_margin", "won", least_rows, digits=9)
+    joined = staged.join(maps.select(F.col("target").alias("block_ord"), "intercept", "slope", F.col("status").alias("_map")), "block_ord", "left")
+    p = 1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * F.col("expected_margin"))))
+    fitted = (F.col("_map") == "CONVERGED") & F.col("expected_margin").isNotNull()
+    status = F.when(F.col("expected_margin").isNull(), "TEAM_WARMUP").when(F.coalesce("_map", F.lit("WARMUP")) == "WARMUP", "MAP_WARMUP").when(F.col("_map") != "CONVERGED", F.col("_map")).otherwise("FITTED")
+    return joined.select(*staged.columns, F.when(fitted, F.greatest(F.lit(clip), F.least(F.lit(1 - clip), p))).alias("p_home"), status.alias("status"))
+
+
+def _cells(rows: DataFrame, prior: Prior | DataFrame, columns: dict[str, str], digits: int, sums: dict[str, str] | None = None) -> DataFrame:
     """target, the columns rounded to `digits`, n and sums: the rows of the blocks before each target, equal ones counted.
 
     Blocks are counted before they meet their targets, so what is paired is as large as a block's different values.
@@ -157,15 +220,16 @@ def _cells(rows: DataFrame, pairs: DataFrame, columns: dict[str, str], digits: i
     by = [F.round(c, digits).alias(c) for c in columns]
     count = [F.sum(c).alias(c) for c in sums or {}]
     per = known.groupBy("block_ord", *by).agg(F.count(F.lit(1)).cast("double").alias("n"), *count)
-    return per.join(pairs, per["block_ord"] == pairs["source"]).groupBy("target", *columns).agg(F.sum("n").alias("n"), *count)
+    return prior_sums(per, prior, list(columns), ["n", *(sums or {})])
 
 
-def pooling(rows: DataFrame, pairs: DataFrame, model: str, market: str, y: str, least: int = 100, strength: float = 1.0, digits: int = 4) -> DataFrame:
+def pooling(rows: DataFrame, prior: Prior | DataFrame, model: str, market: str, y: str, least: int = 128, strength: float = 1.0, digits: int = 4) -> DataFrame:
     """ML-09. For each target block on earlier rows: the logistic calibration of the market, and the weight in [0, 1] that the model gets beside it.
 
     Probabilities are rounded to `digits`, and equal pairs counted by block. The gradient of the loss in the weight is
     monotone; its root is bisected. Not supported with too few rows, one class, or a slope that isn't positive (reason
-    says which).
+    says which). extremity_low and _high, gap_low and _high: the range, over these rows, of the calibrated market's distance
+    to a half and of the model's to it.
     """
     from_p = lambda p: np.log(np.clip(p, 0.01, 0.99) / (1 - np.clip(p, 0.01, 0.99)))
 
@@ -173,6 +237,7 @@ def pooling(rows: DataFrame, pairs: DataFrame, model: str, market: str, y: str,
         pdf = pdf.sort_values(["pk", "pm"])  # sums in one order
         pm, pk, n, hits = (pdf[c].to_numpy(float) for c in ("pm", "pk", "n", "y"))
         a = b = w = np.nan
+        ranges = [np.nan] * 4
         if n.sum() < least:
             reason = "TOO_FEW"
         else:
@@ -192,10 +257,14 @@ def pooling(rows: DataFrame, pairs: DataFrame, model: str, market: str, y: str,
                 mid = (low + high) / 2
                 low, high = (mid, high) if slope(mid) <= 0 else (low, mid)
             w = (low + high) / 2
-        return pd.DataFrame({"target": [pdf["target"].iloc[0]], "intercept": [a], "slope": [b], "weight": [w], "n": [int(n.sum())], "supported": [reason == "CONVERGED"], "reason": [reason]})
+            fair = _sigmoid(at)
+            ranges = [f(x) for x in (np.abs(fair - 0.5), np.abs(pm - fair)) for f in (np.min, np.max)]
+        found = {"target": pdf["target"].iloc[0], "intercept": a, "slope": b, "weight": w, "n": int(n.sum()), "supported": reason == "CONVERGED", "reason": reason}
+        return pd.DataFrame([found | dict(zip(names, ranges, strict=True))])
 
-    panel = _cells(rows, pairs, {"pm": model, "pk": market}, digits, {"y": y})
-    return panel.groupBy("target").applyInPandas(fit, "target int, intercept double, slope double, weight double, n long, supported boolean, reason string")
+    names = ["extremity_low", "extremity_high", "gap_low", "gap_high"]
+    panel = _cells(rows, prior, {"pm": model, "pk": market}, digits, {"y": y})
+    return panel.groupBy("target").applyInPandas(fit, "target int, intercept double, slope double, weight double, n long, supported boolean, reason string, " + ", ".join(f"{c} double" for c in names))
 
 
 def pooled(rows: DataFrame, fits: DataFrame, model: str, market: str) -> DataFrame:
@@ -256,37 +325,53 @@ def weighted_median(x: np.ndarray, n: np.ndarray) -> float:
     return float(x[order][at].mean())
 
 
-def point_fits(rows: DataFrame, pairs: DataFrame, model: str, line: str, p_above: str, actual: str, least: int = 100, digits: int = 4) -> DataFrame:
-    """ML-10. For each target block: robust scale of actual minus line, and beta in [0, 1], the share of the model's distance to the market's implied mean that holds.
+def point_states(rows: DataFrame, prior: Prior | DataFrame, model: str, line: str, p_above: str, actual: str, least: int = 128, digits: int = 4) -> tuple[DataFrame, DataFrame]:
+    """ML-10. For each target block on earlier rows its fit, and the residuals that the fit leaves.
 
-    Values are rounded to `digits`, and equal rows counted by block.
+    Fits: target, sigma (robust scale of actual minus line), beta in [0, 1] (the share of the model's distance to the
+    market's implied mean that holds), n, reason (FITTED, TOO_FEW, NO_SCALE, or NO_DISAGREEMENT where the model never leaves
+    the market), and gap_low and _high, size_low and _high, the ranges of the model's distance and of the line's size.
+    Residuals: target, r (actual minus calibrated mean) and n, for fitted targets. Values are rounded to `digits`, and
+    equal rows counted by block.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "a", "m", "p"])
         m, t, p, a, n = (pdf[c].to_numpy(float) for c in ("m", "t", "p", "a", "n"))
-        sigma = beta = np.nan
-        total = n.sum()
-        reason = "TOO_FEW" if total < least else "FITTED"
-        if reason == "FITTED":
-            r = a - t
-            sigma = 1.4826 * weighted_median(np.abs(r - weighted_median(r, n)), n)
-            if sigma <= 1e-9:
-                mean = (n * r).sum() / total
-                sigma = float(((n * (r - mean) ** 2).sum() / (total - 1)) ** 0.5)
-            if sigma <= 1e-9:
-                reason, sigma = "NO_SCALE", np.nan
-            else:
-                mean = implied_means(t, p, sigma)
-                d = m - mean
-                beta = float(np.clip((n * d * (a - mean)).sum() / max((n * d * d).sum(), 1e-12), 0, 1))
-        return pd.DataFrame({"target": [pdf["target"].iloc[0]], "sigma": [sigma], "beta": [beta], "n": [int(total)], "reason": [reason]})
-
-    panel = _cells(rows, pairs, {"m": model, "t": line, "p": p_above, "a": actual}, digits)
-    return panel.groupBy("target").applyInPandas(fit, "target int, sigma double, beta double, n long, reason string")
-
-
-def ridge_panel(rows: DataFrame, pairs: DataFrame, numbers: list[str], categories: list[str], y: str, alphas: list[float], keys: list[str], least: int = 50, digits: int = 6) -> DataFrame:
+        target, total = pdf["target"].iloc[0], n.sum()
+        out = dict.fromkeys(("sigma", "beta", "r", "gap_low", "gap_high", "size_low", "size_high"), np.nan) | {"target": target, "n": int(total), "reason": "TOO_FEW"}
+        if total < least:
+            return pd.DataFrame([out])
+        r = a - t
+        sigma = 1.4826 * weighted_median(np.abs(r - weighted_median(r, n)), n)
+        if sigma <= 1e-9:
+            mean = (n * r).sum() / total
+            sigma = float(((n * (r - mean) ** 2).sum() / (total - 1)) ** 0.5)
+        if sigma <= 1e-9:
+            return pd.DataFrame([out | {"reason": "NO_SCALE"}])
+        mean = implied_means(t, p, sigma)
+        d = m - mean
+        if (n * d * d).sum() <= 1e-12:
+            return pd.DataFrame([out | {"sigma": sigma, "reason": "NO_DISAGREEMENT"}])
+        beta = float(np.clip((n * d * (a - mean)).sum() / (n * d * d).sum(), 0, 1))
+        ranges = {"gap_low": np.abs(d).min(), "gap_high": np.abs(d).max(), "size_low": np.abs(t).min(), "size_high": np.abs(t).max()}
+        first = pd.DataFrame([out | {"sigma": sigma, "beta": beta, "reason": "FITTED"} | ranges])
+        left, where = np.unique(np.round(a - (mean + beta * d), digits), return_inverse=True)
+        rest = pd.DataFrame({"target": target, "r": left, "n": np.bincount(where, weights=n).astype(int)})
+        return pd.concat([first, rest], ignore_index=True)
+
+    panel = _cells(rows, prior, {"m": model, "t": line, "p": p_above, "a": actual}, digits)
+    schema = "target int, sigma double, beta double, n long, reason string, r double, gap_low double, gap_high double, size_low double, size_high double"
+    both = stored(panel.groupBy("target").applyInPandas(lambda pdf: fit(pdf).reindex(columns=[f.split()[0] for f in schema.split(", ")]), schema), "point-states")
+    return both.where("reason is not null").drop("r"), both.where("reason is null").select("target", "r", "n")
+
+
+def point_fits(rows: DataFrame, prior: Prior | DataFrame, model: str, line: str, p_above: str, actual: str, least: int = 128, digits: int = 4) -> DataFrame:
+    """ML-10. The fits of point_states."""
+    return point_states(rows, prior, model, line, p_above, actual, least, digits)[0]
+
+
+def ridge_panel(rows: DataFrame, prior: Prior | DataFrame, numbers: list[str], categories: list[str], y: str, alphas: list[float], keys: list[str], least: int = 50, digits: int = 6) -> DataFrame:
     """ML-11. Predictions of each target block by a ridge on earlier blocks, for each alpha: medians for nulls, standardised numbers, one-hot categories.
 
     A block is reduced to the products of its terms (each number with zero for null, whether it is null, each category,
@@ -306,7 +391,7 @@ def ridge_panel(rows: DataFrame, pairs: DataFrame, numbers: list[str], categorie
     values = train.select("block_ord", F.explode(F.array(*(F.struct(F.lit(f"v:{c}").alias("i"), F.round(F.col(c).cast("double"), digits).alias("x")) for c in numbers))).alias("e")).where("e.x is not null")
     counts = values.groupBy("block_ord", F.col("e.i").alias("i"), F.col("e.x").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("v"))
     both = products.withColumn("x", F.lit(None).cast("double")).unionByName(counts.withColumn("j", F.lit(None).cast("string")))
-    panel = both.join(pairs, both["block_ord"] == pairs["source"]).groupBy("target", "i", "j", "x").agg(F.sum("v").alias("v"))
+    panel = prior_sums(both, prior, ["i", "j", "x"], ["v"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         gram, counted = pdf[pdf["j"].notna()], pdf[pdf["j"].isna()]
@@ -354,7 +439,7 @@ def ridge_panel(rows: DataFrame, pairs: DataFrame, numbers: list[str], categorie
     return joined.select("target", "alpha", *keys, "actual", predicted.alias("predicted"))
 
 
-def boosted_panel(rows: DataFrame, features: list[str], y: str, validation: int = 2, least_blocks: int = 4, least_rows: int = 100, most_rounds: int = 20, depth: int = 3, seed: int = 7) -> DataFrame:
+def boosted_panel(rows: DataFrame, features: list[str], y: str, validation: int = 2, least_validation: int = 21, fit_blocks: int = 2, least_fit: int = 32, most_rounds: int = 20, depth: int = 3, seed: int = 7) -> DataFrame:
     """ML-12. A walk-forward panel of boosted trees: every row with p_boosted, status and warmup_reason.
 
     Of each target block the blocks before it are split into fit and validation blocks (blocks.fit_split, which also
@@ -369,9 +454,9 @@ def boosted_panel(rows: DataFrame, features: list[str], y: str, validation: int
 
     from tidemark.operators import blocks
 
-    calendar = rows.select("block_ord").distinct()
-    exposed = blocks.exposure(rows, calendar, F.col(y).isNotNull(), "block_ord")
-    split = blocks.fit_split(exposed, validation, least_blocks, least_rows)
+    # written once: every training reads it
+    rows = stored(rows, "panel-rows")
+    split = blocks.fit_split(rows, F.col(y).isNotNull(), validation, least_validation, fit_blocks, least_fit)
     names = [f"_f_{c}" for c in features]
     cast = rows.select("*", *(F.col(c).cast("double").alias(f"_f_{c}") for c in features), F.col(y).cast("double").alias("_y"))
     pack = VectorAssembler(inputCols=[f"{n}_i" for n in names], outputCol="_x")
@@ -400,22 +485,31 @@ def boosted_panel(rows: DataFrame, features: list[str], y: str, validation: int
     return reduce(DataFrame.unionByName, out) if out else rows.select("*", F.lit(None).cast("double").alias("p_boosted"), F.lit("WARMUP").alias("status"), F.lit("no_block").alias("warmup_reason"))
 
 
-def reliability_states(losses: DataFrame, block: str = "block_ord", least_rows: int = 128, least_blocks: int = 8, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """ML-14, AG-31. For each block, on strictly earlier ones: rows, blocks, and the radius, half of the 90 % interval of the calibration gap under a block bootstrap.
+def reliability_states(losses: DataFrame, block: str = "block_ord", least_rows: int = 128, least_blocks: int = 4, most: float = 0.05, replicates: int = 1000, quantile: float = 0.9, seed: int = 0) -> DataFrame:
+    """ML-14, AG-31. For each block, on strictly earlier ones: support (rows), n_blocks, radius and stable.
 
-    losses: block, gap (prediction minus outcome). Blocks are reduced to sums before anything is paired; draws of a
-    target's replicates come from a hash, so they can be repeated.
+    losses: block, gap (prediction minus outcome). The radius is a quantile of the absolute mean gap over `replicates` draws
+    of as many blocks with replacement (the value at place round((replicates - 1) * quantile)); 0.10 where there are fewer
+    than two blocks, null under least_rows rows. Stable: at least least_blocks blocks, and a radius of `most` or less.
+    Rows are summed by block before anything is paired; a target gets the sums of its earlier blocks, and its draws, of a
+    counter's hash, are made in its task, as many at a time as fit. Blocks without a gap count nowhere.
     """
-    sums = losses.groupBy(block).agg(F.sum("gap").alias("g"), F.count("gap").alias("n"))
-    numbered = sums.withColumn("b", F.row_number().over(Window.orderBy(block)) - 1)
-    reps = numbered.select(F.col("b").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).where("target > 0")
-    draws = reps.select("target", "rep", F.explode(F.sequence(F.lit(0), F.col("target") - 1)).alias("d"))
-    draws = draws.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "target", "rep", "d"), F.col("target").cast("long")).cast("int"))
-    means = draws.join(numbered.select("b", "g", "n"), "b").groupBy("target", "rep").agg((F.sum("g") / F.sum("n")).alias("m"))
-    radius = means.groupBy("target").agg(((F.percentile("m", 0.95) - F.percentile("m", 0.05)) / 2).alias("radius"))
-    w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    have = numbered.select(block, F.col("b").alias("target"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("support"), F.col("b").cast("long").alias("n_blocks"))
-    out = have.join(radius, "target", "left")
-    stable = (F.col("support") >= least_rows) & (F.col("n_blocks") >= least_blocks)
-    return out.select(block, "support", "n_blocks", F.when(stable, F.col("radius")).alias("radius"), stable.alias("stable"))
-
+    sums = losses.where("gap is not null").groupBy(block).agg(F.sum("gap").alias("g"), F.count("gap").alias("n"))
+    numbered = losses.select(block).distinct().join(sums, block, "left").withColumn("b", (F.row_number().over(Window.orderBy(block)) - 1).cast("long"))  # one row a block
+    earlier = numbered.where("n is not null").select(F.col("b").alias("source"), "g", "n")
+    pairs = numbered.select(F.col("b").alias("target")).join(earlier, F.col("source") < F.col("target"))
+
+    def radius(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("source")
+        g, n = pdf["g"].to_numpy(float), pdf["n"].to_numpy(float)
+        found = np.nan
+        if n.sum() >= least_rows:
+            means = [np.abs(g[k].sum(1) / n[k].sum(1)) for k in block_draws(len(g), replicates, seed)]
+            found = float(np.sort(np.concatenate(means))[round((replicates - 1) * quantile)]) if len(g) > 1 else 0.10
+        return pd.DataFrame({"target": [pdf["target"].iloc[0]], "support": [int(n.sum())], "n_blocks": [len(g)], "radius": [found]})
+
+    made = pairs.groupBy("target").applyInPandas(radius, "target long, support long, n_blocks long, radius double")
+    out = numbered.join(made, numbered["b"] == made["target"], "left")
+    r = F.when(~F.isnan("radius"), F.col("radius"))
+    stable = F.coalesce((F.col("n_blocks") >= least_blocks) & (r <= most), F.lit(False))
+    return out.select(block, F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), r.alias("radius"), stable.alias("stable"))

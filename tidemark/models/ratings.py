@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.odds import Rating
 
@@ -34,7 +35,7 @@ class _League:
             self.ratings = {e: r + self.c.carry_back * (self.c.start - r) for e, r in self.ratings.items()}
         self.block, self.season = block, season
 
-    def play(self, home: str, away: str, margin: float | None, neutral: bool, adjustment: float) -> tuple[float, float, float, float | None, float]:
+    def play(self, home: str, away: str, margin: float | None, neutral: bool, adjustment: float, post: bool) -> tuple[float, float, float, float | None, float]:
         """Ratings before, the probability of the home side, what came of it, and the change."""
         if home in self.changes or away in self.changes or home == away:
             raise ValueError(f"an entity plays twice in block {self.block}")
@@ -47,7 +48,7 @@ class _League:
         if margin is not None:
             actual = 1.0 if margin > 0 else 0.5 if margin == 0 else 0.0
             # the change follows the ratings' own expectation, without adjustments
-            change = c.k * min(c.margin_cap, 1 + (abs(margin) / c.margin_divisor) ** 2) * (actual - expected(gap))
+            change = (c.k_post if post else c.k) * min(c.margin_cap, 1 + (abs(margin) / c.margin_divisor) ** 2) * (actual - expected(gap))
         self.changes[home], self.changes[away] = change, -change
         return h, a, p, actual, change
 
@@ -57,12 +58,15 @@ def _folded(configs: dict[str, Rating]):
         at, league = None, None
         for batch in batches:
             out: list[tuple] = []
-            for name, config, block, season, game, home, away, margin, neutral, adjustment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, config, block, season, game, home, away, margin, neutral, adjustment, post in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (name, config) != at:
                     at, league = (name, config), _League(configs[config])
+                if block is None:  # a rating to begin with
+                    league.ratings[home], league.season = margin, season
+                    continue
                 if block != league.block:
                     league.begin(block, season)
-                h, a, p, y, d = league.play(home, away, margin, neutral, adjustment)
+                h, a, p, y, d = league.play(home, away, margin, neutral, adjustment, post)
                 head = (name, config, block, season, game)
                 out.append((*head, "home", home, away, h, p, y, d, h + d))
                 out.append((*head, "away", away, home, a, 1 - p, None if y is None else 1 - y, -d, a - d))
@@ -73,20 +77,43 @@ def _folded(configs: dict[str, Rating]):
     return rows
 
 
-def rating_ledger(games: DataFrame, configs: dict[str, Rating]) -> DataFrame:
+def rating_ledger(games: DataFrame, configs: dict[str, Rating], state: DataFrame | None = None) -> DataFrame:
     """ML-01, ML-02. Of games (league, block_ord, season, game, home, away, home_score, away_score, neutral, home_adjustment,
-    away_adjustment) under each set of parameters: two rows a game with rating before, probability, change and rating after.
+    away_adjustment, and post if there are post-season games) under each set of parameters: two rows a game with rating
+    before, probability, change and rating after.
 
-    Unplayed games are predicted and change nothing; what came of them is null. A block's games are all predicted before any counts.
+    Unplayed games are predicted and change nothing; what came of them is null. A block's games are all predicted before any
+    counts. state: rating_state of the games before these, so that a history is continued and not folded again.
     """
     text = lambda c: F.col(c).cast("string").alias(c)
     swept = games.select(
         text("league"), F.explode(F.array(*map(F.lit, configs))).alias("config"), F.col("block_ord").cast("int").alias("block_ord"), F.col("season").cast("int").alias("season"), text("game"), text("home"), text("away"),
         (F.col("home_score") - F.col("away_score")).cast("double").alias("margin"), F.coalesce("neutral", F.lit(False)).alias("neutral"), (F.col("home_adjustment") - F.col("away_adjustment")).cast("double").alias("adjustment"),
+        (F.coalesce("post", F.lit(False)) if "post" in games.columns else F.lit(False)).alias("post"),
     )
+    if state is not None:
+        known = state.select("league", "config", F.col("season").cast("int").alias("season"), F.col("entity").alias("home"), F.col("rating").alias("margin"))
+        swept = swept.unionByName(known, allowMissingColumns=True)
     return swept.repartition("league", "config").sortWithinPartitions("league", "config", "block_ord", "game").mapInArrow(_folded(configs), LEDGER)
 
 
+def rating_state(ledger: DataFrame, configs: dict[str, Rating]) -> DataFrame:
+    """ML-03. league, config, entity, rating and season: the state that a ledger's games leave, as the fold itself holds it.
+
+    An entity's rating is the one after its last game, carried back once for each season that its league has begun since.
+    """
+    played = ledger.groupBy("league", "config", "entity").agg(F.max_by(F.struct("after", "season"), F.struct("block_ord", "game")).alias("last"))
+    # one row a league and season
+    seasons = ledger.groupBy("league", "config", "season").agg(F.min("block_ord").alias("begun"))
+    w = Window.partitionBy("league", "config").orderBy("begun")
+    turns = seasons.select("league", "config", "season", F.row_number().over(w).alias("_k"), F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"), F.last("season").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_now"))
+    share = F.create_map(*(F.lit(x) for name, c in configs.items() for x in (name, float(c.carry_back))))[F.col("config")]
+    start = F.create_map(*(F.lit(x) for name, c in configs.items() for x in (name, float(c.start))))[F.col("config")]
+    joined = played.select("league", "config", "entity", "last.after", "last.season").join(turns, ["league", "config", "season"])
+    rating = start + (F.col("after") - start) * F.pow(1 - share, (F.col("_n") - F.col("_k")).cast("double"))
+    return joined.select("league", "config", "entity", rating.alias("rating"), F.col("_now").alias("season"))
+
+
 def replay_differences(ledger: DataFrame, games: DataFrame, configs: dict[str, Rating], tolerance: float = 1e-9) -> DataFrame:
     """ML-03. Rows of a stored ledger that a fresh fold of the games doesn't give again, and games that don't sum to zero."""
     key = ["league", "config", "game", "side"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.odds import normal_cdf
+from tidemark.operators.bootstrap import multinomial_sums, poisson_sums
 from tidemark.operators.scan import beside, quantiles, running, same
 
 EPS = 1e-15
@@ -144,22 +145,31 @@ def block_sums(df: DataFrame, block: str, values: dict[str, Column]) -> DataFram
     return df.groupBy(block).agg(*(F.sum(c).alias(name) for name, c in values.items()))
 
 
+def _interval(reps: DataFrame, value: str, level: float, by: list[str]) -> DataFrame:
+    """by, low, high, se and n_replicates of the replicates' values, which are few."""
+    tail = (1 - level) / 2
+    return reps.groupBy(*by).agg(F.percentile(value, F.lit(tail)).alias("low"), F.percentile(value, F.lit(1 - tail)).alias("high"), F.stddev_samp(value).alias("se"), F.count(value).alias("n_replicates"))
+
+
 def bootstrap(sums: DataFrame, block: str, statistic: Column, replicates: int = 1000, seed: int = 0, level: float = 0.95, by: list[str] | None = None) -> DataFrame:
     """AG-31. The interval of a statistic (an aggregate over block sums) when whole blocks are drawn with replacement.
 
-    Each of B draws of a replicate picks the block xxhash64(seed, replicate, draw) mod B, so runs agree. What is
-    joined are block sums and numbers of draws, never rows; B times replicates rows, so blocks should be few.
+    A group's block sums, as many as the calendar has blocks, meet in one task, which adds up every replicate's draws.
     """
     by = by or []
-    w = Window.partitionBy(*by).orderBy(block)
-    numbered = sums.withColumns({"_b": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
-    draws = numbered.select(*by, F.col("_b").alias("_draw"), "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
-    draws = draws.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "_rep", "_draw"), F.col("_n")).cast("int"))
-    reps = draws.select(*by, "_rep", "_b").join(numbered.drop("_n"), [*by, "_b"]).groupBy(*by, "_rep").agg(statistic.alias("_s"))
-    tail = (1 - level) / 2
-    ci = reps.groupBy(*by).agg(F.percentile("_s", F.lit(tail)).alias("low"), F.percentile("_s", F.lit(1 - tail)).alias("high"), F.stddev_samp("_s").alias("se"), F.count("_s").alias("n_replicates"))
-    point = sums.groupBy(*by).agg(statistic.alias("estimate"))
-    return point.join(ci, by) if by else point.join(ci, F.lit(True))  # one row each
+    reps = multinomial_sums(sums, block, by, replicates, seed).groupBy(*by, "rep").agg(statistic.alias("_s"))
+    return beside(sums.groupBy(*by).agg(statistic.alias("estimate")), _interval(reps, "_s", level, by), by).select(*(f"l.{c}" for c in by), "l.estimate", "r.low", "r.high", "r.se", "r.n_replicates")
+
+
+def bootstrap_rows(rows: DataFrame, key: list[str], values: dict[str, Column], statistic: Column, replicates: int = 1000, seed: int = 0, level: float = 0.95, by: list[str] | None = None) -> DataFrame:
+    """AG-31 over single rows. The interval of a statistic (an aggregate of the sums of values) under Poisson weights of each row.
+
+    Any number of rows: each is weighed in all replicates where it is read, and only sums are shuffled.
+    """
+    by = by or []
+    reps = poisson_sums(rows, key, values, by, replicates, seed).groupBy(*by, "rep").agg(statistic.alias("_s"))
+    sums = rows.groupBy(*by).agg(*(F.sum(c).alias(n) for n, c in values.items()))
+    return beside(sums.groupBy(*by).agg(statistic.alias("estimate")), _interval(reps, "_s", level, by), by).select(*(f"l.{c}" for c in by), "l.estimate", "r.low", "r.high", "r.se", "r.n_replicates")
 
 
 def bootstrap_difference(sums: DataFrame, block: str, period: str, periods: tuple[object, object], statistic: Column, replicates: int = 1000, seed: int = 0, level: float = 0.95) -> DataFrame:
@@ -168,16 +178,11 @@ def bootstrap_difference(sums: DataFrame, block: str, period: str, periods: tupl
     One row: value_a, value_b, difference (b minus a), low, high and n_replicates. Draws are those of `bootstrap`.
     """
     two = sums.where(F.col(period).isin(*periods))
-    w = Window.partitionBy(period)
-    numbered = two.withColumns({"_b": F.row_number().over(w.orderBy(block)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    draws = numbered.select(period, F.col("_b").alias("_draw"), "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
-    draws = draws.select(period, "_rep", F.pmod(F.xxhash64(F.lit(seed), "_rep", "_draw"), F.col("_n")).cast("int").alias("_b"))
     each = lambda k: F.max(F.when(F.col(period) == periods[k], F.col("_s")))
-    reps = draws.join(numbered.drop("_n"), [period, "_b"]).groupBy("_rep", period).agg(statistic.alias("_s")).groupBy("_rep").agg((each(1) - each(0)).alias("_d"))
-    tail = (1 - level) / 2
-    ci = reps.agg(F.percentile("_d", F.lit(tail)).alias("low"), F.percentile("_d", F.lit(1 - tail)).alias("high"), F.count("_d").alias("n_replicates"))
+    reps = multinomial_sums(two, block, [period], replicates, seed).groupBy("rep", period).agg(statistic.alias("_s")).groupBy("rep").agg((each(1) - each(0)).alias("_d"))
+    ci = _interval(reps, "_d", level, [])
     point = two.groupBy(period).agg(statistic.alias("_s")).agg(each(0).alias("value_a"), each(1).alias("value_b"))
-    return point.join(ci, F.lit(True)).select("value_a", "value_b", (F.col("value_b") - F.col("value_a")).alias("difference"), "low", "high", "n_replicates")  # one row each
+    return point.join(F.broadcast(ci), F.lit(True)).select("value_a", "value_b", (F.col("value_b") - F.col("value_a")).alias("difference"), "low", "high", "n_replicates")  # one row each
 
 
 def two_proportions(hits_a: str, n_a: str, hits_b: str, n_b: str) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.odds import allows_push, residual_threshold
 from tidemark.functions.times import minutes_between
-from tidemark.operators.scan import beside, quantiles, running
+from tidemark.operators.blocks import prior_nodes, prior_sums
+from tidemark.operators.scan import beside, quantiles, running, stored
 
 MARKETS = ("moneyline", "spread", "total")
 
@@ -175,28 +176,41 @@ def running_profit(ledger: DataFrame, group: list[str], order: list[str], profit
 def residual_probabilities(offers: DataFrame, residuals: DataFrame, block: str = "block_ord", residual: str = "residual") -> DataFrame:
     """AG-35. offers (market, side, line, predicted, block) with p_win, p_push, p_loss of their threshold among residuals of earlier blocks, Jeffreys smoothed.
 
-    Residuals are first counted by block on a half-point grid, and offers reduced to distinct thresholds a block;
-    what is joined are those, both as small as the calendar and the range of scores, never offers and residuals.
-    Residuals must be multiples of a half; an offer without an earlier residual has nulls.
+    An offer without an earlier residual has nulls. Residuals are counted by block and value, and added up over earlier
+    blocks by nodes of the calendar; offers and residuals never meet as pairs (see lattice_probabilities).
     """
-    half = F.round(F.col(residual) * 2).cast("long")
-    grid = residuals.groupBy(F.col(block).alias("b"), half.alias("r")).agg(F.count(F.lit(1)).alias("n"))
-    target = offers.withColumns({"_push": allows_push("line"), "_t": residual_threshold("market", "side", "predicted", "line")})
-    need = target.select(F.col(block).alias("b"), F.col("_t").alias("t")).where("t is not null").distinct()
-    joined = need.join(grid.withColumnRenamed("b", "rb"), F.col("rb") < F.col("b")).groupBy("b", "t").agg(
-        F.sum("n").alias("n_all"),
-        F.sum(F.when(F.col("r") / 2.0 > F.col("t"), F.col("n")).otherwise(0)).alias("n_gt"),
-        F.sum(F.when(F.col("r") / 2.0 < F.col("t"), F.col("n")).otherwise(0)).alias("n_lt"),
-        F.sum(F.when((F.col("r") / 2.0 >= F.col("t") - 0.5) & (F.col("r") / 2.0 < F.col("t") + 0.5), F.col("n")).otherwise(0)).alias("n_cell"),
-        F.sum(F.when(F.col("r") / 2.0 >= F.col("t") + 0.5, F.col("n")).otherwise(0)).alias("n_up"),
-    )
-    out = target.join(joined, (target[block] == joined["b"]) & (target["_t"] == joined["t"]), "left")
-    gt = F.col("side").isin("home", "over")
-    push = F.when(F.col("_push"), F.col("n_cell")).otherwise(0)
-    win = F.when(F.col("_push"), F.when(gt, F.col("n_up")).otherwise(F.col("n_all") - F.col("n_cell") - F.col("n_up"))).otherwise(F.when(gt, F.col("n_gt")).otherwise(F.col("n_lt")))
-    loss = F.col("n_all") - push - win
-    den = F.col("n_all") + F.when(F.col("_push"), 1.5).otherwise(1.0)
-    return out.select(*offers.columns, ((win + 0.5) / den).alias("p_win"), F.when(F.col("n_all").isNotNull(), F.when(F.col("_push"), (push + 0.5) / den).otherwise(0.0)).alias("p_push"), ((loss + 0.5) / den).alias("p_loss"))
+    calendar = offers.select(F.col(block).alias("block_ord")).union(residuals.select(F.col(block).alias("block_ord"))).distinct()
+    per = residuals.where(F.col(residual).isNotNull()).groupBy(F.col(block).alias("block_ord"), F.col(residual).cast("double").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    known = prior_sums(per, prior_nodes(calendar), ["r"], ["n"]).withColumnRenamed("target", block)
+    return lattice_probabilities(offers, known, [block])
+
+
+def lattice_probabilities(offers: DataFrame, residuals: DataFrame, by: list[str], predicted: str = "predicted") -> DataFrame:
+    """AG-35. offers (by, market, side, line, predicted) with p_win, p_push and p_loss among their group's residuals (by, r, n).
+
+    A residual is what a result differs from its prediction. On a line that a result can equal, those within half a point
+    below to under half a point above the threshold push; wins, pushes and losses each count half a one more. A group
+    without residuals, and an offer without a threshold, have nulls. Thresholds and residuals are put in one order and
+    counted by a scan over ranges of it, so both may be any number.
+    """
+    side = F.col("side").isin("home", "over")
+    push, t = allows_push("line"), residual_threshold("market", "side", predicted, "line")
+    target = stored(offers.withColumns({"_push": push, "_t": t, "_row": F.monotonically_increasing_id()}), "thresholds")
+    # of each offer the places to count up to: kind 0 counts what is less, kind 2 also what is equal
+    low = F.when(F.col("_push"), F.struct((F.col("_t") - 0.5).alias("x"), F.lit(0).alias("kind"))).otherwise(F.struct(F.col("_t").alias("x"), F.when(side, 2).otherwise(0).alias("kind")))
+    high = F.when(F.col("_push"), F.struct((F.col("_t") + 0.5).alias("x"), F.lit(0).alias("kind")))
+    asked = target.where("_t is not null").select(*by, "_row", F.posexplode(F.array_compact(F.array(low, high))).alias("end", "at")).select(*by, "_row", "end", "at.x", "at.kind", F.lit(0).cast("long").alias("n"))
+    given = residuals.select(*by, F.lit(None).cast("long").alias("_row"), F.lit(None).cast("int").alias("end"), F.col("r").alias("x"), F.lit(1).alias("kind"), F.col("n").cast("long").alias("n"))
+    counted = running(asked.unionByName(given), by, ["x", "kind"], {"upto": "n"}).where("_row is not null")
+    ends = counted.groupBy("_row").agg(F.max(F.when(F.col("end") == 0, F.col("upto"))).alias("_low"), F.max(F.when(F.col("end") == 1, F.col("upto"))).alias("_high"))
+    totals = residuals.groupBy(*by).agg(F.sum("n").cast("long").alias("_all"))
+    out = target.join(ends, "_row", "left").join(totals, by, "left")
+    below, upto = F.coalesce("_low", F.lit(0)), F.coalesce("_high", "_low", F.lit(0))
+    pushed = F.when(F.col("_push"), upto - below).otherwise(0)
+    win = F.when(side, F.col("_all") - upto).otherwise(below)
+    loss = F.col("_all") - pushed - win
+    den = F.when(F.col("_t").isNotNull(), F.col("_all")) + F.when(F.col("_push"), 1.5).otherwise(1.0)
+    return out.select(*offers.columns, ((win + 0.5) / den).alias("p_win"), F.when(den.isNotNull(), F.when(F.col("_push"), (pushed + 0.5) / den).otherwise(0.0)).alias("p_push"), ((loss + 0.5) / den).alias("p_loss"))
 
 
 def market_summary(board: DataFrame, market: str = "market", tier: str = "tier", status: str = "status", reason: str = "reason") -> DataFrame:

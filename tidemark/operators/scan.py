@@ -45,11 +45,11 @@ def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Colu
     # one row for each slice of a group
     whole = Window.partitionBy(*by, F.col("_slice") * 0).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("_slice", *by, *(F.sum(n).over(whole).alias(n) for n in value), *(F.last(n, ignorenulls=True).over(whole).alias(n) for n in kept))
-    both = cut.withColumn("_row", F.lit(1)).unionByName(before.withColumn("_row", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy("_slice", *by).orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    both = cut.withColumn("_scan_row", F.lit(1)).unionByName(before.withColumn("_scan_row", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("_slice", *by).orderBy("_scan_row", *order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     made = {n: F.sum(f"_sum_{n}").over(w) for n in sums} | {n: F.last(f"_last_{n}", ignorenulls=True).over(w)["v"] for n in lasts}
     names = [c for c in df.columns if c not in made]
-    return both.select("_row", *names, *(c.alias(n) for n, c in made.items())).where("_row = 1").drop("_row")
+    return both.select("_scan_row", *names, *(c.alias(n) for n, c in made.items())).where("_scan_row = 1").drop("_scan_row")
 
 
 def same(a: str, b: str, by: list[str]) -> Column:

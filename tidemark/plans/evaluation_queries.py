@@ -139,9 +139,16 @@ def candidate_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("block_bootstrap_ci")
 def block_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    """No SQL: draws come from Spark's hash. Tests hold it against the same draws made in Python."""
+    """AG-31. No SQL: draws come from a hash of counters. Tests hold it against the same draws made in Python."""
     sums = ev.block_sums(predictions(spark, sf), "week", {"l": ev.brier("p2", "y") - ev.brier("p", "y"), "n": F.lit(1)})
-    return ev.bootstrap(sums, "week", F.sum("l") / F.sum("n"), replicates=500, seed=11)
+    return ev.bootstrap(sums, "week", F.sum("l") / F.sum("n"), seed=11)
+
+
+@query("row_bootstrap_ci")
+def row_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-31 over rows: the interval of the loss difference of two predictions in each language, 10,000 replicates in one pass."""
+    rows = predictions(spark, sf)
+    return ev.bootstrap_rows(rows, ["doc_id"], {"l": ev.brier("p2", "y") - ev.brier("p", "y"), "n": F.lit(1)}, F.sum("l") / F.sum("n"), replicates=10_000, seed=11, by=["lang"])
 
 
 @query("global_ranks", with_(GAMES_SQL, f"""e as (select block_ord, home_score + game % 10007 / 10007.0 as p, away_score * 1.0 as a, home_score > away_score as won from games where home <> away),

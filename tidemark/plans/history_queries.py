@@ -276,10 +276,21 @@ def exposure_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _exposure(spark, sf)
 
 
-@query("fit_val_split", with_(GAMES_SQL, _BLOCKS_SQL, _EXPOSURE_SQL, """w as (select *, case when prior_blocks < 4 then 'too_few_blocks' when prior_completed < 100 then 'too_few_rows' end as warmup_reason from ex)
-    select block_ord, case when warmup_reason is null then block_ord - 3 end as fit_last, case when warmup_reason is null then block_ord - 2 end as validate_first, case when warmup_reason is null then block_ord - 1 end as validate_last, warmup_reason from w"""))
+@query("fit_val_split", with_(GAMES_SQL, """p as (select block_ord as b, count(*) filter (home_score > 0 and game % 7 > 0) as n from games group by 1), k as (select * from p where n > 0),
+    t as (select p.b, coalesce(list(k.b order by k.b desc) filter (k.b is not null), []) as bs, coalesce(list(k.n order by k.b desc) filter (k.b is not null), []) as ns from p left join k on k.b < p.b group by 1),
+    w as (select b, bs, case when len(bs) < 2 then 'too_few_validation_blocks' when list_sum(ns[1:2]) < 21 then 'too_few_validation_rows' when len(bs) < 4 then 'too_few_fit_blocks' when list_sum(ns[3:]) < 32 then 'too_few_fit_rows' end as warmup_reason from t)
+    select b as block_ord, case when warmup_reason is null then bs[3] end as fit_last, case when warmup_reason is null then bs[2] end as validate_first, case when warmup_reason is null then bs[1] end as validate_last, warmup_reason from w"""))
 def fit_val_split(spark: SparkSession, sf: str) -> DataFrame:
-    return blocks.fit_split(_exposure(spark, sf), least_rows=100)
+    """WN-15."""
+    return blocks.fit_split(games(spark, sf), (F.col("home_score") > 0) & (F.col("game") % 7 > 0))
+
+
+@query("expanding_cells", with_(GAMES_SQL, "b as (select block_ord, home_score as cell, count(*) as n, sum(away_score) as points from games group by 1, 2), t as (select distinct block_ord as target from games) select target, cell, cast(sum(n) as bigint) as n, cast(sum(points) as bigint) as points from t join b on b.block_ord < t.target group by 1, 2"))
+def expanding_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """JN-05, WN-16 over a long calendar: counts by score of all earlier months, by nodes of a tree of months."""
+    g = games(spark, sf)
+    per = g.groupBy("block_ord", F.col("home_score").alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum("away_score").alias("points"))
+    return blocks.prior_sums(per, blocks.prior_nodes(g.select("block_ord").distinct()), ["cell"], ["n", "points"])
 
 
 @query("latest_rows", with_(_ORDERS_SQL, "select o_custkey, o_orderkey, price from (select *, row_number() over (partition by o_custkey order by day desc, o_orderkey desc) as k from o) where k <= 2"))

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from tidemark.functions import Rating
 from tidemark.models import ratings
 from tidemark.operators import identity
+from tidemark.operators.scan import stored
 from tidemark.plans import pipelines
 from tidemark.plans.base import GAMES_SQL, games, load, query, with_
 from tidemark.plans.history_queries import after_sql
@@ -309,9 +310,9 @@ def leagues(spark: SparkSession, sf: str) -> DataFrame:
 
     o = load(spark, sf, "orders")
     g = o.select(F.col("o_custkey").cast("string").alias("league"), F.year("o_orderdate").alias("season"), F.col("o_orderkey").cast("string").alias("game"), F.concat(F.lit("e"), F.col("o_orderkey") % 5).alias("home"), F.concat(F.lit("f"), F.col("o_orderkey") % 3).alias("away"),
-                 F.when(F.col("o_orderkey") % 20 != 0, F.floor("o_totalprice").cast("long") % 41).alias("home_score"), (F.floor(F.col("o_totalprice") / 7).cast("long") % 38).alias("away_score"), (F.col("o_orderkey") % 10 == 0).alias("neutral"), F.to_date("o_orderdate").alias("day"), "o_orderkey")
+                 F.when(F.col("o_orderkey") % 20 != 0, F.floor("o_totalprice").cast("long") % 41).alias("home_score"), (F.floor(F.col("o_totalprice") / 7).cast("long") % 38).alias("away_score"), (F.col("o_orderkey") % 10 == 0).alias("neutral"), (F.month("o_orderdate") == 12).alias("post"), F.to_date("o_orderdate").alias("day"), "o_orderkey")
     order = Window.partitionBy("league").orderBy("day", "o_orderkey")
-    return g.select(*g.columns[:8], F.lit(5.0).alias("home_adjustment"), (F.col("o_orderkey") % 7).cast("double").alias("away_adjustment"), F.row_number().over(order).alias("block_ord"))
+    return g.select(*g.columns[:9], F.lit(5.0).alias("home_adjustment"), (F.col("o_orderkey") % 7).cast("double").alias("away_adjustment"), F.row_number().over(order).alias("block_ord"))
 
 
 def leagues_sql(carry: dict[str, float]) -> str:
@@ -319,16 +320,16 @@ def leagues_sql(carry: dict[str, float]) -> str:
     configs = ", ".join(f"('{name}', {share!r}::double)" for name, share in carry.items())
     return f"""cf(config, carry) as (values {configs}),
     gm as (select cast(o_custkey as varchar) as league, year(o_orderdate) as season, cast(o_orderkey as varchar) as game, 1 + o_orderkey % 5 as h, 6 + o_orderkey % 3 as a,
-        case when o_orderkey % 20 <> 0 then cast(floor(o_totalprice) as bigint) % 41 end as hs, cast(floor(o_totalprice / 7) as bigint) % 38 as aw, o_orderkey % 10 = 0 as neutral, 5.0 - o_orderkey % 7 as adj,
+        case when o_orderkey % 20 <> 0 then cast(floor(o_totalprice) as bigint) % 41 end as hs, cast(floor(o_totalprice / 7) as bigint) % 38 as aw, o_orderkey % 10 = 0 as neutral, month(o_orderdate) = 12 as post, 5.0 - o_orderkey % 7 as adj,
         row_number() over (partition by o_custkey order by cast(o_orderdate as date), o_orderkey) as k from orders),
     fold as (
         select config, carry, league, cast(0 as bigint) as k, cast(null as bigint) as season, [1500.0::double for x in range(8)] as r, ''::varchar as game, 0::bigint as h, 0::bigint as a, 0.0::double as p, 0.0::double as d, null::double as bh, null::double as ba, null::bigint as m from (select distinct league from gm), cf
         union all
         select config, carry, league, k, season, list_transform(r, lambda x, i: x + case when i = h then d when i = a then -d else 0 end), game, h, a, p, d, r[h], r[a], m from (
-            select *, case when m is null then 0 else 20 * least(2.5, 1 + pow(abs(m) / 6.0, 2)) * ((case when m > 0 then 1.0 when m = 0 then 0.5 else 0.0 end) - 1 / (1 + pow(10, -gap / 400))) end as d,
+            select *, case when m is null then 0 else case when post then 4 else 20 end * least(2.5, 1 + pow(abs(m) / 6.0, 2)) * ((case when m > 0 then 1.0 when m = 0 then 0.5 else 0.0 end) - 1 / (1 + pow(10, -gap / 400))) end as d,
                    least(0.99, greatest(0.01, 1 / (1 + pow(10, -(gap + adj) / 400)))) as p from (
                 select *, r[h] - r[a] + case when neutral then 0 else 48 end as gap from (
-                    select f.config, f.carry, g.league, g.k, g.season, g.game, g.h, g.a, g.hs - g.aw as m, g.neutral, g.adj, case when f.season <> g.season then list_transform(f.r, lambda x: x + (1500 - x) * f.carry) else f.r end as r
+                    select f.config, f.carry, g.league, g.k, g.season, g.game, g.h, g.a, g.hs - g.aw as m, g.neutral, g.post, g.adj, case when f.season <> g.season then list_transform(f.r, lambda x: x + (1500 - x) * f.carry) else f.r end as r
                     from fold f join gm g on g.league = f.league and g.k = f.k + 1))))"""
 
 
@@ -342,6 +343,34 @@ def stream_ratings(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("league", "game", "home", "away", F.round("p_home", 6).alias("p_home"), (F.round("change", 6) + 0.0).alias("change"))
 
 
+@query("stream_ratings_resumed", "with recursive " + LEAGUES_SQL + " select league, game, 'e' || (h - 1) as home, 'f' || (a - 6) as away, round(p, 6) as p_home, round(d, 6) as change from fold where k > 0 and season >= 1999")
+def stream_ratings_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-03, STR-07. Seasons before 1999 folded in a batch, the ledger's state handed to the stream of the later ones."""
+    g, config = leagues(spark, sf), {"x": Rating()}
+    state = ratings.rating_state(stored(ratings.rating_ledger(g.where("season < 1999"), config), "ledger"), config)
+    out = _drained(spark, jobs.rating_stream(_landed(spark, g.where("season >= 1999"), "games", "block_ord"), config["x"], stored(state, "ratings")), "append")
+    return out.select("league", "game", "home", "away", F.round("p_home", 6).alias("p_home"), (F.round("change", 6) + 0.0).alias("change"))
+
+
+@query("rating_continued", "with recursive " + LEAGUES_SQL + """ select league, game, s.side, round(case s.side when 'home' then bh else ba end, 6) as before, round(case s.side when 'home' then bh + d else ba - d end, 6) as after from fold, (values ('home'), ('away')) s(side) where k > 0 and season >= 1999""")
+def rating_continued(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-03. The later seasons folded from the state that the earlier ones' ledger leaves."""
+    g, config = leagues(spark, sf), {"x": Rating()}
+    early = stored(ratings.rating_ledger(g.where("season < 1999"), config), "ledger")
+    out = ratings.rating_ledger(g.where("season >= 1999"), config, ratings.rating_state(early, config))
+    return out.select("league", "game", "side", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+
+
+@query("stream_staleness", """with e as (select event_type || '/' || (user_id % 50) as source, ts from events),
+    n as (select source, ts, lead(ts) over (partition by source order by ts) as following, max(ts) over () as newest from e)
+    select source, epoch_us(ts) as last_success, 'STALE_LAST_SUCCESS' as state from n where following - ts > interval 12 hour or (following is null and epoch_ms(ts) + 43200000 < epoch_ms(newest) - 3600000)""")
+def stream_staleness(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-04 by event time: alarms of sources (kinds of events of groups of users) that are silent for over half a day, replayed in order under a watermark of an hour."""
+    e = load(spark, sf, "events").select(F.concat_ws("/", "event_type", (F.col("user_id") % 50).cast("string")).alias("source"), F.col("ts").cast("timestamp").alias("at"))
+    out = _drained(spark, jobs.staleness_stream(_landed(spark, e, "successes", "at"), 43_200_000, "1 hour"), "append")
+    return out.select("source", F.unix_micros("last_success").alias("last_success"), "state")
+
+
 @query("rating_ledger", "with recursive " + LEAGUES_SQL + """ select league, game, s.side, case s.side when 'home' then 'e' || (h - 1) else 'f' || (a - 6) end as entity, round(case s.side when 'home' then bh else ba end, 6) as before, round(case s.side when 'home' then p else 1 - p end, 6) as p,
     round(case s.side when 'home' then d else -d end, 6) as change, round(case s.side when 'home' then bh + d else ba - d end, 6) as after from fold, (values ('home'), ('away')) s(side) where k > 0""")
 def rating_ledger(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,9 +17,7 @@ from tidemark import quality
 from tidemark.models import fits
 from tidemark.operators import asof, blocks, events, history, identity, offers, reshape, snapshots
 from tidemark.operators import evaluation as ev
-from tidemark.sources import sinks
-from tidemark.sources.readers import table
-from tidemark.sources.scratch import scratch
+from tidemark.operators.scan import stored
 
 
 @dataclass(frozen=True)
@@ -258,20 +256,29 @@ def census_families(models: DataFrame, points: DataFrame, quotes: DataFrame, anc
     return reshape.stacked([label(two, "TWO_SIDED"), label(first, "POSITIVE_EDGE"), spread, total], widen=True)
 
 
-def offer_board(quotes: DataFrame, models: DataFrame, book_order: list[str], least: int = 100, least_rows: int = 128, least_blocks: int = 8) -> DataFrame:
+#: What an offer is compared with the range of, in the rows that its state was fitted on.
+SUPPORT = ("extremity", "gap", "constituent", "size")
+
+
+def offer_board(quotes: DataFrame, models: DataFrame, book_order: list[str], least: int = 128, least_rows: int = 128, least_blocks: int = 4) -> DataFrame:
     """PL-09, ML-13. Every best offer of the three markets, evaluated by its own block's states, tiered and settled.
 
     quotes: game, block_ord, book, market, side, line, price, home_score, away_score (null before the result); models:
-    game, p_home, margin, total. Moneylines take pooling states (ML-09), and a tie the share of ties among earlier
-    games; spreads and totals take point states of their market (ML-10): the market's implied mean, moved by beta to the
-    model, gives the chances to win, push and lose. Fits, reliability (ML-14) and the envelope of disagreements are all
-    of earlier blocks. Columns: game, market, side, book, line, price, block_ord, p_win, p_push, p_loss, value, distance,
-    tier, status, settled and reason (why an offer has no state).
+    game, p_home, margin, total, and p_home_a and p_home_b, the two chances that p_home is the mean of (equal to it if not
+    given). Moneylines take pooling states (ML-09), and a tie the share of ties among earlier games; spreads and totals
+    take point states of their market (ML-10): the market's implied mean, moved by beta to the model, and the chances of the
+    offer's line among the residuals that the fit left. Support: a moneyline's distances of the calibrated market to a half
+    and of the model to it, and of the model's two parts; a point offer's distance of the model to the market's mean, and
+    the size of its line; each against its range in the rows of the fit. A tier counts the fewer of the fit's rows and
+    of the reliability's (ML-14), and the distance of the parts, which points have none of. Everything is of earlier blocks.
+    An offer without a state is UNSUPPORTED, passed and has a reason. Columns: game, market, side, book, line, price,
+    block_ord, p_win, p_push, p_loss, value, distance, support, tier, status, settled and reason.
     """
     best = offers.best_offers(quotes, ["game", "market", "side"], book_order)
     first = F.col("side").isin("home", "over")
     other = best.select("game", "market", F.when(F.col("side") == "home", "away").when(F.col("side") == "away", "home").when(F.col("side") == "over", "under").otherwise("over").alias("side"), F.col("price").alias("_other"))
-    both = best.join(other, ["game", "market", "side"], "left").join(models, "game")
+    parts = models.withColumns({c: F.col(c) if c in models.columns else F.col("p_home") for c in ("p_home_a", "p_home_b")})
+    both = best.join(other, ["game", "market", "side"], "left").join(parts, "game")
     p_side = F.when(F.col("_other").isNotNull(), fn.no_vig("price", "_other")).otherwise(fn.break_even("price"))
     # everything about a game's first side: home or over
     margin = (F.col("home_score") - F.col("away_score")).cast("double")
@@ -279,51 +286,51 @@ def offer_board(quotes: DataFrame, models: DataFrame, book_order: list[str], lea
         "first": first, "p_market": F.when(first, p_side).otherwise(1 - p_side), "actual": F.when(F.col("market") == "total", (F.col("home_score") + F.col("away_score")).cast("double")).otherwise(margin),
         "at": F.when(F.col("market") == "total", F.col("line")).when(first, -F.col("line")).otherwise(F.col("line")).cast("double"),
         "expected": F.when(F.col("market") == "total", F.col("total")).otherwise(F.col("margin")).cast("double"),
-        "won": F.when(margin > 0, 1).when(margin < 0, 0),
+        "won": F.when(margin > 0, 1).when(margin < 0, 0), "constituent": F.when(F.col("market") == "moneyline", F.abs(F.col("p_home_a") - F.col("p_home_b"))),
     })
-    calendar = blocks.prior_pairs(rows.select("block_ord").distinct())
+    rows = stored(rows, "offers")
+    calendar = blocks.prior_nodes(rows.select("block_ord").distinct())
     ml = rows.where("market = 'moneyline'")
     pool = fits.pooling(ml.where("first"), calendar, "p_home", "p_market", "won", least)
     results = ml.where("first").groupBy("block_ord").agg(F.count("actual").alias("g"), F.count_if(F.col("actual") == 0).alias("t"))
     w = Window.orderBy("block_ord").rangeBetween(Window.unboundedPreceding, -1)
     ties = results.select("block_ord", F.coalesce(F.sum("g").over(w), F.lit(0)).alias("_games"), F.coalesce(F.sum("t").over(w), F.lit(0)).alias("_ties"))
-    state = pool.select(F.col("target").alias("block_ord"), "intercept", "slope", "weight", "supported", "reason")
-    money = ml.join(state, "block_ord", "left").join(ties, "block_ord", "left")
-    p_home = F.when(F.col("supported"), fn.pooled_probability("p_home", fn.calibrated_probability("p_market", "intercept", "slope"), "weight"))
-    chances = fn.with_ties(fn.oriented("side", "_p"), "_ties", "_games")
-    money = money.withColumn("_p", p_home).withColumn("_c", chances).select(*rows.columns, F.col("_c.win").alias("p_win"), F.col("_c.push").alias("p_push"), F.col("_c.loss").alias("p_loss"), F.when(~F.coalesce("supported", F.lit(False)), F.coalesce("reason", F.lit("NO_STATE"))).alias("reason"))
+    apart = ev.support(ml.select("block_ord", F.when(F.col("first") & F.col("won").isNotNull() & F.col("p_home").isNotNull() & F.col("p_market").isNotNull(), F.col("constituent")).alias("constituent")), ["constituent"], "block_ord")
+    state = pool.select(F.col("target").alias("block_ord"), "intercept", "slope", "weight", "supported", "reason", F.col("n").alias("fit_n"), "extremity_low", "extremity_high", "gap_low", "gap_high")
+    money = ml.join(state, "block_ord", "left").join(ties, "block_ord", "left").join(apart, "block_ord", "left")
+    fair = F.when(F.col("supported"), fn.calibrated_probability("p_market", "intercept", "slope"))
+    money = money.withColumn("_fair", fair).withColumn("_p", fn.pooled_probability("p_home", "_fair", "weight")).withColumn("_c", fn.with_ties(fn.oriented("side", "_p"), "_ties", "_games"))
+    none = F.lit(None).cast("double")
+    money = money.select(
+        *rows.columns, F.col("_c.win").alias("p_win"), F.col("_c.push").alias("p_push"), F.col("_c.loss").alias("p_loss"), "fit_n", F.abs(F.col("_fair") - 0.5).alias("extremity"), F.abs(F.col("p_home") - F.col("_fair")).alias("gap"), none.alias("size"),
+        *(f"{c}_{e}" for c in ("extremity", "gap", "constituent") for e in ("low", "high")), F.when(~F.coalesce("supported", F.lit(False)), F.coalesce("reason", F.lit("NO_STATE"))).alias("reason"),
+    )
 
     def pointed(name: str) -> DataFrame:
         own = rows.where(F.col("market") == name)
-        fitted = fits.point_fits(own.where("first"), calendar, "expected", "at", "p_market", "actual", least).select(F.col("target").alias("block_ord"), "sigma", "beta", F.col("reason").alias("why"))
-        joined = own.join(fitted, "block_ord", "left")
-        placed = fits.with_implied_mean(joined, "at", "p_market", "sigma", "_market")
-        mean = F.col("_market") + F.col("beta") * (F.col("expected") - F.col("_market"))
-        placed = placed.withColumn("_mean", mean)
-        z = lambda t: fn.normal_cdf((t - F.col("_mean")) / F.col("sigma"))
-        half = F.when(fn.allows_push("at"), 0.5).otherwise(0.0)
-        below, above = z(F.col("at") - half), 1 - z(F.col("at") + half)
-        win, loss = F.when(first, above).otherwise(below), F.when(first, below).otherwise(above)
-        return placed.select(*rows.columns, win.alias("p_win"), (1 - above - below).alias("p_push"), loss.alias("p_loss"), F.when(F.col("why") != "FITTED", F.col("why")).when(F.col("why").isNull(), "NO_STATE").alias("reason"))
-
-    priced = reshape.stacked([money, pointed("spread"), pointed("total")])
-    implied = F.when(first, F.col("p_market")).otherwise(1 - F.col("p_market"))
+        fitted, residuals = fits.point_states(own.where("first"), calendar, "expected", "at", "p_market", "actual", least)
+        fitted = fitted.select(F.col("target").alias("block_ord"), "sigma", "beta", F.col("reason").alias("why"), F.col("n").alias("fit_n"), "gap_low", "gap_high", "size_low", "size_high")
+        placed = fits.with_implied_mean(own.join(fitted, "block_ord", "left"), "at", "p_market", "sigma", "_market")
+        placed = placed.withColumns({"gap": F.abs(F.col("expected") - F.col("_market")), "size": F.abs("line"), "extremity": none, "_fitted": F.col("why") == "FITTED"})
+        placed = placed.withColumn("_mean", F.when(F.col("_fitted"), F.col("_market") + F.col("beta") * (F.col("expected") - F.col("_market"))))
+        priced = offers.lattice_probabilities(placed, residuals.withColumnRenamed("target", "block_ord"), ["block_ord"], "_mean")
+        reason = F.when(F.col("why") != "FITTED", F.col("why")).when(F.col("why").isNull(), "NO_STATE").when(F.col("p_win").isNull(), "NO_LINE")
+        return priced.select(*rows.columns, "p_win", "p_push", "p_loss", "fit_n", "extremity", "gap", "size", "gap_low", "gap_high", "size_low", "size_high", reason.alias("reason"))
+
+    priced = reshape.stacked([money, pointed("spread"), pointed("total")], widen=True)
     given = F.col("p_win") / (F.col("p_win") + F.col("p_loss"))
-    path = scratch(quotes.sparkSession, "priced")
-    # written once: reliability, envelopes and the board itself read it again
-    sinks.frozen(priced.withColumns({"disagreement": F.abs(given - implied), "settled": fn.settlement("market", "side", "line", "home_score", "away_score")}), path)
-    priced = table(quotes.sparkSession, path)
-    first = F.col("side").isin("home", "over")
+    # written once: reliability and the board itself read it again
+    priced = stored(priced.withColumn("settled", fn.settlement("market", "side", "line", "home_score", "away_score")), "priced")
     gaps = priced.where("first and p_win is not null and settled in ('WIN', 'LOSS')").select("market", "block_ord", (given - (F.col("settled") == "WIN").cast("double")).alias("gap"))
-    reliable = reshape.stacked([fits.reliability_states(gaps.where(F.col("market") == m), least_rows=least_rows, least_blocks=least_blocks).withColumn("market", F.lit(m)) for m in offers.MARKETS])
-    # blocks without settled offers of their own take the latest state before them
-    reliable = reliable.withColumnRenamed("support", "n_support")
-    envelope = reshape.stacked([ev.support(priced.where(F.col("market") == m).select("block_ord", "disagreement"), ["disagreement"], "block_ord").withColumn("market", F.lit(m)) for m in offers.MARKETS])
-    joined = asof.asof(priced, reliable.withColumnRenamed("block_ord", "_state_block"), ["market"], "block_ord", "_state_block", ["n_support", "radius", "stable"]).join(envelope, ["market", "block_ord"], "left")
-    tiered = joined.withColumn("distance", ev.support_distance(["disagreement"]))
-    tiered = tiered.withColumns({"tier": fn.reliability_tier(F.coalesce("n_support", F.lit(0)), "radius", "distance", "disagreement", "stable"), "value": fn.three_way_value("p_win", "p_loss", "price")})
-    play = fn.play_through(F.col("p_win").isNotNull(), "value", given, fn.break_even("price"), "tier", "radius")
-    return tiered.withColumn("_play", play).select("game", "market", "side", "book", "line", "price", "block_ord", "p_win", "p_push", "p_loss", "value", "distance", "tier", F.col("_play.status").alias("status"), "settled", "reason")
+    every = priced.select("market", "block_ord").distinct().withColumn("gap", none)  # a state for each block, whatever it holds
+    reliable = reshape.stacked([fits.reliability_states(gaps.unionByName(every).where(F.col("market") == m), least_rows=least_rows, least_blocks=least_blocks).withColumn("market", F.lit(m)) for m in offers.MARKETS])
+    joined = priced.join(reliable.select("market", "block_ord", F.col("support").alias("_seen"), "radius", "stable"), ["market", "block_ord"], "left")
+    has = F.col("p_win").isNotNull()
+    joined = joined.withColumns({"distance": F.when(has, ev.support_distance(list(SUPPORT))), "support": F.when(has, F.least(F.col("fit_n"), F.coalesce("_seen", F.lit(0)))).otherwise(F.lit(0))})
+    tier = F.when(has, fn.reliability_tier("support", "radius", "distance", F.coalesce("constituent", F.lit(0.0)), "stable")).otherwise("UNSUPPORTED")
+    tiered = joined.withColumns({"tier": tier, "value": fn.three_way_value("p_win", "p_loss", "price")})
+    play = fn.play_through(has, "value", given, fn.break_even("price"), "tier", "radius")
+    return tiered.withColumn("_play", play).select("game", "market", "side", "book", "line", "price", "block_ord", "p_win", "p_push", "p_loss", "value", "distance", "support", "tier", F.when(has, F.col("_play.status")).otherwise("PASS").alias("status"), "settled", "reason")
 
 
 def graded_ledger(census: DataFrame, results: DataFrame, least_edge: float, discovery_until: int) -> tuple[DataFrame, DataFrame]:
@@ -351,8 +358,8 @@ def forensic_report(ledger: DataFrame, group: str = "book", season: str = "seaso
         "prices": ledger.groupBy(season).agg(F.percentile("price_decimal", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q")),
         "concentration": offers.concentration(ledger, group, "profit"),
         "running": offers.running_profit(ledger, [season], list(order)),
-        "interval": ev.bootstrap(sums, season, F.sum("p") / F.sum("n"), replicates=200),
-        "half_difference": ev.bootstrap_difference(sums.withColumn("half", half), season, "half", ("a", "b"), F.sum("p") / F.sum("n"), replicates=200),
+        "interval": ev.bootstrap(sums, season, F.sum("p") / F.sum("n"), replicates=10_000),
+        "half_difference": ev.bootstrap_difference(sums.withColumn("half", half), season, "half", ("a", "b"), F.sum("p") / F.sum("n"), replicates=10_000),
         "halves": halves.select(ev.two_proportions("w_a", "n_a", "w_b", "n_b").alias("t")).select("t.*"),
         "worst": ledger.orderBy("profit", *order).limit(20),
     }

@@ -122,36 +122,62 @@ def commit_changes(stream: DataFrame, path: str, key: str, snapshot: str, fields
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+_ALARMS = "source string, last_success timestamp, state string"
+
+
 class StalenessProcessor(StatefulProcessor):
-    """STR-04. Sets a timer at each success and raises an alarm when it runs out without another."""
+    """STR-04. Sets a timer at each success and raises an alarm when it runs out without another.
+
+    By event time the timer runs out when the watermark passes the last success and the limit, and a success that
+    comes later than that raises the alarm itself, so that a replay gives the same alarms however its rows are batched.
+    """
 
-    def __init__(self, limit_ms: int):
-        self.limit = limit_ms
+    def __init__(self, limit_ms: int, event_time: bool = False):
+        self.limit, self.event_time = limit_ms, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at timestamp")
+        self.last = handle.getValueState("last", "at timestamp, alarmed boolean")
+
+    def _alarm(self, key: Any, times: list) -> pd.DataFrame:
+        return pd.DataFrame({"source": [key[0]] * len(times), "last_success": times, "state": ["STALE_LAST_SUCCESS"] * len(times)})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        at = max(pd.Timestamp(p["at"].max()) for p in rows)
-        if self.last.exists():
-            at = max(at, pd.Timestamp(self.last.get()[0]))
-        self.last.update((at.to_pydatetime(),))
+        at, alarmed = self.last.get() if self.last.exists() else (None, False)
+        missed = []
+        for t in sorted(pd.Timestamp(x) for p in rows for x in p["at"]):
+            if self.event_time and at is not None and not alarmed and t - pd.Timestamp(at) > pd.Timedelta(milliseconds=self.limit):
+                missed.append(at)
+            if at is None or t > pd.Timestamp(at):
+                at, alarmed = t.to_pydatetime(), False
+        self.last.update((at, alarmed))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.limit)
-        return iter(())
+        if not alarmed:
+            now = int(pd.Timestamp(at).timestamp() * 1000) if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+            self.handle.registerTimer(now + self.limit)
+        return iter([self._alarm(key, missed)] if missed else [])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"source": [key[0]], "last_success": [self.last.get()[0]], "state": ["STALE_LAST_SUCCESS"]})
+        at, _ = self.last.get()
+        self.last.update((at, True))
+        yield self._alarm(key, [at])
 
     def close(self) -> None:
         pass
 
 
-def staleness_stream(successes: DataFrame, limit_ms: int) -> DataFrame:
-    """STR-04. successes (source string, at timestamp) as a stream of alarms by processing time."""
-    return successes.select("source", "at").groupBy("source").transformWithStateInPandas(StalenessProcessor(limit_ms), "source string, last_success timestamp, state string", "append", "ProcessingTime")
+def staleness_stream(successes: DataFrame, limit_ms: int, late: str | None = None) -> DataFrame:
+    """STR-04. successes (source string, at timestamp) as a stream of alarms: source, the last success, state.
+
+    By processing time; or, if `late` is given, by event time under a watermark of that delay: one alarm for each success
+    that none follows within the limit, once the watermark or a later success is beyond it. Null sources are a source,
+    rows without a time are ignored.
+    """
+    known = successes.select("source", "at").where("at is not null")
+    if late is not None:
+        known = known.withWatermark("at", late)
+    return known.groupBy("source").transformWithStateInPandas(StalenessProcessor(limit_ms, late is not None), _ALARMS, "append", "ProcessingTime" if late is None else "EventTime")
 
 
 class RatingProcessor(StatefulProcessor):
@@ -164,6 +190,11 @@ class RatingProcessor(StatefulProcessor):
         self.ratings = handle.getMapState("ratings", "entity string", "rating double")
         self.season = handle.getValueState("season", "season int")
 
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        for row in initialState.itertuples(index=False):
+            self.ratings.updateValue((row.entity,), (float(row.rating),))
+            self.season.update((int(row.season),))
+
     def _begin(self, season: int) -> None:
         """Carries every rating back to the start when a season ends."""
         if self.season.exists() and self.season.get()[0] != season:
@@ -185,7 +216,7 @@ class RatingProcessor(StatefulProcessor):
                 gap = h - a + (0.0 if g.neutral else c.home)
                 p = min(c.highest, max(c.lowest, expected(gap + g.home_adjustment - g.away_adjustment)))
                 # the change follows the ratings' own expectation; an unplayed game changes nothing
-                d = 0.0 if pd.isna(m) else c.k * min(c.margin_cap, 1 + (abs(m) / c.margin_divisor) ** 2) * ((m > 0) + 0.5 * (m == 0) - expected(gap))
+                d = 0.0 if pd.isna(m) else (c.k_post if g.post else c.k) * min(c.margin_cap, 1 + (abs(m) / c.margin_divisor) ** 2) * ((m > 0) + 0.5 * (m == 0) - expected(gap))
                 new[g.home], new[g.away] = h + d, a - d
                 out.append((key[0], g.game, g.home, g.away, p, d))
             for e, r in new.items():
@@ -196,14 +227,16 @@ class RatingProcessor(StatefulProcessor):
         pass
 
 
-def rating_stream(games: DataFrame, config: Rating = Rating()) -> DataFrame:
+def rating_stream(games: DataFrame, config: Rating = Rating(), state: DataFrame | None = None) -> DataFrame:
     """STR-07. games (league, block_ord, game, home, away, home_score, away_score), blocks in order between batches, as predictions and changes.
 
-    season, neutral, home_adjustment and away_adjustment count as in the batch fold, if games has them; without,
+    state: league, entity, rating and season to begin with, as ratings.rating_state makes them of a stored ledger, so that
+    a stream goes on where a batch fold ended. season, neutral, post, home_adjustment and away_adjustment count as in the batch fold, if games has them; without,
     there is one season, no neutral site and no adjustment. Null scores are games to come.
     """
     schema = "league string, game string, home string, away string, p_home double, change double"
-    given = {"season": F.lit(0), "neutral": F.lit(False), "home_adjustment": F.lit(0.0), "away_adjustment": F.lit(0.0)}
+    given = {"season": F.lit(0), "neutral": F.lit(False), "post": F.lit(False), "home_adjustment": F.lit(0.0), "away_adjustment": F.lit(0.0)}
     extra = [F.coalesce(F.col(c), v).alias(c) if c in games.columns else v.alias(c) for c, v in given.items()]
     cols = ["league", "block_ord", "game", "home", "away", *(F.col(c).cast("double").alias(c) for c in ("home_score", "away_score"))]
-    return games.select(*cols, *extra).groupBy("league").transformWithStateInPandas(RatingProcessor(config), schema, "append", "None")
+    initial = None if state is None else state.select("league", "entity", "rating", F.col("season").cast("int").alias("season")).groupBy("league")
+    return games.select(*cols, *extra).groupBy("league").transformWithStateInPandas(RatingProcessor(config), schema, "append", "None", initial)
