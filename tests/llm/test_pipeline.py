@@ -97,3 +97,13 @@ def test_near_duplicate_stage_equals_brute_force(spark, docs, sf_dir):
 @pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
 def test_stages_of_an_empty_table(spark, docs, sf_dir, name):
     assert dict(cp.STAGES)[name](spark, docs.limit(0), sf_dir).collect() == []
+
+
+def test_unlike_sets_of_one_hash_are_told_apart(spark):
+    from tidemark.llm import simhash
+
+    rows = [(1, 10, 5, 7), (2, 10, 5, 7), (3, 10, 6, 7), (4, 10, 5, 8), (5, 11, 5, 7)]
+    got = {r.id: r.node for r in simhash._told_apart(spark.createDataFrame(rows, "id long, node long, size long, fingerprint long")).collect()}
+    assert got[1] == got[2] == 10 and got[5] == 11 and len({got[k] for k in (1, 3, 4, 5)}) == 4
+    clear = spark.createDataFrame([rows[0], rows[1], rows[4]], "id long, node long, size long, fingerprint long")
+    assert simhash._told_apart(clear) is clear

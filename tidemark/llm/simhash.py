@@ -407,6 +407,21 @@ def _confirmed(sets: DataFrame, similarity: float, least: float) -> DataFrame:
     return inside.unionByName(linked(across.select(F.lit(0).alias("table"), F.xxhash64("group", "part", "block").alias("key"), "node", "label", "asks", "sketch", "hashes")))
 
 
+def _told_apart(prints: DataFrame) -> DataFrame:
+    """prints, where rows of one node that differ in size or fingerprint, and so in their sets, no longer share it.
+
+    A node is a hash of 64 bits, which unlike sets come to share among some 10**10; with the fingerprint and the size
+    that takes 128 bits. The least of them keeps the node, the others get one of their own.
+    """
+    own = F.struct("size", "fingerprint")
+    odd = prints.groupBy("node").agg(F.min(own).alias("_least"), F.max(own).alias("_most")).where("_least <> _most").select(F.col("node").alias("_node"), "_least")
+    if odd.isEmpty():
+        return prints
+    joined = prints.join(odd, prints["node"] == odd["_node"], "left")
+    node = F.when(F.col("_least").isNull() | (own == F.col("_least")), F.col("node")).otherwise(F.xxhash64("node", "size", "fingerprint"))
+    return checkpointed(joined.withColumn("node", node).select(*prints.columns))
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The columns of near_duplicates, grouping texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
 
@@ -417,7 +432,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     Jaccard of the two sets of shingle hashes, which are joined to the proposed groups, once for each different set.
     Equal sets are one node; texts without words have the empty set.
     """
-    prints = checkpointed(sketches(docs, id_col, text_col, width))
+    prints = _told_apart(checkpointed(sketches(docs, id_col, text_col, width)))
     nodes = prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.min(F.struct("_id", "_tag")).alias("who"))
     buckets = _buckets(nodes).repartition("table", "key").sortWithinPartitions("table", "key", "node")
     least = similarity - SLACK
