@@ -177,3 +177,31 @@ def test_scorecard(spark):
     df = spark.createDataFrame([(k, k % 2, k % 10 / 10 + 0.01 * (k % 2), k % 3) for k in range(60)], "k int, y int, p double, s int")
     card = pipelines.scorecard(df, "p", "y", ["s"], ["k"])
     assert card["metrics"].count() == 4 and card["worst"].count() == 20 and card["recalibration"].count() == 3 and 0 <= card["auc"].first().auc <= 1
+
+
+def test_large_files_are_digested_in_chunks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    sizes = {"a": 10, "b": 3_000_000, "c": 0, "d": 2_500_000}
+    for k, (name, n) in enumerate(sizes.items()):
+        (tmp_path / name).write_bytes(bytes([65 + k]) * n)
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r._sha) for r in readers.digests(spark, str(tmp_path), streamed_bytes=1_000_000).collect()}
+    assert got == {name: (n, hashlib.sha256(bytes([65 + k]) * n).hexdigest()) for k, (name, n) in enumerate(sizes.items()) if n}
+    manifest = spark.createDataFrame([("a", 10, got["a"][1]), ("b", 3_000_000, got["d"][1]), ("d", 1, got["d"][1]), ("e", 1, "")], "name string, bytes long, sha256 string")
+    found = {r.name: r.problem for r in readers.verified_files(spark, str(tmp_path), manifest, streamed_bytes=1_000_000).collect()}
+    assert found == {"b": "SHA256", "d": "SIZE", "e": "MISSING"}
+
+
+def test_modeling_contract(spark):
+    from tidemark.plans import pipelines
+
+    f = spark.createDataFrame([(1, 2020, 0.5), (2, 2020, 0.6), (3, 2021, 0.7)], "game int, season int, x double")
+    s = spark.createDataFrame([(1, 3, 4), (2, 0, 0), (3, 7, 1)], "game int, home_score int, away_score int")
+    names = ["game", "season", "x", "home_score", "away_score", "target_total_points"]
+    rows, gates = pipelines.modeling_table(f, s, columns=names, width=6, expected={2020: 2, 2021: 1})
+    assert gates.count() == 0 and sorted(map(tuple, rows.collect())) == [(1, 2020, 0.5, 3, 4, 7), (2, 2020, 0.6, 0, 0, 0), (3, 2021, 0.7, 7, 1, 8)]
+    bad = lambda *a, **k: {r.gate for r in pipelines.modeling_table(*a, **k)[1].collect()}
+    assert bad(f, s, columns=names[::-1]) == {"contract"} and bad(f, s, width=100) == {"contract"}
+    assert bad(f, s, expected={2020: 3, 2021: 1}) == {"counts"}
+    assert "target" in bad(f, s.withColumn("away_score", F.when(F.col("game") != 2, F.col("away_score"))))
+    assert bad(f, s.where("game < 3")) and bad(f.withColumn("total_line", F.lit(1.0)), s)

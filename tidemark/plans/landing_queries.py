@@ -154,6 +154,37 @@ def baseline_tables(spark: SparkSession, sf: str) -> DataFrame:
     return out.unionByName(b["venues"].select(F.col("venue_id").alias("id"), "name"), allowMissingColumns=True)
 
 
+def _conformed(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Line items as source tables of teams and players."""
+    i = load(spark, sf, "lineitem").selectExpr(
+        "concat(l_orderkey, '-', l_linenumber) as game_id", "year(l_shipdate) as season", "month(l_shipdate) as week", "if(l_linenumber > 5, 'POST', 'REG') as season_type", "concat('e', l_suppkey % 5, ' ') as team", "concat('e', (l_suppkey + 1) % 5) as opponent_team",
+        "l_discount as passing_epa", "l_tax as rushing_epa", "l_quantity as passing_yards", "l_extendedprice as rushing_yards", "case l_partkey % 4 when 0 then 'qb' when 1 then 'QB' when 2 then 'RB' end as position", "case when l_partkey % 9 = 0 then ' ' else concat(' p', l_partkey, ' ') end as player_id",
+        "concat('n', l_partkey) as player_name", "l_tax as passing_cpoe", "l_linenumber as attempts", "l_linenumber % 3 as sacks_suffered", "l_linenumber % 2 as passing_interceptions", "l_returnflag as pos_name", "l_linestatus as pos_slot", "l_linenumber as pos_rank", "cast(l_shipdate as string) as dt", "l_returnflag as status", "year(l_shipdate) - 3 as rookie_year",
+    )
+    i = i.withColumns({"gsis_id": F.col("player_id"), "full_name": F.col("player_name")})
+    g = games(spark, sf).select(F.col("game").cast("string").alias("game_id"), "season", F.col("month").alias("week"), F.col("day").alias("gameday"), F.col("home").alias("home_team"), F.col("away").alias("away_team"), "home_score", "away_score", F.lit("Home").alias("location"))
+    return readers.baseline(g, g.select(F.col("home_team").alias("venue_id"), F.col("away_team").alias("name")), {"E1": "one", "E2": "two"}, i, i, i, i)
+
+
+_TEAM = "case 'E' || (l_suppkey % 5) when 'E1' then 'one' when 'E2' then 'two' else 'E' || (l_suppkey % 5) end as team"
+_PLAYER = "case when l_partkey % 9 > 0 then 'p' || l_partkey end as player_id"
+
+
+@query("baseline_team_stats", f"""select l_orderkey || '-' || l_linenumber as game_id, case when l_linenumber > 5 then 'POST' else 'REG' end as season_type, {_TEAM}, case 'E' || ((l_suppkey + 1) % 5) when 'E1' then 'one' when 'E2' then 'two' else 'E' || ((l_suppkey + 1) % 5) end as opponent, round(l_discount, 6) as passing_epa, round(l_extendedprice, 4) as rushing_yards, observed is null as unproven from (select *, null as observed from lineitem)""")
+def baseline_team_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-08, the fourth of six."""
+    return _conformed(spark, sf)["team_stats"].select("game_id", "season_type", "team", "opponent", F.round("passing_epa", 6).alias("passing_epa"), F.round("rushing_yards", 4).alias("rushing_yards"), F.col("observed_at").isNull().alias("unproven"))
+
+
+@query("baseline_players", f"""select 'passers' as what, year(l_shipdate) as season, {_TEAM}, {_PLAYER}, 'n' || l_partkey as name, l_linenumber as rank from lineitem where l_partkey % 4 < 2
+    union all select 'depth', year(l_shipdate), {_TEAM}, {_PLAYER}, 'n' || l_partkey, l_linenumber from lineitem union all select 'rosters', year(l_shipdate), {_TEAM}, {_PLAYER}, 'n' || l_partkey, year(l_shipdate) - 3 from lineitem""")
+def baseline_players(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-08: passers, depth charts and rosters, one under the other."""
+    t = _conformed(spark, sf)
+    one = lambda name, player, rank: t[name].select(F.lit(name).alias("what"), "season", "team", "player_id", F.col(player).alias("name"), F.col(rank).cast("int").alias("rank"))
+    return one("passers", "player_name", "attempts").unionByName(one("depth", "player_name", "pos_rank")).unionByName(one("rosters", "full_name", "rookie_year"))
+
+
 @query("verified_files", """with f as (select n_nationkey as k from nation) select case when k % 5 in (1, 2) then 'SIZE' when k % 5 = 3 then 'SHA256' else 'MISSING' end as problem, count(*) as n from f where k % 5 in (1, 2, 3, 4) group by 1
     union all select 'UNEXPECTED', count(*) from f where k % 5 = 4""")
 def verified_files(spark: SparkSession, sf: str) -> DataFrame:

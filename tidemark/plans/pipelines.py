@@ -177,9 +177,28 @@ def totals_table(plays: DataFrame, games: DataFrame, context: DataFrame, passers
     return rates.join(known, "game", "left").join(starters, "game", "left").select(*games.columns, *TOTALS_COLUMNS)
 
 
-def modeling_table(features: DataFrame, targets: DataFrame, key: str = "game") -> tuple[DataFrame, DataFrame]:
-    """PL-04. Features and targets one to one, with the gates."""
-    return identity.guarded_join(features, targets, [key], "modeling")
+#: What a modeling table must not hold: prices, lines and results. Fixed values.
+SPORTSBOOK = ("spread_line", "total_line", "over_odds", "under_odds", "away_moneyline", "home_moneyline", "away_spread_odds", "home_spread_odds", "result", "total")
+
+
+def modeling_table(features: DataFrame, scores: DataFrame, key: str = "game", columns: list[str] | None = None, width: int | None = None, season: str = "season", expected: dict[object, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """PL-04. Features with home_score, away_score and target_total_points, one to one by key, and the gates.
+
+    Gates: keys that repeat or are on one side alone, games without a score, columns of a sportsbook, and if they are
+    given the exact columns in their order, their number (100 for the totals contract), and the rows of each season.
+    """
+    rows, gates = identity.guarded_join(features, scores.select(key, "home_score", "away_score"), [key], "modeling")
+    rows = rows.withColumn("target_total_points", F.col("home_score") + F.col("away_score"))
+    found = [gates, quality.forbidden_columns(features, SPORTSBOOK), quality.invariants(rows, {"a game without a score": F.col("target_total_points").isNotNull()}, "target")]
+    wrong = []
+    if columns is not None and rows.columns != columns:
+        wrong.append(f"columns differ: {sorted(set(rows.columns) ^ set(columns)) or 'their order'}")
+    if width is not None and len(rows.columns) != width:
+        wrong.append(f"{len(rows.columns)} columns, expected {width}")
+    found.append(rows.sparkSession.createDataFrame([("contract", w, 1) for w in wrong], quality.VIOLATION))
+    if expected is not None:
+        found.append(quality.expected_counts(rows, season, expected))
+    return rows, quality.union(*found)
 
 
 def canonical_quotes(long: DataFrame, targets: DataFrame, markets: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:

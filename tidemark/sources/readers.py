@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,9 +95,38 @@ def keyed_objects(text: DataFrame, column: str, fields: str, active: Column, key
     return good.where(F.coalesce(active, F.lit(False))), good.where(~F.coalesce(active, F.lit(False))), rows.where("_r is null").select(key, F.col("_raw").alias("entry"))
 
 
-def verified_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+#: Files over this size are digested by streaming; smaller ones may be read whole.
+STREAMED_BYTES, CHUNK = 256 << 20, 8 << 20
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of files by path, read chunk by chunk."""
+    from pyarrow import fs
+
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            system, name = fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(name) as f:
+                while chunk := f.read(CHUNK):
+                    digest.update(chunk)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "_sha"])
+
+
+def digests(spark: SparkSession, path: str, streamed_bytes: int = STREAMED_BYTES) -> DataFrame:
+    """path, length and _sha of each file. Files of up to streamed_bytes are read whole, one a task's row; larger ones are
+    opened by the tasks themselves and read in chunks, whatever their size, over any store that pyarrow knows. Spark lists no empty files."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= streamed_bytes).select("path", "length", F.sha2("content", 256).alias("_sha"))
+    large = files.select("path", "length").where(F.col("length") > streamed_bytes)
+    return small.unionByName(large.repartition("path").mapInArrow(_streamed, "path string, length long, _sha string"))
+
+
+def verified_files(spark: SparkSession, path: str, manifest: DataFrame, streamed_bytes: int = STREAMED_BYTES) -> DataFrame:
     """SRC-09. Each file's name with what is wrong: SIZE, SHA256, UNEXPECTED or MISSING; none if all is well. manifest: name, bytes, sha256."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("_length"), F.sha2("content", 256).alias("_sha"))
+    files = digests(spark, path, streamed_bytes).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("_length"), "_sha")
     joined = manifest.join(files, "name", "full")
     problem = F.when(F.col("_length").isNull(), "MISSING").when(F.col("bytes").isNull(), "UNEXPECTED").when(F.col("bytes") != F.col("_length"), "SIZE").when(F.col("sha256") != F.col("_sha"), "SHA256")
     return joined.select("name", problem.alias("problem")).where("problem is not null")
@@ -109,10 +142,28 @@ def with_requests(raw: DataFrame, plan: DataFrame, ledger: DataFrame, request: s
     return joined, gates
 
 
-def baseline(schedules: DataFrame, venues: DataFrame, team_alias: dict[str, str]) -> dict[str, DataFrame]:
-    """SRC-08. Conformed games and venues from source tables: aliased names, one row a venue (the first by name), sites as flags."""
+def baseline(schedules: DataFrame, venues: DataFrame, team_alias: dict[str, str], team_stats: DataFrame | None = None, player_stats: DataFrame | None = None, depth: DataFrame | None = None, rosters: DataFrame | None = None) -> dict[str, DataFrame]:
+    """SRC-08. Conformed tables of the sources that are given: games, venues, team_stats, passers, depth and rosters.
+
+    Team names are aliased, players' ids trimmed (blank ones are null), sites are flags. One row a venue, the first by
+    name. Passers are the rows of quarterbacks. What a source does not prove, the time at which a row was known, is null.
+    """
     from tidemark.functions.text import alias
     from tidemark.operators.asof import first_per_key
 
-    games = schedules.select("game_id", F.col("season").cast("int"), F.col("week").cast("int"), F.col("gameday").cast("date"), alias("home_team", team_alias).alias("home"), alias("away_team", team_alias).alias("away"), F.col("home_score").cast("int"), F.col("away_score").cast("int"), (F.lower(F.coalesce("location", F.lit(""))) == "neutral").alias("neutral"))
-    return {"games": games, "venues": first_per_key(venues.where("venue_id is not null"), ["venue_id"], [F.col("name").asc_nulls_last()])}
+    team = lambda c, name=None: alias(c, team_alias).alias(name or c)
+    player = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias("player_id")
+    known = F.lit(None).cast("string").alias("observed_at")
+    games = schedules.select("game_id", F.col("season").cast("int"), F.col("week").cast("int"), F.col("gameday").cast("date"), team("home_team", "home"), team("away_team", "away"), F.col("home_score").cast("int"), F.col("away_score").cast("int"), (F.lower(F.coalesce("location", F.lit(""))) == "neutral").alias("neutral"))
+    out = {"games": games, "venues": first_per_key(venues.where("venue_id is not null"), ["venue_id"], [F.col("name").asc_nulls_last()])}
+    when = ["game_id", "season", "week", "season_type"]
+    if team_stats is not None:
+        out["team_stats"] = team_stats.select(*when, team("team"), team("opponent_team", "opponent"), "passing_epa", "rushing_epa", "passing_yards", "rushing_yards", known)
+    if player_stats is not None:
+        out["passers"] = player_stats.where(F.upper("position") == "QB").select(*when, team("team"), player("player_id"), "player_name", "passing_epa", "passing_cpoe", "attempts", "sacks_suffered", "passing_interceptions", known)
+    if depth is not None:
+        quality_ = F.lit("batch_or_source_defined").alias("timestamp_quality")
+        out["depth"] = depth.select("season", "week", team("team"), player("gsis_id"), "player_name", "pos_name", "pos_slot", "pos_rank", F.col("dt").alias("source_dt"), quality_, known)
+    if rosters is not None:
+        out["rosters"] = rosters.select("season", "week", team("team"), player("gsis_id"), "full_name", "position", "status", "rookie_year", F.lit("season_or_week_batch").alias("timestamp_quality"))
+    return out
