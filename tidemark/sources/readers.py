@@ -24,10 +24,15 @@ def table(spark: SparkSession, path: str | list[str], schema: T.StructType | str
 
 
 def safe_scan(spark: SparkSession, path: str, columns: list[str], season: str | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
-    """SRC-02. Only the listed columns within a window of seasons; both reach the scan, so outcome columns are never read."""
+    """SRC-02. Only the listed columns within a window of seasons; both reach the scan, so outcome columns are never read.
+
+    A bound that isn't given holds nothing back, rows without a season included.
+    """
     df = spark.read.parquet(path).select(*columns)
-    if season is not None:
-        df = df.where(F.col(season).between(low if low is not None else -(2**31), high if high is not None else 2**31 - 1))
+    if season is not None and low is not None:
+        df = df.where(F.col(season) >= low)
+    if season is not None and high is not None:
+        df = df.where(F.col(season) <= high)
     return df
 
 

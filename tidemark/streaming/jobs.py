@@ -104,6 +104,7 @@ def commit_changes(stream: DataFrame, path: str, key: str, snapshot: str, fields
         df = df.select(key, snapshot, *fields).persist()
         times = [r[0] for r in df.select(snapshot).distinct().orderBy(snapshot).collect()]
         if not times:
+            df.unpersist()
             return
         if sinks.exists(spark, state):
             kept = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(state).where(F.col("batch") < batch)
