@@ -181,15 +181,18 @@ def totals_table(plays: DataFrame, games: DataFrame, context: DataFrame, passers
 SPORTSBOOK = ("spread_line", "total_line", "over_odds", "under_odds", "away_moneyline", "home_moneyline", "away_spread_odds", "home_spread_odds", "result", "total")
 
 
-def modeling_table(features: DataFrame, scores: DataFrame, key: str = "game", columns: list[str] | None = None, width: int | None = None, season: str = "season", expected: dict[object, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """PL-04. Features with home_score, away_score and target_total_points, one to one by key, and the gates.
+def modeling_table(features: DataFrame, targets: DataFrame, key: str = "game", columns: list[str] | None = None, width: int | None = None, season: str = "season", expected: dict[object, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """PL-04. Features and targets one to one by key, and the gates; targets that are scores get target_total_points, their sum.
 
-    Gates: keys that repeat or are on one side alone, games without a score, columns of a sportsbook, and if they are
-    given the exact columns in their order, their number (100 for the totals contract), and the rows of each season.
+    Gates: keys that repeat or are on one side alone, features that are columns of a sportsbook, games without a score, and
+    if they are given the exact columns in their order, their number (100 for the totals contract), and the rows of
+    each season.
     """
-    rows, gates = identity.guarded_join(features, scores.select(key, "home_score", "away_score"), [key], "modeling")
-    rows = rows.withColumn("target_total_points", F.col("home_score") + F.col("away_score"))
-    found = [gates, quality.forbidden_columns(features, SPORTSBOOK), quality.invariants(rows, {"a game without a score": F.col("target_total_points").isNotNull()}, "target")]
+    rows, gates = identity.guarded_join(features, targets, [key], "modeling")
+    found = [gates, quality.forbidden_columns(features, SPORTSBOOK)]
+    if {"home_score", "away_score"} <= set(targets.columns):
+        rows = rows.withColumn("target_total_points", F.col("home_score") + F.col("away_score"))
+        found.append(quality.invariants(rows, {"a game without a score": F.col("target_total_points").isNotNull()}, "target"))
     wrong = []
     if columns is not None and rows.columns != columns:
         wrong.append(f"columns differ: {sorted(set(rows.columns) ^ set(columns)) or 'their order'}")
