@@ -8,6 +8,8 @@ cutoff counts. One entity's rows share a partition, unless a timeline is asked f
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,6 +72,35 @@ def season_to_date(facts: DataFrame, key: list[str], season: str, order: list[st
     return facts.withColumns(out)
 
 
+def closing(facts: DataFrame, key: list[str], season: str | None, available: str, tie: list[str], columns: list[str], sizes: list[int]) -> DataFrame:
+    """WN-01, WN-02. The last fact of each key and time, with the columns of `rolled` and, given a season, of `season_to_date`.
+
+    No other fact can be picked as of a cutoff. A time's facts are cut to its last max(sizes) before keys' timelines are
+    sorted, and seasons are running sums over times, so a key that holds much of the rows is many tasks.
+    """
+    newest = Window.partitionBy(*key, available).orderBy(*(F.col(c).desc() for c in tie))
+    tail = facts.withColumn("_place", F.row_number().over(newest)).where(F.col("_place") <= max(sizes))
+    last = rolled(tail, key, [available, *tie], columns, sizes).where("_place = 1").drop("_place")
+    if season is None:
+        return last
+    group = [*key, season]
+    per = facts.groupBy(*group, available).agg(F.count(F.lit(1)).alias("_n"), *(f(c).alias(f"_{name}_{c}") for c in columns for name, f in (("sum", F.sum), ("n", F.count))))
+    w = Window.partitionBy(*group).orderBy(available).rowsBetween(Window.unboundedPreceding, 0)
+    out = {"std_n": F.sum("_n").over(w)}
+    kinds = dict(facts.select(*(F.avg(c).alias(c) for c in columns)).dtypes)
+    for c in columns:
+        total, n = F.sum(f"_sum_{c}").over(w), F.sum(f"_n_{c}").over(w)
+        out |= {f"std_{c}_mean": F.when(n > 0, total / n).cast(kinds[c]), f"std_{c}_sum": total, f"std_{c}_n": n}
+    return found(last, per.select(*group, available, *(v.alias(k) for k, v in out.items())), [*group, available])
+
+
+def found(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """rows with the other columns of the table's one row of the same key, null if there is none; null keys are equal."""
+    other = table.select(*(F.col(c).alias(f"_of_{c}") if c in key else F.col(c) for c in table.columns))
+    on = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_of_{c}")), key, F.lit(True))
+    return rows.join(other, on, "left").drop(*(f"_of_{c}" for c in key))
+
+
 def carried_rolls(targets: DataFrame, facts: DataFrame, key: list[str], season: str, as_of: str, available: str, column: str, tie: list[str], minimum: int = 3, carry: int = 4, short: int = 4, long: int = 8) -> DataFrame:
     """WN-03. Means of the last `short` and `long` facts; until a season has `minimum` facts, up to `carry` facts of
     earlier seasons stand in before them.
@@ -109,6 +140,43 @@ def first_per_key(df: DataFrame, key: list[str], order: list, n: int = 1) -> Dat
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
+class _Board:
+    """The latest rank of each candidate, and who leads; a heap of the ranks in use, so that neither a row nor a target goes through all candidates."""
+
+    def __init__(self) -> None:
+        self.ranks: dict[str, float | None] = {}
+        self.held: dict[float, set[str]] = {}
+        self.heap: list[float] = []
+        self.first: list[str] | None = None
+        self.known = True
+
+    def put(self, candidate: str, rank: float | None) -> None:
+        old = self.ranks.get(candidate)
+        self.ranks[candidate] = rank
+        if old == rank:
+            return
+        self.known = False
+        if old is not None:
+            self.held[old].discard(candidate)
+            if not self.held[old]:
+                del self.held[old]
+        if rank is not None:
+            if rank not in self.held:
+                self.held[rank] = set()
+                heappush(self.heap, rank)
+            self.held[rank].add(candidate)
+        if len(self.heap) > 2 * len(self.held) + 64:
+            self.heap = sorted(self.held)
+
+    def leaders(self) -> list[str] | None:
+        if not self.known:
+            while self.heap and self.heap[0] not in self.held:
+                heappop(self.heap)
+            self.first = sorted(self.held[self.heap[0]]) if self.heap else None
+            self.known = True
+        return self.first
+
+
 def resolved(targets: DataFrame, evidence: DataFrame, key: list[str], candidate: str, rank: str, time: str, as_of: str, label: str) -> DataFrame:
     """JN-04. The candidate that the evidence before the cutoff names: state and candidates of each target.
 
@@ -116,8 +184,9 @@ def resolved(targets: DataFrame, evidence: DataFrame, key: list[str], candidate:
     rank leads; two leaders are AMBIGUOUS, one has the state `label`, none UNKNOWN. Rows without a candidate or time
     are ignored, those without a rank never lead; a target with a null key or cutoff is UNKNOWN. Evidence and targets
     of a key are sorted by time together and streamed; a task holds the ranks of one key's candidates, never its rows.
+    A rank that is no number is none.
     """
-    e = evidence.where(F.col(candidate).isNotNull() & F.col(time).isNotNull())
+    e = evidence.where(F.col(candidate).isNotNull() & F.col(time).isNotNull()).withColumn(rank, F.nanvl(F.col(rank).cast("double"), F.lit(None).cast("double")))
     e = e.select(*key, F.col(time).cast("timestamp").alias("_t"), F.lit(0).alias("_kind"), F.col(candidate).cast("string").alias("_c"), F.col(rank).cast("double").alias("_r"))
     t = targets.select(*key, F.col(as_of).cast("timestamp").alias("_t"), F.lit(1).alias("_kind"), F.struct(*targets.columns).alias("_target"))
     both = e.unionByName(t, allowMissingColumns=True)
@@ -129,19 +198,17 @@ def resolved(targets: DataFrame, evidence: DataFrame, key: list[str], candidate:
     ordered = both.select("_key", "_lost", "_t", "_kind", "_c", "_r", "_target").repartition("_key").sortWithinPartitions("_key", "_t", "_kind", F.col("_r").desc_nulls_first())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ranks = None, {}
+        at, board = None, _Board()
         for batch in batches:
             kept, leaders = [], []
             for k, (name, lost_, is_target, c, r) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("_key", "_lost", "_kind", "_c", "_r")), strict=True)):
                 if name != at:
-                    at, ranks = name, {}
+                    at, board = name, _Board()
                 if is_target:
-                    known = {} if lost_ else {x: y for x, y in ranks.items() if y is not None}
-                    least = min(known.values(), default=None)
                     kept.append(k)
-                    leaders.append(sorted(x for x, y in known.items() if y == least) or None)
+                    leaders.append(None if lost_ else board.leaders())
                 elif not lost_:
-                    ranks[c] = r
+                    board.put(c, r)
             yield pa.RecordBatch.from_arrays([batch.column("_target").take(pa.array(kept, pa.int64())), pa.array(leaders, pa.list_(pa.string()))], names=["_target", "candidates"])
 
     schema = T.StructType([T.StructField("_target", kind), T.StructField("candidates", T.ArrayType(T.StringType()))])

@@ -50,21 +50,36 @@ def feature_bundle(games: DataFrame, facts: DataFrame, evidence: DataFrame, metr
     def filled(names: dict[str, float]) -> list[Column]:
         return [c for m, prior in names.items() for k in sizes for c in history.with_prior(f"roll{k}_{m}_mean", prior, f"roll{k}_{m}_n", f"roll{k}_{m}")]
 
-    rolled = asof.rolled(facts.join(available, "game"), ["entity"], ["available_at", "game"], list(metrics), list(sizes))
-    to_date = asof.season_to_date(rolled, ["entity"], "season", ["available_at", "game"], list(metrics))
-    values = [c for c in to_date.columns if c.startswith(("roll", "std_"))]
-    picked = asof.asof(sides, to_date.withColumnRenamed("game", "_fact_game"), ["entity"], "as_of", "available_at", values, ["_fact_game"])
-    entity = picked.select("game", "season", "block_ord", "side", "entity", *filled(metrics), *(v for v in values if v.startswith("std_")))
-    starters = asof.resolved(sides, evidence, ["entity"], "candidate", "rank", "at", "as_of", "DEPTH_CHART_SUPPORTED")
-    scenarios = reshape.scenarios(starters, "candidates")
-    own = asof.rolled(passer_facts.join(available, "game"), ["player"], ["available_at", "game"], list(passer_metrics), list(sizes))
+    # what a side sees hangs on its entity and block alone: it is picked once for each, and games look it up
+    place = ["entity", "block_ord"]
+    moments = stored(sides.select(*place, "as_of").distinct(), "moments")
+    closed = asof.closing(facts.join(available, "game"), ["entity"], "season", "available_at", ["game"], list(metrics), list(sizes))
+    values = [c for c in closed.columns if c.startswith(("roll", "std_"))]
+    picked = asof.asof(moments, closed.withColumnRenamed("game", "_fact_game"), ["entity"], "as_of", "available_at", values, ["_fact_game"])
+    features = stored(picked.select(*place, *filled(metrics), *(v for v in values if v.startswith("std_"))), "entity-features")
+    entity = asof.found(sides.select("game", "season", "block_ord", "side", "entity"), features, place)
+    led = stored(asof.resolved(moments, evidence, ["entity"], "candidate", "rank", "at", "as_of", "DEPTH_CHART_SUPPORTED"), "starters")
+    starters = asof.found(sides, led.drop("as_of"), place)
+    # candidates of a moment
+    seen = reshape.scenarios(led, "candidates").withColumnRenamed("candidate", "player")
+    players = seen.select("player").where("player is not null").distinct()
+    own = asof.closing(passer_facts.join(players, "player", "leftsemi").join(available, "game"), ["player"], None, "available_at", ["game"], list(passer_metrics), list(sizes))
     own_values = [c for c in own.columns if c.startswith("roll")]
-    seen = asof.asof(scenarios.select("game", "side", "as_of", "state", "scenario_rank", F.col("candidate").alias("player")), own.withColumnRenamed("game", "_fact_game"), ["player"], "as_of", "available_at", own_values, ["_fact_game"])
-    passers = seen.select("game", "side", "state", "scenario_rank", "player", *filled(passer_metrics))
-    first = passers.where("coalesce(scenario_rank, 1) = 1").select("game", "side", F.col("state").alias("starter_state"), F.col("player").alias("candidate"), *(F.col(c).alias(f"passer_{c}") for c in passers.columns if c.startswith("roll")))
-    columns = [c for c in entity.columns if c not in ("game", "season", "block_ord", "side")]
-    both = lambda df, names: reshape.wide_sides(df, ["game"], "side", ["home", "away"], names)
-    wide = games.select("game", "season", "block_ord").join(both(entity, columns), "game").join(both(first, [c for c in first.columns if c not in ("game", "side")]), "game")
+    asked = seen.select("player", "as_of").distinct()
+    rolled = asof.asof(asked, own.withColumnRenamed("game", "_fact_game"), ["player"], "as_of", "available_at", own_values, ["_fact_game"])
+    filled_in = asof.found(seen, rolled, ["player", "as_of"]).select(*place, "state", "scenario_rank", "player", *filled(passer_metrics))
+    by_moment = stored(filled_in, "passer-features")
+    scenarios = asof.found(sides, seen.withColumnRenamed("player", "candidate").drop("as_of"), place)
+    passers = asof.found(sides.select("game", "side", *place), by_moment, place).drop(*place)
+    first = by_moment.where("coalesce(scenario_rank, 1) = 1").select(*place, F.col("state").alias("starter_state"), F.col("player").alias("candidate"), *(F.col(c).alias(f"passer_{c}") for c in by_moment.columns if c.startswith("roll")))
+    own_columns, first_columns = [c for c in features.columns if c not in place], [c for c in first.columns if c not in place]
+    both = asof.found(features, first, place)
+    wide = games.select("game", "season", "block_ord", "home", "away")
+    for s in ("home", "away"):
+        named = both.select(F.col("entity").alias(s), "block_ord", *(F.col(c).alias(f"{s}_{c}") for c in (*own_columns, *first_columns)))
+        wide = asof.found(wide, named, [s, "block_ord"])
+    sided = lambda names: [F.col(f"{s}_{c}") if c != "entity" else F.col(s).alias(f"{s}_entity") for s in ("home", "away") for c in names]
+    wide = wide.select("game", "season", "block_ord", *sided(["entity", *own_columns]), *sided(first_columns))
     gates = quality.union(quality.unique_key(games, ["game"]), quality.unique_key(facts, ["entity", "game"]), quality.unique_key(passer_facts, ["player", "game"]), quality.once_per_block(games, ["block_ord"], ["home", "away"]))
     return Bundle(weeks, starters, scenarios, entity, passers, wide, gates)
 
