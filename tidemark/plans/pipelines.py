@@ -275,7 +275,9 @@ def census_families(models: DataFrame, points: DataFrame, quotes: DataFrame, anc
     offered = ml.select("game", "side", "act.price", "act.book", F.col("act.dec").alias("dec"))
     rows = each.join(market, "game", "left").join(offered, ["game", "side"], "left")
     p = fn.oriented("side", "p_home")
-    two = rows.select("game", "model", "side", p.alias("p"), (100 * (p - fn.oriented("side", "f"))).alias("edge"), (100 * (p - fn.oriented("side", "r"))).alias("edge_backup"), (p * F.col("dec") - 1).alias("value"), "price", "book")
+    # one difference, not one of two complements: those round twice more
+    over = lambda c: F.when(F.col("side") == "home", F.col("p_home") - F.col(c)).otherwise(F.col(c) - F.col("p_home"))
+    two = rows.select("game", "model", "side", p.alias("p"), (100 * over("f")).alias("edge"), (100 * over("r")).alias("edge_backup"), (p * F.col("dec") - 1).alias("value"), "price", "book")
     first = two.where("edge > 0").groupBy("game", "model").agg(F.max_by(F.struct("side", "p", "edge", "edge_backup", "value", "price", "book"), "side").alias("x")).select("game", "model", "x.*")
 
     def by_points(name: str, column: str, lead: str, other: str, gap: Column) -> DataFrame:
