@@ -331,39 +331,64 @@ def point_states(rows: DataFrame, prior: Prior | DataFrame, model: str, line: st
     Fits: target, sigma (robust scale of actual minus line), beta in [0, 1] (the share of the model's distance to the
     market's implied mean that holds), n, reason (FITTED, TOO_FEW, NO_SCALE, or NO_DISAGREEMENT where the model never leaves
     the market), and gap_low and _high, size_low and _high, the ranges of the model's distance and of the line's size.
-    Residuals: target, r (actual minus calibrated mean) and n, for fitted targets. Values are rounded to `digits`, and
-    equal rows counted by block.
+    Residuals: target, r (actual minus calibrated mean) and n, for fitted targets; made when they are asked for. Values are
+    rounded to `digits`. Of a block the fit needs counts of actual minus line, and sums for each line and chance: a task
+    holds a target's different distances to the line, never its rows.
     """
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "a", "m", "p"])
-        m, t, p, a, n = (pdf[c].to_numpy(float) for c in ("m", "t", "p", "a", "n"))
-        target, total = pdf["target"].iloc[0], n.sum()
-        out = dict.fromkeys(("sigma", "beta", "r", "gap_low", "gap_high", "size_low", "size_high"), np.nan) | {"target": target, "n": int(total), "reason": "TOO_FEW"}
-        if total < least:
-            return pd.DataFrame([out])
-        r = a - t
-        sigma = 1.4826 * weighted_median(np.abs(r - weighted_median(r, n)), n)
-        if sigma <= 1e-9:
-            mean = (n * r).sum() / total
-            sigma = float(((n * (r - mean) ** 2).sum() / (total - 1)) ** 0.5)
-        if sigma <= 1e-9:
-            return pd.DataFrame([out | {"reason": "NO_SCALE"}])
-        mean = implied_means(t, p, sigma)
-        d = m - mean
-        if (n * d * d).sum() <= 1e-12:
-            return pd.DataFrame([out | {"sigma": sigma, "reason": "NO_DISAGREEMENT"}])
-        beta = float(np.clip((n * d * (a - mean)).sum() / (n * d * d).sum(), 0, 1))
-        ranges = {"gap_low": np.abs(d).min(), "gap_high": np.abs(d).max(), "size_low": np.abs(t).min(), "size_high": np.abs(t).max()}
-        first = pd.DataFrame([out | {"sigma": sigma, "beta": beta, "reason": "FITTED"} | ranges])
-        left, where = np.unique(np.round(a - (mean + beta * d), digits), return_inverse=True)
-        rest = pd.DataFrame({"target": target, "r": left, "n": np.bincount(where, weights=n).astype(int)})
-        return pd.concat([first, rest], ignore_index=True)
-
-    panel = _cells(rows, prior, {"m": model, "t": line, "p": p_above, "a": actual}, digits)
-    schema = "target int, sigma double, beta double, n long, reason string, r double, gap_low double, gap_high double, size_low double, size_high double"
-    both = stored(panel.groupBy("target").applyInPandas(lambda pdf: fit(pdf).reindex(columns=[f.split()[0] for f in schema.split(", ")]), schema), "point-states")
-    return both.where("reason is not null").drop("r"), both.where("reason is null").select("target", "r", "n")
+    names = {"m": model, "t": line, "p": p_above, "a": actual}
+    known = stored(rows.select("block_ord", *(F.col(c).cast("double").alias(k) for k, c in names.items())).dropna().select("block_ord", *(F.round(k, digits).alias(k) for k in names)), "point-rows")
+    count = F.count(F.lit(1)).cast("double").alias("n")
+
+    def scale(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("r")
+        r, n = pdf["r"].to_numpy(float), pdf["n"].to_numpy(float)
+        total, sigma, reason = n.sum(), np.nan, "TOO_FEW"
+        if total >= least:
+            sigma, reason = 1.4826 * weighted_median(np.abs(r - weighted_median(r, n)), n), None
+            if sigma <= 1e-9:
+                mean = (n * r).sum() / total
+                sigma = float(((n * (r - mean) ** 2).sum() / (total - 1)) ** 0.5)
+            if sigma <= 1e-9:
+                sigma, reason = np.nan, "NO_SCALE"
+        return pd.DataFrame([{"target": pdf["target"].iloc[0], "sigma": sigma, "n": int(total), "why": reason}])
+
+    left = prior_sums(known.groupBy("block_ord", (F.col("a") - F.col("t")).alias("r")).agg(count), prior, ["r"], ["n"])
+    scales = stored(left.groupBy("target").applyInPandas(scale, "target int, sigma double, n long, why string"), "point-scales")
+    # a line and its chance have one implied mean; products of distances to the line are what the fit needs of their rows
+    u, v = F.col("m") - F.col("t"), F.col("a") - F.col("t")
+    sums = known.groupBy("block_ord", "t", "p").agg(count, F.sum(u).alias("u"), F.sum(v).alias("v"), F.sum(u * u).alias("uu"), F.sum(u * v).alias("uv"))
+    quoted = prior_sums(sums, prior, ["t", "p"], ["n", "u", "v", "uu", "uv"]).join(scales.where("why is null").select("target", "sigma"), "target")
+    means = stored(with_implied_mean(quoted, "t", "p", "sigma", "mean"), "point-means")
+    g = F.col("mean") - F.col("t")
+    fitted = means.groupBy("target").agg(F.sum(F.col("uu") - 2 * g * F.col("u") + F.col("n") * g * g).alias("dd"), F.sum(F.col("uv") - g * (F.col("u") + F.col("v")) + F.col("n") * g * g).alias("da"), F.min(F.abs("t")).alias("size_low"), F.max(F.abs("t")).alias("size_high"))
+    far = F.abs(F.col("m") - F.col("mean"))
+    asked = means.select("target", "t", "p", "mean")
+    if isinstance(prior, Prior):
+        # earlier blocks are the first ones: a value is known to every target after its first block
+        ends = prior.nodes.groupBy("target").agg(F.max((F.col("node") + 1) * F.pow(F.lit(2.0), "level")).cast("long").alias("_end"))
+        met = asked.join(ends, "target").join(known.groupBy("t", "p", "m").agg(F.min("block_ord").alias("_first")), ["t", "p"]).where("_first < _end")
+    else:
+        met = known.select("block_ord", "t", "p", "m").distinct().join(prior, F.col("block_ord") == F.col("source")).join(asked, ["target", "t", "p"])
+    ranges = met.groupBy("target").agg(F.min(far).alias("gap_low"), F.max(far).alias("gap_high"))
+    both = scales.join(fitted, "target", "left").join(ranges, "target", "left")
+    # the sum of products may leave a rest where every distance is nothing
+    moved = F.least("dd", F.col("n") * F.col("gap_high") * F.col("gap_high"))
+    reason = F.coalesce("why", F.when(moved <= 1e-12, "NO_DISAGREEMENT").otherwise("FITTED"))
+    ok = lambda c: F.when(F.col("reason") == "FITTED", c)
+    states = both.withColumn("reason", reason).select("target", F.when(~F.isnan("sigma"), F.col("sigma")).alias("sigma"), ok(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("da") / F.col("dd")))).alias("beta"), "n", "reason", *(ok(F.col(c)).alias(c) for c in ("gap_low", "gap_high", "size_low", "size_high")))
+    states = stored(states, "point-states")
+    # each row before a target leaves a residual there; they are counted where they are made, and never paired by a shuffle
+    cells = known.groupBy("block_ord", "t", "p", "m", "a").agg(F.count(F.lit(1)).alias("n"))
+    of = asked.join(states.where("reason = 'FITTED'").select("target", "beta"), "target")
+    if isinstance(prior, Prior):
+        later = of.join(ends, "target").groupBy("t", "p").agg(F.collect_list(F.struct("target", "mean", "beta", "_end")).alias("_of"))
+        paired = cells.join(later, ["t", "p"]).select("*", F.explode(F.filter("_of", lambda x: x["_end"] > F.col("block_ord"))).alias("_x")).select("t", "p", "m", "a", "n", "_x.target", "_x.mean", "_x.beta")
+    else:
+        paired = cells.join(prior, F.col("block_ord") == F.col("source")).join(of, ["target", "t", "p"])
+    rest = F.col("a") - (F.col("mean") + F.col("beta") * (F.col("m") - F.col("mean")))
+    residual = F.rint(rest * 10.0**digits) / 10.0**digits + 0.0
+    return states, paired.groupBy("target", residual.alias("r")).agg(F.sum("n").alias("n"))
 
 
 def point_fits(rows: DataFrame, prior: Prior | DataFrame, model: str, line: str, p_above: str, actual: str, least: int = 128, digits: int = 4) -> DataFrame:
