@@ -20,17 +20,21 @@ LEDGER = "league string, config string, block_ord int, season int, game string,
 _NAMES = [c.split()[0] for c in LEDGER.split(", ")]
 
 
-class _League:
+class League:
     """The ratings of one league under one set of parameters, and the changes of the block at hand."""
 
     def __init__(self, config: Rating):
         self.c, self.ratings, self.season, self.block, self.changes = config, {}, None, None, {}
 
-    def begin(self, block: int, season: int) -> None:
-        """Settles the block before; a new season carries every rating back to the start."""
+    def settle(self) -> None:
+        """The changes of the block at hand count."""
         for entity, change in self.changes.items():
             self.ratings[entity] = self.ratings.get(entity, self.c.start) + change
         self.changes.clear()
+
+    def begin(self, block: int, season: int) -> None:
+        """Settles the block before; a new season carries every rating back to the start."""
+        self.settle()
         if self.season is not None and season != self.season:
             self.ratings = {e: r + self.c.carry_back * (self.c.start - r) for e, r in self.ratings.items()}
         self.block, self.season = block, season
@@ -60,7 +64,7 @@ def _folded(configs: dict[str, Rating]):
             out: list[tuple] = []
             for name, config, block, season, game, home, away, margin, neutral, adjustment, post in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (name, config) != at:
-                    at, league = (name, config), _League(configs[config])
+                    at, league = (name, config), League(configs[config])
                 if block is None:  # a rating to begin with
                     league.ratings[home], league.season = margin, season
                     continue

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 from typing import Any
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from tidemark.functions.odds import Rating
+from tidemark.models.ratings import League
 from tidemark.operators import snapshots
 from tidemark.sources import sinks
 from tidemark.sources.readers import SNAPSHOT, unfolded
@@ -181,63 +184,62 @@ def staleness_stream(successes: DataFrame, limit_ms: int, late: str | None = Non
     return known.groupBy("source").transformWithStateInPandas(StalenessProcessor(limit_ms, late is not None), _ALARMS, "append", "ProcessingTime" if late is None else "EventTime")
 
 
-class RatingProcessor(StatefulProcessor):
-    """STR-07. One league's ratings as a map; games of a batch are taken in order, a block's all from the ratings before it."""
+_RATINGS = "league string, game string, home string, away string, p_home double, change double"
 
-    def __init__(self, config: Rating):
-        self.c = config
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ratings = handle.getMapState("ratings", "entity string", "rating double")
-        self.season = handle.getValueState("season", "season int")
-
-    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        for row in initialState.itertuples(index=False):
-            self.ratings.updateValue((row.entity,), (float(row.rating),))
-            self.season.update((int(row.season),))
+def _rated(config: Rating):
+    """STR-07. The ratings of a share of the leagues as one state; games of a batch are taken in order, a block's all from the ratings before it.
 
-    def _begin(self, season: int) -> None:
-        """Carries every rating back to the start when a season ends."""
-        if self.season.exists() and self.season.get()[0] != season:
-            for (entity,), (rating,) in list(self.ratings.iterator()):
-                self.ratings.updateValue((entity,), (rating + self.c.carry_back * (self.c.start - rating),))
-        self.season.update((season,))
+    A state and a call for each league cost some 8 ms a league and batch, so leagues share them.
+    """
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        c, out = self.c, []
-        of = lambda e: self.ratings.getValue((e,))[0] if self.ratings.containsKey((e,)) else c.start
-        expected = lambda gap: 1 / (1 + 10 ** (-gap / c.scale))
-        for block_ord, block in pd.concat(list(rows)).sort_values(["block_ord", "game"]).groupby("block_ord", sort=True):
-            self._begin(int(block["season"].iloc[0]))
-            new: dict[str, float] = {}
-            for g in block.itertuples(index=False):
-                if g.home in new or g.away in new or g.home == g.away:
-                    raise ValueError(f"an entity plays twice in block {block_ord}")
-                h, a, m = of(g.home), of(g.away), g.home_score - g.away_score
-                gap = h - a + (0.0 if g.neutral else c.home)
-                p = min(c.highest, max(c.lowest, expected(gap + g.home_adjustment - g.away_adjustment)))
-                # the change follows the ratings' own expectation; an unplayed game changes nothing
-                d = 0.0 if pd.isna(m) else (c.k_post if g.post else c.k) * min(c.margin_cap, 1 + (abs(m) / c.margin_divisor) ** 2) * ((m > 0) + 0.5 * (m == 0) - expected(gap))
-                new[g.home], new[g.away] = h + d, a - d
-                out.append((key[0], g.game, g.home, g.away, p, d))
-            for e, r in new.items():
-                self.ratings.updateValue((e,), (r,))
+    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        leagues: dict[str | None, League] = {}
+        for name, season, known in json.loads(state.get[0]) if state.exists else []:
+            leagues[name] = League(config)
+            leagues[name].season, leagues[name].ratings = season, known
+        games: list[tuple] = []
+        for pdf in pdfs:
+            games += zip(*(pdf[c].tolist() for c in pdf.columns if c not in ("_share", "_known", "_season")), strict=True)
+            if "_known" in pdf.columns:
+                for name, known, season in zip(*(pdf[c] for c in ("league", "_known", "_season")), strict=True):
+                    if name not in leagues and known is not None:
+                        leagues[name] = League(config)
+                        leagues[name].season, leagues[name].ratings = int(season), {r["entity"]: float(r["rating"]) for r in known}
+        out = []
+        games.sort(key=lambda g: (g[0] is not None, g[0] or "", g[1], g[2]))
+        for name, block, game, home, away, hs, aw, season, neutral, post, ha, aa in games:
+            league = leagues.get(name)
+            if league is None:
+                league = leagues[name] = League(config)
+            if block != league.block:
+                league.begin(block, int(season))
+            margin = hs - aw
+            _, _, p, _, d = league.play(home, away, None if pd.isna(margin) else margin, neutral, ha - aa, post)
+            out.append((name, game, home, away, p, d))
+        for league in leagues.values():
+            league.settle()
+        state.update((json.dumps([[name, x.season, x.ratings] for name, x in leagues.items()]),))
         yield pd.DataFrame(out, columns=["league", "game", "home", "away", "p_home", "change"])
 
-    def close(self) -> None:
-        pass
+    return fold
 
 
-def rating_stream(games: DataFrame, config: Rating = Rating(), state: DataFrame | None = None) -> DataFrame:
+def rating_stream(games: DataFrame, config: Rating = Rating(), state: DataFrame | None = None, shares: int = 1024) -> DataFrame:
     """STR-07. games (league, block_ord, game, home, away, home_score, away_score), blocks in order between batches, as predictions and changes.
 
     state: league, entity, rating and season to begin with, as ratings.rating_state makes them of a stored ledger, so that
     a stream goes on where a batch fold ended. season, neutral, post, home_adjustment and away_adjustment count as in the batch fold, if games has them; without,
-    there is one season, no neutral site and no adjustment. Null scores are games to come.
+    there is one season, no neutral site and no adjustment. Null scores are games to come. Leagues are dealt to `shares`
+    states, whose number stays as it is for a checkpoint.
     """
-    schema = "league string, game string, home string, away string, p_home double, change double"
     given = {"season": F.lit(0), "neutral": F.lit(False), "post": F.lit(False), "home_adjustment": F.lit(0.0), "away_adjustment": F.lit(0.0)}
     extra = [F.coalesce(F.col(c), v).alias(c) if c in games.columns else v.alias(c) for c, v in given.items()]
     cols = ["league", "block_ord", "game", "home", "away", *(F.col(c).cast("double").alias(c) for c in ("home_score", "away_score"))]
-    initial = None if state is None else state.select("league", "entity", "rating", F.col("season").cast("int").alias("season")).groupBy("league")
-    return games.select(*cols, *extra).groupBy("league").transformWithStateInPandas(RatingProcessor(config), schema, "append", "None", initial)
+    rows = games.select(*cols, *extra)
+    if state is not None:
+        # one row a league, which its first games bring along
+        known = state.groupBy(F.col("league").alias("_league")).agg(F.collect_list(F.struct("entity", F.col("rating").cast("double").alias("rating"))).alias("_known"), F.max(F.col("season").cast("int")).alias("_season"))
+        rows = rows.join(known, F.col("league").eqNullSafe(F.col("_league")), "left").drop("_league")
+    shared = rows.withColumn("_share", F.pmod(F.xxhash64("league"), F.lit(shares)))
+    return shared.groupBy("_share").applyInPandasWithState(_rated(config), _RATINGS, "leagues string", "append", "NoTimeout")
