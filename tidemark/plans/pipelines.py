@@ -224,7 +224,8 @@ def canonical_quotes(long: DataFrame, targets: DataFrame, markets: list[str]) ->
 
     targets: game, day, home, away by the quotes' names. An event's game is found by day and unordered pair.
     """
-    rows = long.withColumn("day", F.to_date("starts_at"))
+    # read from their source once: events and quotes are both taken of these rows
+    rows = stored(long.withColumn("day", F.to_date("starts_at")), "quotes")
     event = identity.matched_pairs(rows.select("event_id", "day", "home_team", "away_team", "snapshot_at", "starts_at").distinct(), targets, ["day"], ("home_team", "away_team"), ("home", "away"), "game", "event_id")
     quotes = rows.join(event.where("match_status = 'MATCHED'").select("event_id", "snapshot_at", "game"), ["event_id", "snapshot_at"])
     whole = quotes.where("valid")
