@@ -27,9 +27,15 @@ def matched_pairs(rows: DataFrame, games: DataFrame, on: list[str], row_pair: tu
 
 
 def guarded_join(left: DataFrame, right: DataFrame, keys: list[str], gate: str = "one_to_one") -> tuple[DataFrame, DataFrame]:
-    """JN-08. The join, and the violations that say it isn't one to one; assert_clean before the rows are used."""
+    """JN-08. The join, and the violations that say it isn't one to one; assert_clean before the rows are used.
+
+    Both sides are dealt by key in as many parts as spark.sql.shuffle.partitions says, which stay as they are: left to the
+    size of packed keys, they would be merged into as many as there are cores, and a task's memory would grow with the rows.
+    """
     from tidemark import quality
 
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (df.repartition(parts, *keys) for df in (left, right))
     gates = quality.union(quality.unique_key(left, keys, f"{gate}:left"), quality.unique_key(right, keys, f"{gate}:right"), quality.coverage(left, right, keys, gate))
     return left.join(right, keys), gates
 
