@@ -16,10 +16,6 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.odds import Rating
 
-LEDGER = "league string, config string, block_ord int, season int, game string, side string, entity string, other string, before double, p double, actual double, change double, after double"
-_NAMES = [c.split()[0] for c in LEDGER.split(", ")]
-
-
 class League:
     """The ratings of one league under one set of parameters, and the changes of the block at hand."""
 
@@ -57,26 +53,43 @@ class League:
         return h, a, p, actual, change
 
 
+#: Sets of parameters that one pass over a league's games folds.
+SETS = 8
+_PASS = "league string, block_ord int, season int, game string, home string, away string, actual double, config array<string>, before array<double>, other_before array<double>, p array<double>, change array<double>"
+
+
 def _folded(configs: dict[str, Rating]):
+    names = list(configs)
+    parts = [names[k : k + SETS] for k in range(0, len(names), SETS)]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, league = None, None
+        at, leagues = None, {}
         for batch in batches:
-            out: list[tuple] = []
-            for name, config, block, season, game, home, away, margin, neutral, adjustment, post in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (name, config) != at:
-                    at, league = (name, config), League(configs[config])
+            heads: list[tuple] = []
+            sets, made = [], ([], [], [], [])
+            for name, part, config, block, season, game, home, away, margin, neutral, adjustment, post in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (name, part) != at:
+                    at, leagues = (name, part), {c: League(configs[c]) for c in parts[part]}
                 if block is None:  # a rating to begin with
-                    league.ratings[home], league.season = margin, season
+                    leagues[config].ratings[home], leagues[config].season = margin, season
                     continue
-                if block != league.block:
-                    league.begin(block, season)
-                h, a, p, y, d = league.play(home, away, margin, neutral, adjustment, post)
-                head = (name, config, block, season, game)
-                out.append((*head, "home", home, away, h, p, y, d, h + d))
-                out.append((*head, "away", away, home, a, 1 - p, None if y is None else 1 - y, -d, a - d))
-            columns = zip(*out, strict=True) if out else [()] * len(_NAMES)
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4, *[pa.float64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES)
+                y = None
+                for league in leagues.values():
+                    if block != league.block:
+                        league.begin(block, season)
+                    h, a, p, y, d = league.play(home, away, margin, neutral, adjustment, post)
+                    for column, v in zip(made, (h, a, p, d), strict=True):
+                        column.append(v)
+                heads.append((name, block, season, game, home, away, y))
+                sets.append(parts[part])
+            columns = list(zip(*heads, strict=True)) if heads else [()] * 7
+            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 3, pa.float64()]
+            ends = [0]
+            for s in sets:
+                ends.append(ends[-1] + len(s))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c, pa.float64())) for c in made]
+            arrays = [*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(sets, pa.list_(pa.string())), *lists]
+            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _PASS.split(", ")])
 
     return rows
 
@@ -91,14 +104,22 @@ def rating_ledger(games: DataFrame, configs: dict[str, Rating], state: DataFrame
     """
     text = lambda c: F.col(c).cast("string").alias(c)
     swept = games.select(
-        text("league"), F.explode(F.array(*map(F.lit, configs))).alias("config"), F.col("block_ord").cast("int").alias("block_ord"), F.col("season").cast("int").alias("season"), text("game"), text("home"), text("away"),
+        text("league"), F.explode(F.array(*(F.lit(k) for k in range(-(-len(configs) // SETS))))).alias("_part"), F.lit(None).cast("string").alias("config"), F.col("block_ord").cast("int").alias("block_ord"), F.col("season").cast("int").alias("season"), text("game"), text("home"), text("away"),
         (F.col("home_score") - F.col("away_score")).cast("double").alias("margin"), F.coalesce("neutral", F.lit(False)).alias("neutral"), (F.col("home_adjustment") - F.col("away_adjustment")).cast("double").alias("adjustment"),
         (F.coalesce("post", F.lit(False)) if "post" in games.columns else F.lit(False)).alias("post"),
     )
     if state is not None:
-        known = state.select("league", "config", F.col("season").cast("int").alias("season"), F.col("entity").alias("home"), F.col("rating").alias("margin"))
+        part = F.create_map(*(F.lit(x) for k, name in enumerate(configs) for x in (name, k // SETS)))[F.col("config")]
+        known = state.where(F.col("config").isin(*configs)).select("league", part.alias("_part"), "config", F.col("season").cast("int").alias("season"), F.col("entity").alias("home"), F.col("rating").alias("margin"))
         swept = swept.unionByName(known, allowMissingColumns=True)
-    return swept.repartition("league", "config").sortWithinPartitions("league", "config", "block_ord", "game").mapInArrow(_folded(configs), LEDGER)
+    played = swept.repartition("league", "_part").sortWithinPartitions("league", "_part", "block_ord", "game").mapInArrow(_folded(configs), _PASS)
+    each = played.select("league", "block_ord", "season", "game", "home", "away", "actual", F.explode(F.arrays_zip("config", "before", "other_before", "p", "change")).alias("_c"))
+    side = lambda name, own, other, before, p, actual, change: F.struct(F.lit(name).alias("side"), F.col(own).alias("entity"), F.col(other).alias("other"), before.alias("before"), p.alias("p"), actual.alias("actual"), change.alias("change"), (before + change).alias("after"))
+    c = lambda name: F.col(f"_c.{name}")
+    home = side("home", "home", "away", c("before"), c("p"), F.col("actual"), c("change"))
+    away = side("away", "away", "home", c("other_before"), 1 - c("p"), 1 - F.col("actual"), -c("change"))
+    sides = each.select("league", c("config").alias("config"), "block_ord", "season", "game", F.explode(F.array(home, away)).alias("_s"))
+    return sides.select("league", "config", "block_ord", "season", "game", "_s.*")
 
 
 def rating_state(ledger: DataFrame, configs: dict[str, Rating]) -> DataFrame:
