@@ -185,13 +185,14 @@ def residual_probabilities(offers: DataFrame, residuals: DataFrame, block: str =
     return lattice_probabilities(offers, known, [block])
 
 
-def lattice_probabilities(offers: DataFrame, residuals: DataFrame, by: list[str], predicted: str = "predicted") -> DataFrame:
+def lattice_probabilities(offers: DataFrame, residuals: DataFrame, by: list[str], predicted: str = "predicted", total: str | None = None) -> DataFrame:
     """AG-35. offers (by, market, side, line, predicted) with p_win, p_push and p_loss among their group's residuals (by, r, n).
 
     A residual is what a result differs from its prediction. On a line that a result can equal, those within half a point
     below to under half a point above the threshold push; wins, pushes and losses each count half a one more. A group
     without residuals, and an offer without a threshold, have nulls. Thresholds and residuals are put in one order and
-    counted by a scan over ranges of it, so both may be any number.
+    counted by a scan over ranges of it, so both may be any number. total: a column of offers that has the number of their
+    group's residuals, null without any; if it isn't given, residuals are made and counted once more.
     """
     side = F.col("side").isin("home", "over")
     push, t = allows_push("line"), residual_threshold("market", "side", predicted, "line")
@@ -203,8 +204,8 @@ def lattice_probabilities(offers: DataFrame, residuals: DataFrame, by: list[str]
     given = residuals.select(*by, F.lit(None).cast("long").alias("_row"), F.lit(None).cast("int").alias("end"), F.col("r").alias("x"), F.lit(1).alias("kind"), F.col("n").cast("long").alias("n"))
     counted = running(asked.unionByName(given), by, ["x", "kind"], {"upto": "n"}).where("_row is not null")
     ends = counted.groupBy("_row").agg(F.max(F.when(F.col("end") == 0, F.col("upto"))).alias("_low"), F.max(F.when(F.col("end") == 1, F.col("upto"))).alias("_high"))
-    totals = residuals.groupBy(*by).agg(F.sum("n").cast("long").alias("_all"))
-    out = target.join(ends, "_row", "left").join(totals, by, "left")
+    out = target.join(ends, "_row", "left")
+    out = out.withColumn("_all", F.col(total).cast("long")) if total else out.join(residuals.groupBy(*by).agg(F.sum("n").cast("long").alias("_all")), by, "left")
     below, upto = F.coalesce("_low", F.lit(0)), F.coalesce("_high", "_low", F.lit(0))
     pushed = F.when(F.col("_push"), upto - below).otherwise(0)
     win = F.when(side, F.col("_all") - upto).otherwise(below)

@@ -353,7 +353,9 @@ def offer_board(quotes: DataFrame, models: DataFrame, book_order: list[str], lea
         placed = fits.with_implied_mean(own.join(fitted, "block_ord", "left"), "at", "p_market", "sigma", "_market")
         placed = placed.withColumns({"gap": F.abs(F.col("expected") - F.col("_market")), "size": F.abs("line"), "extremity": none, "_fitted": F.col("why") == "FITTED"})
         placed = placed.withColumn("_mean", F.when(F.col("_fitted"), F.col("_market") + F.col("beta") * (F.col("expected") - F.col("_market"))))
-        priced = offers.lattice_probabilities(placed, residuals.withColumnRenamed("target", "block_ord"), ["block_ord"], "_mean")
+        # each row of a fit leaves one residual
+        placed = placed.withColumn("_left", F.when(F.col("_fitted"), F.col("fit_n")))
+        priced = offers.lattice_probabilities(placed, residuals.withColumnRenamed("target", "block_ord"), ["block_ord"], "_mean", "_left")
         reason = F.when(F.col("why") != "FITTED", F.col("why")).when(F.col("why").isNull(), "NO_STATE").when(F.col("p_win").isNull(), "NO_LINE")
         return priced.select(*rows.columns, "p_win", "p_push", "p_loss", "fit_n", "extremity", "gap", "size", "gap_low", "gap_high", "size_low", "size_high", reason.alias("reason"))
 
