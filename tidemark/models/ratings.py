@@ -1,8 +1,8 @@
 """Pairwise ratings as a fold of a league's games.
 
-A rating is not a window: each game changes both sides, nonlinearly. One key is one league under one set of
-parameters. Its games are sorted by block and streamed, and only the ratings of its entities and the games of the
-block at hand are held. Parallelism comes from leagues and parameters; a single league's history is sequential.
+A rating is not a window: each game changes both sides, nonlinearly. One key is one league under up to
+eight sets of parameters. Its games are sorted by block and streamed, and only the ratings of its entities and the games of
+the block at hand are held. Parallelism comes from leagues and sets of parameters; a single league's history is sequential.
 """
 
 from __future__ import annotations
