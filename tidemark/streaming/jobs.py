@@ -181,62 +181,107 @@ def staleness_stream(successes: DataFrame, limit_ms: int, late: str | None = Non
     return known.groupBy("source").transformWithStateInPandas(StalenessProcessor(limit_ms, late is not None), _ALARMS, "append", "ProcessingTime" if late is None else "EventTime")
 
 
+_GAME = ["league", "block_ord", "game", "home", "away", "home_score", "away_score", "season", "neutral", "post", "home_adjustment", "away_adjustment"]
 _RATINGS = "league string, game string, home string, away string, p_home double, change double"
 
 
+def _kept(text: str | None, config: Rating) -> dict[str | None, League]:
+    leagues: dict[str | None, League] = {}
+    for name, season, known in json.loads(text) if text is not None else []:
+        leagues[name] = League(config)
+        leagues[name].season, leagues[name].ratings = season, known
+    return leagues
+
+
+def _as_text(leagues: dict[str | None, League]) -> str:
+    return json.dumps([[name, x.season, x.ratings] for name, x in leagues.items()])
+
+
+def _played(leagues: dict[str | None, League], pdfs: Iterator[pd.DataFrame], config: Rating) -> pd.DataFrame:
+    """Plays a batch's games of a share's leagues in order, a block's all from the ratings before it."""
+    games: list[tuple] = []
+    for pdf in pdfs:
+        games += zip(*(pdf[c].tolist() for c in _GAME), strict=True)
+    out = []
+    games.sort(key=lambda g: (g[0] is not None, g[0] or "", g[1], g[2]))
+    for name, block, game, home, away, hs, aw, season, neutral, post, ha, aa in games:
+        league = leagues.get(name)
+        if league is None:
+            league = leagues[name] = League(config)
+        if block != league.block:
+            league.begin(block, int(season))
+        margin = hs - aw
+        _, _, p, _, d = league.play(home, away, None if pd.isna(margin) else margin, neutral, ha - aa, post)
+        out.append((name, game, home, away, p, d))
+    for league in leagues.values():
+        league.settle()
+    return pd.DataFrame(out, columns=["league", "game", "home", "away", "p_home", "change"])
+
+
 def _rated(config: Rating):
-    """STR-07. The ratings of a share of the leagues as one state; games of a batch are taken in order, a block's all from the ratings before it.
+    """STR-07. The ratings of a share of the leagues as one state.
 
     A state and a call for each league cost some 8 ms a league and batch, so leagues share them.
     """
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        leagues: dict[str | None, League] = {}
-        for name, season, known in json.loads(state.get[0]) if state.exists else []:
-            leagues[name] = League(config)
-            leagues[name].season, leagues[name].ratings = season, known
-        games: list[tuple] = []
-        for pdf in pdfs:
-            games += zip(*(pdf[c].tolist() for c in pdf.columns if c not in ("_share", "_known", "_season")), strict=True)
-            if "_known" in pdf.columns:
-                for name, known, season in zip(*(pdf[c] for c in ("league", "_known", "_season")), strict=True):
-                    if name not in leagues and known is not None:
-                        leagues[name] = League(config)
-                        leagues[name].season, leagues[name].ratings = int(season), {r["entity"]: float(r["rating"]) for r in known}
-        out = []
-        games.sort(key=lambda g: (g[0] is not None, g[0] or "", g[1], g[2]))
-        for name, block, game, home, away, hs, aw, season, neutral, post, ha, aa in games:
+        leagues = _kept(state.get[0] if state.exists else None, config)
+        out = _played(leagues, pdfs, config)
+        state.update((_as_text(leagues),))
+        yield out
+
+    return fold
+
+
+class RatingProcessor(StatefulProcessor):
+    """STR-07. The same with ratings to begin with, which the first batch takes up."""
+
+    def __init__(self, config: Rating):
+        self.c = config
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("leagues", "leagues string")
+
+    def _leagues(self) -> dict[str | None, League]:
+        return _kept(self.kept.get()[0] if self.kept.exists() else None, self.c)
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        # a share's rows may come in several calls
+        leagues = self._leagues()
+        for name, entity, rating, season in zip(*(initialState[c].tolist() for c in ("league", "entity", "rating", "season")), strict=True):
             league = leagues.get(name)
             if league is None:
-                league = leagues[name] = League(config)
-            if block != league.block:
-                league.begin(block, int(season))
-            margin = hs - aw
-            _, _, p, _, d = league.play(home, away, None if pd.isna(margin) else margin, neutral, ha - aa, post)
-            out.append((name, game, home, away, p, d))
-        for league in leagues.values():
-            league.settle()
-        state.update((json.dumps([[name, x.season, x.ratings] for name, x in leagues.items()]),))
-        yield pd.DataFrame(out, columns=["league", "game", "home", "away", "p_home", "change"])
+                league = leagues[name] = League(self.c)
+            league.ratings[entity] = rating
+            if not pd.isna(season):
+                league.season = int(season) if league.season is None else max(league.season, int(season))
+        self.kept.update((_as_text(leagues),))
 
-    return fold
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        leagues = self._leagues()
+        out = _played(leagues, rows, self.c)
+        self.kept.update((_as_text(leagues),))
+        yield out
+
+    def close(self) -> None:
+        pass
 
 
 def rating_stream(games: DataFrame, config: Rating = Rating(), state: DataFrame | None = None, shares: int = 1024) -> DataFrame:
     """STR-07. games (league, block_ord, game, home, away, home_score, away_score), blocks in order between batches, as predictions and changes.
 
     state: league, entity, rating and season to begin with, as ratings.rating_state makes them of a stored ledger, so that
-    a stream goes on where a batch fold ended. season, neutral, post, home_adjustment and away_adjustment count as in the batch fold, if games has them; without,
+    a stream goes on where a batch fold ended; it is read once, by the stream's first batch, and asks for the RocksDB
+    state store. season, neutral, post, home_adjustment and away_adjustment count as in the batch fold, if games has them; without,
     there is one season, no neutral site and no adjustment. Null scores are games to come. Leagues are dealt to `shares`
     states, whose number stays as it is for a checkpoint.
     """
     given = {"season": F.lit(0), "neutral": F.lit(False), "post": F.lit(False), "home_adjustment": F.lit(0.0), "away_adjustment": F.lit(0.0)}
     extra = [F.coalesce(F.col(c), v).alias(c) if c in games.columns else v.alias(c) for c, v in given.items()]
     cols = ["league", "block_ord", "game", "home", "away", *(F.col(c).cast("double").alias(c) for c in ("home_score", "away_score"))]
-    rows = games.select(*cols, *extra)
-    if state is not None:
-        # one row a league, which its first games bring along
-        known = state.groupBy(F.col("league").alias("_league")).agg(F.collect_list(F.struct("entity", F.col("rating").cast("double").alias("rating"))).alias("_known"), F.max(F.col("season").cast("int")).alias("_season"))
-        rows = rows.join(known, F.col("league").eqNullSafe(F.col("_league")), "left").drop("_league")
-    shared = rows.withColumn("_share", F.pmod(F.xxhash64("league"), F.lit(shares)))
-    return shared.groupBy("_share").applyInPandasWithState(_rated(config), _RATINGS, "leagues string", "append", "NoTimeout")
+    share = F.pmod(F.xxhash64("league"), F.lit(shares)).alias("_share")
+    shared = games.select(share, *cols, *extra).groupBy("_share")
+    if state is None:
+        return shared.applyInPandasWithState(_rated(config), _RATINGS, "leagues string", "append", "NoTimeout")
+    known = state.select(share, "league", "entity", F.col("rating").cast("double").alias("rating"), F.col("season").cast("int").alias("season")).groupBy("_share")
+    return shared.transformWithStateInPandas(RatingProcessor(config), _RATINGS, "append", "None", known)
