@@ -106,9 +106,11 @@ PLAYS_SQL = """plays as (
     from lineitem)"""
 
 
-def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plays(spark: SparkSession, sf_dir: str, by_game: bool = False) -> DataFrame:
+    """by_game: the lines are dealt by game before they widen to plays, to a number of parts that stays as it is, as narrow rows would be gathered to few."""
     flag = lambda c: f"case when {c} then 1.0D else 0.0D end"
-    return load(spark, sf_dir, "lineitem").selectExpr(
+    lines = load(spark, sf_dir, "lineitem")
+    return (lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey") if by_game else lines).selectExpr(
         "l_orderkey as game", "(l_linenumber * 10000000 + l_partkey) * 1000 + l_suppkey % 1000 as play_id", "(l_linenumber - 1) div 3 as drive", "case when l_suppkey % 11 = 0 then null else concat('s', l_suppkey % 7) end as posteam",
         "case when l_suppkey % 11 <> 0 and l_suppkey % 53 <> 1 then concat('s', (l_suppkey + 1) % 7) end as defteam", "case when l_partkey % 13 = 0 then 'qb_kneel' when l_partkey % 17 = 0 then 'qb_spike' when l_partkey % 3 = 0 then 'pass' when l_partkey % 37 = 0 then 'punt' else 'run' end as play_type",
         "case when l_partkey % 3 = 0 and l_partkey % 10 <> 3 then cast(l_partkey % 40 - 5 as double) end as air_yards", "case when l_partkey % 10 <> 6 then cast(l_partkey % 12 as double) end as yards_after_catch",

@@ -98,8 +98,8 @@ def totals_table(spark: SparkSession, sf: str) -> DataFrame:
     # the schedule is a table of its own, read by every step
     sinks.frozen(g.selectExpr("game", "block_ord", "concat('s', s % 7) as home", "concat('s', (s + 1) % 7) as away"), path)
     g = table(spark, path)
-    p = plays(spark, sf)
-    own = p.join(g.select("game", "home", "away"), "game").withColumn("posteam", F.when(F.col("posteam").isin("s0", "s2", "s4", "s6"), F.col("home")).when(F.col("posteam").isNotNull(), F.col("away")))
+    p = plays(spark, sf, by_game=True)
+    own = p.join(g, "game").withColumn("posteam", F.when(F.col("posteam").isin("s0", "s2", "s4", "s6"), F.col("home")).when(F.col("posteam").isNotNull(), F.col("away")))
     o = load(spark, sf, "orders").withColumnRenamed("o_orderkey", "game")
     context = o.selectExpr("game", "case when game % 5 <> 0 then o_custkey % 15 end as away_rest", "case when game % 7 <> 0 then o_custkey % 12 end as home_rest", "case when game % 4 <> 0 then o_orderpriority end as roof", "case when game % 9 <> 0 then o_orderstatus end as surface")
     sides = o.select("game", F.explode(F.when(F.col("game") % 3 != 0, F.array(F.lit("away"), F.lit("home"))).otherwise(F.array(F.lit("home")))).alias("side"))
@@ -107,8 +107,7 @@ def totals_table(spark: SparkSession, sf: str) -> DataFrame:
     number = lambda k: (F.col("game") + 7 * k + shift) % (11 + k)
     is_flag = lambda c: "imputed" in c or c in ("low_sample", "missing_player_id")
     passers = sides.select("game", "side", *((number(k) % 2 == 1).alias(c) if is_flag(c) else number(k).cast("double").alias(c) for k, c in enumerate(pipelines.PASSER)))
-    out = pipelines.totals_table(own.drop("home", "away"), g, context, passers)
-    return out.select(*(F.round(F.col(c) + 1e-9, 6).alias(c) if "_matchup_" in c and not c.endswith("_missing") else c for c in out.columns))
+    return pipelines.totals_table(own, g, context, passers, lambda rate: F.round(rate + 1e-9, 6))
 
 
 _CENSUS_SQL = with_(QUOTES_SQL, f"""m as (select 'a' as model, game, (game % 89 + 5) / 100.0 as ph from (select distinct game from quotes) union all select 'b', game, (game % 53 + 20) / 100.0 from (select distinct game from quotes)),

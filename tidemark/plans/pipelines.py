@@ -5,6 +5,7 @@ Each takes and returns lazy frames; gates come back beside the rows, to be run b
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 
 from tidemark import functions as fn
 from tidemark import quality
+from tidemark.functions.text import strict_recode
 from tidemark.models import fits
 from tidemark.operators import asof, blocks, events, history, identity, offers, reshape, snapshots
 from tidemark.operators import evaluation as ev
@@ -127,17 +129,27 @@ TOTALS_COLUMNS = [
 ]
 
 
-def play_sums(plays: DataFrame) -> DataFrame:
-    """PL-03. game, posteam and the sums of each family's rate (events.sums), from the log of events.play_flags with game, drive, play_id, result.
+def play_sums(plays: DataFrame, key: list[str]) -> DataFrame:
+    """PL-03. key and the sums of each family's rate (events.sums), from the log of events.play_flags with game, drive, play_id, result.
 
-    A row has the families of plays, of drives or of intervals, the others null. A drive counts if it has a valid play
-    and a result, and its turnovers are summed. An interval counts between valid plays of one drive and quarter that are
-    no kneels or spikes; it is neutral if it begins so.
+    A drive counts if it has a valid play and a result, and its turnovers are summed. An interval counts between valid
+    plays of one drive and quarter that are no kneels or spikes; it is neutral if it begins so. Drives and intervals are
+    found beside the plays, along one sort of each game's plays, so the log is shuffled once, and not at all if it is dealt
+    by game.
     """
     flagged = events.play_flags(plays).where("posteam is not null")
     number = lambda c: F.col(c).cast("double")
+    stopped = (F.coalesce("qb_spike", F.lit(0)) != 0) | (F.coalesce("qb_kneel", F.lit(0)) != 0)
+    flagged = flagged.withColumn("_clock", F.when(~stopped, F.col("game_seconds_remaining")))
+    drive, order = ["game", "drive", "posteam"], ["play_id", "result"]
+    gaps = events.intervals(flagged, drive, order, "_clock", ["qtr"], before=["is_neutral"], among=F.col("is_valid") & F.col("drive").isNotNull())
+    rows = events.by_possession(gaps, drive, order, "result", {"any_valid": F.col("is_valid"), "any_red": F.col("in_red_zone"), "any_goal": F.col("is_goal_to_go")}, {"n_turnovers": F.col("is_turnover")})
     neutral = F.col("is_neutral") & (F.col("is_pass") | F.col("is_rush"))
-    by_play = events.sums(flagged, ["game", "posteam"], {
+    counted = F.col("first_of_possession") & F.col("any_valid") & F.col("result").isNotNull()
+    # only of a drive that counts is the result looked up
+    points = strict_recode(F.when(counted, F.col("result")), events.POSSESSION_POINTS)
+    touchdown = (F.col("result") == "Touchdown").cast("double")
+    return events.sums(rows, key, {
         "epa_per_play": events.Metric(F.col("has_epa"), F.col("epa")),
         "success_rate": events.Metric(F.col("has_success"), F.col("success")),
         "neutral_pass_rate": events.Metric(neutral, number("is_pass"), number("is_pass") + number("is_rush")),
@@ -146,50 +158,45 @@ def play_sums(plays: DataFrame) -> DataFrame:
         "yac_per_completion": events.Metric(F.col("has_yac"), F.col("yards_after_catch")),
         "explosive_pass_rate": events.Metric(F.col("is_pass") & F.col("has_yards"), number("is_explosive_pass")),
         "explosive_rush_rate": events.Metric(F.col("is_rush") & F.col("has_yards"), number("is_explosive_rush")),
-    })
-    counts = {"n_valid": F.col("is_valid"), "n_turnovers": F.col("is_turnover"), "n_red": F.col("in_red_zone"), "n_goal": F.col("is_goal_to_go")}
-    drives = events.possessions(flagged, ["game", "drive", "posteam"], "play_id", "result", counts).where("n_valid > 0 and result is not null")
-    touchdown = (F.col("result") == "Touchdown").cast("double")
-    by_drive = events.sums(drives, ["game", "posteam"], {
-        "points_per_drive": events.Metric(F.lit(True), F.col("points")),
-        "scoring_drive_rate": events.Metric(F.lit(True), number("scored")),
-        "turnovers_per_drive": events.Metric(F.lit(True), F.col("n_turnovers")),
-        "red_zone_td_rate": events.Metric(F.col("n_red") > 0, touchdown),
-        "goal_to_go_td_rate": events.Metric(F.col("n_goal") > 0, touchdown),
-    })
-    stopped = (F.coalesce("qb_spike", F.lit(0)) != 0) | (F.coalesce("qb_kneel", F.lit(0)) != 0)
-    clocked = flagged.where("is_valid and drive is not null").withColumn("clock", F.when(~stopped, F.col("game_seconds_remaining")))
-    gaps = events.intervals(clocked, ["game", "drive", "posteam"], ["play_id"], "clock", ["qtr"], before=["is_neutral"])
-    by_gap = events.sums(gaps, ["game", "posteam"], {
+        "points_per_drive": events.Metric(counted, points),
+        "scoring_drive_rate": events.Metric(counted, F.col("result").isin(*events.SCORING).cast("double")),
+        "turnovers_per_drive": events.Metric(counted, F.col("n_turnovers")),
+        "red_zone_td_rate": events.Metric(counted & F.col("any_red"), touchdown),
+        "goal_to_go_td_rate": events.Metric(counted & F.col("any_goal"), touchdown),
         "seconds_per_play": events.Metric(F.col("valid_interval"), F.col("seconds")),
         "neutral_seconds_per_play": events.Metric(F.col("valid_interval") & F.col("before_is_neutral"), F.col("seconds")),
     })
-    return reshape.stacked([by_play, by_drive, by_gap], widen=True)
 
 
-def totals_table(plays: DataFrame, games: DataFrame, context: DataFrame, passers: DataFrame) -> DataFrame:
+def totals_table(plays: DataFrame, games: DataFrame, context: DataFrame, passers: DataFrame, shown: Callable[[Column], Column] = lambda rate: rate) -> DataFrame:
     """PL-03. games (game, block_ord, home, away) with the ninety TOTALS_COLUMNS.
 
-    plays: see play_sums; of a game only plays of blocks before it count. context: game, away_rest, home_rest, roof,
+    plays: see play_sums; of a game only plays of blocks before it count. Plays that have block_ord, home and away, as their
+    game has them, are not joined with games again. context: game, away_rest, home_rest, roof,
     surface, as the schedule has them. passers: game, side and PASSER, one row a side at most; flags may be boolean.
-    Flags, sums, possessions and intervals are one pass each over the plays; the rest works on entity-block sums.
+    shown: how a rate is given, such as rounded. Flags, sums, possessions and intervals are one pass over the plays; the rest
+    works on entity-block sums, and rates are made once for each pair of entities and block, stored, and found by games.
     """
+    pair = ["block_ord", "home", "away"]
+    joined = plays if set(pair) <= set(plays.columns) else plays.join(games.select("game", *pair), "game")
     # what an entity made and allowed in a block is summed before it is unfolded by family
-    joined = play_sums(plays).join(games.select("game", "block_ord", "home", "away"), "game")
+    names = [f"{f}_{c}" for f in FAMILIES for c in ("num", "den", "n")]
+    per_pair = play_sums(joined, [*pair, "posteam"])
     other = F.when(F.col("posteam") == F.col("home"), F.col("away")).otherwise(F.col("home"))
     sides = F.explode(F.array(*(F.struct(e.alias("entity"), F.lit(s).alias("suffix")) for e, s in ((F.col("posteam"), ""), (other, "_allowed")))))
-    names = [f"{f}_{c}" for f in FAMILIES for c in ("num", "den", "n")]
-    per = joined.select(sides.alias("_s"), "block_ord", *names).groupBy("_s.entity", "_s.suffix", "block_ord").agg(*(F.sum(c).alias(c) for c in names))
+    per = per_pair.select(sides.alias("_s"), "block_ord", *names).groupBy("_s.entity", "_s.suffix", "block_ord").agg(*(F.sum(c).alias(c) for c in names))
     long = events.unfolded(per, ["entity", "suffix", "block_ord"], list(FAMILIES))
     states = history.leaving_state(long.withColumn("metric", F.concat("metric", "suffix")), ["entity", "metric"])
-    rates = history.matchups(games, states, {f: (f, f"{f}_allowed", float(least)) for f, least in FAMILIES.items()}, prefix="matchup_", missing=True)
+    rates = history.matchups(games.select(*pair).distinct(), states, {f: (f, f"{f}_allowed", float(least)) for f, least in FAMILIES.items()}, prefix="matchup_", missing=True)
+    rates = stored(rates.select(*(c if c in pair or c.endswith("_missing") else shown(F.col(c)).alias(c) for c in rates.columns)), "matchups")
     category = lambda c: (F.coalesce(F.lower(c), F.lit("unknown")).alias(f"{c}_category"), F.col(c).isNull().cast("int").alias(f"{c}_missing"))
     rest = lambda s: (F.col(f"{s}_rest").cast("int").alias(f"{s}_rest_days"), F.col(f"{s}_rest").isNull().cast("int").alias(f"{s}_rest_days_missing"))
     known = context.select("game", *rest("away"), *rest("home"), *category("roof"), *category("surface"))
     kinds = dict(passers.dtypes)
     plain = passers.select("game", "side", *(F.col(c).cast("int").alias(f"qb_{c}") if kinds[c] == "boolean" else F.col(c).alias(f"qb_{c}") for c in PASSER))
     starters = reshape.wide_sides(plain, ["game"], "side", list(_BOTH), [f"qb_{c}" for c in PASSER])
-    return rates.join(known, "game", "left").join(starters, "game", "left").select(*games.columns, *TOTALS_COLUMNS)
+    rows = asof.found(games.join(known, "game", "left").join(starters, "game", "left"), rates, pair)
+    return rows.select(*games.columns, *TOTALS_COLUMNS)
 
 
 #: What a modeling table must not hold: prices, lines and results. Fixed values.
